@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import jaccard_join, substring_dedup
+from lodestone.llm import ann_search, jaccard_join, piece_codec, substring_dedup, topk_search
 from lodestone.llm.shared import table
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_search.search(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digest(table(spark, sf_dir, "documents"), PIECES)
+
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
@@ -18,7 +30,15 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann_search.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": op1_topk_search,
+    "op2_piece_codec": op2_piece_codec,
+    "op9_ann_search": op9_ann_search,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }
@@ -47,4 +67,14 @@ select w.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(reach.b) as comp
 from w left join n on n.doc_id = w.doc_id join reach on reach.a = w.doc_id group by w.doc_id
 """
 
-ORACLES: dict[str, str] = {"op8_substring_dedup": OP8, "op10_jaccard_join": OP10}
+OP1 = """
+with v as (
+  select vec_id, min(list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint))) as v from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 group by vec_id
+),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2])) as bigint) as score from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+qualify rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op1_topk_search": OP1, "op8_substring_dedup": OP8, "op10_jaccard_join": OP10}
