@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import MUL2, U, Words, blob, bucketed, cut, deal, doc_ids, text_bytes
+from lodestone.llm.shared import MUL2, U, Words, blob, bucketed, deal, doc_ids, text_bytes
 
 SENT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("d", pa.binary()), ("ids", pa.binary())])
 SENT_DDL = "part int, bucket int, a binary, b binary, d binary, ids binary"
@@ -199,11 +199,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, block: int = 8, bucket_byt
         n_words = np.diff(w.first)
         return pa.Table.from_arrays([p.docs["doc_id"].combine_chunks(), pa.array(n_words), pa.array(n_words - np.diff(n_kept)), pa.array(texts, pa.binary()).cast(pa.string())], schema=OUT)
 
+    # one plan: its exchanges of the text and of the lists are reused, so each is written once
     by_bucket = rows.groupBy("bucket")
     listed = by_bucket.applyInArrow(index, SENT_DDL)
-    repeats = cut(listed.groupBy("part").applyInArrow(_which_repeat, BACK_DDL))
+    repeats = listed.groupBy("part").applyInArrow(_which_repeat, BACK_DDL)
     found = by_bucket.cogroup(repeats.groupBy("bucket")).applyInArrow(factors, SENT_DDL)
-    firsts = cut(found.groupBy("part").applyInArrow(_which_first, BACK_DDL))
+    firsts = found.groupBy("part").applyInArrow(_which_first, BACK_DDL)
     return by_bucket.cogroup(repeats.unionByName(firsts).groupBy("bucket")).applyInArrow(cover, OUT_DDL)
 
 
