@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bucket_b
         return pa.Table.from_pylist(out, schema=SETS)
 
     by_bucket = rows.groupBy("bucket")
-    levels = cut(by_bucket.applyInArrow(index, SENT_DDL).groupBy("part").applyInArrow(_add_up, BACK_DDL))
+    levels = by_bucket.applyInArrow(index, SENT_DDL).groupBy("part").applyInArrow(_add_up, BACK_DDL)
     sets = cut(by_bucket.cogroup(levels.groupBy("bucket")).applyInArrow(describe, SETS_DDL))
 
     chosen = sets.filter("set_key is not null")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import ann_search, jaccard_join, piece_codec, substring_dedup, topk_search
+from lodestone.llm import ann_search, chat_format, jaccard_join, language_id, piece_codec, quality, source_mixing, substring_dedup, topk_search, url_filter
 from lodestone.llm.shared import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -30,6 +30,32 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_mixing.mix(table(spark, sf_dir, "documents"), entropy=0.98, max_epochs=1.5)
+    return mixed.select("doc_id", "source", "n_tokens", "weight_ppb", "copies", "block")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    predicted = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs))
+    return predicted.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digest(chat_format.perspectives(table(spark, sf_dir, "conversations")))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"))
+
+
 def op9_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann_search.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
@@ -38,8 +64,13 @@ def op9_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_piece_codec": op2_piece_codec,
-    "op9_ann_search": op9_ann_search,
+    "op3_source_mixing": op3_source_mixing,
+    "op4_language_id": op4_language_id,
+    "op5_url_filter": op5_url_filter,
+    "op6_chat_format": op6_chat_format,
+    "op7_quality": op7_quality,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_ann_search": op9_ann_search,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
@@ -77,4 +108,50 @@ select query_id, cast(row_number() over (partition by query_id order by score de
 qualify rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op1_topk_search": OP1, "op8_substring_dedup": OP8, "op10_jaccard_join": OP10}
+OP5 = r"""
+with r(verdict, rule, host, path) as (values ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')),
+u as (select row_number() over () as n, page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+p as (select n, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+h as (select n, max_by(rule, length(rule)) as rule, max_by(verdict, length(rule)) as verdict from p join r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path) group by n)
+select page_id, host, path, h.rule, coalesce(h.verdict, 'allow') as verdict from p left join h on h.n = p.n
+"""
+
+OP6 = r"""
+with t as (select row_number() over () as n, conv_id, turn, coalesce(nullif(role, ''), 'unknown') as speaker, coalesce(text, '') as text from conversations),
+people as (select distinct conv_id, speaker as perspective from t where speaker <> 'system'),
+s as (
+  select t.n, t.conv_id, p.perspective, t.turn, t.speaker, t.text, case when speaker = 'system' then 'system' when speaker = perspective then 'assistant' else 'user' end as role
+  from t join people p on t.conv_id is not distinct from p.conv_id
+),
+r as (select *, case when role = 'user' then speaker end as name, '<|im_start|>' || role || coalesce(' name=' || case when role = 'user' then speaker end, '') || chr(10) as head from s),
+x as (select *, head || text || '<|im_end|>' || chr(10) as rendered from r),
+o as (select *, cast(coalesce(sum(length(rendered)) over (partition by conv_id, perspective order by turn nulls first, speaker, text, n rows between unbounded preceding and 1 preceding), 0) as bigint) as char_start from x)
+select conv_id, perspective, turn, role, name, sha256(rendered) as rendered_sha256, char_start,
+  case when role = 'assistant' then char_start + length(head) end as mask_start, case when role = 'assistant' then char_start + length(rendered) - 1 end as mask_end
+from o
+"""
+
+OP3 = r"""
+with recursive d as (select doc_id, source, text, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) as n_tokens, md5('mix:' || coalesce(cast(doc_id as varchar), 'null')) as h, coalesce('=' || source, 'null') as src from documents),
+digits as (select greatest(1, cast(ceil(ln(greatest(1, count(*) / 512.0)) / ln(16)) as integer)) as k from d),
+s as (select src, sum(n_tokens) as tokens, sum(n_tokens) / cast(sum(sum(n_tokens)) over () as double) as p from d group by src),
+m as (select list(p order by tokens, src) as ps, count(*) as n from s),
+low(i, lo, hi) as (
+  select 0, cast(0 as double), cast(1 as double) union all
+  select i + 1, case when bad then mid else lo end, case when bad then hi else mid end from (
+    select i, lo, hi, (lo + hi) / 2 as mid, list_max(list_transform(ps, p -> pow(p, (lo + hi) / 2 - 1))) / list_min(list_transform(ps, p -> pow(p, (lo + hi) / 2 - 1))) > 1.5 as bad from low, m where i < 40)
+),
+high(i, lo, hi) as (
+  select 0, cast(0 as double), cast(1 as double) union all
+  select i + 1, case when good then mid else lo end, case when good then hi else mid end from (
+    select i, lo, hi, mid, ln(z) - mid * list_sum(list_transform(ps, p -> pow(p, mid) * ln(p))) / z >= 0.98 * ln(n) as good
+    from (select i, lo, hi, (lo + hi) / 2 as mid, ps, n, list_sum(list_transform(ps, p -> pow(p, (lo + hi) / 2))) as z from high, m where i < 40))
+),
+a as (select greatest((select hi from low where i = 40), (select lo from high where i = 40)) as alpha),
+w as (select src, tokens, cast(round(pow(p, alpha) / sum(pow(p, alpha)) over () * 1000000000) as bigint) as weight_ppb from s, a),
+g as (select *, greatest(tokens, cast(floor(weight_ppb * max(cast(tokens as double) / weight_ppb) over ()) as bigint)) as budget from w),
+c as (select d.*, weight_ppb, cast(budget // tokens as bigint) as whole, budget - budget // tokens * tokens as rest, sum(n_tokens) over (partition by d.src order by h, doc_id, n_tokens, text rows unbounded preceding) as upto from d join g on g.src = d.src)
+select doc_id, source, cast(n_tokens as bigint) as n_tokens, weight_ppb, cast(whole + case when upto <= rest then 1 else 0 end as integer) as copies, substr(h, 1, k) as block from c, digits
+"""
+
+ORACLES: dict[str, str] = {"op1_topk_search": OP1, "op3_source_mixing": OP3, "op5_url_filter": OP5, "op6_chat_format": OP6, "op8_substring_dedup": OP8, "op10_jaccard_join": OP10}
