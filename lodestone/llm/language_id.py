@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import slices
+
 FEATURES = 4096
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[:128] = 0x20
@@ -133,8 +135,8 @@ def fit(docs: DataFrame, sample: int = 6000, least: int = 50) -> Model:
     chosen = labelled.filter(draw < limits[F.col("lang")]).select("text", "lang")
 
     def count(batches):
-        for batch in batches:
-            x = features(batch["text"].to_pylist()) if batch.num_rows else np.zeros((0, FEATURES), np.float32)
+        for batch in slices(batches, 256):
+            x = features(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["lang"], pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "x"])
 
     rows = chosen.mapInArrow(count, "lang string, x binary").toPandas().sort_values(["lang", "x"])
@@ -153,7 +155,7 @@ def predict(docs: DataFrame, model: Model, lead: float = 0.1) -> DataFrame:
     docs = docs.drop("held_out", *new)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch["text"]
             known = [bool(t is not None and LETTER(t)) and bool(model.languages) for t in texts.to_pylist()]
             langs, scores, unclear = ["und"] * len(known), [0.0] * len(known), [True] * len(known)

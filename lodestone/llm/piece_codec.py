@@ -27,8 +27,11 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
+from lodestone.llm.shared import slices
+
 MARK = "▁"
 CACHE = 1 << 19
 SEGMENT = 64
@@ -153,21 +156,22 @@ def codec(path: str) -> Codec:
 
 
 def encode_texts(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
-    """All columns of the input, and the ids (``piece_ids``) of every whole text.
+    """All columns of the input, the ids of every whole text (``piece_ids``), and whether they decode to it.
 
-    Null and empty texts have no ids. ``model_path`` is a file that every executor has. Existing columns of
-    the new one's name are replaced.
+    Null and empty texts have no ids. ``model_path`` is a file that every executor has. Columns of the input with
+    the names piece_ids and decodes are replaced.
     """
+    kept = docs.drop("piece_ids", "decodes")
 
     def run(batches):
         c = codec(model_path)
-        for batch in batches:
-            ids = [c.encode(x) for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            rest = [n for n in batch.schema.names if n != "piece_ids"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in rest), pa.array(ids, pa.list_(pa.int32()))], [*rest, "piece_ids"])
+        for batch in slices(batches):
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            ids = [c.encode(x) for x in texts]
+            same = [c.decode(i) == (x or "") for i, x in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], [*batch.schema.names, "piece_ids", "decodes"])
 
-    schema = [f for f in docs.schema.fields if f.name != "piece_ids"]
-    return docs.mapInArrow(run, type(docs.schema)(schema).add("piece_ids", "array<int>"))
+    return kept.mapInArrow(run, type(docs.schema)(list(kept.schema.fields)).add("piece_ids", T.ArrayType(T.IntegerType())).add("decodes", "boolean"))
 
 
 def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -175,7 +179,7 @@ def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches):
         c = codec(model_path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(batch.schema.get_field_index("piece_ids")).to_pylist()
             yield batch.append_column("decoded", pa.array([c.decode(x or []) for x in ids], pa.string()))
 
@@ -194,7 +198,7 @@ def digest(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches):
         c = codec(model_path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = c.encode(text.as_py())

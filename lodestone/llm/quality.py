@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import U, Words
+from lodestone.llm.shared import U, Words, slices
 
 BITS = 16
 BAD, GOOD, ABSTAIN = 0, 1, 2
@@ -150,10 +150,9 @@ def score(docs: DataFrame, sample: int = 4000, keep_at: float = 0.5) -> DataFram
     docs = docs.select(F.col("doc_id").cast("long"), "text")
 
     def vote(batches):
-        for batch in batches:
-            if batch.num_rows:
-                patterns, n = np.unique(pattern_of(votes(Words(batch["text"]))), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(patterns), pa.array(n)], ["pattern", "n"])
+        for batch in slices(batches):
+            patterns, n = np.unique(pattern_of(votes(Words(batch["text"]))), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(patterns), pa.array(n)], ["pattern", "n"])
 
     counted = docs.select("text").mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas().sort_values("pattern")
     patterns, counts = counted["pattern"].to_numpy(np.int64), counted["n"].to_numpy(np.float64)
@@ -163,24 +162,22 @@ def score(docs: DataFrame, sample: int = 4000, keep_at: float = 0.5) -> DataFram
     draw = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def read(batches):
-        for batch in batches:
-            if batch.num_rows:
-                w = Words(batch["text"])
-                label = model.posterior(votes(w).astype(np.int64))
-                h = (w.hash >> U(64 - BITS)).astype(np.uint16)
-                rows = [h[w.first[i] : w.first[i + 1]].tobytes() for i in range(w.n)]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(label), pa.array(rows, pa.binary())], ["doc_id", "label", "words"])
+        for batch in slices(batches):
+            w = Words(batch["text"])
+            label = model.posterior(votes(w).astype(np.int64))
+            h = (w.hash >> U(64 - BITS)).astype(np.uint16)
+            rows = [h[w.first[i] : w.first[i + 1]].tobytes() for i in range(w.n)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(label), pa.array(rows, pa.binary())], ["doc_id", "label", "words"])
 
     drawn = docs.filter(draw < share).mapInArrow(read, "doc_id long, label double, words binary").toPandas().sort_values(["doc_id", "words"])
     drawn = drawn[drawn["words"].str.len() > 0] if len(drawn) else drawn
     scorer = train([np.frombuffer(x, np.uint16) for x in drawn["words"]], drawn["label"].to_numpy(float))
 
     def judge(batches):
-        for batch in batches:
-            if batch.num_rows:
-                w = Words(batch["text"])
-                v = votes(w).astype(np.int64)
-                s = scorer(w)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(pattern_of(v)), pa.array(model.posterior(v)), pa.array(s), pa.array((s >= keep_at) & (np.diff(w.first) > 0))], ["doc_id", "votes", "weak_label", "score", "keep"])
+        for batch in slices(batches):
+            w = Words(batch["text"])
+            v = votes(w).astype(np.int64)
+            s = scorer(w)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(pattern_of(v)), pa.array(model.posterior(v)), pa.array(s), pa.array((s >= keep_at) & (np.diff(w.first) > 0))], ["doc_id", "votes", "weak_label", "score", "keep"])
 
     return docs.mapInArrow(judge, "doc_id long, votes long, weak_label double, score double, keep boolean")

@@ -76,10 +76,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 OP8 = r"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
-p as (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from w where len(ws) >= 20),
-r as (select doc_id, i, row_number() over (partition by array_to_string(ws[i:i + 19], ' ') order by doc_id, i) as n from p),
+l as (select doc_id, list_transform(range(1, len(ws) - 18), lambda i: array_to_string(ws[i:i + 19], ' ')) as ks from w where len(ws) >= 20),
+p as (select doc_id, unnest(ks) as k, generate_subscripts(ks, 1) as i from l),
+r as (select doc_id, i, row_number() over (partition by k order by doc_id, i) as n from p),
 c as (select distinct doc_id, i + t.o as j from r, unnest(range(0, 20)) as t(o) where n > 1),
-k as (select w.doc_id, ws[x.j] as word, x.j, c.j is not null as gone from w, lateral (select unnest(range(1, len(ws) + 1)) as j) x left join c on c.doc_id = w.doc_id and c.j = x.j),
+words as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as j from w),
+k as (select words.doc_id, word, words.j, c.j is not null as gone from words left join c on c.doc_id = words.doc_id and c.j = words.j),
 s as (select doc_id, count(*) filter (where gone) as n_removed, coalesce(string_agg(word, ' ' order by j) filter (where not gone), '') as kept from k group by doc_id)
 select w.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from w left join s on s.doc_id = w.doc_id
@@ -100,10 +102,10 @@ from w left join n on n.doc_id = w.doc_id join reach on reach.a = w.doc_id group
 
 OP1 = """
 with v as (
-  select vec_id, min(list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint))) as v from embeddings
-  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 group by vec_id
+  select vec_id, min(list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint))) as v from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 group by vec_id
 ),
-s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2])) as bigint) as score from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) as score from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
 qualify rank <= 5
 """
@@ -139,13 +141,13 @@ m as (select list(p order by tokens, src) as ps, count(*) as n from s),
 low(i, lo, hi) as (
   select 0, cast(0 as double), cast(1 as double) union all
   select i + 1, case when bad then mid else lo end, case when bad then hi else mid end from (
-    select i, lo, hi, (lo + hi) / 2 as mid, list_max(list_transform(ps, p -> pow(p, (lo + hi) / 2 - 1))) / list_min(list_transform(ps, p -> pow(p, (lo + hi) / 2 - 1))) > 1.5 as bad from low, m where i < 40)
+    select i, lo, hi, (lo + hi) / 2 as mid, list_max(list_transform(ps, lambda p: pow(p, (lo + hi) / 2 - 1))) / list_min(list_transform(ps, lambda p: pow(p, (lo + hi) / 2 - 1))) > 1.5 as bad from low, m where i < 40)
 ),
 high(i, lo, hi) as (
   select 0, cast(0 as double), cast(1 as double) union all
   select i + 1, case when good then mid else lo end, case when good then hi else mid end from (
-    select i, lo, hi, mid, ln(z) - mid * list_sum(list_transform(ps, p -> pow(p, mid) * ln(p))) / z >= 0.98 * ln(n) as good
-    from (select i, lo, hi, (lo + hi) / 2 as mid, ps, n, list_sum(list_transform(ps, p -> pow(p, (lo + hi) / 2))) as z from high, m where i < 40))
+    select i, lo, hi, mid, ln(z) - mid * list_sum(list_transform(ps, lambda p: pow(p, mid) * ln(p))) / z >= 0.98 * ln(n) as good
+    from (select i, lo, hi, (lo + hi) / 2 as mid, ps, n, list_sum(list_transform(ps, lambda p: pow(p, (lo + hi) / 2))) as z from high, m where i < 40))
 ),
 a as (select greatest((select hi from low where i = 40), (select lo from high where i = 40)) as alpha),
 w as (select src, tokens, cast(round(pow(p, alpha) / sum(pow(p, alpha)) over () * 1000000000) as bigint) as weight_ppb from s, a),

@@ -7,6 +7,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +29,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_dir(spark: SparkSession) -> str:
+    """The application's folder under ``spark.checkpoint.dir``, which all executors share.
 
-    ``spark.checkpoint.dir`` of the session decides the folder; one of our own is set only where
-    no folder is configured, as in local tests.
+    A folder of our own is set only where the session names none, as in local tests.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "lodestone-checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table into the shared folder and read it back."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches of at most ``rows`` rows, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 # ---------------------------------------------------------------- words in Arrow batches
 
 

@@ -107,17 +107,19 @@ def mix(docs: DataFrame, entropy: float | None = None, max_epochs: float = 4.0,
     plan = plan.withColumn("whole", F.floor(F.col("budget") / F.col("tokens"))).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens"))
     ordered = Window.partitionBy("src").orderBy("block")
     until = F.sum("in_block").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    state = blocks.withColumn("until", until).join(plan, "src").withColumn("before", F.col("until") - F.col("in_block"))
-    # -1: all of the block is in the last, partial pass; -2: none of it; else the tokens that the block at the cut may give
-    state = state.select(F.col("src").alias("__src"), "block", "weight_ppb", "whole", F.when(F.col("until") <= F.col("rest"), -1).when(F.col("before") >= F.col("rest"), -2).otherwise(F.col("rest") - F.col("before")).alias("room"))
-    joined = named.join(state, ["__src", "block"])
+    # the cut: the first block that does not fit as a whole, and the tokens it may give
+    cuts = blocks.withColumn("until", until).join(plan, "src").filter(F.col("until") > F.col("rest")).groupBy("src").agg(F.min(F.struct("block", F.col("rest") - F.col("until") + F.col("in_block"))).alias("at"))
+    plan = plan.join(cuts, "src", "left").select(F.col("src").alias("__src"), "weight_ppb", "whole", F.col("at.block").alias("__cut"), F.col("at.col2").alias("room"))
+    # one row for each source, whose number is checked: small enough to broadcast
+    joined = named.join(F.broadcast(plan), "__src")
 
     def counted(df: DataFrame, more: Column) -> DataFrame:
         return df.withColumn("copies", (F.col("whole") + more).cast("int")).select(*docs.columns, "n_tokens", "weight_ppb", "copies", "block")
 
     inside = Window.partitionBy("__src").orderBy("__h", "doc_id", "n_tokens", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at_cut = joined.filter("room >= 0").withColumn("upto", F.sum("n_tokens").over(inside))
-    return counted(joined.filter("room < 0"), F.when(F.col("room") == -1, 1).otherwise(0)).unionByName(counted(at_cut, F.when(F.col("upto") <= F.col("room"), 1).otherwise(0)))
+    at_cut = joined.filter(F.col("block") == F.col("__cut")).withColumn("upto", F.sum("n_tokens").over(inside))
+    others = joined.filter(F.col("block") != F.col("__cut"))
+    return counted(others, F.when(F.col("block") < F.col("__cut"), 1).otherwise(0)).unionByName(counted(at_cut, F.when(F.col("upto") <= F.col("room"), 1).otherwise(0)))
 
 
 def realised(mixed: DataFrame) -> DataFrame:

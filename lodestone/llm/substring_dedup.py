@@ -138,7 +138,7 @@ def _which_first(table):
     return _reply(table, 2, flags, sizes)
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, block: int = 8, bucket_bytes: int = 8 << 20, buckets_per_part: int = 8) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, block: int = 8, carry: tuple[str, ...] = (), verbatim: bool = False, bucket_bytes: int = 8 << 20, buckets_per_part: int = 8) -> DataFrame:
     """Remove words that an earlier passage of ``window`` words covers.
 
     Words are maximal runs without ASCII white space, taken unchanged. A window is removed if the
@@ -148,12 +148,14 @@ def remove_repeats(docs: DataFrame, window: int = 20, block: int = 8, bucket_byt
     Returns one row for each input row: doc_id, n_words, n_removed, kept_text (kept words joined by
     one space). Null or empty text: no words, empty kept_text. Rows that share a doc_id count as
     one after the other in the order of their texts; a null doc_id comes before all others. Other
-    columns are not read, whatever their names. An empty table gives an empty result.
+    columns are not read, whatever their names, but those in ``carry`` are returned too. With ``verbatim`` a
+    text that loses nothing stays as it is. An empty table gives an empty result.
 
     ``bucket_bytes`` bounds the text in one task's group; ``buckets_per_part`` sets how many buckets'
     worth of hashes one reducer group holds.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", *[F.col(c).alias(f"carry_{c}") for c in carry])
+    out_ddl = ", ".join([OUT_DDL, *(f"carry_{c} {docs.schema[f'carry_{c}'].dataType.simpleString()}" for c in carry)])
     rows, n = bucketed(docs, bucket_bytes, text_bytes(docs))
     parts = max(1, math.ceil(n / buckets_per_part))
 
@@ -176,7 +178,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, block: int = 8, bucket_byt
 
     def cover(key, table, back):
         if not len(table):
-            return OUT.empty_table()
+            return pa.table({**{f.name: pa.array([], f.type) for f in OUT}, **{f"carry_{c}": table[f"carry_{c}"] for c in carry}})
         p = _Parse(table, window, block, parts)
         w, bits = p.words, _bits(back)
         depth = np.zeros(len(w.hash) + 1, np.int64)
@@ -195,9 +197,15 @@ def remove_repeats(docs: DataFrame, window: int = 20, block: int = 8, bucket_byt
             words = data[w.off[i] : w.off[i + 1]].split()
             if n_kept[i + 1] - n_kept[i] < len(words):
                 words = compress(words, keep[w.first[i] : w.first[i + 1]])
+            elif verbatim:
+                texts.append(data[w.off[i] : w.off[i + 1]])
+                continue
             texts.append(b" ".join(words))
         n_words = np.diff(w.first)
-        return pa.Table.from_arrays([p.docs["doc_id"].combine_chunks(), pa.array(n_words), pa.array(n_words - np.diff(n_kept)), pa.array(texts, pa.binary()).cast(pa.string())], schema=OUT)
+        own = pa.Table.from_arrays([p.docs["doc_id"].combine_chunks(), pa.array(n_words), pa.array(n_words - np.diff(n_kept)), pa.array(texts, pa.binary()).cast(pa.string())], schema=OUT)
+        for c in carry:
+            own = own.append_column(f"carry_{c}", p.docs[f"carry_{c}"])
+        return own
 
     # one plan: its exchanges of the text and of the lists are reused, so each is written once
     by_bucket = rows.groupBy("bucket")
@@ -205,7 +213,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, block: int = 8, bucket_byt
     repeats = listed.groupBy("part").applyInArrow(_which_repeat, BACK_DDL)
     found = by_bucket.cogroup(repeats.groupBy("bucket")).applyInArrow(factors, SENT_DDL)
     firsts = found.groupBy("part").applyInArrow(_which_first, BACK_DDL)
-    return by_bucket.cogroup(repeats.unionByName(firsts).groupBy("bucket")).applyInArrow(cover, OUT_DDL)
+    return by_bucket.cogroup(repeats.unionByName(firsts).groupBy("bucket")).applyInArrow(cover, out_ddl).withColumnsRenamed({f"carry_{c}": c for c in carry})
 
 
 def digest(kept: DataFrame) -> DataFrame:
