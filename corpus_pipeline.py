@@ -1,15 +1,67 @@
-"""Corpus preparation: language ID, near-duplicate removal, passage dedup, mixing, tokenising."""
+"""Corpus preparation: language ID, near-duplicate removal, passage dedup, mixing, tokenising.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.llm import jaccard_join, language_id, piece_codec, source_mixing, substring_dedup
+from lodestone.llm.shared import written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a predicted language, which becomes their lang; texts without a letter or a clear language go."""
+    predicted = language_id.predict(docs, language_id.fit(docs))
+    return predicted.filter("lang_pred <> 'und' and score >= 0.5").withColumn("lang", F.col("lang_pred")).select(COLUMNS)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least doc_id."""
+    groups = jaccard_join.near_duplicates(docs)
+    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return docs.join(gone, "doc_id", "left_anti").withColumn("nth", once).filter("nth = 1 or doc_id is null").select(COLUMNS)
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that occur earlier; texts of which nothing is left go."""
+    kept = substring_dedup.remove_repeats(docs, carry=("lang", "source"), verbatim=True)
+    kept = kept.filter("n_removed = 0 or n_removed < n_words").withColumn("text", F.col("kept_text"))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The copies that tempered source weights ask for: every document at least once, no source over 1.5 times."""
+    return source_mixing.realised(source_mixing.mix(docs, entropy=0.98, max_epochs=1.5)).select(COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every copy's text, for training."""
+    ids = piece_codec.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return ids.select("doc_id", "lang", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_tokens"), "decodes")
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("near_duplicates", without_near_duplicates),
+    ("substring_dedup", without_repeated_passages),
+    ("source_mixing", mixed_sources),
+    ("piece_codec", encoded),
+]
 
-STAGES: list = []
+#: The language model and the encoder are not expressible in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each reading what the one before it kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
