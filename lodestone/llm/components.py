@@ -28,14 +28,15 @@ def connected(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (u, v); component: the least node reached.
 
     Both joins match a table with one row for each node, so a node with very many links is only a
-    skewed side that adaptive execution splits. Ends when a round changes nothing.
+    skewed side that adaptive execution splits. Ends when every edge leads to the centre of a star.
     """
     edges = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct())
-    state = None
-    while True:
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == state or not seen[0]:
-            break
-        state = tuple(seen)
+    while not _are_stars(edges):
         edges = cut(_star(_star(edges, True), False))
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Has every node one edge to a smaller node at most, and none if it has edges to larger ones?"""
+    ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("u").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").isEmpty()

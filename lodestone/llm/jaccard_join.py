@@ -33,7 +33,7 @@ BACK = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("levels", pa.bi
 BACK_DDL = "bucket int, part int, levels binary"
 SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("grams", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 SETS_DDL = "doc_id long, n_shingles long, set_key binary, grams binary, prefix array<long>"
-EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+LABELS = pa.schema([("label", pa.int64()), ("root", pa.int64())])
 
 
 def gram_sets(texts: pa.ChunkedArray, k: int) -> list[np.ndarray]:
@@ -147,11 +147,9 @@ class PrefixTree:
         elif node[5] >= 0 and self.find(node[5]) != self.find(member):
             node[5] = -1
 
-    def probe(self, grams: np.ndarray, size: int, member: int) -> list[int]:
-        """Members that link with the set, without those that links found so far reach already."""
+    def probe(self, grams: np.ndarray, size: int, member: int) -> None:
+        """Join the set's component with those of all members that link with it."""
         self.mark[grams] = True
-        found = []
-        rank = grams
         stack = [(self.root, 0, 0)]
         while stack:
             node, shared, depth = stack.pop()
@@ -163,23 +161,21 @@ class PrefixTree:
             if len(node[0]):
                 shared += int(self.mark[node[0]].sum())
                 depth += len(node[0])
-                left = len(rank) - int(np.searchsorted(rank, node[0][-1], "right"))
+                left = len(grams) - int(np.searchsorted(grams, node[0][-1], "right"))
                 # a set below here shares at most what is left of the probe, and of itself
                 if shared + min(left, long_ - depth) < _needed(size, short, self.percent):
                     continue
             for other, n in members:
                 if shared >= _needed(size, n, self.percent) and self.find(other) != self.find(member):
                     self.parent[self.find(other)] = self.find(member)
-                    found.append(other)
             stack += [(child, shared, depth) for child in children.values()]
         self.mark[grams] = False
-        return found
 
 
 def _link_block(table, percent: int) -> pa.Table:
-    """Links that join the components of the sets in one block, or in a pair of blocks."""
+    """For each label in one block, or in a pair of blocks: the least label that links of its sets reach there."""
     table = table.sort_by([("node", "ascending")])
-    nodes, sizes, labels = (table[c].to_pylist() for c in ("node", "size", "label"))
+    sizes, labels = table["size"].to_pylist(), table["label"].to_pylist()
     sets = [np.frombuffer(x, U) for x in table["grams"].to_pylist()]
     levels = [np.frombuffer(x, np.uint8) for x in table["levels"].to_pylist()]
     values, first, inverse = np.unique(np.concatenate(sets), return_index=True, return_inverse=True)
@@ -190,11 +186,15 @@ def _link_block(table, percent: int) -> pa.Table:
     heads: dict[int, int] = {}
     parent = [heads.setdefault(label, i) for i, label in enumerate(labels)]
     tree = PrefixTree(percent, parent, len(values))
-    edges = []
     for i, grams in enumerate(ranked):
-        edges += [(nodes[i], nodes[j]) for j in tree.probe(grams, sizes[i], i)]
+        tree.probe(grams, sizes[i], i)
         tree.add(grams, sizes[i], i)
-    return pa.Table.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], schema=EDGE)
+    least: dict[int, int] = {}
+    for i, label in enumerate(labels):
+        root = tree.find(i)
+        least[root] = min(label, least.get(root, label))
+    roots = {label: least[tree.find(i)] for i, label in enumerate(labels)}
+    return pa.Table.from_arrays([pa.array(list(roots), pa.int64()), pa.array(list(roots.values()), pa.int64())], schema=LABELS)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bucket_bytes: int = 8 << 20, buckets_per_part: int = 8, block: int = 512) -> DataFrame:
@@ -258,21 +258,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bucket_b
     def link(table):
         return _link_block(table, percent)
 
-    links = cut(members.groupBy("grp", "block").applyInArrow(link, "u long, v long"))
-    labels = connected(links)
-    # blocks of one group meet only if they hold different components
-    big = members.filter("n_blocks > 1").drop("label").join(labels.select("node", F.col("component").alias("label0")), "node", "left").withColumn("label", F.coalesce("label0", "node"))
-    mixed = big.groupBy("grp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    usual = mixed.groupBy("grp").agg(F.mode(F.when(F.col("lo") == F.col("hi"), F.col("lo"))).alias("usual"))
-    mixed = cut(mixed.join(usual, "grp").withColumn("odd", ~F.coalesce((F.col("lo") == F.col("usual")) & (F.col("hi") == F.col("usual")), F.lit(False))))
-    left = mixed.filter("odd").select("grp", F.col("block").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"))
-    right = mixed.select("grp", F.col("block").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"), "odd")
-    meet = left.join(right, "grp").filter("(i < j or i > j and not odd) and not (lo_i = hi_i and lo_j = hi_j and lo_i = lo_j)").select("grp", "i", "j")
-    sides = meet.select("grp", F.col("i").alias("block"), "i", "j").unionByName(meet.select("grp", F.col("j").alias("block"), "i", "j"))
-    across = big.join(sides, ["grp", "block"]).select("grp", "i", "j", "node", "size", "grams", "levels", "label").groupBy("grp", "i", "j").applyInArrow(link, "u long, v long")
-    labels = connected(links.unionByName(across))
-
-    named = classes.select("node", "set_key", "name").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ddl = "label long, root long"
+    labels = members.groupBy("grp", "block").applyInArrow(link, ddl).withColumnsRenamed({"label": "node", "root": "label"})
+    if not heads.filter("n_blocks > 1").isEmpty():
+        labels = cut(labels)
+        # blocks of one group meet only if they hold different components
+        big = members.filter("n_blocks > 1").drop("label").join(labels, "node")
+        mixed = big.groupBy("grp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        usual = mixed.groupBy("grp").agg(F.mode(F.when(F.col("lo") == F.col("hi"), F.col("lo"))).alias("usual"))
+        mixed = cut(mixed.join(usual, "grp").withColumn("odd", ~F.coalesce((F.col("lo") == F.col("usual")) & (F.col("hi") == F.col("usual")), F.lit(False))))
+        left = mixed.filter("odd").select("grp", F.col("block").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"))
+        right = mixed.select("grp", F.col("block").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"), "odd")
+        meet = left.join(right, "grp").filter("(i < j or i > j and not odd) and not (lo_i = hi_i and lo_j = hi_j and lo_i = lo_j)").select("grp", "i", "j")
+        sides = meet.select("grp", F.col("i").alias("block"), "i", "j").unionByName(meet.select("grp", F.col("j").alias("block"), "i", "j"))
+        across = big.join(sides, ["grp", "block"]).select("grp", "i", "j", "node", "size", "grams", "levels", "label").groupBy("grp", "i", "j").applyInArrow(link, ddl)
+        joined = connected(across.select(F.col("label").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "label")
+        labels = labels.join(joined, "label", "left").select("node", F.coalesce("component", "label").alias("label"))
+
+    named = classes.select("node", "set_key", "name").join(labels, "node", "left").withColumn("component", F.coalesce("label", "node"))
     least = named.groupBy("component").agg(F.min("name").alias("component_id"))
     named = named.join(least, "component").select("set_key", "component_id")
     done = sets.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
