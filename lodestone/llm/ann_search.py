@@ -23,12 +23,15 @@ FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", p
 FOUND_DDL = "query_id long, vec_id long, score double"
 
 
-def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
-    """Indexes of the k largest inner products of each row, itself excluded."""
-    score = x @ x.T
-    np.fill_diagonal(score, -np.inf)
+def neighbour_graph(x: np.ndarray, k: int, rows: int = 256) -> np.ndarray:
+    """Indexes of the k largest inner products of each row, itself excluded; ``rows`` rows at a time."""
     k = min(k, len(x) - 1)
-    return np.argpartition(-score, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(x), 0), int)
+    out = np.zeros((len(x), max(0, k)), np.int32)
+    for at in range(0, len(x) if k > 0 else 0, rows):
+        score = x[at : at + rows] @ x.T
+        score[np.arange(len(score)), np.arange(at, at + len(score))] = -np.inf
+        out[at : at + rows] = np.argpartition(score, len(x) - k, axis=1)[:, -k:]
+    return out
 
 
 def balanced_parts(graph: np.ndarray, parts: int, slack: float = 1.05, rounds: int = 8, seed: int = 7) -> np.ndarray:
