@@ -109,17 +109,17 @@ def mix(docs: DataFrame, entropy: float | None = None, max_epochs: float = 4.0,
     until = F.sum("in_block").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # the cut: the first block that does not fit as a whole, and the tokens it may give
     cuts = blocks.withColumn("until", until).join(plan, "src").filter(F.col("until") > F.col("rest")).groupBy("src").agg(F.min(F.struct("block", F.col("rest") - F.col("until") + F.col("in_block"))).alias("at"))
-    plan = plan.join(cuts, "src", "left").select(F.col("src").alias("__src"), "weight_ppb", "whole", F.col("at.block").alias("__cut"), F.col("at.col2").alias("room"))
+    plan = plan.join(cuts, "src", "left").select(F.col("src").alias("__src"), "weight_ppb", F.col("whole").alias("__whole"), F.col("at.block").alias("__cut"), F.col("at.col2").alias("__room"))
     # one row for each source, whose number is checked: small enough to broadcast
     joined = named.join(F.broadcast(plan), "__src")
 
     def counted(df: DataFrame, more: Column) -> DataFrame:
-        return df.withColumn("copies", (F.col("whole") + more).cast("int")).select(*docs.columns, "n_tokens", "weight_ppb", "copies", "block")
+        return df.withColumn("copies", (F.col("__whole") + more).cast("int")).select(*docs.columns, "n_tokens", "weight_ppb", "copies", "block")
 
     inside = Window.partitionBy("__src").orderBy("__h", "doc_id", "n_tokens", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at_cut = joined.filter(F.col("block") == F.col("__cut")).withColumn("upto", F.sum("n_tokens").over(inside))
+    at_cut = joined.filter(F.col("block") == F.col("__cut")).withColumn("__upto", F.sum("n_tokens").over(inside))
     others = joined.filter(F.col("block") != F.col("__cut"))
-    return counted(others, F.when(F.col("block") < F.col("__cut"), 1).otherwise(0)).unionByName(counted(at_cut, F.when(F.col("upto") <= F.col("room"), 1).otherwise(0)))
+    return counted(others, F.when(F.col("block") < F.col("__cut"), 1).otherwise(0)).unionByName(counted(at_cut, F.when(F.col("__upto") <= F.col("__room"), 1).otherwise(0)))
 
 
 def realised(mixed: DataFrame) -> DataFrame:
