@@ -33,8 +33,8 @@ def symbol_chunks(files: DataFrame, ranges: DataFrame, size: int = 150, overlap:
     maximum tells the first line that no earlier range covers, so nested ranges give no line twice. Files
     without ranges are cut by windows.
     """
-    r = ranges.join(files, "path").filter("end_line >= start_line and start_line <= n_lines").select("path", "n_lines", F.greatest(F.lit(1), "start_line").alias("a"), F.least("n_lines", "end_line").alias("b"))
-    before = Window.partitionBy("path").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    r = ranges.join(files, "path").filter("end_line >= start_line and start_line <= n_lines").select("path", "start_line", "end_line", F.greatest(F.lit(1), "start_line").alias("a"), F.least("n_lines", "end_line").alias("b"))
+    before = Window.partitionBy("path").orderBy("start_line", "end_line").rowsBetween(Window.unboundedPreceding, -1)
     r = r.withColumn("cursor", F.greatest(F.lit(1), F.coalesce(F.max(F.col("b") + 1).over(before), F.lit(1)))).filter("b >= cursor")
     inside = r.select("path", F.greatest("a", "cursor").alias("lo"), F.col("b").alias("hi"))
     gaps = r.filter("a > cursor").select("path", F.col("cursor").alias("lo"), (F.col("a") - 1).alias("hi"))

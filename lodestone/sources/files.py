@@ -83,7 +83,7 @@ def discover(spark: SparkSession, root: str, max_bytes: int = 1 << 20, excluded:
     reason = F.when(~F.col("category").isin(*categories), "category_excluded").when(F.col("length") > max_bytes, "too_large").when(binary, "binary")
     f = f.withColumn("skip_reason", reason)
     kept = F.col("skip_reason").isNull()
-    return f.select("path", "language", "category", "length", "skip_reason", F.when(kept, F.sha2("content", 256)).alias("sha256"), F.when(kept, F.expr("decode(content, 'UTF-8')")).alias("text"))
+    return f.select("path", "language", "category", "length", "skip_reason", F.when(kept, F.sha2("content", 256)).alias("sha256"), F.when(kept, F.make_valid_utf8(F.col("content").cast("string"))).alias("text"))
 
 
 def with_line_counts(files: DataFrame) -> DataFrame:
