@@ -5,7 +5,6 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-DATA = "/root/testdata"
 
 
 @pytest.fixture(scope="session")

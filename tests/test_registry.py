@@ -1,7 +1,7 @@
 """Every registered query of the audit engine against its SQL, at the smallest scale."""
 
 import pytest
-from conftest import DATA
+from paths import DATA
 
 from lodestone.plans import registry
 
