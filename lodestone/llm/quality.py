@@ -126,7 +126,7 @@ def train(rows: list[np.ndarray], target: np.ndarray, epochs: int = 40, rate: fl
     weights, bias = np.zeros(1 << BITS), 0.0
     squares, square = np.full(1 << BITS, 1e-8), 1e-8
     words = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
-    n = np.array([len(r) for r in rows])
+    n = np.array([len(r) for r in rows], int)
     doc = np.repeat(np.arange(len(rows)), n)
     for _ in range(epochs if len(words) else 0):
         z = np.bincount(doc, weights[words], minlength=len(rows)) / n + bias
