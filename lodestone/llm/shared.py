@@ -46,6 +46,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded(keys: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """Keys to join with: broadcast while there are at most ``most`` of them, else joined by shuffle."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
