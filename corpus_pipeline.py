@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard_join, language_id, piece_codec, source_mixing, substring_dedup
-from lodestone.llm.shared import written
+from lodestone.llm.shared import bounded, cut, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,9 +24,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least doc_id."""
     groups = jaccard_join.near_duplicates(docs)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return docs.join(gone, "doc_id", "left_anti").withColumn("nth", once).filter("nth = 1 or doc_id is null").select(COLUMNS)
+    gone = cut(groups.filter("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(bounded(gone), "doc_id", "left_anti")
+    shared = cut(kept.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if not shared.isEmpty():  # rows that share a doc_id: the first by text stays
+        once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        first = kept.join(bounded(shared), "doc_id", "left_semi").withColumn("nth", once).filter("nth = 1")
+        kept = kept.join(bounded(shared), "doc_id", "left_anti").unionByName(first.drop("nth"))
+    return kept.select(COLUMNS)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
