@@ -74,3 +74,23 @@ def systemic_failure(outcomes: DataFrame, workers: int) -> DataFrame:
     least = max(5, workers)
     bad = (F.col("done") == 0) & (F.col("failed") >= least) & (F.col("x.count") >= least) & (F.col("x.count") >= 0.7 * F.col("failed"))
     return top.join(done).select("failed", F.col("x.kind").alias("kind"), F.coalesce(bad, F.lit(False)).alias("systemic"))
+
+
+def blended_price(roles: DataFrame, judges: list[str], fallback: float = 15.0) -> DataFrame:
+    """Weighted input and output price of the roles (role, p_input, p_output, billing) that do the work.
+
+    Hunting weighs 1, each judge 0.1; without judges validation weighs 0.2. Free models cost nothing; unpriced ones the
+    fallback, which also stands for no priced role at all.
+    """
+    weight = F.when(F.col("role") == "hunt", 1.0).otherwise(0.0)
+    for j in judges:
+        weight = weight + F.when(F.col("role") == j, 0.1).otherwise(0.0)
+    if not judges:
+        weight = weight + F.when(F.col("role") == "validate", 0.2).otherwise(0.0)
+    unpriced = (F.col("p_input") <= 0) & (F.col("p_output") <= 0)
+
+    def price(c: str) -> Column:
+        return F.when(F.col("billing") == "free", 0.0).when(unpriced, fallback).otherwise(F.col(c))
+
+    r = roles.select(weight.alias("w"), price("p_input").alias("i"), price("p_output").alias("o")).filter("w > 0")
+    return r.agg(F.coalesce(F.sum(F.col("w") * F.col("i")) / F.sum("w"), F.lit(fallback)).alias("p_input"), F.coalesce(F.sum(F.col("w") * F.col("o")) / F.sum("w"), F.lit(fallback)).alias("p_output"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -125,3 +126,43 @@ def located(claims: DataFrame, lines: DataFrame, slack: int = 2) -> DataFrame:
 def too_generic(snippet: str) -> Column:
     flat = F.trim(F.regexp_replace(snippet, r"\s+", " "))
     return (F.length(flat) < 12) & flat.rlike(r"^[\p{L}\p{N}_]+$")
+
+
+RESPONSE = """struct<choices array<struct<message struct<content string, tool_calls array<struct<function struct<name string, arguments string>>>>, finish_reason string>>,
+usage struct<prompt_tokens bigint, completion_tokens bigint, prompt_tokens_details struct<cached_tokens bigint>>>"""
+
+
+def normalised(responses: DataFrame, column: str = "json") -> DataFrame:
+    """Text, tool names, stop reason and disjoint token counts of chat-completion responses."""
+    r = responses.withColumn("r", F.from_json(column, RESPONSE))
+    choice = F.get("r.choices", F.lit(0))
+    cached = F.coalesce("r.usage.prompt_tokens_details.cached_tokens", F.lit(0))
+    tools = F.coalesce(F.transform(choice["message"]["tool_calls"], lambda t: t["function"]["name"]), F.array().cast("array<string>"))
+    reason = choice["finish_reason"]
+    stop = F.when(reason == "length", "max_tokens").when(F.size(tools) > 0, "tool_use").otherwise("end_turn")
+    fresh = F.greatest(F.lit(0), F.coalesce("r.usage.prompt_tokens", F.lit(0)) - cached)
+    return r.withColumn("reply", F.coalesce(choice["message"]["content"], F.lit(""))).withColumn("tools", tools).withColumn("stop_reason", stop).withColumn("input_tokens", fresh).withColumn("cache_read_tokens", cached).withColumn("output_tokens", F.coalesce("r.usage.completion_tokens", F.lit(0))).drop("r")
+
+
+def action_of(text: str | None) -> dict | None:
+    """First ``ACTION: name({...})`` of a reply: its tool, arguments and whether they were a whole JSON object."""
+    found = re.search(r"ACTION:\s*([A-Za-z_]\w*)\s*\(\s*", text or "")
+    if not found:
+        return None
+    try:
+        args, _ = json.JSONDecoder().raw_decode(text, found.end())
+    except ValueError:
+        args = None
+    ok = isinstance(args, dict)
+    return {"tool": found[1], "args": json.dumps(args if ok else {}), "parse_ok": ok}
+
+
+def with_actions(replies: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``action`` (tool, args as JSON, parse_ok), null without one."""
+
+    @F.pandas_udf("tool string, args string, parse_ok boolean")
+    def scan(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([action_of(t) or {"tool": None, "args": None, "parse_ok": None} for t in texts], columns=["tool", "args", "parse_ok"])
+
+    out = replies.withColumn("action", scan(text))
+    return out.withColumn("action", F.when(F.col("action.tool").isNotNull(), F.col("action")))

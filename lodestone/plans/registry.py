@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import scoring, text
-from lodestone.operators import chunks, costs, detect, findings, gate, graph, ledger, replies, symbols
+from lodestone.operators import chunks, costs, detect, endpoints, findings, gate, graph, ledger, replies, symbols
 from lodestone.plans.fixtures import ALL_CLASSES, PRICES, derived, sql_of
 from lodestone.sources import files, reports, sinks
 from lodestone.streaming import spend
@@ -477,3 +477,60 @@ def _alone(found: DataFrame, lines: DataFrame) -> DataFrame:
     near = lines.select(F.col("path").alias("p"), F.col("line_no").alias("n"), flat.alias("flat"))
     twice = found.join(near, (F.col("path") == F.col("p")) & F.col("n").between(F.col("lo") - 2, F.col("hi") + 2) & (F.col("n") != F.col("own")) & F.expr("contains(flat, trim(regexp_replace(snippet, '\\\\s+', ' ')))")).select("claim_id").distinct()
     return found.join(twice, "claim_id", "left_anti").select("claim_id", "found_at")
+
+
+# ------------------------------------------------------------- handlers, actions and updates
+
+
+@query(f"""with {SYMBOLS}, h as (select s.path, s.name, s.start_line, code.line_no, regexp_extract(line, '"([^"]+)"', 1) as route from s join code on code.path = s.path and code.line_no between start_line - 4 and start_line + 1 where line like '@app.route%')
+select path, name, start_line, 'POST' as method, arg_min(route, line_no) as route from h group by path, name, start_line""")
+def f13_routes(spark, sf_dir):
+    code, _, ranges = code_symbols(spark, sf_dir)
+    return endpoints.routes(ranges, code)
+
+
+@query(f"with {SYMBOLS} select distinct s.path, s.name, s.start_line, 'id' as param, 'query' as location from s join code on code.path = s.path and code.line_no between start_line and end_line where line like '%request.args.get%'")
+def f14_parameters(spark, sf_dir):
+    code, _, ranges = code_symbols(spark, sf_dir)
+    return endpoints.parameters(ranges, code)
+
+
+@query("select conv_id, turn, role as tool, '{\"turn\": ' || turn || '}' as args, true as parse_ok from conversations where turn % 2 = 0")
+def f27_actions(spark, sf_dir):
+    action = F.concat(F.lit("so "), F.substring("text", 1, 5), F.lit("\nACTION: "), "role", F.lit("( {\"turn\": "), F.col("turn").cast("string"), F.lit("}) ACTION: other({})"))
+    c = given(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, action).alias("text"))
+    return replies.with_actions(c).filter("action is not null").select("conv_id", "turn", "action.*")
+
+
+@query("select event_id, event_type as reply, case when event_id % 3 = 0 then 'max_tokens' when event_id % 2 = 0 then 'tool_use' else 'end_turn' end as stop_reason, greatest(0, user_id * 3 - event_id % 100) as input_tokens, event_id % 100 as cache_read_tokens, event_id % 7 as output_tokens from events")
+def f29_normalised_responses(spark, sf_dir):
+    e = given(spark, sf_dir, "events")
+    tool = F.when(F.col("event_id") % 2 == 0, ',"tool_calls":[{"function":{"name":"read","arguments":"{}"}}]').otherwise("")
+    reason = F.when(F.col("event_id") % 3 == 0, "length").otherwise("stop")
+    body = F.format_string('{"choices":[{"message":{"content":"%s"%s},"finish_reason":"%s"}],"usage":{"prompt_tokens":%d,"completion_tokens":%d,"prompt_tokens_details":{"cached_tokens":%d}}}', "event_type", tool, reason, F.col("user_id") * 3, F.col("event_id") % 7, F.col("event_id") % 100)
+    return replies.normalised(e.select("event_id", body.alias("json"))).select("event_id", "reply", "stop_reason", "input_tokens", "cache_read_tokens", "output_tokens")
+
+
+@query("select count(*) filter (where event_type <> 'view') as failed, (select case event_type when 'click' then 'rate limited' when 'error' then 'timed out' else 'other' end as kind from events where event_type <> 'view' group by kind order by count(*) desc, kind desc limit 1) as kind, false as systemic from events")
+def a15_systemic_failure(spark, sf_dir):
+    e = given(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "click", "rate limited").when(F.col("event_type") == "error", "timed out").otherwise("other")
+    return costs.systemic_failure(e.select(F.when(F.col("event_type") == "view", "ANALYZED").otherwise("FAILED").alias("state"), kind.alias("kind")), 8)
+
+
+@query(f"with {CHUNKS}, o as (select path, chunk_index, attack_class, case when chunk_index % 2 = 0 then 'ANALYZED' else 'SHALLOW' end as state from ch, (select unnest({ALL_CLASSES[:2]}) as attack_class) where path like '%.en'), p as (select path, chunk_index, attack_class from ch, (select unnest({ALL_CLASSES[1:3]}) as attack_class)) select p.path, p.chunk_index, p.attack_class, case when o.state = 'ANALYZED' then 'ANALYZED' else 'PENDING' end as state, case when o.state = 'ANALYZED' then 0.8 else 0.0 end::double as thoroughness from p left join o using (path, chunk_index, attack_class)")
+def u5_reseeded_cells(spark, sf_dir):
+    f = files.with_line_counts(document_files(spark, sf_dir))
+    ch = chunks.fixed_chunks(f, 40, 8)
+    some = f.join(ch.select("path").distinct(), "path", "left_semi")
+    old = chunks.cells(ch.filter("path like '%.en'"), some.filter("path like '%.en'"), ALL_CLASSES[:2]).withColumn("state", F.when(F.col("chunk_index") % 2 == 0, "ANALYZED").otherwise("SHALLOW")).withColumn("thoroughness", F.lit(0.8))
+    planned = chunks.cells(ch, some, ALL_CLASSES[1:3]).drop("start_line", "end_line")
+    return ledger.reseeded(old, planned, True).select("path", "chunk_index", "attack_class", "state", "thoroughness")
+
+
+@query(f"with {FOUND}, g as (select {PRINT} as dedup_key, status, confidence, ord from f), n as (select dedup_key, arg_min(status, ord) as status, arg_min(confidence, ord) as base_confidence from g where ord % 3 <> 0 group by dedup_key), o as (select dedup_key, case when min(ord) % 4 = 0 then 'accepted_risk' else 'new' end as status, max(confidence) as base_confidence from g where ord % 2 = 0 group by dedup_key) select coalesce(o.dedup_key, n.dedup_key) as dedup_key, case when o.status = 'accepted_risk' then o.status else coalesce(n.status, o.status) end as status, coalesce(n.base_confidence, o.base_confidence) as base_confidence from o full join n on n.dedup_key = o.dedup_key")
+def u8_upserted_findings(spark, sf_dir):
+    g = derived(spark, sf_dir, "findings").withColumn("dedup_key", scoring.fingerprint())
+    new = g.filter("ord % 3 <> 0").groupBy("dedup_key").agg(F.min_by("status", "ord").alias("status"), F.min_by("confidence", "ord").alias("base_confidence"))
+    old = g.filter("ord % 2 = 0").groupBy("dedup_key").agg(F.when(F.min("ord") % 4 == 0, "accepted_risk").otherwise("new").alias("status"), F.max("confidence").alias("base_confidence"))
+    return ledger.upserted_findings(old, new)

@@ -203,3 +203,26 @@ def test_streamed_windows_equal_the_batch(spark, tmp_path):
     q.stop()
     cols = ("start", "event_type", "value", "n")
     assert rows(spark.table("spent"), *cols) == rows(spend.spend_by_window(e, width="10 minutes"), *cols)
+
+
+def test_routes_and_parameters(spark):
+    from lodestone.operators import endpoints, symbols
+
+    text_lines = ["@app.route('/a', methods=['GET', 'POST'])", "def one(request):", "    x = request.args.get('q') or request.form['q']", "    return request.data", "", "", "", "", "@RequestMapping(value=\"/b\", method = {RequestMethod.PUT})", "def two(r):", "", "", "", "", "", "def three(r):", "    os.environ.get('/etc')"]
+    code = spark.createDataFrame([("f", "python", i + 1, x) for i, x in enumerate(text_lines)], "path string, language string, line_no int, line string")
+    sizes = code.groupBy("path").agg(F.max("line_no").alias("n_lines"))
+    found = symbols.ranges(symbols.definitions(code), sizes)
+    assert rows(endpoints.routes(found, code), "name", "method", "route") == [("one", "POST", "/a"), ("two", "PUT", "/b")]
+    assert rows(endpoints.parameters(found, code), "name", "param", "location") == [("one", "q", "query")]
+    assert rows(endpoints.raw_bodies(found, code), "name") == [("one",)]
+
+
+def test_actions_and_prices(spark):
+    from lodestone.operators import costs
+
+    assert replies.action_of('ACTION: read({"a": "})"}) x') == {"tool": "read", "args": '{"a": "})"}', "parse_ok": True}
+    assert replies.action_of("ACTION: read({bad})")["parse_ok"] is False and replies.action_of("none") is None
+    roles = spark.createDataFrame([("hunt", 10.0, 30.0, "metered"), ("j1", 0.0, 0.0, "metered"), ("j2", 5.0, 5.0, "free")], "role string, p_input double, p_output double, billing string")
+    got = costs.blended_price(roles, ["j1", "j2"]).first()
+    assert round(got.p_input, 6) == round((10 + 1.5) / 1.2, 6) and round(got.p_output, 6) == round((30 + 1.5) / 1.2, 6)
+    assert costs.blended_price(roles.limit(0), []).first().p_input == 15.0
