@@ -71,7 +71,8 @@ def discover(spark: SparkSession, root: str, max_bytes: int = 1 << 20, excluded:
     """Files under ``root`` with the first reason to skip them, and text, digest and size of those that stay.
 
     Too large files are told by their listed length, so their content is not needed. Text is UTF-8 with replacement; a NUL
-    byte in the first 8192 marks a binary. Reads through Spark, so any file system works.
+    byte in the first 8192 marks a binary. Reads through Spark, so any file system works; Spark itself does not list files
+    whose names start with a dot or an underscore.
     """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     home = F.regexp_replace(F.lit(root), r"^[a-z]+:/*(?=/)|/+$", "")

@@ -167,11 +167,11 @@ def test_short_ids_and_exit_codes(spark):
 
 
 def test_discovery_of_a_folder(spark, tmp_path):
-    for name, body in {"a.py": b"import os\n", "sub/Dockerfile.dev": b"FROM x", "node_modules/x.js": b"1", "b.bin": b"a\0b", ".env": b"K=1", "big.yml": b"x" * 200, "bad.py": b"\xff\xfe"}.items():
+    for name, body in {"a.py": b"import os\n", "sub/Dockerfile.dev": b"FROM x", "node_modules/x.js": b"1", "b.bin": b"a\0b", "prod.env": b"K=1", ".hidden.py": b"1", "big.yml": b"x" * 200, "bad.py": b"\xff\xfe"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
         (tmp_path / name).write_bytes(body)
     got = {r.path: (r.language, r.skip_reason) for r in files.discover(spark, str(tmp_path), max_bytes=100).collect()}
-    assert got == {"a.py": ("python", None), "sub/Dockerfile.dev": ("dockerfile", None), "b.bin": ("unknown", "binary"), ".env": ("dotenv", None), "big.yml": ("yaml", "too_large"), "bad.py": ("python", None)}
+    assert got == {"a.py": ("python", None), "sub/Dockerfile.dev": ("dockerfile", None), "b.bin": ("unknown", "binary"), "prod.env": ("dotenv", None), "big.yml": ("yaml", "too_large"), "bad.py": ("python", None)}
 
 
 def test_report_round_trip(spark, tmp_path):
