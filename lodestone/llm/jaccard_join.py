@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected
-from lodestone.llm.shared import U, Words, blob, bucketed, cut, deal, mix, text_bytes
+from lodestone.llm.shared import U, Words, blob, bucketed, cut, deal, mix, release, text_bytes
 
 SENT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("list", pa.binary())])
 SENT_DDL = "part int, bucket int, list binary"
@@ -63,6 +63,7 @@ class _Listed:
     """A bucket's distinct n-grams, dealt to hash partitions as 29 bits of hash and 3 of count."""
 
     def __init__(self, table: pa.Table, k: int, parts: int):
+        release()
         self.sets = gram_sets(table["text"], k)
         every = np.concatenate([*self.sets, np.zeros(0, U)])
         self.values, self.inverse, n = np.unique(every, return_inverse=True, return_counts=True)
@@ -197,7 +198,7 @@ def _link_block(table, percent: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(list(roots), pa.int64()), pa.array(list(roots.values()), pa.int64())], schema=LABELS)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bucket_bytes: int = 8 << 20, buckets_per_part: int = 8, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bucket_bytes: int = 4 << 20, buckets_per_part: int = 16, block: int = 512) -> DataFrame:
     """Components of documents whose sets of word n-grams have a Jaccard similarity of ``percent`` or more.
 
     A-Z are lower-cased; words are maximal runs without ASCII white space. A text with fewer than

@@ -63,6 +63,12 @@ def slices(batches, rows: int = 512):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    release()
+
+
+def release() -> None:
+    """Give freed Arrow memory back: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
 
 
 # ---------------------------------------------------------------- words in Arrow batches

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import MUL2, U, Words, blob, bucketed, deal, doc_ids, text_bytes
+from lodestone.llm.shared import MUL2, U, Words, blob, bucketed, deal, doc_ids, release, text_bytes
 
 SENT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("d", pa.binary()), ("ids", pa.binary())])
 SENT_DDL = "part int, bucket int, a binary, b binary, d binary, ids binary"
@@ -53,6 +53,7 @@ class _Parse:
     """One bucket's documents in the order of doc_id, their windows and blocks."""
 
     def __init__(self, docs: pa.Table, window: int, block: int, parts: int):
+        release()
         order = pc.sort_indices(docs, [("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
         self.docs = docs.take(order)
         self.ids = doc_ids(self.docs["doc_id"])
