@@ -94,3 +94,16 @@ def blended_price(roles: DataFrame, judges: list[str], fallback: float = 15.0) -
 
     r = roles.select(weight.alias("w"), price("p_input").alias("i"), price("p_output").alias("o")).filter("w > 0")
     return r.agg(F.coalesce(F.sum(F.col("w") * F.col("i")) / F.sum("w"), F.lit(fallback)).alias("p_input"), F.coalesce(F.sum(F.col("w") * F.col("o")) / F.sum("w"), F.lit(fallback)).alias("p_output"))
+
+
+def shared_judges(judges: DataFrame) -> DataFrame:
+    """Judges (ord, role, model_id) that share a model with an earlier one: (model_id, first_role, role)."""
+    w = Window.partitionBy("model_id").orderBy("ord")
+    j = judges.withColumn("first_role", F.first("role").over(w)).withColumn("nth", F.row_number().over(w))
+    return j.filter("nth > 1").select("model_id", "first_role", "role")
+
+
+def unpriced_models(roles: DataFrame) -> DataFrame:
+    """Metered models (role, model_id, p_input, p_output, billing) in use without a price, and the roles that use them."""
+    r = roles.filter("billing <> 'free' and coalesce(p_input, 0) <= 0 and coalesce(p_output, 0) <= 0")
+    return r.groupBy("model_id").agg(F.array_sort(F.collect_set("role")).alias("roles"))

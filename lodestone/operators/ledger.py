@@ -118,3 +118,16 @@ def convergence(passes: DataFrame, quiet: int) -> DataFrame:
     p = passes.withColumn("island", F.sum(F.when(F.col("confirmed") > 0, 1).otherwise(0)).over(order))
     p = p.withColumn("run", F.sum(F.when(F.col("confirmed") == 0, 1).otherwise(0)).over(Window.partitionBy("island").orderBy("pass_no")))
     return p.filter((F.col("coverage") >= 1) & (F.col("run") >= quiet)).agg(F.min("pass_no").alias("stop_at"))
+
+
+def first_rows(findings: DataFrame) -> DataFrame:
+    """The row with the least id of each dedup_key."""
+    nth = F.row_number().over(Window.partitionBy("dedup_key").orderBy("id"))
+    return findings.withColumn("nth", nth).filter("nth = 1").drop("nth")
+
+
+def reloaded(stored: DataFrame, files: DataFrame, present: DataFrame) -> DataFrame:
+    """Stored findings (file_id) with their path, for keys that are not present yet; only nulls get defaults."""
+    f = stored.join(present.select("dedup_key"), "dedup_key", "left_anti")
+    f = f.join(files.select(F.col("id").alias("file_id"), F.col("path").alias("file_rel")), "file_id", "left")
+    return f.withColumn("file_rel", F.coalesce("file_rel", F.lit(""))).withColumn("confidence", F.coalesce("confidence", F.lit(0.5))).withColumn("votes", F.coalesce("votes", F.lit(1)))

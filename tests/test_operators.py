@@ -226,3 +226,16 @@ def test_actions_and_prices(spark):
     got = costs.blended_price(roles, ["j1", "j2"]).first()
     assert round(got.p_input, 6) == round((10 + 1.5) / 1.2, 6) and round(got.p_output, 6) == round((30 + 1.5) / 1.2, 6)
     assert costs.blended_price(roles.limit(0), []).first().p_input == 15.0
+
+
+def test_model_audits_and_stored_findings(spark):
+    from lodestone.operators import costs
+
+    judges = spark.createDataFrame([(0, "a", "m"), (1, "b", "n"), (2, "c", "m")], "ord int, role string, model_id string")
+    assert rows(costs.shared_judges(judges), "model_id", "first_role", "role") == [("m", "a", "c")]
+    roles = spark.createDataFrame([("hunt", "m", 0.0, None, "metered"), ("j", "m", 0.0, 0.0, "metered"), ("k", "x", 0.0, 0.0, "free"), ("l", "y", 1.0, 0.0, "metered")], "role string, model_id string, p_input double, p_output double, billing string")
+    assert rows(costs.unpriced_models(roles), "model_id", "roles") == [("m", ["hunt", "j"])]
+    stored = spark.createDataFrame([(1, "k", 7, 0.0, None), (2, "k", 7, None, 3), (3, "q", None, None, 0)], "id long, dedup_key string, file_id long, confidence double, votes int")
+    assert rows(ledger.first_rows(stored), "id") == [(1,), (3,)]
+    got = ledger.reloaded(stored, spark.createDataFrame([(7, "a.py")], "id long, path string"), stored.filter("dedup_key = 'none'"))
+    assert rows(got, "id", "file_rel", "confidence", "votes") == [(1, "a.py", 0.0, 1), (2, "a.py", 0.5, 3), (3, "", 0.5, 0)]
