@@ -33,7 +33,9 @@ from sentencepiece import sentencepiece_model_pb2
 from lodestone.llm.shared import slices
 
 MARK = "▁"
-CACHE = 1 << 19
+#: Segments and pairs in one generation of the caches, and the longest segment that is remembered.
+CACHE = 1 << 17
+PAIRS = 1 << 18
 SEGMENT = 64
 NORMAL, USER, UNUSED = 1, 4, 5
 
@@ -57,6 +59,7 @@ class Codec:
         self.automaton = ahocorasick.Automaton()
         self.pieces = [p.piece for p in model.pieces]
         self.size = [len(p) for p in self.pieces]
+        self.own = list(range(len(self.pieces)))
         self.decimal = [str(i) for i in range(len(self.pieces))]
         for piece, i in self.ids.items():
             if self._merged(piece) == [piece]:
@@ -64,8 +67,11 @@ class Codec:
         self.automaton.make_automaton()
         spans = any(MARK in piece.lstrip(MARK) for piece in self.ids)
         self.segments = re.compile("(?s).+" if spans else f"(?s){MARK}*[^{MARK}]+|{MARK}+$").findall
+        # two generations each: a full one becomes the older, so what is frequent stays known
         self.known: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.known_before: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.pairs_before: dict[int, bool] = {}
         self.cached = cached
 
     def _merged(self, text: str) -> list[str]:
@@ -93,24 +99,27 @@ class Codec:
             offer(left, following[left])
         return [p for p in parts if p]
 
-    def _fits(self, pair: tuple[int, int]) -> bool:
-        left, right = self.pieces[pair[0]], self.pieces[pair[1]]
-        if len(self.pairs) >= 4 * self.cached:
-            self.pairs.clear()
-        known = self.pairs[pair] = self._merged(left + right) == [left, right]
-        return known
+    def _fits(self, pair: int) -> bool:
+        fits = self.pairs_before.get(pair)
+        if fits is None:
+            left, right = self.pieces[pair >> 32], self.pieces[pair & 0xFFFFFFFF]
+            fits = self._merged(left + right) == [left, right]
+        if len(self.pairs) >= PAIRS:
+            self.pairs, self.pairs_before = {}, self.pairs
+        self.pairs[pair] = fits
+        return fits
 
     def _table(self, segment: str) -> tuple[int, ...]:
         """Ids of one segment from its prefix table; -1: a character without a piece, which joins with nothing."""
         n = len(segment)
-        last, size, known = [-1] * (n + 1), self.size, self.pairs.get
+        last, size = [-1] * (n + 1), self.size
         for end, piece in self.automaton.iter(segment):
             if last[end + 1] < 0:
                 at = end + 1 - size[piece]
                 if at == 0:
                     last[end + 1] = piece
                 elif (before := last[at]) >= 0:
-                    fits = known(pair := (before, piece))
+                    fits = self.pairs.get(pair := before << 32 | piece)
                     if fits or fits is None and self._fits(pair):
                         last[end + 1] = piece
                 elif segment[at - 1] not in self.ids:
@@ -122,25 +131,29 @@ class Codec:
                 ids += [self.byte[b] for b in reversed(segment[n - 1].encode())]
                 n -= 1
             else:
-                ids.append(piece)
+                ids.append(self.own[piece])
                 n -= size[piece]
         ids.reverse()
         return tuple(ids)
 
     def _segment(self, segment: str) -> tuple[int, ...]:
-        ids = self._table(segment)
+        ids = self.known_before.get(segment) or self._table(segment)
         if len(segment) <= SEGMENT:
             if len(self.known) >= self.cached:
-                self.known.clear()
+                self.known, self.known_before = {}, self.known
             self.known[segment] = ids
         return ids
 
+    def forget(self) -> None:
+        """Drop the remembered segments: Python workers live on after a task, and their memory with them."""
+        self.known, self.known_before = {}, {}
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text. Null: empty."""
         if not text:
             return []
-        known, fresh = self.known.get, self._segment
-        return list(chain.from_iterable([known(s) or fresh(s) for s in self.segments(self.dummy + text.replace(" ", MARK))]))
+        fresh = self._segment
+        return list(chain.from_iterable([self.known.get(s) or fresh(s) for s in self.segments(self.dummy + text.replace(" ", MARK))]))
 
     def listed(self, ids: list[int]) -> str:
         """The ids as decimals joined by commas."""
@@ -170,6 +183,7 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text") -> DataFr
             ids = [c.encode(x) for x in texts]
             same = [c.decode(i) == (x or "") for i, x in zip(ids, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], [*batch.schema.names, "piece_ids", "decodes"])
+        c.forget()
 
     return kept.mapInArrow(run, type(docs.schema)(list(kept.schema.fields)).add("piece_ids", T.ArrayType(T.IntegerType())).add("decodes", "boolean"))
 
@@ -204,5 +218,6 @@ def digest(docs: DataFrame, model_path: str) -> DataFrame:
                 ids = c.encode(text.as_py())
                 rows.append((doc_id, len(ids), hashlib.sha256(c.listed(ids).encode()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), DIGEST.types, strict=True)] if rows else [pa.array([], t) for t in DIGEST.types], schema=DIGEST)
+        c.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGEST_DDL)
