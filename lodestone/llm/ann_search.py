@@ -130,11 +130,11 @@ def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int | None = None, visit: float = 0.75, sample: int = 8192, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int | None = None, visit: float = 0.8, sample: int = 8192, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The nearest k found for each query row, by largest inner product in double precision.
 
     ``sample`` bounds the rows that the partition is fitted on (the least hashes of vec_id). ``parts`` defaults
-    to a power of two near a quarter of the root of the number of vectors, at most 256; ``visit`` is the
+    to a power of two near a quarter of the root of the number of vectors, from 16 to 256; ``visit`` is the
     share of parts that a query visits (at least 2). While the visited parts hold fewer than k candidates, a
     query visits all of them.
 
@@ -153,7 +153,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int | Non
     base = base.filter(F.col("dim") == dim)
     asked = usable(queries, nonzero=True).filter(F.col("dim") == dim)
     if parts is None:
-        parts = min(256, 1 << max(1, round(math.log2(math.sqrt(n) / 4))))
+        parts = min(256, max(16, 1 << round(math.log2(math.sqrt(n) / 4 + 1))))
     chosen = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "v").toPandas()
     router = fit(np.stack(chosen["v"].to_numpy()), parts)
     probes = min(parts, max(2, math.ceil(visit * parts)))
