@@ -198,7 +198,7 @@ def _link_block(table, percent: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(list(roots), pa.int64()), pa.array(list(roots.values()), pa.int64())], schema=LABELS)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bucket_bytes: int = 4 << 20, buckets_per_part: int = 16, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bucket_bytes: int = 4 << 20, buckets_per_part: int = 4, block: int = 512) -> DataFrame:
     """Components of documents whose sets of word n-grams have a Jaccard similarity of ``percent`` or more.
 
     A-Z are lower-cased; words are maximal runs without ASCII white space. A text with fewer than

@@ -139,7 +139,7 @@ def _which_first(table):
     return _reply(table, 2, flags, sizes)
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, block: int = 8, carry: tuple[str, ...] = (), verbatim: bool = False, bucket_bytes: int = 8 << 20, buckets_per_part: int = 8) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, block: int = 8, carry: tuple[str, ...] = (), verbatim: bool = False, bucket_bytes: int = 8 << 20, buckets_per_part: int = 4) -> DataFrame:
     """Remove words that an earlier passage of ``window`` words covers.
 
     Words are maximal runs without ASCII white space, taken unchanged. A window is removed if the
