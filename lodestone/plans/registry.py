@@ -534,3 +534,49 @@ def u8_upserted_findings(spark, sf_dir):
     new = g.filter("ord % 3 <> 0").groupBy("dedup_key").agg(F.min_by("status", "ord").alias("status"), F.min_by("confidence", "ord").alias("base_confidence"))
     old = g.filter("ord % 2 = 0").groupBy("dedup_key").agg(F.when(F.min("ord") % 4 == 0, "accepted_risk").otherwise("new").alias("status"), F.max("confidence").alias("base_confidence"))
     return ledger.upserted_findings(old, new)
+
+
+# ------------------------------------- the same operators with their own parameters over all rows
+
+
+@query(ORACLES["p7_injection_hits"].replace("nth <= 3", "nth <= 20"))
+def p7_whole_injection_hits(spark, sf_dir):
+    return detect.injection_hits(derived(spark, sf_dir, "code"))
+
+
+@query(ORACLES["f39_slugs"].replace("text[1:90]", "text"))
+def f39_whole_slugs(spark, sf_dir):
+    return given(spark, sf_dir, "documents").select("doc_id", text.slug("text", F.lit("")).alias("slug"))
+
+
+@query(ORACLES["g4_reachability"].replace("d < 4", "d < 25"))
+def g4_whole_reachability(spark, sf_dir):
+    edges = derived(spark, sf_dir, "edges").filter("callee <> caller").distinct()
+    names = edges.select(F.col("callee").alias("name")).union(edges.select("caller")).distinct()
+    return graph.verdicts(names, edges, names.filter("name in ('n1', 'n2')"))
+
+
+@query(ORACLES["j4_visited_functions"].replace(" where l_quantity < 10", ""))
+def j4_whole_visited_functions(spark, sf_dir):
+    price = F.floor("l_extendedprice").cast("int") % 500
+    reads = given(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 300).alias("file_id"), price.alias("start_line"), (price + F.col("l_linenumber") - 2).alias("end_line"))
+    fn = given(spark, sf_dir, "orders").select((F.col("o_orderkey") % 300).alias("file_id"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("name"), (F.col("o_custkey") % 500).cast("int").alias("start_line"), (F.col("o_custkey") % 500 + 6).cast("int").alias("end_line"))
+    return ledger.visited(fn, reads)
+
+
+@query(f"with {LINES}, q as (select *, trim(regexp_replace(line, '\\s+', ' ', 'g')) as flat from l) select a.path || ':' || a.line_no as claim_id, min(b.line_no) as found_at from q a join q b on a.path = b.path and b.line_no between a.line_no - 1 and a.line_no + 3 and contains(b.flat, a.flat) where a.flat <> '' group by a.path, a.line_no")
+def f7_whole_located_snippets(spark, sf_dir):
+    l = document_lines(spark, sf_dir)
+    near = (F.col("line_no") + 1).alias("lo"), (F.col("line_no") + 1).alias("hi")
+    claims = l.filter(F.trim(F.regexp_replace("line", r"\s+", " ")) != "").select(F.concat_ws(":", "path", F.col("line_no").cast("string")).alias("claim_id"), "path", *near, F.col("line").alias("snippet"))
+    return replies.located(claims, l).select("claim_id", "found_at")
+
+
+@query(ORACLES["u5_reseeded_cells"].replace(str(ALL_CLASSES[:2]), str(ALL_CLASSES)).replace(str(ALL_CLASSES[1:3]), str(ALL_CLASSES)))
+def u5_whole_reseeded_cells(spark, sf_dir):
+    f = files.with_line_counts(document_files(spark, sf_dir))
+    ch = chunks.fixed_chunks(f, 40, 8)
+    some = f.join(ch.select("path").distinct(), "path", "left_semi")
+    old = chunks.cells(ch.filter("path like '%.en'"), some.filter("path like '%.en'"), ALL_CLASSES).withColumn("state", F.when(F.col("chunk_index") % 2 == 0, "ANALYZED").otherwise("SHALLOW")).withColumn("thoroughness", F.lit(0.8))
+    planned = chunks.cells(ch, some, ALL_CLASSES).drop("start_line", "end_line")
+    return ledger.reseeded(old, planned, True).select("path", "chunk_index", "attack_class", "state", "thoroughness")
