@@ -153,3 +153,29 @@ def masked(lines: DataFrame, threshold: float = 4.0) -> DataFrame:
     out = out.withColumn("t", F.when(F.col("masked").rlike(TOKEN), tokens))
     replaced = F.aggregate("t", F.col("masked"), lambda line, t: F.replace(line, t, placeholder("highentropy", t)))
     return out.withColumn("n_masked", F.col("n_masked") + F.coalesce(F.size("t"), F.lit(0))).withColumn("masked", F.coalesce(replaced, "masked")).drop("t")
+
+
+def sanitised(texts: DataFrame, mode: str = "redact", suffixes: tuple[str, ...] = (".env", ".pem", ".key")) -> DataFrame:
+    """Texts (path, text; one row a path) as they may leave: path, text, n_masked, blocked.
+
+    off: unchanged. Else files of a sensitive suffix are withheld, and lines are masked; block: a text with any secret is withheld.
+    """
+    if mode not in ("off", "redact", "block"):
+        raise ValueError(f"unknown mode {mode}")
+    if mode == "off":
+        return texts.select("path", "text", F.lit(0).cast("long").alias("n_masked"), F.lit(False).alias("blocked"))
+    withheld = F.lit(False)
+    for suffix in suffixes:
+        withheld = withheld | F.lower("path").endswith(suffix)
+    shut = F.lit(mode == "block")
+    notice = F.concat(F.lit("[QUARANTINED — '"), "path", F.lit("' is a sensitive data file; contents withheld. A 'hardcoded secret/data file' finding is recorded locally.]"))
+    out = texts.filter(withheld).select("path", notice.alias("text"), F.lit(0).cast("long").alias("n_masked"), shut.alias("blocked"))
+    parts = F.split(F.coalesce("text", F.lit("")), "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]", -1)
+    lines = masked(texts.filter(~withheld).select("path", F.posexplode(parts).alias("line_no", "line")))
+    whole = lines.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line_no", "masked"))).alias("l"), F.sum("n_masked").cast("long").alias("n_masked"))
+    each = F.col("l.masked")
+    # what follows the last line break is no line if it is empty
+    each = F.when(F.element_at(each, -1) == "", F.slice(each, 1, F.size(each) - 1)).otherwise(each)
+    stop = shut & (F.col("n_masked") > 0)
+    blocked = F.concat(F.lit("[BLOCKED — content in '"), "path", F.lit("' tripped "), F.col("n_masked").cast("string"), F.lit(" sensitive-data detector(s); not transmitted.]"))
+    return out.unionByName(whole.select("path", F.when(stop, blocked).otherwise(F.array_join(each, "\n")).alias("text"), "n_masked", stop.alias("blocked")))

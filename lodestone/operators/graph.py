@@ -38,6 +38,26 @@ def verdicts(targets: DataFrame, edges: DataFrame, entries: DataFrame, depth: in
     return out.withColumn("verdict", verdict).drop("hit", "called")
 
 
+def gated(findings: DataFrame, edges: DataFrame, entries: DataFrame, handling: str = "informational", depth: int = 25) -> DataFrame:
+    """Findings (name, reachable, ...) after the reachability gate, with ``demoted`` and the ``note`` for its evidence.
+
+    informational: unreachable ones are demoted; hide: they are dropped; report: nothing is gated. An unclear verdict keeps
+    the prior ``reachable``.
+    """
+    if handling not in ("informational", "hide", "report"):
+        raise ValueError(f"unknown handling {handling}")
+    none = F.lit(None).cast("string")
+    if handling == "report":
+        return findings.withColumn("demoted", F.lit(False)).withColumn("note", none)
+    judged = verdicts(findings, edges, entries, depth)
+    gone = F.col("verdict") == "unreachable"
+    if handling == "hide":
+        judged = judged.filter(~gone)
+    note = F.when(gone, "reachability: no caller path to an external entry point (deterministic call-graph walk) — demoted to informational, not sent to judges.")
+    judged = judged.withColumn("reachable", F.when(F.col("verdict") != "unclear", F.col("verdict")).otherwise(F.col("reachable")))
+    return judged.withColumn("demoted", gone).withColumn("note", note).select(*findings.columns, "demoted", "note")
+
+
 def nearest_routes(targets: DataFrame, edges: DataFrame, routes: DataFrame, depth: int = 15, most_callers: int = 200) -> DataFrame:
     """Route of the nearest function up the callers that has one: (name, route, depth).
 

@@ -36,6 +36,19 @@ def reseeded(old: DataFrame, planned: DataFrame, resume: bool) -> DataFrame:
     return planned.join(state, key, "left").withColumn("state", F.when(keep, "ANALYZED").otherwise("PENDING")).withColumn("thoroughness", F.when(keep, F.col("old_t")).otherwise(0.0)).withColumn("attempts", F.lit(0)).drop("old_state", "old_t")
 
 
+def replaced_functions(old: DataFrame, indexed: DataFrame, new: DataFrame, resume: bool) -> DataFrame:
+    """Functions (path, name, start_line, end_line, visited) after the files ``indexed`` (path) were indexed anew.
+
+    Their functions are those of ``new``; on resume one of the same name and start line keeps ``visited``. Other files' stay.
+    """
+    again = indexed.select("path").distinct()
+    key = ["path", "name", "start_line"]
+    prior = old.groupBy(key).agg(F.max("visited").alias("prior"))
+    visited = F.coalesce("prior", F.lit(False)) if resume else F.lit(False)
+    fresh = new.join(again, "path", "left_semi").join(prior, key, "left").select(*key, "end_line", visited.alias("visited"))
+    return old.join(again, "path", "left_anti").select(*key, "end_line", "visited").unionByName(fresh)
+
+
 def boosted(cells: DataFrame, prefixes: DataFrame, delta: float) -> DataFrame:
     """Weight plus ``delta`` for every prefix of the path. prefixes: a short table of focus areas (checked)."""
     n = prefixes.count()

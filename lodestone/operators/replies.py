@@ -104,11 +104,43 @@ def with_json(replies: DataFrame, text: str = "text") -> DataFrame:
     return replies.withColumn("json", scan(text))
 
 
+ENVELOPES = ["findings", "vulnerabilities", "vulns", "issues", "results", "items", "data"]
+FINDING_KEYS = ["cited_snippet", "title", "description", "line_start", "severity"]
+
+
+def unwrapped(text: str | None) -> dict:
+    """The objects of a reply's JSON as texts, and shape_ok: could all of it be read?"""
+    try:
+        parsed = json.loads(text or "")
+    except ValueError:
+        return {"listed": [], "shape_ok": False}
+    listed, ok = [], True
+    if isinstance(parsed, list):
+        listed = parsed[0] if len(parsed) == 1 and isinstance(parsed[0], list) else parsed
+    elif isinstance(parsed, dict) and any(k in parsed for k in FINDING_KEYS):
+        listed = [parsed]
+    elif isinstance(parsed, dict):
+        named = [parsed[k] for k in ENVELOPES if isinstance(parsed.get(k), list)]
+        lists = [v for v in parsed.values() if isinstance(v, list)]
+        listed = named[0] if named else lists[0] if len(lists) == 1 else []
+        ok = bool(named) or len(lists) == 1 or not parsed
+    else:
+        ok = False
+    return {"listed": [json.dumps(x, ensure_ascii=False) for x in listed if isinstance(x, dict)], "shape_ok": ok and all(isinstance(x, dict) for x in listed)}
+
+
 def items(replies: DataFrame, schema: str) -> DataFrame:
-    """One row for each item of a list, or of the one list in an envelope object."""
-    envelope = F.from_json("json", "struct<findings array<string>, issues array<string>, results array<string>, items array<string>>")
-    listed = F.when(F.col("json").startswith("["), F.from_json("json", "array<string>")).otherwise(F.coalesce(*[envelope[k] for k in ("findings", "issues", "results", "items")]))
-    return replies.select("*", F.posexplode(listed).alias("pos", "item")).withColumn("item", F.from_json("item", schema))
+    """One row for each object of a list, an envelope object, or a bare finding; adds pos, item and shape_ok.
+
+    A reply without any keeps one row with null pos and item. shape_ok is false where some of a reply could not be read.
+    """
+
+    @F.pandas_udf("listed array<string>, shape_ok boolean")
+    def unwrap(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([unwrapped(t) for t in texts], columns=["listed", "shape_ok"])
+
+    out = replies.withColumn("unwrapped", unwrap("json"))
+    return out.select(*replies.columns, F.col("unwrapped.shape_ok").alias("shape_ok"), F.posexplode_outer("unwrapped.listed").alias("pos", "item")).withColumn("item", F.from_json("item", schema))
 
 
 def located(claims: DataFrame, lines: DataFrame, slack: int = 2) -> DataFrame:

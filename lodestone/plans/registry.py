@@ -580,3 +580,33 @@ def u5_whole_reseeded_cells(spark, sf_dir):
     old = chunks.cells(ch.filter("path like '%.en'"), some.filter("path like '%.en'"), ALL_CLASSES).withColumn("state", F.when(F.col("chunk_index") % 2 == 0, "ANALYZED").otherwise("SHALLOW")).withColumn("thoroughness", F.lit(0.8))
     planned = chunks.cells(ch, some, ALL_CLASSES).drop("start_line", "end_line")
     return ledger.reseeded(old, planned, True).select("path", "chunk_index", "attack_class", "state", "thoroughness")
+
+
+# --------------------------------- queries without SQL: held against small fixtures by the tests
+
+
+@query()
+def f4_sanitised_files(spark, sf_dir):
+    lines = derived(spark, sf_dir, "code").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    return detect.sanitised(lines.select("path", F.array_join("l.line", "\n").alias("text")), "redact")
+
+
+@query()
+def f28_items(spark, sf_dir):
+    e = given(spark, sf_dir, "events").withColumn("json", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{\"vulns\": ["), "props", F.lit("]}"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("[["), "props", F.lit("]]"))).otherwise("7"))
+    return replies.items(e.select("event_id", "json"), "struct<title string>").select("event_id", "pos", "item", "shape_ok")
+
+
+@query()
+def g5_gated_findings(spark, sf_dir):
+    edges = derived(spark, sf_dir, "edges").filter("callee <> caller").distinct()
+    f = derived(spark, sf_dir, "findings").select("ord", "reachable", F.expr("case when symbol = '' then null else 'n' || ord % 700 end").alias("name"))
+    return graph.gated(f, edges, edges.select(F.col("caller").alias("name")).filter("name in ('n1', 'n2')"))
+
+
+@query()
+def u6_replaced_functions(spark, sf_dir):
+    _, _, ranges = code_symbols(spark, sf_dir)
+    new = ranges.select("path", "name", "start_line", "end_line")
+    old = new.filter("start_line % 3 <> 0").withColumn("visited", F.col("start_line") % 2 == 0)
+    return ledger.replaced_functions(old, new.filter("start_line % 5 = 0").select("path"), new, True)
