@@ -10,8 +10,7 @@
 4. Groups are cut into blocks of bounded size. Each block is a prefix tree of ordered sets; a
    probe walks it, adding up the overlap of shared paths, and leaves a subtree when the overlap
    plus what remains of either set cannot reach the threshold, or when all of it is linked to the
-   probe already. Blocks of one group then meet pairwise only while they hold different
-   components.
+   probe already. Blocks of one group then meet in all pairs.
 """
 
 from __future__ import annotations
@@ -263,7 +262,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bucket_b
     labels = members.groupBy("grp", "block").applyInArrow(link, ddl).withColumnsRenamed({"label": "node", "root": "label"})
     if not heads.filter("n_blocks > 1").isEmpty():
         labels = cut(labels)
-        # blocks of one group meet only if they hold different components
+        # labels are the least node of a block, so blocks of one group meet in all pairs
         big = members.filter("n_blocks > 1").drop("label").join(labels, "node")
         mixed = big.groupBy("grp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         usual = mixed.groupBy("grp").agg(F.mode(F.when(F.col("lo") == F.col("hi"), F.col("lo"))).alias("usual"))
