@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of all documents.
+"""Substring dedup by a filter of content-defined blocks and exact window fingerprints, in place of a relative Lempel-Ziv parse.
 
 Every document is a reference. Its indexed blocks are content-defined: the block of a window of
 ``window`` words is the run of ``block`` words in it with the least hash, so equal windows
@@ -6,10 +6,10 @@ have equal blocks, and about one word in seven starts a block.
 
 1. ``_index`` lists the blocks of every bucket of documents; reducers by block hash tell
    which blocks occur more than once. Only bits go back, one for each listed block.
-2. ``_factors`` parses each document greedily: a factor goes on while its windows' blocks are
-   in the index elsewhere. Within a factor, and up to its boundaries, each window's 96-bit
-   fingerprint goes to a reducer that tells whether it is the first place with these words.
-3. ``_cut`` covers the words of all windows that have an earlier place.
+2. ``factors`` keeps the windows whose block occurs elsewhere. No factors are formed and no
+   boundaries checked: every window kept is decided by its own 96-bit fingerprint, which goes to
+   a reducer that tells whether it is the first place with these words.
+3. ``cover`` covers the words of all windows that have an earlier place.
 
 The lists that travel are packed hashes in one row for each pair of bucket and hash partition,
 so no group grows with a common passage: a bucket sends each hash once.
