@@ -8,27 +8,34 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import cut
 
 
+def _least(pairs: DataFrame) -> DataFrame:
+    """Pairs (c, x) with ``m``, the least of c and all its x.
+
+    The pairs of one c are dealt by x over as many slots as there are shuffle partitions, both for the minimum and for
+    the join that brings it back, so a node with very many links is spread whatever their number.
+    """
+    slots = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.withColumn("slot", F.pmod(F.xxhash64("x"), F.lit(slots)).cast("int"))
+    by_slot = pairs.groupBy("c", "slot").agg(F.min("x").alias("m"))
+    least = by_slot.groupBy("c").agg(F.least("c", F.min("m")).alias("m"))
+    return pairs.join(by_slot.select("c", "slot").join(least, "c"), ["c", "slot"]).drop("slot")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link every neighbour of u that is larger (large star) or smaller (small star) to u's least one."""
-    both = edges.select(F.col("u").alias("c"), F.col("v").alias("x"))
-    if large:
-        both = both.unionByName(edges.select(F.col("v").alias("c"), F.col("u").alias("x")))
-    else:
-        both = edges.select(F.greatest("u", "v").alias("c"), F.least("u", "v").alias("x"))
-    least = both.groupBy("c").agg(F.min("x").alias("m")).withColumn("m", F.least("c", "m"))
-    linked = both.join(least, "c")
     if large:
-        linked = linked.filter("x > c").select(F.col("m").alias("u"), F.col("x").alias("v"))
+        both = edges.select(F.col("u").alias("c"), F.col("v").alias("x")).unionByName(edges.select(F.col("v").alias("c"), F.col("u").alias("x")))
+        linked = _least(both).filter("x > c").select(F.col("m").alias("u"), F.col("x").alias("v"))
     else:
-        linked = linked.select(F.col("m").alias("u"), F.col("x").alias("v")).unionByName(least.select(F.col("m").alias("u"), F.col("c").alias("v")))
+        linked = _least(edges.select(F.greatest("u", "v").alias("c"), F.least("u", "v").alias("x")))
+        linked = linked.select(F.col("m").alias("u"), F.explode(F.array("x", "c")).alias("v"))
     return linked.filter("u <> v").distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (u, v); component: the least node reached.
 
-    Both joins match a table with one row for each node, so a node with very many links is only a
-    skewed side that adaptive execution splits. Ends when every edge leads to the centre of a star.
+    Ends when every edge leads to the centre of a star.
     """
     edges = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct())
     while not _are_stars(edges):

@@ -6,11 +6,13 @@
 2. A set can only reach the threshold if that share of it occurs elsewhere. Other documents are
    done: they link with nothing. Equal sets become one class.
 3. The first ``n - ceil(threshold * n) + 1`` n-grams of two linked sets, in the global order, share
-   one. Classes that share one there form groups (connected components).
-4. Groups are cut into blocks of bounded size. Each block is a prefix tree of ordered sets; a
-   probe walks it, adding up the overlap of shared paths, and leaves a subtree when the overlap
-   plus what remains of either set cannot reach the threshold, or when all of it is linked to the
-   probe already. Blocks of one group then meet in all pairs.
+   one. The classes that hold one n-gram there are its group. Each group has a prefix tree of ordered
+   sets; a probe walks it, adding up the overlap of shared paths, and leaves a subtree when the overlap plus what
+   remains of either set cannot reach the threshold, or when all of it is linked to the probe already.
+4. First every class goes to a few of its largest groups only, in blocks of bounded size, dealt anew for each
+   group. That joins most copies. A group is then done if its classes have one label, or met in one tree.
+5. Each group left is met in whole: by one tree, or, if it is larger than a block, by a grid of
+   trees in which classes of the group's main label need not meet each other.
 """
 
 from __future__ import annotations
@@ -20,18 +22,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected
-from lodestone.llm.shared import U, Words, blob, bucketed, cut, deal, mix, release, text_bytes
+from lodestone.llm.shared import U, Words, blob, bucketed, cut, deal, mix, release
 
 SENT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("list", pa.binary())])
 SENT_DDL = "part int, bucket int, list binary"
 BACK = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("levels", pa.binary())])
 BACK_DDL = "bucket int, part int, levels binary"
-SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("grams", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-SETS_DDL = "doc_id long, n_shingles long, set_key binary, grams binary, prefix array<long>"
+SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("grams", pa.binary()), ("levels", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+SETS_DDL = "doc_id long, n_shingles long, set_key binary, grams binary, levels binary, prefix array<long>"
 LABELS = pa.schema([("label", pa.int64()), ("root", pa.int64())])
 
 
@@ -172,12 +174,8 @@ class PrefixTree:
         self.mark[grams] = False
 
 
-def _link_block(table, percent: int) -> pa.Table:
-    """For each label in one block, or in a pair of blocks: the least label that links of its sets reach there."""
-    table = table.sort_by([("node", "ascending")])
-    sizes, labels = table["size"].to_pylist(), table["label"].to_pylist()
-    sets = [np.frombuffer(x, U) for x in table["grams"].to_pylist()]
-    levels = [np.frombuffer(x, np.uint8) for x in table["levels"].to_pylist()]
+def _link(sets: list[np.ndarray], levels: list[np.ndarray], sizes: list[int], labels: list[int], percent: int) -> dict[int, int]:
+    """For each label of one tree: the least label that links of its sets reach there."""
     values, first, inverse = np.unique(np.concatenate(sets), return_index=True, return_inverse=True)
     rank = np.empty(len(values), np.int64)
     rank[np.lexsort((values, np.concatenate(levels)[first]))] = np.arange(len(values))
@@ -193,11 +191,90 @@ def _link_block(table, percent: int) -> pa.Table:
     for i, label in enumerate(labels):
         root = tree.find(i)
         least[root] = min(label, least.get(root, label))
-    roots = {label: least[tree.find(i)] for i, label in enumerate(labels)}
-    return pa.Table.from_arrays([pa.array(list(roots), pa.int64()), pa.array(list(roots.values()), pa.int64())], schema=LABELS)
+    return {label: least[tree.find(i)] for i, label in enumerate(labels)}
+
+
+def _link_groups(table: pa.Table, percent: int) -> pa.Table:
+    """Links (label, root) found by the trees of all groups in the table."""
+    release()
+    table = table.sort_by([("tree", "ascending"), ("node", "ascending")])
+    trees = table["tree"].to_numpy()
+    bound = np.concatenate([[0], np.flatnonzero(trees[1:] != trees[:-1]) + 1, [len(trees)]]).tolist()
+    found = set()
+    for a, b in zip(bound, bound[1:], strict=False):
+        own = table.slice(a, b - a)
+        labels = own["label"].to_pylist()
+        if len(set(labels)) > 1:
+            sets = [np.frombuffer(x, U) for x in own["grams"].to_pylist()]
+            levels = [np.frombuffer(x, np.uint8) for x in own["levels"].to_pylist()]
+            found.update(x for x in _link(sets, levels, own["size"].to_pylist(), labels, percent).items() if x[0] != x[1])
+    return pa.Table.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=LABELS)
+
+
+def _links(seats: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (u, v) found by trees. seats: (node, label, tree, small); a small tree shares a task's group with others."""
+    seats = cut(seats)
+    packs = max(1, math.ceil(seats.filter("small").count() / (2 * block)))
+    packed = seats.withColumn("pack", F.when(F.col("small"), F.pmod("tree", F.lit(packs))).otherwise(F.col("tree"))).join(sets, "node")
+
+    def link(table):
+        return _link_groups(table, percent)
+
+    found = packed.select("pack", "small", "tree", "node", "size", "grams", "levels", "label").groupBy("pack", "small").applyInArrow(link, "label long, root long")
+    return found.select(F.col("label").alias("u"), F.col("root").alias("v"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bucket_bytes: int = 4 << 20, buckets_per_part: int = 4, block: int = 512) -> DataFrame:
+def _joined_classes(classes: DataFrame, percent: int, block: int, picks: int) -> DataFrame:
+    """(node, label): label is the least node that links reach; nodes that link with nothing have no row.
+
+    classes: (node, size, grams, levels, prefix).
+    """
+    sets = classes.select("node", "size", "grams", "levels")
+    held = classes.select("node", F.explode("prefix").alias("gram"))
+    sizes = held.groupBy("gram").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    # n-grams with the same classes are one group
+    groups = sizes.filter("n > 1").groupBy("n", "lo", "x", "y").agg(F.min("gram").alias("gram")).select("gram", "n")
+    held = cut(held.join(groups, "gram"))
+
+    # a few of the largest groups of every class, in blocks
+    order = Window.partitionBy("node").orderBy(F.desc("n"), "gram")
+    picked = held.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= picks)
+    blocks = F.ceil(F.col("n") / block)
+    seats = picked.select("node", F.col("node").alias("label"), F.xxhash64("gram", F.pmod(F.xxhash64("node", "gram"), blocks)).alias("tree"), (F.col("n") < block / 8).alias("small"))
+    links = cut(_links(seats, sets, percent, block))
+    labels = connected(links).withColumnRenamed("component", "label")
+
+    # groups left: more than one label, and not all together in the tree of one group that each of them picked
+    first = picked.filter("nth = 1").select("node", F.when(F.col("n") <= block, F.col("gram")).alias("met"))
+    held = held.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(first, "node")
+    left = held.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("met").alias("met"), F.max("met").alias("met_hi"), F.count("met").alias("n_met"))
+    left = left.filter("lo <> hi").select("gram", F.col("met").alias("met_lo"), "met_hi", "n_met")
+    held = held.join(left, "gram").filter("not (n_met = n and met_lo = met_hi)").select("gram", "n", "node", "label")
+    held = cut(held)
+    if held.isEmpty():
+        return labels
+    whole = held.filter(F.col("n") <= block).select("node", "label", F.col("gram").alias("tree"), (F.col("n") < block / 8).alias("small"))
+    links = links.unionByName(_links(whole.unionByName(_grid(held.filter(F.col("n") > block), block // 2)), sets, percent, block))
+    return connected(links).withColumnRenamed("component", "label")
+
+
+def _grid(held: DataFrame, half: int) -> DataFrame:
+    """Seats of groups larger than a block: every pair of half blocks has a tree, but pairs of the group's main label."""
+    counts = held.groupBy("gram", "label").agg(F.count("*").alias("n_label"), F.first("n").alias("n"))
+    main = counts.groupBy("gram").agg(F.max_by("label", F.struct("n_label", "label")).alias("main"), F.max("n_label").alias("n_main"))
+    seats = held.join(main, "gram").withColumn("minor", F.col("label") != F.col("main"))
+    of_main, of_minor = F.ceil(F.col("n_main") / half), F.ceil((F.col("n") - F.col("n_main")) / half)
+    seats = seats.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("minor"), of_minor).otherwise(of_main)))
+    # a minor half block meets every half block; one of the main label meets the minor ones
+    with_minor = seats.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), of_minor - 1)))
+    with_main = seats.filter("minor").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), of_main - 1)))
+    mixed = F.xxhash64("gram", F.lit("main"), "own", "other")
+    among = F.xxhash64("gram", F.lit("minor"), F.least("own", "other"), F.greatest("own", "other"))
+    trees = with_minor.withColumn("tree", F.when(F.col("minor"), among).otherwise(mixed)).unionByName(with_main.withColumn("tree", F.xxhash64("gram", F.lit("main"), "other", "own")))
+    return trees.select("node", "label", "tree", F.lit(False).alias("small"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bucket_bytes: int = 3 << 20, buckets_per_part: int = 4, block: int = 512, picks: int = 2) -> DataFrame:
     """Components of documents whose sets of word n-grams have a Jaccard similarity of ``percent`` or more.
 
     A-Z are lower-cased; words are maximal runs without ASCII white space. A text with fewer than
@@ -208,10 +285,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bucket_b
     are judged row by row; they get the least component any of them reaches. Other columns are
     not read, whatever their names; an empty table gives an empty result.
 
-    ``bucket_bytes`` and ``block`` bound what one task group holds.
+    ``bucket_bytes`` and ``block`` bound what one task group holds; ``picks`` is the number of groups that every class
+    goes to first.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    rows, n = bucketed(docs, bucket_bytes, text_bytes(docs))
+    rows, n = bucketed(docs, bucket_bytes)
     parts = max(1, math.ceil(n / buckets_per_part))
 
     def index(key, table):
@@ -234,7 +312,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bucket_b
                 order = np.lexsort((grams, own))
                 prefix = order[: size - -(-percent * size // 100) + 1]
                 row["set_key"] = hashlib.blake2b(blob(grams), digest_size=16).digest()
-                row["grams"] = blob(grams[common]) + blob(own[common])
+                row["grams"], row["levels"] = blob(grams[common]), blob(own[common])
                 row["prefix"] = grams[prefix[common[prefix]]].astype(np.int64)
             out.append(row)
         return pa.Table.from_pylist(out, schema=SETS)
@@ -244,39 +322,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bucket_b
     sets = cut(by_bucket.cogroup(levels.groupBy("bucket")).applyInArrow(describe, SETS_DDL))
 
     chosen = sets.filter("set_key is not null")
-    classes = cut(chosen.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("grams").alias("grams"), F.first("prefix").alias("prefix")))
-    # a node is a class, named by its least doc_id; rows that share a doc_id may give several classes one name
-    classes = classes.withColumn("name", F.col("node")).withColumn("node", F.xxhash64("set_key"))
-
-    held = classes.select("node", F.explode("prefix").alias("gram"))
-    centre = held.groupBy("gram").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    groups = connected(held.join(centre, "gram").select(F.col("centre").alias("u"), F.col("node").alias("v")))
-    members = classes.join(groups, classes.node == groups.node).select(classes.node, "size", F.substring("grams", F.lit(1), (F.length("grams") / 9 * 8).cast("int")).alias("grams"), F.expr("substring(grams, cast(length(grams) / 9 * 8 as int) + 1)").alias("levels"), F.col("component").alias("grp"))
-    heads = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks")).withColumnRenamed("component", "grp")
-    members = cut(members.join(heads, "grp").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), "n_blocks").cast("int")).withColumn("label", F.col("node")))
-
-    def link(table):
-        return _link_block(table, percent)
-
-    ddl = "label long, root long"
-    labels = members.groupBy("grp", "block").applyInArrow(link, ddl).withColumnsRenamed({"label": "node", "root": "label"})
-    if not heads.filter("n_blocks > 1").isEmpty():
-        labels = cut(labels)
-        # labels are the least node of a block, so blocks of one group meet in all pairs
-        big = members.filter("n_blocks > 1").drop("label").join(labels, "node")
-        mixed = big.groupBy("grp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        usual = mixed.groupBy("grp").agg(F.mode(F.when(F.col("lo") == F.col("hi"), F.col("lo"))).alias("usual"))
-        mixed = cut(mixed.join(usual, "grp").withColumn("odd", ~F.coalesce((F.col("lo") == F.col("usual")) & (F.col("hi") == F.col("usual")), F.lit(False))))
-        left = mixed.filter("odd").select("grp", F.col("block").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"))
-        right = mixed.select("grp", F.col("block").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"), "odd")
-        meet = left.join(right, "grp").filter("(i < j or i > j and not odd) and not (lo_i = hi_i and lo_j = hi_j and lo_i = lo_j)").select("grp", "i", "j")
-        sides = meet.select("grp", F.col("i").alias("block"), "i", "j").unionByName(meet.select("grp", F.col("j").alias("block"), "i", "j"))
-        across = big.join(sides, ["grp", "block"]).select("grp", "i", "j", "node", "size", "grams", "levels", "label").groupBy("grp", "i", "j").applyInArrow(link, ddl)
-        joined = connected(across.select(F.col("label").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "label")
-        labels = labels.join(joined, "label", "left").select("node", F.coalesce("component", "label").alias("label"))
+    classes = chosen.groupBy("set_key").agg(F.min("doc_id").alias("name"), *[F.first(c).alias(c) for c in ("n_shingles", "grams", "levels", "prefix")])
+    # a node is a class; rows that share a doc_id may give several classes one name
+    classes = cut(classes.withColumn("node", F.xxhash64("set_key")).withColumnRenamed("n_shingles", "size"))
+    labels = _joined_classes(classes, percent, block, picks)
 
     named = classes.select("node", "set_key", "name").join(labels, "node", "left").withColumn("component", F.coalesce("label", "node"))
     least = named.groupBy("component").agg(F.min("name").alias("component_id"))
     named = named.join(least, "component").select("set_key", "component_id")
-    done = sets.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    return done.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = sets.filter("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    # a class's rows are dealt over slots, as its copies may be very many
+    slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chosen.select("doc_id", "n_shingles", "set_key", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("slot"))
+    named = dealt.select("set_key", "slot").distinct().join(named, "set_key")
+    return alone.unionByName(dealt.join(named, ["set_key", "slot"]).select("doc_id", "n_shingles", "component_id"))

@@ -32,11 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The application's folder under ``spark.checkpoint.dir``, which all executors share.
 
-    A folder of our own is set only where the session names none, as in local tests.
+    Where the session names none, a temporary folder is set on a local master; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "lodestone-checkpoints"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lodestone-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -167,22 +170,25 @@ class Words:
         return at + k <= last[: len(at)]
 
 
-def doc_ids(col: pa.ChunkedArray) -> np.ndarray:
-    """doc_id as int64; null becomes the smallest value, for ordering only."""
-    return pc.fill_null(col.cast(pa.int64()), -(2**63)).to_numpy()
-
-
 # ------------------------------------------- hash lists between buckets and hash partitions
 
 
-def text_bytes(docs: DataFrame) -> int:
-    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def bucketed(docs: DataFrame, bucket_bytes: int) -> tuple[DataFrame, int]:
+    """Documents with a ``place`` of their own and a bucket number, about ``bucket_bytes`` of text in each bucket.
 
-
-def bucketed(docs: DataFrame, bucket_bytes: int, total: int) -> tuple[DataFrame, int]:
-    """Documents with a bucket number by hash of doc_id, about ``bucket_bytes`` of text in each."""
-    n = max(1, math.ceil(total / bucket_bytes))
-    return docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")), n
+    The place is the doc_id where each row has one of its own. Else the rows are numbered in the order of doc_id
+    (nulls first) and a hash of the text, by ranges that also split equal rows, so no doc_id fills a bucket.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("size"))
+    total, most, nameless = ids.agg(F.sum("size"), F.max("n"), F.count_if(F.col("doc_id").isNull())).first()
+    n = max(1, math.ceil((total or 0) / bucket_bytes))
+    if (most or 0) > 1 or nameless:
+        order = ["doc_id", F.xxhash64("text"), "nth"]
+        ranged = docs.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("nth")
+        docs = written(ranged.withColumn("place", F.monotonically_increasing_id()), "places")
+    else:
+        docs = docs.withColumn("place", F.col("doc_id"))
+    return docs.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(n)).cast("int")), n
 
 
 def deal(values: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
