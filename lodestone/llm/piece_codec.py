@@ -6,12 +6,13 @@ encoding of that prefix, and a sequence of pieces is an encoding exactly if each
 itself and each neighbouring pair stays a pair. Hence every prefix has one last token:
 
 * an Aho-Corasick automaton over the pieces lists the pieces that end at each character;
-* a piece is the prefix's last token if it fits behind the last token of what precedes it,
-  which a memoised merge of the two pieces' characters tells;
+* a piece is the prefix's last token if it fits behind the last token of what precedes it: no merge over
+  their border comes before the merges that made the two, which a walk down both pieces' splits tells;
 * the ids are read off backwards from the end of the table.
 
 Time is linear in the text's length. A text is cut where no piece can span (before a word mark that
-follows anything else), and the ids of frequent segments are remembered in a bounded cache.
+follows anything else, and between letters and other characters), and the ids of segments that come again
+are remembered in a bounded cache.
 """
 
 from __future__ import annotations
@@ -33,10 +34,14 @@ from sentencepiece import sentencepiece_model_pb2
 from lodestone.llm.shared import slices
 
 MARK = "▁"
-#: Segments and pairs in one generation of the caches, and the longest segment that is remembered.
+#: Segments and pairs in one generation of the caches, the longest segment that is remembered, and slots of the marks of
+#: segments seen once.
 CACHE = 1 << 17
-PAIRS = 1 << 18
+PAIRS = 1 << 17
 SEGMENT = 64
+SEEN = 1 << 20
+#: A letter, as the patterns of re see it.
+LETTER = r"[^\W\d_]"
 NORMAL, USER, UNUSED = 1, 4, 5
 
 
@@ -61,21 +66,45 @@ class Codec:
         self.size = [len(p) for p in self.pieces]
         self.own = list(range(len(self.pieces)))
         self.decimal = [str(i) for i in range(len(self.pieces))]
-        for piece, i in self.ids.items():
-            if self._merged(piece) == [piece]:
+        # the two parts whose merge made a piece, -1 for characters; a piece's place in the order of merges
+        self.left, self.right, self.rank = ([-1] * len(self.pieces) for _ in range(3))
+        order = sorted(self.score, key=lambda p: -self.score[p])
+        for at, piece in enumerate(order):
+            self.rank[self.ids[piece]] = at
+        # pieces that a walk can't judge: of one score with another, made before one of their parts, or made of such
+        self.odd = [False] * len(self.pieces)
+        for x, y in zip(order, order[1:], strict=False):
+            if self.score[x] == self.score[y] and min(len(x), len(y)) > 1:
+                self.odd[self.ids[x]] = self.odd[self.ids[y]] = True
+        for piece in sorted(self.ids, key=len):
+            i = self.ids[piece]
+            parts, made = self._merged(piece)
+            if parts == [piece]:
                 self.automaton.add_word(piece, i)
+                if made:
+                    self.left[i], self.right[i] = (self.ids[x] for x in made)
+                    self.odd[i] = self.odd[i] or any(self.odd[x] or self.left[x] >= 0 and self.rank[x] >= self.rank[i] for x in (self.left[i], self.right[i]))
         self.automaton.make_automaton()
-        spans = any(MARK in piece.lstrip(MARK) for piece in self.ids)
-        self.segments = re.compile("(?s).+" if spans else f"(?s){MARK}*[^{MARK}]+|{MARK}+$").findall
+        self.segments = re.compile(self._pattern()).findall
         # two generations each: a full one becomes the older, so what is frequent stays known
         self.known: dict[str, tuple[int, ...]] = {}
         self.known_before: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
         self.pairs_before: dict[int, bool] = {}
+        self.seen = bytearray(SEEN)
         self.cached = cached
 
-    def _merged(self, text: str) -> list[str]:
-        """The merges of the model, step by step: for single pieces and pairs of pieces only."""
+    def _pattern(self) -> str:
+        """Segments that no piece spans. Every character of a text lies in one."""
+        if any(MARK in piece.lstrip(MARK) for piece in self.ids):
+            return "(?s).+"
+        letter = re.compile(LETTER).fullmatch
+        mixed = any(a != MARK and bool(letter(a)) != bool(letter(b)) for piece in self.ids for a, b in zip(piece, piece[1:], strict=False))
+        return f"(?s){MARK}*[^{MARK}]+|{MARK}+$" if mixed else f"(?s){MARK}*(?:{LETTER}+|(?:(?!{LETTER})[^{MARK}])+)|{MARK}+$"
+
+    def _merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The merges of the model, step by step, and the last of them: for single pieces and pairs of pieces only."""
+        made = None
         parts = list(text)
         following = [*range(1, len(parts)), -1]
         previous = list(range(-1, len(parts) - 1))
@@ -91,36 +120,60 @@ class Codec:
             _, left, right, a, b = heapq.heappop(heap)
             if parts[left] != a or parts[right] != b or following[left] != right:
                 continue
-            parts[left], parts[right] = a + b, ""
+            parts[left], parts[right], made = a + b, "", (a, b)
             following[left] = following[right]
             if following[right] >= 0:
                 previous[following[right]] = left
             offer(previous[left], left)
             offer(left, following[left])
-        return [p for p in parts if p]
+        return [p for p in parts if p], made
 
-    def _fits(self, pair: int) -> bool:
-        fits = self.pairs_before.get(pair)
+    def _known_pair(self, a: int, b: int) -> bool:
+        fits = self.pairs_before.get(pair := a << 32 | b)
         if fits is None:
-            left, right = self.pieces[pair >> 32], self.pieces[pair & 0xFFFFFFFF]
-            fits = self._merged(left + right) == [left, right]
+            fits = self._fits(a, b)
         if len(self.pairs) >= PAIRS:
             self.pairs, self.pairs_before = {}, self.pairs
         self.pairs[pair] = fits
         return fits
 
+    def _fits(self, a: int, b: int) -> bool:
+        """Does piece a stay apart from a piece b behind it?
+
+        The parts at the border are followed from the whole pieces down: two of them would merge if their merge comes
+        before the one that takes either of them up. Equal merges come from left to right.
+        """
+        pieces, ids, rank, left, right = self.pieces, self.ids, self.rank, self.left, self.right
+        whole, until = (a, b), 1 << 60
+        odd = self.odd[a] or self.odd[b]
+        while not odd:
+            joined = ids.get(pieces[a] + pieces[b])
+            if joined is not None:
+                if odd := self.odd[joined]:
+                    break
+                if rank[joined] < until:
+                    return False
+            if left[a] >= 0 and (left[b] < 0 or rank[a] > rank[b]):
+                until, a = rank[a], right[a]
+            elif left[b] >= 0:
+                until, b = rank[b] + 1, left[b]
+            else:
+                return True
+        texts = [pieces[x] for x in whole]
+        return self._merged("".join(texts))[0] == texts
+
     def _table(self, segment: str) -> tuple[int, ...]:
         """Ids of one segment from its prefix table; -1: a character without a piece, which joins with nothing."""
         n = len(segment)
-        last, size = [-1] * (n + 1), self.size
+        last, size, known = [-1] * (n + 1), self.size, self.pairs.get
         for end, piece in self.automaton.iter(segment):
             if last[end + 1] < 0:
                 at = end + 1 - size[piece]
                 if at == 0:
                     last[end + 1] = piece
                 elif (before := last[at]) >= 0:
-                    fits = self.pairs.get(pair := before << 32 | piece)
-                    if fits or fits is None and self._fits(pair):
+                    fits = known(before << 32 | piece)
+                    if fits or fits is None and self._known_pair(before, piece):
                         last[end + 1] = piece
                 elif segment[at - 1] not in self.ids:
                     last[end + 1] = piece
@@ -137,16 +190,24 @@ class Codec:
         return tuple(ids)
 
     def _segment(self, segment: str) -> tuple[int, ...]:
-        ids = self.known_before.get(segment) or self._table(segment)
-        if len(segment) <= SEGMENT:
+        ids = self.known_before.get(segment)
+        again = ids is not None
+        if not again:
+            ids = self._table(segment)
+            # a segment is remembered when it comes again: a mark of one byte tells
+            slot, mark = (h := hash(segment)) % SEEN, h >> 40 & 0xFF or 1
+            again = self.seen[slot] == mark
+            self.seen[slot] = mark
+        if again and len(segment) <= SEGMENT:
             if len(self.known) >= self.cached:
                 self.known, self.known_before = {}, self.known
             self.known[segment] = ids
         return ids
 
     def forget(self) -> None:
-        """Drop the remembered segments: Python workers live on after a task, and their memory with them."""
-        self.known, self.known_before = {}, {}
+        """Drop what is remembered: Python workers live on after a task, and their memory with them."""
+        self.known, self.known_before, self.seen = {}, {}, bytearray(SEEN)
+        self.pairs, self.pairs_before = {}, {}
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text. Null: empty."""
