@@ -24,17 +24,24 @@ def totals(calls: DataFrame) -> DataFrame:
     return calls.groupingSets([[F.col("model_id")], [F.col("role")], []], "model_id", "role").agg(*sums)
 
 
-def running(calls: DataFrame, slot: str = "1 day") -> DataFrame:
-    """Running cost in the order of (ts, id).
+def _summed_up(calls: DataFrame, sums: dict[str, Column], by: list[str], slot: str) -> DataFrame:
+    """Running sums of columns within ``by`` in the order of (ts, id).
 
     Two levels: sums of time slots are accumulated first, so that rows are ordered within their slot only.
     """
     c = calls.withColumn("slot", F.window("ts", slot)["start"])
-    by_slot = c.groupBy("slot").agg(F.sum("cost").alias("in_slot"))
-    earlier = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    by_slot = by_slot.withColumn("base", F.coalesce(F.sum("in_slot").over(earlier), F.lit(0.0))).drop("in_slot")
-    within = Window.partitionBy("slot").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return c.withColumn("so_far", F.sum("cost").over(within)).join(by_slot, "slot").withColumn("so_far", F.col("so_far") + F.col("base")).drop("slot", "base")
+    key = [*by, "slot"]
+    by_slot = c.groupBy(key).agg(*[F.sum(x).alias(f"in_{n}") for n, x in sums.items()])
+    earlier = Window.partitionBy(by).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    by_slot = by_slot.select(*key, *[F.coalesce(F.sum(f"in_{n}").over(earlier), F.lit(0)).alias(f"base_{n}") for n in sums])
+    within = Window.partitionBy(key).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = c.withColumns({f"so_far_{n}": F.sum(x).over(within) for n, x in sums.items()}).join(by_slot, key)
+    return c.withColumns({f"so_far_{n}": F.col(f"so_far_{n}") + F.col(f"base_{n}") for n in sums}).drop("slot", *[f"base_{n}" for n in sums])
+
+
+def running(calls: DataFrame, slot: str = "1 day") -> DataFrame:
+    """Running cost in the order of (ts, id)."""
+    return _summed_up(calls, {"cost": F.col("cost")}, [], slot).withColumnRenamed("so_far_cost", "so_far")
 
 
 def first_over(run: DataFrame, ceiling: float) -> DataFrame:
@@ -47,10 +54,10 @@ def mismatches(calls: DataFrame) -> DataFrame:
     return calls.agg(F.count_if(off).alias("mismatches"), F.count("*").alias("calls"))
 
 
-def cumulative_by(calls: DataFrame, who: str) -> DataFrame:
-    """Running calls, tokens and cost for each value of ``who``, by step."""
-    w = Window.partitionBy(who).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return calls.select("id", who, F.count("*").over(w).alias("step"), F.sum("input_tokens").over(w).alias("input_tokens"), F.sum("output_tokens").over(w).alias("output_tokens"), F.sum("cost").over(w).alias("cost"))
+def cumulative_by(calls: DataFrame, who: str, slot: str = "1 day") -> DataFrame:
+    """Running calls, tokens and cost for each value of ``who``, by step; a frequent value is spread over its time slots."""
+    sums = {"step": F.lit(1), "input_tokens": F.col("input_tokens"), "output_tokens": F.col("output_tokens"), "cost": F.col("cost")}
+    return _summed_up(calls, sums, [who], slot).select("id", who, *[F.col(f"so_far_{n}").alias(n) for n in sums])
 
 
 def budget_verdict(elapsed: Column, cost: Column, passes: Column, max_time: float, max_cost: float, max_passes: int) -> Column:

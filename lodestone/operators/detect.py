@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import as_col, entropy, is_digest, placeholder
 
 # Path parts and content that raise a file's priority.
-PATH_HINTS = "auth login session token password crypto secret api controller route handler endpoint rpc graphql admin upload deserial parse exec command query sql".split()
+PATH_HINTS = ["auth", "login", "session", "token", "password", "crypto", "secret", "api", "controller", "route", "handler", "endpoint", "rpc", "graphql", "admin", "upload", "deserial", "parse", "exec", "command", "query", "sql"]
 RISKY_CONTENT = r"\b(eval|exec|system|popen|subprocess|pickle\.loads|os\.system|Runtime\.exec|deserialize|unserialize|yaml\.load|child_process)\b"
 # Rules as (id, cwe, severity, pattern).
 RULES = [
@@ -92,12 +92,13 @@ def rule_hits(lines: DataFrame, rules: list[tuple[str, str, str, str]] = RULES)
     return lines.withColumn("hit", F.explode(F.array_compact(F.array(*hits)))).select("path", "line_no", "hit.*", F.substring(stripped("line"), 1, 200).alias("snippet"))
 
 
-def table_rule_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same for rules in a table (rule_id, pattern), checked to be few enough to copy to every task."""
-    n = rules.count()
-    if n > 1000:
-        raise ValueError(f"{n} rules; at most 1000 are matched line by line")
-    return lines.join(F.broadcast(rules), F.expr("line rlike pattern")).select("path", "line_no", "rule_id", F.substring(stripped("line"), 1, 200).alias("snippet"))
+def table_rule_hits(lines: DataFrame, rules: DataFrame, at_once: int = 1000) -> DataFrame:
+    """The same for rules in a table (rule_id, pattern), copied to the lines ``at_once`` rules at a time."""
+    rules = rules.select("rule_id", "pattern").distinct()
+    rounds = max(1, -(-rules.count() // at_once))
+    rules = rules.withColumn("round", F.ntile(rounds).over(Window.orderBy("rule_id", "pattern"))) if rounds > 1 else rules.withColumn("round", F.lit(1))
+    hits = [lines.join(F.broadcast(rules.filter(F.col("round") == i + 1)), F.expr("line rlike pattern")) for i in range(rounds)]
+    return reduce(DataFrame.unionByName, hits).select("path", "line_no", "rule_id", F.substring(stripped("line"), 1, 200).alias("snippet"))
 
 
 def surface_hits(lines: DataFrame) -> DataFrame:

@@ -9,37 +9,41 @@ from lodestone.functions.scoring import CATEGORIES, confidence_of, fingerprint,
 
 FIRST = ["file_rel", "line_start", "line_end", "category", "hedged", "status", "source"]
 FILLED = ["cited_snippet", "symbol", "cwe", "remediation"]
+#: Columns that order findings of one ``ord``.
+TIES = ["line_start", "line_end", "severity", "title", "description", "confidence", "reachable", "cited_snippet", "cwe", "symbol", "file_rel", "category", "status"]
 
 
 def merged(findings: DataFrame, key: Column) -> DataFrame:
-    """Fold findings with equal keys in the order of ``ord``.
+    """Fold findings with equal keys in the order of ``ord``, those of one ``ord`` by the columns in TIES.
 
     Votes add up; severity and confidence are the highest; title and description follow the last finding that
     raised the severity and has them; reachable wins over the first value; evidence is concatenated in order; empty
-    snippet, symbol, cwe and remediation are filled from the first that has one; other fields are the first's.
+    snippet, symbol, cwe and remediation are filled from the first that has one; other fields are the first's. ``superseded`` lists the fingerprints that the fold leaves behind. The evidence of one key gathers in one row.
     """
     rank = merge_rank("severity")
-    before = Window.partitionBy("key").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct("ord", *TIES)
+    before = Window.partitionBy("key").orderBy("ord", *TIES).rowsBetween(Window.unboundedPreceding, -1)
     f = findings.withColumn("key", key).withColumn("rank", rank)
     f = f.withColumn("raises", F.coalesce(F.col("rank") > F.max("rank").over(before), F.lit(True)))
 
     def leading(name: str) -> Column:
-        return F.coalesce(F.max_by(F.when(F.col("raises") & (F.col(name) != ""), F.col(name)), F.when(F.col("raises") & (F.col(name) != ""), F.col("ord"))), F.lit("")).alias(name)
+        return F.coalesce(F.max_by(F.when(F.col("raises") & (F.col(name) != ""), F.col(name)), F.when(F.col("raises") & (F.col(name) != ""), place)), F.lit("")).alias(name)
 
     def filled(name: str) -> Column:
-        return F.coalesce(F.min_by(name, F.when(F.col(name) != "", F.col("ord"))), F.lit("")).alias(name)
+        return F.coalesce(F.min_by(name, F.when(F.col(name) != "", place)), F.lit("")).alias(name)
 
     evidence = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "evidence"))), lambda x: x["evidence"])).alias("evidence")
     aggs = [
         F.min("ord").alias("ord"),
-        *[F.min_by(c, "ord").alias(c) for c in FIRST],
+        *[F.min_by(c, place).alias(c) for c in FIRST],
         F.sum("votes").cast("int").alias("votes"),
-        F.min_by("severity", F.struct(-F.col("rank"), "ord")).alias("severity"),
+        F.min_by("severity", F.struct(-F.col("rank"), place)).alias("severity"),
         leading("title"),
         leading("description"),
         F.max("confidence").alias("confidence"),
-        F.when(F.max((F.col("reachable") == "reachable").cast("int")) == 1, "reachable").otherwise(F.min_by("reachable", "ord")).alias("reachable"),
+        F.when(F.max((F.col("reachable") == "reachable").cast("int")) == 1, "reachable").otherwise(F.min_by("reachable", place)).alias("reachable"),
         evidence,
+        F.array_sort(F.array_except(F.collect_set(fingerprint()), F.array(F.min_by(fingerprint(), place)))).alias("superseded"),
         *[filled(c) for c in FILLED],
     ]
     return f.groupBy("key").agg(*aggs)
@@ -87,12 +91,15 @@ def judged(votes: DataFrame, quorum: int, panel: int) -> DataFrame:
 
 
 def enriched(findings: DataFrame) -> DataFrame:
-    """CWE and OWASP defaults, severity and confidence from the base values, latched on first use."""
+    """CWE and OWASP defaults, severity and confidence from the base values, latched on first use.
+
+    A ``language`` column, if there is one, lowers the confidence for c and cpp.
+    """
     f = findings.withColumn("cwe", F.coalesce(F.nullif("cwe", F.lit("")), lookup(F.col("category"), {k: v[0] for k, v in CATEGORIES.items()}, "")))
     f = f.withColumn("owasp", lookup(F.col("category"), {k: v[1] for k, v in CATEGORIES.items()}, ""))
     for c in ("severity", "confidence"):
         f = f.withColumn(f"base_{c}", F.coalesce(f"base_{c}", c) if f"base_{c}" in f.columns else F.col(c))
-    return f.withColumn("severity", scored_severity("base_severity", "reachable")).withColumn("confidence", scored_confidence(F.col("base_confidence"), F.col("votes"), F.col("hedged")))
+    return f.withColumn("severity", scored_severity("base_severity", "reachable")).withColumn("confidence", scored_confidence(F.col("base_confidence"), F.col("votes"), F.col("hedged"), F.col("language") if "language" in f.columns else None))
 
 
 def settled(findings: DataFrame) -> DataFrame:

@@ -62,21 +62,18 @@ def nearest_routes(targets: DataFrame, edges: DataFrame, routes: DataFrame, dept
     """Route of the nearest function up the callers that has one: (name, route, depth).
 
     routes: (name, route). Names with more than ``most_callers`` callers are not passed through. Among routes at the same
-    depth the one of the least name wins.
+    depth the one of the least name wins. One search goes down from all routes at once: a name reached first at some depth
+    takes the least origin of its callers, so the work does not grow with the number of targets.
     """
     wide = edges.groupBy("callee").count().filter(F.col("count") > most_callers).select("callee")
-    narrow = cut(edges.join(wide, "callee", "left_anti"))
+    narrow = cut(edges.join(wide, "callee", "left_anti").select("callee", "caller"))
     own = routes.groupBy("name").agg(F.min("route").alias("route"))
-    front = targets.select(F.col("name").alias("target"), "name").distinct()
-    seen = front
-    found = front.join(own, "name").select("target", "route", F.lit(0).alias("depth"), F.col("name").alias("via"))
-    found = cut(found)
+    front = seen = cut(own.select("name", F.col("name").alias("via"), F.lit(0).alias("depth")))
     for level in range(1, depth + 1):
-        left = front.join(found.select("target").distinct(), "target", "left_anti")
-        ahead = left.join(narrow, left.name == narrow.callee).select("target", F.col("caller").alias("name")).distinct()
-        front = cut(ahead.join(seen, ["target", "name"], "left_anti"))
+        ahead = narrow.join(front.select(F.col("name").alias("caller"), "via"), "caller").groupBy(F.col("callee").alias("name")).agg(F.min("via").alias("via"))
+        front = cut(ahead.join(seen, "name", "left_anti").withColumn("depth", F.lit(level)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-        found = cut(found.unionByName(front.join(own, "name").select("target", "route", F.lit(level).alias("depth"), F.col("name").alias("via"))))
-    return found.groupBy(F.col("target").alias("name")).agg(F.min(F.struct("depth", "via", "route")).alias("x")).select("name", "x.route", "x.depth")
+    near = seen.join(own.withColumnRenamed("name", "via"), "via")
+    return targets.select("name").distinct().join(near, "name").select("name", "route", "depth")

@@ -50,11 +50,15 @@ def replaced_functions(old: DataFrame, indexed: DataFrame, new: DataFrame, resum
 
 
 def boosted(cells: DataFrame, prefixes: DataFrame, delta: float) -> DataFrame:
-    """Weight plus ``delta`` for every prefix of the path. prefixes: a short table of focus areas (checked)."""
-    n = prefixes.count()
-    if n > 1000:
-        raise ValueError(f"{n} prefixes; at most 1000 are matched against every cell")
-    hits = cells.select("path").distinct().join(F.broadcast(prefixes), F.expr("startswith(path, prefix)")).groupBy("path").count()
+    """Weight plus ``delta`` for every prefix of the path.
+
+    A path is cut at the lengths that prefixes have, so prefixes of any number are joined by equality.
+    """
+    p = prefixes.select("prefix").distinct()
+    lengths = p.agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    paths = cells.select("path").distinct().join(F.broadcast(lengths))  # one row, no longer than the longest prefix
+    starts = paths.select("path", F.explode("lengths").alias("size")).filter(F.col("size") <= F.length("path")).select("path", F.substring(F.col("path"), F.lit(1), F.col("size")).alias("prefix"))
+    hits = starts.join(p, "prefix").groupBy("path").count()
     return cells.join(hits, "path", "left").withColumn("weight", F.col("weight") + F.coalesce("count", F.lit(0)) * delta).drop("count")
 
 
@@ -69,14 +73,22 @@ def claimed(cells: DataFrame, n: int, now: float, max_attempts: int = 3, lease:
     return best.withColumn("state", F.lit("IN_PROGRESS")).withColumn("lease_expires", F.lit(now + lease)).withColumn("attempts", F.col("attempts") + 1)
 
 
-def visited(functions: DataFrame, reads: DataFrame) -> DataFrame:
+def visited(functions: DataFrame, reads: DataFrame, span: int = 256) -> DataFrame:
     """Functions (file_id, name, start_line, end_line) that some read overlaps.
 
-    Reads are first merged into disjoint intervals for each file, so a file that is read very often meets its functions
-    with few rows.
+    Reads are first merged into disjoint intervals for each file. Both sides are cut into spans of lines, which join by
+    equality with the overlap as a further condition, so a large or often read file is spread over its spans.
     """
-    joined = functions.join(merged_intervals(reads), "file_id", "left_outer").withColumn("hit", (F.col("lo") <= F.col("end_line")) & (F.col("hi") >= F.col("start_line")))
-    return joined.groupBy("file_id", "name", "start_line", "end_line").agg(F.coalesce(F.max("hit"), F.lit(False)).alias("visited"))
+
+    def cut_up(df: DataFrame, lo: str, hi: str) -> DataFrame:
+        return df.withColumn("span", F.explode(F.sequence(F.floor(F.col(lo) / span), F.floor(F.greatest(lo, hi) / span))))
+
+    key = ["file_id", "name", "start_line", "end_line"]
+    met = cut_up(merged_intervals(reads), "lo", "hi").withColumnRenamed("file_id", "f").withColumnRenamed("span", "s")
+    f = cut_up(functions.select(key).distinct(), "start_line", "end_line")
+    hit = f.join(met, (F.col("file_id") == F.col("f")) & (F.col("span") == F.col("s")) & (F.col("lo") <= F.col("end_line")) & (F.col("hi") >= F.col("start_line")), "left_semi")
+    hit = hit.select(key).distinct().withColumn("hit", F.lit(True))
+    return functions.select(key).distinct().join(hit, key, "left").withColumn("visited", F.coalesce("hit", F.lit(False))).drop("hit")
 
 
 def merged_intervals(reads: DataFrame) -> DataFrame:

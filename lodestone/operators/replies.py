@@ -10,6 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.scoring import confidence_of, severity_of
+from lodestone.functions.text import hedged, squeezed
+from lodestone.operators import detect, symbols
+from lodestone.sources import files
+
 # Failure classes, first match wins; every word of an entry must occur.
 FAILURES = [
     (["throttl"], "rate limited"),
@@ -55,53 +60,62 @@ def last_block_of_conversation(turns: DataFrame, tag: str) -> DataFrame:
     return found.groupBy("conv_id").agg(F.max(F.struct("turn", "block")).alias("x")).select("conv_id", "x.turn", "x.block")
 
 
-def _balanced(text: str, most: int = 12) -> Iterator[object]:
-    """JSON values of balanced spans, from the right end leftwards, for at most ``most`` closing brackets."""
-    tried = 0
-    for end in range(len(text) - 1, -1, -1):
-        if text[end] not in "]}":
+def _containers(text: str) -> Iterator[tuple[int, int, object]]:
+    """(start, end, value) of every JSON object or list within a text. Brackets in strings of a value don't count."""
+    read = json.JSONDecoder().raw_decode
+    for found in re.finditer(r"[\[{]", text):
+        try:
+            value, end = read(text, found.start())
+        except (ValueError, RecursionError):
             continue
-        tried += 1
-        if tried > most:
-            return
-        opener, depth = {"]": "[", "}": "{"}[text[end]], 0
-        for at in range(end, -1, -1):
-            depth += (text[at] == text[end]) - (text[at] == opener)
-            if depth == 0:
-                try:
-                    yield json.loads(text[at : end + 1])
-                except ValueError:
-                    continue
-                break
+        yield found.start(), end, value
 
 
 def _rank(value: object) -> int:
-    if isinstance(value, list) and value and all(isinstance(x, dict) for x in value):
+    """Lists of objects before objects and lists of lists before other containers."""
+    each = value if isinstance(value, list) else []
+    if each and all(isinstance(x, dict) for x in each):
         return 3
-    return 2 if isinstance(value, dict) or isinstance(value, list) and value and all(isinstance(x, list) for x in value) else 1
+    return 2 if isinstance(value, dict) and value or each and all(isinstance(x, list) for x in each) else 1
+
+
+def _value(text: str, most: int) -> object | None:
+    try:
+        return json.loads(text)
+    except (ValueError, RecursionError):
+        last = sorted(_containers(text), key=lambda x: -x[1])[:most]
+        return max(last, key=lambda x: (_rank(x[2]), x[0]))[2] if last else None
+
 
+def json_of(text: str | None, most: int = 12) -> str | None:
+    """The JSON value of a reply: of its fenced blocks from the last on, else of the whole text.
 
-def json_of(text: str | None) -> str | None:
-    """Last JSON container of a reply: fenced blocks from the last on, else the text; lists of objects before others."""
+    A body that is JSON as a whole counts as such. Else, of the ``most`` last containers in it, the one of the best rank,
+    and of equal ones the last to begin.
+    """
     if not text:
         return None
     parts = text.split("```")
-    fenced = [p.split("\n", 1)[-1] for p in parts[1::2]][::-1]
+    fenced = [p.removeprefix("json") for p in parts[1:-1:2]][::-1]
     for body in [*fenced, text]:
-        found = list(_balanced(body))
-        if found:
-            return json.dumps(max(found, key=_rank), ensure_ascii=False)
+        value = _value(body.strip(), most)
+        if value is not None:
+            return json.dumps(value, ensure_ascii=False)
     return None
 
 
+#: Texts that can hold JSON: others never reach Python.
+MAY_HOLD_JSON = r"""[\[{]|^\s*(?:["\d-]|true\s*$|false\s*$|NaN|Infinity)|```"""
+
+
 def with_json(replies: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``json``, the last container of each reply as text. Balanced scanning has no built-in form."""
+    """Adds ``json``, the value of each reply as text, null without one. Scanning for it has no built-in form."""
 
     @F.pandas_udf("string")
     def scan(texts: pd.Series) -> pd.Series:
         return texts.map(json_of)
 
-    return replies.withColumn("json", scan(text))
+    return replies.withColumn("json", scan(F.when(F.col(text).rlike(MAY_HOLD_JSON), F.col(text))))
 
 
 ENVELOPES = ["findings", "vulnerabilities", "vulns", "issues", "results", "items", "data"]
@@ -144,20 +158,82 @@ def items(replies: DataFrame, schema: str) -> DataFrame:
 
 
 def located(claims: DataFrame, lines: DataFrame, slack: int = 2) -> DataFrame:
-    """First line at which a cited snippet stands near its claimed range (path, lo, hi, snippet), else null.
+    """Where a cited snippet really stands near its claimed range (claim_id, path, lo, hi, snippet): adds found_at, found_to.
 
-    Lines within ``slack`` of the range are joined with white space squeezed; a snippet must be contained in one of them.
+    White space counts as one blank. The lines looked at are the range, as many as the snippet has, and ``slack`` more on
+    both sides. found_at is the first line from which the snippet's number of lines holds it; if only all lines looked
+    at together do, the claimed range stays. Null: not found, empty, or too generic. The lines are fetched by
+    number, so a file with very many claims is spread.
     """
-    l = lines.select(F.col("path").alias("p"), "line_no", F.trim(F.regexp_replace("line", r"\s+", " ")).alias("flat"))
-    c = claims.withColumn("want", F.trim(F.regexp_replace("snippet", r"\s+", " "))).withColumn("a", F.least("lo", "hi") - slack).withColumn("b", F.greatest("lo", "hi") + slack)
-    hits = c.join(l, (F.col("path") == F.col("p")) & F.col("line_no").between(F.col("a"), F.col("b")) & F.expr("contains(flat, want)") & (F.length("want") > 0))
-    at = hits.groupBy("claim_id").agg(F.min("line_no").alias("found_at"))
+    height = F.length(detect.stripped("snippet")) - F.length(F.replace(detect.stripped("snippet"), F.lit("\n"))) + 1
+    c = claims.withColumn("want", squeezed("snippet")).withColumn("height", height).withColumn("a", F.least("lo", "hi")).withColumn("b", F.greatest("lo", "hi"))
+    c = c.filter((F.col("want") != "") & ~too_generic("snippet")).withColumn("top", F.greatest(F.lit(1), F.col("a") - slack)).withColumn("end", F.greatest("b", F.col("a") + F.col("height") - 1) + slack)
+    wanted = c.select("claim_id", "path", F.explode(F.sequence("top", "end")).alias("line_no"))
+    near = wanted.join(lines.select("path", "line_no", "line"), ["path", "line_no"])
+    near = near.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("near"))
+    c = c.join(near, "claim_id")
+
+    def holds(part: Column) -> Column:
+        return F.contains(squeezed(F.array_join(part["line"], "\n")), F.col("want"))
+
+    starts = F.filter(F.sequence(F.lit(1), F.size("near")), lambda i: holds(F.slice("near", i, F.col("height"))))
+    c = c.filter(holds(F.col("near"))).withColumn("first", F.get("near", F.get(starts, F.lit(0)) - 1)["line_no"])
+    at = c.select("claim_id", F.coalesce("first", "a").cast("int").alias("found_at"), F.coalesce(F.col("first") + F.col("height") - 1, "b").cast("int").alias("found_to"))
     return claims.join(at, "claim_id", "left")
 
 
 def too_generic(snippet: str) -> Column:
-    flat = F.trim(F.regexp_replace(snippet, r"\s+", " "))
-    return (F.length(flat) < 12) & flat.rlike(r"^[\p{L}\p{N}_]+$")
+    """A lone short word: an identifier, or letters and digits only."""
+    flat = squeezed(snippet)
+    return (F.length(flat) < 12) & flat.rlike(r"^(?:[\p{L}\p{Nl}_][\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}]*|[\p{L}\p{N}]+)$")
+
+
+def default_category(attack_class: str) -> Column:
+    """The category of a finding that names none: its cell's class, unless that is open-ended."""
+    given = F.coalesce(F.col(attack_class), F.lit(""))
+    return F.when(given.isin("", "all") | given.contains(","), "novel/other").otherwise(given)
+
+
+def id_of(raw: str) -> Column:
+    """A number out of ``3``, ``#3`` or ``[3]``; null for anything else, true and false too."""
+    return F.regexp_extract(F.trim(F.col(raw)), r"^#?\[?#?(-?\d+)\]?$", 1).try_cast("long")
+
+
+#: The fields that are read of a finding in a reply.
+ITEM = "struct<file string, line_start string, line_end string, cited_snippet string, title string, description string, severity string, confidence string, category string, cwe string, remediation string>"
+
+
+def cited_findings(items: DataFrame, lines: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Findings out of reply items (reply_id, pos, default_file, attack_class, item as ITEM) that prove their citation.
+
+    The file's path is made canonical (else the default file's). A snippet is required and must stand near the
+    claimed lines; the range becomes the lines where it does, and only then the enclosing symbol is looked up.
+    """
+    given = F.coalesce(F.nullif("item.file", F.lit("")), "default_file")
+    f = items.filter("item is not null").select("reply_id", "pos", "attack_class", "default_file", given.alias("given"), "item")
+    f = f.withColumn("path", F.coalesce(F.nullif(files.canonical_path("given"), F.lit("")), "default_file"))
+    lo = F.coalesce(F.col("item.line_start").try_cast("int"), F.lit(0))
+    f = f.withColumn("lo", lo).withColumn("hi", F.coalesce(F.col("item.line_end").try_cast("int"), "lo")).withColumn("snippet", F.coalesce("item.cited_snippet", F.lit(""))).withColumn("claim_id", F.struct("reply_id", "pos"))
+    f = located(f, lines).filter("found_at is not null").withColumn("line_no", F.col("found_at"))
+    f = symbols.enclosing(f, ranges)
+    description = F.coalesce("item.description", F.lit(""))
+    return f.select(
+        "reply_id",
+        "pos",
+        F.col("path").alias("file_rel"),
+        F.col("found_at").alias("line_start"),
+        F.col("found_to").alias("line_end"),
+        F.coalesce(F.nullif("item.category", F.lit("")), default_category("attack_class")).alias("category"),
+        F.coalesce("item.title", F.lit("")).alias("title"),
+        description.alias("description"),
+        severity_of("item.severity").alias("severity"),
+        confidence_of("item.confidence").alias("confidence"),
+        F.col("item.cwe").alias("cwe"),
+        hedged(description).alias("hedged"),
+        F.col("snippet").alias("cited_snippet"),
+        F.coalesce("symbol", F.lit("")).alias("symbol"),
+        F.col("item.remediation").alias("remediation"),
+    )
 
 
 RESPONSE = """struct<choices array<struct<message struct<content string, tool_calls array<struct<function struct<name string, arguments string>>>>, finish_reason string>>,
@@ -196,5 +272,6 @@ def with_actions(replies: DataFrame, text: str = "text") -> DataFrame:
     def scan(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([action_of(t) or {"tool": None, "args": None, "parse_ok": None} for t in texts], columns=["tool", "args", "parse_ok"])
 
-    out = replies.withColumn("action", scan(text))
+    # only texts with the mark reach Python
+    out = replies.withColumn("action", scan(F.when(F.col(text).contains("ACTION:"), F.col(text))))
     return out.withColumn("action", F.when(F.col("action.tool").isNotNull(), F.col("action")))

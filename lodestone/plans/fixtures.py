@@ -58,7 +58,7 @@ EXPRESSIONS = {
     ),
     "edges": (
         "lineitem",
-        {"callee": "'n' || cast(l_partkey % 499 as string)", "caller": "'n' || cast((l_suppkey * 7 + l_orderkey % 3) % 499 as string)"},
+        {"callee": "'n' || cast(l_partkey as string)", "caller": "'n' || cast(cast(floor(l_orderkey / 8) as bigint) as string)"},
     ),
 }
 _LINE = (

@@ -9,8 +9,14 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the session's ``spark.checkpoint.dir`` names; a temporary one where unset."""
+    """Reliable checkpoint in the folder that the session's ``spark.checkpoint.dir`` names.
+
+    Where unset, a temporary folder is set on a local master; on a cluster that is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "lodestone-checkpoints"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lodestone-checkpoints"))
     return df.checkpoint()

@@ -87,10 +87,10 @@ def s3_line_counts(spark, sf_dir):
     return f.select("path", "n_lines", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
 
 
-@query(r"select page_id, regexp_replace(replace(regexp_replace(url_decode(regexp_replace('file:' || regexp_extract(url, '://(.*)$', 1), '^file:(//[^/]*)?', '')), '\\', '/', 'g'), '//', '/'), '^(\./|/)+', '') as file_rel from pages where instr(regexp_extract(url, '://(.*)$', 1), '//') = 0")
+@query(r"select page_id, regexp_replace(regexp_replace(url_decode(regexp_replace('file:' || regexp_extract(url, '://(.*)$', 1), '^file:(//[^/]*)?', '')), '\\', '/', 'g'), '^(\./|/)+', '') as file_rel from pages")
 def s10_report_uris(spark, sf_dir):
     rest = F.regexp_extract("url", "://(.*)$", 1)
-    p = given(spark, sf_dir, "pages").filter(F.instr(rest, "//") == 0).withColumn("uri", F.concat(F.lit("file:"), rest))
+    p = given(spark, sf_dir, "pages").withColumn("uri", F.concat(F.lit("file:"), rest))
     return p.select("page_id", reports.sarif_uri("uri").alias("file_rel"))
 
 
@@ -127,9 +127,9 @@ def p6_trust_boundaries(spark, sf_dir):
     return detect.trust_boundary_files(p5_surface_hits(spark, sf_dir))
 
 
-@query(f"with {CODE}, h as (select path, line_no, 0 as pattern_index, trim(line)[1:160] as snippet, row_number() over (partition by path order by line_no) as nth from code where regexp_matches(line, 'ignore\\s+(?:all\\s+)?(?:previous|prior|above)\\s+instructions')) select path, line_no, pattern_index, snippet from h where nth <= 3")
+@query(f"with {CODE}, h as (select path, line_no, 0 as pattern_index, trim(line)[1:160] as snippet, row_number() over (partition by path order by line_no) as nth from code where regexp_matches(line, 'ignore\\s+(?:all\\s+)?(?:previous|prior|above)\\s+instructions')) select path, line_no, pattern_index, snippet from h where nth <= 20")
 def p7_injection_hits(spark, sf_dir):
-    return detect.injection_hits(derived(spark, sf_dir, "code"), most=3)
+    return detect.injection_hits(derived(spark, sf_dir, "code"))
 
 
 @query("select doc_id, regexp_matches(lower(text), '" + "|".join(text.HEDGES) + "') as hedged from documents")
@@ -159,10 +159,9 @@ def f3_masked_lines(spark, sf_dir):
     return detect.masked(derived(spark, sf_dir, "code")).select("path", "line_no", "masked", "n_masked")
 
 
-@query("select doc_id, case when s = '' then 'finding' else s end as slug from (select doc_id, regexp_replace(regexp_replace(lower(text[1:90]), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:60] as s from documents)")
+@query("select doc_id, case when s = '' then 'finding' else s end as slug from (select doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:60] as s from documents)")
 def f39_slugs(spark, sf_dir):
-    d = given(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 90).alias("t"))
-    return d.select("doc_id", text.slug("t", F.lit("")).alias("slug"))
+    return given(spark, sf_dir, "documents").select("doc_id", text.slug("text", F.lit("")).alias("slug"))
 
 
 # ------------------------------------------------------------------------ chunks and cells
@@ -235,13 +234,13 @@ def f9_w2_symbol_chunks(spark, sf_dir):
     return chunks.symbol_chunks(sizes, ranges, 12, 3)
 
 
-@query(f"""with recursive e as (select distinct callee, caller from ({sql_of("edges")}) where callee <> caller), r(name, d) as (select * from (values ('n1', 0), ('n2', 0)) union select e.callee, d + 1 from e join r on e.caller = r.name where d < 4),
+@query(f"""with recursive e as (select distinct callee, caller from ({sql_of("edges")}) where callee <> caller), r(name, d) as (select * from (values ('n1', 0), ('n2', 0)) union select e.callee, d + 1 from e join r on e.caller = r.name where d < 25),
 names as (select callee as name from e union select caller from e)
 select name, case when name in (select name from r) then 'reachable' when name not in (select callee from e) then 'unreachable' else 'unclear' end as verdict from names""")
 def g4_reachability(spark, sf_dir):
     edges = derived(spark, sf_dir, "edges").filter("callee <> caller").distinct()
     names = edges.select(F.col("callee").alias("name")).union(edges.select("caller")).distinct()
-    return graph.verdicts(names, edges, names.filter("name in ('n1', 'n2')"), depth=4)
+    return graph.verdicts(names, edges, names.filter("name in ('n1', 'n2')"))
 
 
 @query()
@@ -255,15 +254,19 @@ def g6_nearest_routes(spark, sf_dir):
 # --------------------------------------------------------------------------------- findings
 
 
-def _merge_sql(key: str, more: str = "f") -> str:
-    return f"""with {FOUND}, k as (select *, {key} as key, case severity when 'low' then 1 when 'medium' then 2 when 'high' then 3 when 'critical' then 4 else 0 end as r from {more}),
-b as (select *, coalesce(r > max(r) over (partition by key order by ord rows between unbounded preceding and 1 preceding), true) as raises from k)
-select key, min(ord) as ord, arg_min(file_rel, ord) as file_rel, arg_min(line_start, ord) as line_start, arg_min(category, ord) as category, cast(sum(votes) as int) as votes, arg_min(severity, (-r, ord)) as severity,
-coalesce(arg_max(title, ord) filter (where raises and title <> ''), '') as title, max(confidence) as confidence, case when bool_or(reachable = 'reachable') then 'reachable' else arg_min(reachable, ord) end as reachable,
-coalesce(arg_min(cited_snippet, ord) filter (where cited_snippet <> ''), '') as cited_snippet, coalesce(arg_min(cwe, ord) filter (where cwe <> ''), '') as cwe, coalesce(arg_min(symbol, ord) filter (where symbol <> ''), '') as symbol, string_agg('e' || ord, ',' order by ord) as evidence from b group by key"""
+TIES = ", ".join(findings.TIES)
 
 
-MERGED = ["key", "ord", "file_rel", "line_start", "category", "votes", "severity", "title", "confidence", "reachable", "cited_snippet", "cwe", "symbol"]
+def _merge_sql(key: str) -> str:
+    return f"""with {FOUND}, k as (select *, {key} as key, {PRINT} as print, row(ord, {TIES}) as place, case severity when 'low' then 1 when 'medium' then 2 when 'high' then 3 when 'critical' then 4 else 0 end as r from f),
+b as (select *, coalesce(r > max(r) over (partition by key order by ord, {TIES} rows between unbounded preceding and 1 preceding), true) as raises from k)
+select key, min(ord) as ord, arg_min(file_rel, place) as file_rel, arg_min(line_start, place) as line_start, arg_min(category, place) as category, cast(sum(votes) as int) as votes, arg_min(severity, (-r, place)) as severity,
+coalesce(arg_max(title, place) filter (where raises and title <> ''), '') as title, max(confidence) as confidence, case when bool_or(reachable = 'reachable') then 'reachable' else arg_min(reachable, place) end as reachable,
+coalesce(arg_min(cited_snippet, place) filter (where cited_snippet <> ''), '') as cited_snippet, coalesce(arg_min(cwe, place) filter (where cwe <> ''), '') as cwe, coalesce(arg_min(symbol, place) filter (where symbol <> ''), '') as symbol, string_agg('e' || ord, ',' order by ord) as evidence,
+list_sort(list_filter(list_distinct(list(print)), lambda x: x <> arg_min_print)) as superseded from (select *, first_value(print) over (partition by key order by ord, {TIES}) as arg_min_print from b) group by key, arg_min_print"""
+
+
+MERGED = ["key", "ord", "file_rel", "line_start", "category", "votes", "severity", "title", "confidence", "reachable", "cited_snippet", "cwe", "symbol", "superseded"]
 
 
 def _findings(spark, sf_dir):
@@ -358,13 +361,13 @@ def u7_changed_files(spark, sf_dir):
     return ledger.changed_files(d.filter("doc_id % 7 <> 0").select("path", sha.alias("sha256")), new.select("path", sha.alias("sha256")))
 
 
-READS = "r as (select l_orderkey % 300 as file_id, cast(floor(l_extendedprice) as int) % 500 as start_line, cast(floor(l_extendedprice) as int) % 500 + l_linenumber - 2 as end_line from lineitem where l_quantity < 10), fn as (select o_orderkey % 300 as file_id, 'f' || o_orderkey as name, cast(o_custkey % 500 as int) as start_line, cast(o_custkey % 500 + 6 as int) as end_line from orders)"
+READS = "r as (select l_orderkey % 300 as file_id, cast(floor(l_extendedprice) as int) % 500 as start_line, cast(floor(l_extendedprice) as int) % 500 + l_linenumber - 2 as end_line from lineitem), fn as (select o_orderkey % 300 as file_id, 'f' || o_orderkey as name, cast(o_custkey % 500 as int) as start_line, cast(o_custkey % 500 + 6 as int) as end_line from orders)"
 
 
 @query(f"with {READS} select fn.*, exists (select 1 from r where r.file_id = fn.file_id and r.end_line >= r.start_line and r.start_line <= fn.end_line and r.end_line >= fn.start_line) as visited from fn")
 def j4_visited_functions(spark, sf_dir):
     price = F.floor("l_extendedprice").cast("int") % 500
-    reads = given(spark, sf_dir, "lineitem").filter("l_quantity < 10").select((F.col("l_orderkey") % 300).alias("file_id"), price.alias("start_line"), (price + F.col("l_linenumber") - 2).alias("end_line"))
+    reads = given(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 300).alias("file_id"), price.alias("start_line"), (price + F.col("l_linenumber") - 2).alias("end_line"))
     fn = given(spark, sf_dir, "orders").select((F.col("o_orderkey") % 300).alias("file_id"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("name"), (F.col("o_custkey") % 500).cast("int").alias("start_line"), (F.col("o_custkey") % 500 + 6).cast("int").alias("end_line"))
     return ledger.visited(fn, reads)
 
@@ -443,9 +446,9 @@ def f21_f22_coerced(spark, sf_dir):
     return findings.coerced(e.withColumn("raw_confidence", raw).withColumn("raw_severity", sev)).select("event_id", "confidence", "severity")
 
 
-@query("select conv_id, turn, block from (select conv_id, turn, 'a' || turn || text[1:20] as block, row_number() over (partition by conv_id order by turn desc) as nth from conversations where role = 'assistant' and turn % 3 <> 0) where nth = 1")
+@query("select conv_id, turn, block from (select conv_id, turn, 'a' || turn || text as block, row_number() over (partition by conv_id order by turn desc) as nth from conversations where role = 'assistant' and turn % 3 <> 0) where nth = 1")
 def f25_last_blocks(spark, sf_dir):
-    tagged = F.concat(F.lit("<out>x</out> so <out>a"), F.col("turn").cast("string"), F.substring("text", 1, 20), F.lit("</out> end"))
+    tagged = F.concat(F.lit("<out>x</out> so <out>a"), F.col("turn").cast("string"), "text", F.lit("</out> end"))
     c = given(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("turn") % 3 != 0, tagged).otherwise(F.col("text")))
     return replies.last_block_of_conversation(c, "out")
 
@@ -463,20 +466,25 @@ def p17_failure_kinds(spark, sf_dir):
     return given(spark, sf_dir, "events").select("event_id", replies.failure_kind(message).alias("kind"))
 
 
-@query(f"with {LINES} select path || ':' || line_no as claim_id, line_no as found_at from l where line_no % 5 = 0 and length(trim(regexp_replace(line, '\\s+', ' ', 'g'))) > 60 and path || line_no not in (select a.path || a.line_no from l a join l b on a.path = b.path and b.line_no between a.line_no - 1 and a.line_no + 3 and a.line_no % 5 = 0 and b.line_no <> a.line_no and contains(trim(regexp_replace(b.line, '\\s+', ' ', 'g')), trim(regexp_replace(a.line, '\\s+', ' ', 'g'))))")
-def f7_located_snippets(spark, sf_dir):
-    l = document_lines(spark, sf_dir)
-    flat = F.trim(F.regexp_replace("line", r"\s+", " "))
-    claims = l.filter((F.col("line_no") % 5 == 0) & (F.length(flat) > 60)).select(F.concat_ws(":", "path", F.col("line_no").cast("string")).alias("claim_id"), "path", (F.col("line_no") + 1).alias("lo"), (F.col("line_no") + 1).alias("hi"), F.col("line").alias("snippet"), F.col("line_no").alias("own"))
-    return _alone(replies.located(claims, l), l)
+FLAT = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 
 
-def _alone(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """Claims whose snippet stands on its own line only, within the range looked at."""
-    flat = F.trim(F.regexp_replace("line", r"\s+", " "))
-    near = lines.select(F.col("path").alias("p"), F.col("line_no").alias("n"), flat.alias("flat"))
-    twice = found.join(near, (F.col("path") == F.col("p")) & F.col("n").between(F.col("lo") - 2, F.col("hi") + 2) & (F.col("n") != F.col("own")) & F.expr("contains(flat, trim(regexp_replace(snippet, '\\\\s+', ' ')))")).select("claim_id").distinct()
-    return found.join(twice, "claim_id", "left_anti").select("claim_id", "found_at")
+@query(f"""with {LINES}, q as (select *, lead(line) over (partition by path order by line_no) as below from l),
+c as (select path, line_no, case when line_no % 2 = 0 and below is not null then line || chr(10) || below else line end as snippet from q),
+d as (select path, line_no, {FLAT.format("snippet")} as want, len(body) - len(replace(body, chr(10), '')) + 1 as height from (select *, regexp_replace(snippet, '^\\s+|\\s+$', '', 'g') as body from c)),
+e as (select *, greatest(1, line_no - 1) as top, greatest(line_no + 1, line_no + height) + 2 as last from d where want <> '' and not (length(want) < 12 and regexp_matches(want, '^([\\pL_][\\pL\\p{{Mn}}\\p{{Mc}}\\p{{Nd}}\\p{{Pc}}]*|[\\pL\\pN]+)$'))),
+s as (select e.path, e.line_no, e.height, want, x.line_no as first, x.line || case when height = 2 and x.line_no < last then coalesce(chr(10) || below, '') else '' end as part from e join q x on x.path = e.path and x.line_no between top and last),
+f as (select path, line_no, height, min(first) as first from s where contains({FLAT.format("part")}, want) group by all)
+select q.path || ':' || q.line_no as claim_id, cast(first as int) as found_at, cast(first + height - 1 as int) as found_to from q left join f on f.path = q.path and f.line_no = q.line_no""")
+def f7_located_snippets(spark, sf_dir):
+    """Every line, and every second one with the next, cited one line too far down."""
+    l = document_lines(spark, sf_dir)
+    below = l.select("path", (F.col("line_no") - 1).alias("line_no"), F.col("line").alias("below")).filter("line_no > 0")
+    c = l.join(below, ["path", "line_no"], "left")
+    snippet = F.when(F.col("line_no") % 2 == 0, F.concat_ws("\n", "line", "below")).otherwise(F.col("line"))
+    cited = (F.col("line_no") + 1).cast("int")
+    claims = c.select(F.concat_ws(":", "path", F.col("line_no").cast("string")).alias("claim_id"), "path", cited.alias("lo"), cited.alias("hi"), snippet.alias("snippet"))
+    return replies.located(claims, l).select("claim_id", "found_at", "found_to")
 
 
 # ------------------------------------------------------------- handlers, actions and updates
@@ -497,7 +505,7 @@ def f14_parameters(spark, sf_dir):
 
 @query("select conv_id, turn, role as tool, '{\"turn\": ' || turn || '}' as args, true as parse_ok from conversations where turn % 2 = 0")
 def f27_actions(spark, sf_dir):
-    action = F.concat(F.lit("so "), F.substring("text", 1, 5), F.lit("\nACTION: "), "role", F.lit("( {\"turn\": "), F.col("turn").cast("string"), F.lit("}) ACTION: other({})"))
+    action = F.concat(F.lit("so "), "text", F.lit("\nACTION: "), "role", F.lit("( {\"turn\": "), F.col("turn").cast("string"), F.lit("}) ACTION: other({})"))
     c = given(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, action).alias("text"))
     return replies.with_actions(c).filter("action is not null").select("conv_id", "turn", "action.*")
 
@@ -518,13 +526,13 @@ def a15_systemic_failure(spark, sf_dir):
     return costs.systemic_failure(e.select(F.when(F.col("event_type") == "view", "ANALYZED").otherwise("FAILED").alias("state"), kind.alias("kind")), 8)
 
 
-@query(f"with {CHUNKS}, o as (select path, chunk_index, attack_class, case when chunk_index % 2 = 0 then 'ANALYZED' else 'SHALLOW' end as state from ch, (select unnest({ALL_CLASSES[:2]}) as attack_class) where path like '%.en'), p as (select path, chunk_index, attack_class from ch, (select unnest({ALL_CLASSES[1:3]}) as attack_class)) select p.path, p.chunk_index, p.attack_class, case when o.state = 'ANALYZED' then 'ANALYZED' else 'PENDING' end as state, case when o.state = 'ANALYZED' then 0.8 else 0.0 end::double as thoroughness from p left join o using (path, chunk_index, attack_class)")
+@query(f"with {CHUNKS}, o as (select path, chunk_index, attack_class, case when chunk_index % 2 = 0 then 'ANALYZED' else 'SHALLOW' end as state from ch, (select unnest({ALL_CLASSES}) as attack_class) where path like '%.en'), p as (select path, chunk_index, attack_class from ch, (select unnest({ALL_CLASSES}) as attack_class)) select p.path, p.chunk_index, p.attack_class, case when o.state = 'ANALYZED' then 'ANALYZED' else 'PENDING' end as state, case when o.state = 'ANALYZED' then 0.8 else 0.0 end::double as thoroughness from p left join o using (path, chunk_index, attack_class)")
 def u5_reseeded_cells(spark, sf_dir):
     f = files.with_line_counts(document_files(spark, sf_dir))
     ch = chunks.fixed_chunks(f, 40, 8)
     some = f.join(ch.select("path").distinct(), "path", "left_semi")
-    old = chunks.cells(ch.filter("path like '%.en'"), some.filter("path like '%.en'"), ALL_CLASSES[:2]).withColumn("state", F.when(F.col("chunk_index") % 2 == 0, "ANALYZED").otherwise("SHALLOW")).withColumn("thoroughness", F.lit(0.8))
-    planned = chunks.cells(ch, some, ALL_CLASSES[1:3]).drop("start_line", "end_line")
+    old = chunks.cells(ch.filter("path like '%.en'"), some.filter("path like '%.en'"), ALL_CLASSES).withColumn("state", F.when(F.col("chunk_index") % 2 == 0, "ANALYZED").otherwise("SHALLOW")).withColumn("thoroughness", F.lit(0.8))
+    planned = chunks.cells(ch, some, ALL_CLASSES).drop("start_line", "end_line")
     return ledger.reseeded(old, planned, True).select("path", "chunk_index", "attack_class", "state", "thoroughness")
 
 
@@ -536,52 +544,6 @@ def u8_upserted_findings(spark, sf_dir):
     return ledger.upserted_findings(old, new)
 
 
-# ------------------------------------- the same operators with their own parameters over all rows
-
-
-@query(ORACLES["p7_injection_hits"].replace("nth <= 3", "nth <= 20"))
-def p7_whole_injection_hits(spark, sf_dir):
-    return detect.injection_hits(derived(spark, sf_dir, "code"))
-
-
-@query(ORACLES["f39_slugs"].replace("text[1:90]", "text"))
-def f39_whole_slugs(spark, sf_dir):
-    return given(spark, sf_dir, "documents").select("doc_id", text.slug("text", F.lit("")).alias("slug"))
-
-
-@query(ORACLES["g4_reachability"].replace("d < 4", "d < 25"))
-def g4_whole_reachability(spark, sf_dir):
-    edges = derived(spark, sf_dir, "edges").filter("callee <> caller").distinct()
-    names = edges.select(F.col("callee").alias("name")).union(edges.select("caller")).distinct()
-    return graph.verdicts(names, edges, names.filter("name in ('n1', 'n2')"))
-
-
-@query(ORACLES["j4_visited_functions"].replace(" where l_quantity < 10", ""))
-def j4_whole_visited_functions(spark, sf_dir):
-    price = F.floor("l_extendedprice").cast("int") % 500
-    reads = given(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 300).alias("file_id"), price.alias("start_line"), (price + F.col("l_linenumber") - 2).alias("end_line"))
-    fn = given(spark, sf_dir, "orders").select((F.col("o_orderkey") % 300).alias("file_id"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("name"), (F.col("o_custkey") % 500).cast("int").alias("start_line"), (F.col("o_custkey") % 500 + 6).cast("int").alias("end_line"))
-    return ledger.visited(fn, reads)
-
-
-@query(f"with {LINES}, q as (select *, trim(regexp_replace(line, '\\s+', ' ', 'g')) as flat from l) select a.path || ':' || a.line_no as claim_id, min(b.line_no) as found_at from q a join q b on a.path = b.path and b.line_no between a.line_no - 1 and a.line_no + 3 and contains(b.flat, a.flat) where a.flat <> '' group by a.path, a.line_no")
-def f7_whole_located_snippets(spark, sf_dir):
-    l = document_lines(spark, sf_dir)
-    near = (F.col("line_no") + 1).alias("lo"), (F.col("line_no") + 1).alias("hi")
-    claims = l.filter(F.trim(F.regexp_replace("line", r"\s+", " ")) != "").select(F.concat_ws(":", "path", F.col("line_no").cast("string")).alias("claim_id"), "path", *near, F.col("line").alias("snippet"))
-    return replies.located(claims, l).select("claim_id", "found_at")
-
-
-@query(ORACLES["u5_reseeded_cells"].replace(str(ALL_CLASSES[:2]), str(ALL_CLASSES)).replace(str(ALL_CLASSES[1:3]), str(ALL_CLASSES)))
-def u5_whole_reseeded_cells(spark, sf_dir):
-    f = files.with_line_counts(document_files(spark, sf_dir))
-    ch = chunks.fixed_chunks(f, 40, 8)
-    some = f.join(ch.select("path").distinct(), "path", "left_semi")
-    old = chunks.cells(ch.filter("path like '%.en'"), some.filter("path like '%.en'"), ALL_CLASSES).withColumn("state", F.when(F.col("chunk_index") % 2 == 0, "ANALYZED").otherwise("SHALLOW")).withColumn("thoroughness", F.lit(0.8))
-    planned = chunks.cells(ch, some, ALL_CLASSES).drop("start_line", "end_line")
-    return ledger.reseeded(old, planned, True).select("path", "chunk_index", "attack_class", "state", "thoroughness")
-
-
 # --------------------------------- queries without SQL: held against small fixtures by the tests
 
 

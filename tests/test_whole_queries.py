@@ -1,4 +1,4 @@
-"""The audit queries over the whole job hold what the smaller registered ones leave out."""
+"""Audit queries run over the whole job: what caps, subsets and prefixes would leave out is there."""
 
 from paths import DATA
 
@@ -10,9 +10,9 @@ SMALL = f"{DATA}/sf0.001"
 
 def test_whole_jobs(spark):
     q = registry.QUERIES
-    rows = {n: q[n](spark, SMALL) for n in q if "_whole_" in n}
-    assert rows["p7_whole_injection_hits"].groupBy("path").count().filter("count > 3").count() > 0
-    assert rows["f7_whole_located_snippets"].filter("found_at <> cast(split_part(claim_id, ':', -1) as int)").count() > 0
-    small = q["j4_visited_functions"](spark, SMALL).filter("visited").count()
-    assert rows["j4_whole_visited_functions"].filter("visited").count() > small
-    assert rows["u5_whole_reseeded_cells"].select("attack_class").distinct().count() == len(ALL_CLASSES)
+    assert q["p7_injection_hits"](spark, SMALL).groupBy("path").count().filter("count > 3").count() > 0
+    found = q["f7_located_snippets"](spark, SMALL)
+    assert found.filter("found_at <> cast(split_part(claim_id, ':', -1) as int)").count() > 0
+    assert found.filter("found_to > found_at").count() > 0
+    assert q["j4_visited_functions"](spark, SMALL).filter("visited").count() > 0
+    assert q["u5_reseeded_cells"](spark, SMALL).select("attack_class").distinct().count() == len(ALL_CLASSES)
