@@ -139,19 +139,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int | Non
     query visits all of them.
 
     Vectors that are null, zero or hold null, NaN or infinite components take no part, nor do vectors of another
-    length than the most frequent one. A query's own vec_id is no candidate; repeated rows of one vec_id
+    length than the query's; each length has an index of its own. A query's own vec_id is no candidate; repeated rows of one vec_id
     count once; ties go to the smaller vec_id. Empty tables give an empty result.
 
     Returns query_id, rank (from 1), vec_id, score.
     """
-    spark = vectors.sparkSession
     base = cut(usable(vectors, nonzero=True))
-    sizes = base.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n = sizes
-    base = base.filter(F.col("dim") == dim)
-    asked = usable(queries, nonzero=True).filter(F.col("dim") == dim)
+    asked = usable(queries, nonzero=True)
+    found = vectors.sparkSession.createDataFrame([], FOUND_DDL)
+    for dim, n in base.groupBy("dim").count().orderBy("dim").collect():  # one row for each length of vectors
+        own = F.col("dim") == dim
+        found = found.unionByName(_search_length(base.filter(own), asked.filter(own), dim, n, k, parts, visit, sample, block, query_block))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search_length(base: DataFrame, asked: DataFrame, dim: int, n: int, k: int, parts: int | None, visit: float, sample: int, block: int, query_block: int) -> DataFrame:
+    """Candidates of every query, by each cell of the grid, among vectors of one length."""
     if parts is None:
         parts = min(256, max(16, 1 << round(math.log2(math.sqrt(n) / 4 + 1))))
     chosen = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "v").toPandas()
@@ -163,43 +167,45 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int | Non
             x = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], pa.array(router(x).argmax(axis=1), pa.int32())], ["vec_id", "v", "part"])
 
-    def route(batches):
-        for batch in batches:
-            x = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            order = np.argsort(-router(x), axis=1, kind="stable").astype(np.int32)
-            total = np.cumsum(held[order], axis=1)
-            few = (total <= k).sum(axis=1) + 1
-            visited = [o[: max(probes, m)] for o, m in zip(order, few, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], pa.array(visited, pa.list_(pa.int32()))], ["vec_id", "v", "part"])
-
     index = cut(base.select("vec_id", "v").mapInArrow(assign, "vec_id long, v array<double>, part int"))
     counts = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # at most 256 rows
     held = np.array([counts.get(i, 0) for i in range(parts)])
+    # blocks of one part each, named by part and a number within it
     n_blocks = F.element_at(F.array(*[F.lit(max(1, math.ceil(c / block))) for c in held.tolist()]), F.col("part") + 1)
-    blocks = packed(index.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int")), ["part", "block"])
-    routed = cut(asked.select("vec_id", "v").mapInArrow(route, "vec_id long, v array<double>, part array<int>").withColumn("part", F.explode("part")))
-    per_part = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}
-    n_queries = F.element_at(F.array(*[F.lit(max(1, math.ceil(per_part.get(i, 0) / query_block))) for i in range(parts)]), F.col("part") + 1)
-    q_blocks = packed(routed.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), n_queries).cast("int")), ["part", "q_block"])
-
-    def rerank(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, x, _ = opened(batch, i, "", dim)
-                qid, y, _ = opened(batch, i, "q_", dim)
-                rough = y @ x.T
+    index = index.withColumn("block", F.col("part") + parts * F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int")).withColumn("dim", F.lit(dim))
+    n_asked = asked.count()
+    q_blocks = asked.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, math.ceil(n_asked / query_block)))).cast("int"))
+
+    def rerank(own, questions, _):
+        for j in range(len(questions)):
+            qid, y, _ = opened(questions, j, dim)
+            # the parts each query visits; only ids and vectors travel, so routes are found here
+            order = np.argsort(-router(y), axis=1, kind="stable")
+            few = (np.cumsum(held[order], axis=1) <= k).sum(axis=1) + 1
+            visits = np.zeros((len(qid), parts), bool)
+            np.put_along_axis(visits, order, np.arange(parts)[None, :] < np.maximum(probes, few)[:, None], axis=1)
+            for i in range(len(own)):
+                ids, x, _ = opened(own, i, dim)
+                rows = np.flatnonzero(visits[:, own["block"][i].as_py() % parts])
+                if not len(rows):
+                    continue
+                rough = y[rows] @ x.T
                 near = min(k + 1, len(ids))
                 worst = np.partition(rough, len(ids) - near, axis=1)[:, len(ids) - near]
-                margin = 1e-12 * np.sqrt((y**2).sum(axis=1)) * np.sqrt((x**2).sum(axis=1).max())
+                margin = 1e-12 * np.sqrt((y[rows] ** 2).sum(axis=1)) * np.sqrt((x**2).sum(axis=1).max())
                 q, c = np.nonzero(rough >= (worst - margin)[:, None])
+                q = rows[q]
                 keep = qid[q] != ids[c]
                 q, c = q[keep], c[keep]
                 for at in range(0, max(1, len(q)), 1 << 18):
                     yield _best(qid[q[at : at + (1 << 18)]], ids[c[at : at + (1 << 18)]], _exact(y[q[at : at + (1 << 18)]], x[c[at : at + (1 << 18)]]), k)
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = meet(blocks, q_blocks, ["part"], sum(per_part.values()) * (dim * 8 + 16)).mapInArrow(rerank, FOUND_DDL)
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def cell(own, questions, length):
+        """The best k of each query over the whole cell."""
+        each = pa.Table.from_batches([*rerank(own, questions, length)], FOUND)
+        yield _best(*(each[c].to_numpy() for c in ("query_id", "vec_id", "score")), k)
+
+    return meet(packed(index, ["dim", "block"]), packed(q_blocks, ["dim", "q_block"]), cell, FOUND_DDL, n * (dim * 8 + 16), n_asked * (dim * 8 + 16))
 
 
 def _best(qid: np.ndarray, vid: np.ndarray, score: np.ndarray, k: int) -> pa.RecordBatch:

@@ -88,7 +88,7 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(bad - good, -500, 500)))
 
 
-def estimate(v: np.ndarray, count: np.ndarray, rounds: int = 200, trust: float = 0.1, tolerance: float = 1e-9) -> LabelModel:
+def estimate(v: np.ndarray, count: np.ndarray, rounds: int = 200, trust: float = 0.01, tolerance: float = 1e-9) -> LabelModel:
     """Expectation-maximisation over counted vote patterns.
 
     It starts from the belief that labellers are mostly right, which also weighs as ``trust`` of the documents in each
@@ -121,17 +121,17 @@ class Scorer:
         return np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -500, 500))), 0.0)
 
 
-def train(rows: list[np.ndarray], target: np.ndarray, epochs: int = 40, rate: float = 2.0) -> Scorer:
-    """Logistic regression on mean word weights, by full-batch AdaGrad. rows: hashed words of each text."""
+def train(rows: list[np.ndarray], counts: list[np.ndarray], target: np.ndarray, epochs: int = 40, rate: float = 2.0) -> Scorer:
+    """Logistic regression on mean word weights, by full-batch AdaGrad. rows, counts: different hashed words of each text."""
     weights, bias = np.zeros(1 << BITS), 0.0
     squares, square = np.full(1 << BITS, 1e-8), 1e-8
     words = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
-    n = np.array([len(r) for r in rows], int)
-    doc = np.repeat(np.arange(len(rows)), n)
+    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    share = np.concatenate([c / c.sum() for c in counts]) if rows else np.zeros(0)
     for _ in range(epochs if len(words) else 0):
-        z = np.bincount(doc, weights[words], minlength=len(rows)) / n + bias
+        z = np.bincount(doc, weights[words] * share, minlength=len(rows)) + bias
         g = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - target) / len(rows)
-        gw = np.bincount(words, (g / n)[doc], minlength=1 << BITS)
+        gw = np.bincount(words, g[doc] * share, minlength=1 << BITS)
         squares += gw * gw
         weights -= rate * gw / np.sqrt(squares)
         square += g.sum() ** 2
@@ -143,8 +143,8 @@ def score(docs: DataFrame, sample: int = 4000, keep_at: float = 0.5) -> DataFram
     """doc_id, votes (pattern number), weak_label (posterior of good), score (of the trained scorer), keep.
 
     One row for each input row, over whole texts. A null text or one without words has score 0 and is not kept; otherwise
-    keep is score >= ``keep_at``. The scorer is fitted on about ``sample`` documents with words (least hashes
-    of doc_id); votes and the label model cover all. Repeated rows count as often as they occur. Other columns
+    keep is score >= ``keep_at``. The scorer is fitted on about ``sample`` documents with words, drawn by a
+    hash of doc_id and text (at most twice as many; of each, its different words out of 65,536); votes and the label model cover all. Repeated rows count as often as they occur. Other columns
     are not read; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -159,19 +159,25 @@ def score(docs: DataFrame, sample: int = 4000, keep_at: float = 0.5) -> DataFram
     labellers = 6
     model = estimate(votes_of(patterns, labellers), counts)
     share = min(1.0, sample / max(1.0, counts.sum()))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = docs.select("text", F.xxhash64("doc_id", "text", F.lit(13)).alias("h")).filter(F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
+    # rows alike in doc_id and text are drawn once; twice the expected number bounds what the driver gets
+    drawn = drawn.groupBy("h").agg(F.first("text").alias("text")).orderBy("h").limit(2 * sample)
 
     def read(batches):
         for batch in slices(batches):
             w = Words(batch["text"])
             label = model.posterior(votes(w).astype(np.int64))
             h = (w.hash >> U(64 - BITS)).astype(np.uint16)
-            rows = [h[w.first[i] : w.first[i + 1]].tobytes() for i in range(w.n)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(label), pa.array(rows, pa.binary())], ["doc_id", "label", "words"])
-
-    drawn = docs.filter(draw < share).mapInArrow(read, "doc_id long, label double, words binary").toPandas().sort_values(["doc_id", "words"])
+            rows, counts = [], []
+            for i in range(w.n):
+                word, n = np.unique(h[w.first[i] : w.first[i + 1]], return_counts=True)
+                rows.append(word.tobytes())
+                counts.append(n.astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch["h"], pa.array(label), pa.array(rows, pa.binary()), pa.array(counts, pa.binary())], ["h", "label", "words", "counts"])
+
+    drawn = drawn.select("h", "text").mapInArrow(read, "h long, label double, words binary, counts binary").toPandas().sort_values("h")
     drawn = drawn[drawn["words"].str.len() > 0] if len(drawn) else drawn
-    scorer = train([np.frombuffer(x, np.uint16) for x in drawn["words"]], drawn["label"].to_numpy(float))
+    scorer = train([np.frombuffer(x, np.uint16) for x in drawn["words"]], [np.frombuffer(x, np.uint32) for x in drawn["counts"]], drawn["label"].to_numpy(float))
 
     def judge(batches):
         for batch in slices(batches):

@@ -1,7 +1,8 @@
 """Exact top-k inner-product search by the three-phase uniform threshold method.
 
 A score is the sum of ``lists`` local scores, one for each slice of the dimensions. Vectors and queries
-meet in blocks, so no task or broadcast holds more than a bounded number of them.
+meet in the cells of a grid of blocks, so no task holds more than a bounded number of them. Both passes multiply
+whole blocks, as dense products are cheaper than lookups; the cutoff bounds what is collected and sent.
 
 1. Every block gathers the best ``k`` of each local list and resolves those entries' whole scores. The
    k-th best whole score of a query over all blocks is a safe cutoff: at least k vectors reach it.
@@ -61,33 +62,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 4, s
     scaled = F.transform("v", lambda x: F.floor(x * F.lit(scale)))
     base = cut(usable(vectors).withColumn("v", scaled))
     asked = usable(queries).withColumn("v", scaled)
-    n = base.count()
+    n, total = base.agg(F.count("*"), F.sum(F.col("dim") * 8 + 16)).first()
     blocks = cut(packed(base.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, math.ceil(n / block)))).cast("int")), ["dim", "block"]))
     size = asked.agg(F.count("*"), F.sum(F.col("dim") * 8 + 16)).first()
     asked = cut(asked.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, math.ceil(size[0] / query_block)))).cast("int")))
 
-    def gather(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dim = batch["dim"][i].as_py()
-                ids, matrix, _ = opened(batch, i, "", dim, np.int64)
-                qid, asked, _ = opened(batch, i, "q_", dim, np.int64)
-                local = _local_scores(asked, matrix, lists)
+    def gather(own, asked, dim):
+        for j in range(len(asked)):
+            qid, q_matrix, _ = opened(asked, j, dim, np.int64)
+            for i in range(len(own)):
+                ids, matrix, _ = opened(own, i, dim, np.int64)
+                local = _local_scores(q_matrix, matrix, lists)
                 top = min(k + 1, len(ids))  # one more, as the query's own vector may be among them
                 seen = np.concatenate([np.argpartition(-s, top - 1, axis=1)[:, :top] for s in local], axis=1)
                 q, c = np.divmod(np.unique(np.arange(len(qid))[:, None] * len(ids) + seen), len(ids))
                 q, c = q[qid[q] != ids[c]], c[qid[q] != ids[c]]
                 yield _best(qid[q], ids[c], sum(s[q, c] for s in local), k)
 
-    def collect(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dim = batch["dim"][i].as_py()
-                ids, matrix, _ = opened(batch, i, "", dim, np.int64)
-                qid, asked, cutoff = opened(batch, i, "q_", dim, np.int64)
-                cutoff = np.frombuffer(cutoff, np.int64)
-                local = _local_scores(asked, matrix, lists)
-                share = np.floor_divide(cutoff, lists)[:, None]  # an integer score under it is under cutoff / lists
+    def collect(own, asked, dim):
+        for j in range(len(asked)):
+            qid, q_matrix, cutoff = opened(asked, j, dim, np.int64)
+            cutoff = np.frombuffer(cutoff, np.int64)
+            share = np.floor_divide(cutoff, lists)[:, None]  # an integer score under it is under cutoff / lists
+            for i in range(len(own)):
+                ids, matrix, _ = opened(own, i, dim, np.int64)
+                local = _local_scores(q_matrix, matrix, lists)
                 reached = [s >= share for s in local]
                 q, c = np.nonzero(np.logical_or.reduce(reached))
                 bound = sum(np.where(r[q, c], s[q, c], share[q, 0] + 1) for r, s in zip(reached, local, strict=True))
@@ -98,9 +97,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 4, s
                 yield _best(qid[q[keep]], ids[c[keep]], score[keep], k)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    first = meet(blocks, packed(asked, ["dim", "q_block"]), ["dim"], size[1] or 0).mapInArrow(gather, FOUND_DDL)
+    sides = (int(total or 0), int(size[1] or 0))
+    first = meet(blocks, packed(asked, ["dim", "q_block"]), gather, FOUND_DDL, *sides)
     ranked = first.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     cutoffs = ranked.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff"))
     known = asked.join(cutoffs, "vec_id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(NO_CUTOFF)))
-    second = meet(blocks, packed(known, ["dim", "q_block"], "cutoff"), ["dim"], size[1] or 0).mapInArrow(collect, FOUND_DDL)
+    second = meet(blocks, packed(known, ["dim", "q_block"], "cutoff"), collect, FOUND_DDL, *sides)
     return second.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors in one packed block, queries in one packed block, bytes of query blocks that may be broadcast.
-BLOCK, QUERY_BLOCK, BROADCAST_BYTES = 2048, 512, 32 << 20
+#: Vectors in one packed block, queries in one packed block, bytes of each side in one cell of their grid.
+BLOCK, QUERY_BLOCK, CELL_BYTES = 2048, 512, 24 << 20
 
 
 def usable(vectors: DataFrame, nonzero: bool = False) -> DataFrame:
@@ -42,21 +44,35 @@ def packed(rows: DataFrame, keys: list[str], extra: str | None = None) -> DataFr
     return rows.groupBy(*keys).applyInArrow(pack, ddl)
 
 
-def opened(batch: pa.RecordBatch, i: int, prefix: str, dim: int, kind=np.float64):
+def opened(table: pa.Table, i: int, dim: int, kind=np.float64):
     """Ids, matrix and extra values of a packed block."""
-    ids = np.frombuffer(batch[f"{prefix}ids"][i].as_py(), np.int64)
-    return ids, np.frombuffer(batch[f"{prefix}matrix"][i].as_py(), kind).reshape(len(ids), dim), batch[f"{prefix}extra"][i].as_py()
+    ids = np.frombuffer(table["ids"][i].as_py(), np.int64)
+    return ids, np.frombuffer(table["matrix"][i].as_py(), kind).reshape(len(ids), dim), table["extra"][i].as_py()
 
 
-def meet(blocks: DataFrame, queries: DataFrame, keys: list[str], query_bytes: int) -> DataFrame:
-    """Each block of vectors beside each block of queries with the same keys.
+def meet(blocks: DataFrame, queries: DataFrame, score, ddl: str, block_bytes: int, query_bytes: int, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """``score`` over every block of vectors beside every block of queries of the same length (column dim).
 
-    Query blocks are broadcast while their bytes stay under BROADCAST_BYTES; beyond, both sides are
-    shuffled by key and query block.
+    Both sides are dealt over a grid: a vector block has a row and goes to every column, a query block has a column and
+    goes to every row. A cell holds about ``cell_bytes`` of each side, so either side may be of any size. score gets
+    (block table, query table, dim) of a cell and gives Arrow batches.
     """
-    queries = queries.withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix", "extra": "q_extra"})
-    if query_bytes <= BROADCAST_BYTES:
-        return blocks.join(F.broadcast(queries), keys)
-    numbers = queries.groupBy(*keys).agg(F.collect_set("q_block").alias("q_block"))
-    spread = blocks.join(numbers, keys).withColumn("q_block", F.explode("q_block"))
-    return spread.join(queries, [*keys, "q_block"])
+    spread = blocks.sparkSession.sparkContext.defaultParallelism
+    n_rows = max(math.ceil(block_bytes / cell_bytes), min(spread, math.ceil(block_bytes / (1 << 20))), 1)
+    n_cols = max(1, math.ceil(query_bytes / cell_bytes))
+    deal = F.xxhash64("dim", "block"), F.xxhash64("dim", "q_block")
+    left = blocks.withColumn("row", F.pmod(deal[0], F.lit(n_rows)).cast("int")).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))))
+    right = queries.withColumn("col", F.pmod(deal[1], F.lit(n_cols)).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
+
+    def cell(key, own, asked):
+        out = [*score(own, asked, key[0].as_py())] if len(own) and len(asked) else []
+        return pa.Table.from_batches(out) if out else empty
+
+    empty = _arrow_of(ddl).empty_table()
+    key = ["dim", "row", "col"]
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(cell, ddl)
+
+
+def _arrow_of(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "double": pa.float64()}
+    return pa.schema([(n, kinds[t]) for n, t in (x.split() for x in ddl.split(", "))])
