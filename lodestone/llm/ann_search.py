@@ -3,7 +3,7 @@
 Fitting uses a bounded sample: its exact neighbour graph is cut into balanced parts, and a small network
 learns, from each sample vector, how its neighbours spread over the parts. The index gives every row
 to its most probable part; a query visits its several most probable parts, whose vectors are
-scored exactly. Parts may be of any size: each is dealt into blocks, and all blocks are searched.
+scored exactly. Parts may be of any size: all their vectors are searched, in blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import cut
-from lodestone.llm.vectors import BLOCK, QUERY_BLOCK, meet, opened, packed, usable
+from lodestone.llm.vectors import BLOCK, QUERY_BLOCK, matrix_of, meet, slices_of, usable
 
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 FOUND_DDL = "query_id long, vec_id long, score double"
@@ -159,53 +159,50 @@ def _search_length(base: DataFrame, asked: DataFrame, dim: int, n: int, k: int,
     if parts is None:
         parts = min(256, max(16, 1 << round(math.log2(math.sqrt(n) / 4 + 1))))
     chosen = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "v").toPandas()
-    router = fit(np.stack(chosen["v"].to_numpy()), parts)
+    router = fit(np.stack(chosen["v"].to_numpy()).astype(np.float64), parts)
     probes = min(parts, max(2, math.ceil(visit * parts)))
 
     def assign(batches):
         for batch in batches:
-            x = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], pa.array(router(x).argmax(axis=1), pa.int32())], ["vec_id", "v", "part"])
+            part = router(matrix_of(batch["v"], dim)).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], pa.array(part, pa.int32())], ["vec_id", "v", "part"])
 
-    index = cut(base.select("vec_id", "v").mapInArrow(assign, "vec_id long, v array<double>, part int"))
+    kind = base.schema["v"].dataType.simpleString()
+    index = cut(base.select("vec_id", "v").mapInArrow(assign, f"vec_id long, v {kind}, part int")).withColumn("dim", F.lit(dim))
     counts = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # at most 256 rows
     held = np.array([counts.get(i, 0) for i in range(parts)])
-    # blocks of one part each, named by part and a number within it
-    n_blocks = F.element_at(F.array(*[F.lit(max(1, math.ceil(c / block))) for c in held.tolist()]), F.col("part") + 1)
-    index = index.withColumn("block", F.col("part") + parts * F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int")).withColumn("dim", F.lit(dim))
-    n_asked = asked.count()
-    q_blocks = asked.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, math.ceil(n_asked / query_block)))).cast("int"))
 
     def rerank(own, questions, _):
-        for j in range(len(questions)):
-            qid, y, _ = opened(questions, j, dim)
-            # the parts each query visits; only ids and vectors travel, so routes are found here
+        own = own.sort_by("part")
+        bound = np.searchsorted(own["part"].to_numpy(), np.arange(parts + 1)).tolist()
+        for question in slices_of(questions, query_block):
+            qid, y = question["vec_id"].to_numpy(), matrix_of(question["v"], dim)
+            # the parts each query visits
             order = np.argsort(-router(y), axis=1, kind="stable")
             few = (np.cumsum(held[order], axis=1) <= k).sum(axis=1) + 1
             visits = np.zeros((len(qid), parts), bool)
             np.put_along_axis(visits, order, np.arange(parts)[None, :] < np.maximum(probes, few)[:, None], axis=1)
-            for i in range(len(own)):
-                ids, x, _ = opened(own, i, dim)
-                rows = np.flatnonzero(visits[:, own["block"][i].as_py() % parts])
-                if not len(rows):
-                    continue
-                rough = y[rows] @ x.T
-                near = min(k + 1, len(ids))
-                worst = np.partition(rough, len(ids) - near, axis=1)[:, len(ids) - near]
-                margin = 1e-12 * np.sqrt((y[rows] ** 2).sum(axis=1)) * np.sqrt((x**2).sum(axis=1).max())
-                q, c = np.nonzero(rough >= (worst - margin)[:, None])
-                q = rows[q]
-                keep = qid[q] != ids[c]
-                q, c = q[keep], c[keep]
-                for at in range(0, max(1, len(q)), 1 << 18):
-                    yield _best(qid[q[at : at + (1 << 18)]], ids[c[at : at + (1 << 18)]], _exact(y[q[at : at + (1 << 18)]], x[c[at : at + (1 << 18)]]), k)
+            for part in range(parts):
+                rows = np.flatnonzero(visits[:, part])
+                for piece in slices_of(own.slice(bound[part], bound[part + 1] - bound[part]), block) if len(rows) else ():
+                    ids, x = piece["vec_id"].to_numpy(), matrix_of(piece["v"], dim)
+                    rough = y[rows] @ x.T
+                    near = min(k + 1, len(ids))
+                    worst = np.partition(rough, len(ids) - near, axis=1)[:, len(ids) - near]
+                    margin = 1e-12 * np.sqrt((y[rows] ** 2).sum(axis=1)) * np.sqrt((x**2).sum(axis=1).max())
+                    q, c = np.nonzero(rough >= (worst - margin)[:, None])
+                    q = rows[q]
+                    keep = qid[q] != ids[c]
+                    q, c = q[keep], c[keep]
+                    for at in range(0, max(1, len(q)), 1 << 18):
+                        yield _best(qid[q[at : at + (1 << 18)]], ids[c[at : at + (1 << 18)]], _exact(y[q[at : at + (1 << 18)]], x[c[at : at + (1 << 18)]]), k)
 
     def cell(own, questions, length):
         """The best k of each query over the whole cell."""
         each = pa.Table.from_batches([*rerank(own, questions, length)], FOUND)
         yield _best(*(each[c].to_numpy() for c in ("query_id", "vec_id", "score")), k)
 
-    return meet(packed(index, ["dim", "block"]), packed(q_blocks, ["dim", "q_block"]), cell, FOUND_DDL, n * (dim * 8 + 16), n_asked * (dim * 8 + 16))
+    return meet(index, asked, cell, FOUND_DDL, n * (dim * 8 + 16), asked.count() * (dim * 8 + 16))
 
 
 def _best(qid: np.ndarray, vid: np.ndarray, score: np.ndarray, k: int) -> pa.RecordBatch:

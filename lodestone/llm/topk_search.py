@@ -14,15 +14,13 @@ whole blocks, as dense products are cheaper than lookups; the cutoff bounds what
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import cut
-from lodestone.llm.vectors import BLOCK, QUERY_BLOCK, meet, opened, packed, usable
+from lodestone.llm.vectors import BLOCK, QUERY_BLOCK, matrix_of, meet, slices_of, usable
 
 NO_CUTOFF = -(2**63)
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -59,48 +57,44 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 4, s
 
     Returns query_id, rank (from 1), vec_id, score.
     """
-    scaled = F.transform("v", lambda x: F.floor(x * F.lit(scale)))
-    base = cut(usable(vectors).withColumn("v", scaled))
-    asked = usable(queries).withColumn("v", scaled)
-    n, total = base.agg(F.count("*"), F.sum(F.col("dim") * 8 + 16)).first()
-    blocks = cut(packed(base.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, math.ceil(n / block)))).cast("int")), ["dim", "block"]))
-    size = asked.agg(F.count("*"), F.sum(F.col("dim") * 8 + 16)).first()
-    asked = cut(asked.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, math.ceil(size[0] / query_block)))).cast("int")))
-
-    def gather(own, asked, dim):
-        for j in range(len(asked)):
-            qid, q_matrix, _ = opened(asked, j, dim, np.int64)
-            for i in range(len(own)):
-                ids, matrix, _ = opened(own, i, dim, np.int64)
-                local = _local_scores(q_matrix, matrix, lists)
-                top = min(k + 1, len(ids))  # one more, as the query's own vector may be among them
-                seen = np.concatenate([np.argpartition(-s, top - 1, axis=1)[:, :top] for s in local], axis=1)
-                q, c = np.divmod(np.unique(np.arange(len(qid))[:, None] * len(ids) + seen), len(ids))
-                q, c = q[qid[q] != ids[c]], c[qid[q] != ids[c]]
-                yield _best(qid[q], ids[c], sum(s[q, c] for s in local), k)
-
-    def collect(own, asked, dim):
-        for j in range(len(asked)):
-            qid, q_matrix, cutoff = opened(asked, j, dim, np.int64)
-            cutoff = np.frombuffer(cutoff, np.int64)
+    scaled = F.transform("v", lambda x: F.floor(x.cast("double") * F.lit(scale)))
+    base = cut(usable(vectors)).withColumn("v", scaled)
+    asked = cut(usable(queries)).withColumn("v", scaled)
+    sides = [int(df.agg(F.sum(F.col("dim") * 8 + 16)).first()[0] or 0) for df in (base, asked)]
+
+    def pairs(own, questions, dim):
+        """Blocks of both sides: query ids and further values, vector ids, local scores of all pairs."""
+        for part in slices_of(questions, query_block):
+            q_matrix = matrix_of(part["v"], dim, np.int64)
+            for block_of in slices_of(own, block):
+                yield part, block_of["vec_id"].to_numpy(), _local_scores(q_matrix, matrix_of(block_of["v"], dim, np.int64), lists)
+
+    def gather(own, questions, dim):
+        for part, ids, local in pairs(own, questions, dim):
+            qid = part["vec_id"].to_numpy()
+            top = min(k + 1, len(ids))  # one more, as the query's own vector may be among them
+            seen = np.concatenate([np.argpartition(-s, top - 1, axis=1)[:, :top] for s in local], axis=1)
+            q, c = np.divmod(np.unique(np.arange(len(qid))[:, None] * len(ids) + seen), len(ids))
+            q, c = q[qid[q] != ids[c]], c[qid[q] != ids[c]]
+            yield _best(qid[q], ids[c], sum(s[q, c] for s in local), k)
+
+    def collect(own, questions, dim):
+        for part, ids, local in pairs(own, questions, dim):
+            qid, cutoff = part["vec_id"].to_numpy(), part["cutoff"].to_numpy()
             share = np.floor_divide(cutoff, lists)[:, None]  # an integer score under it is under cutoff / lists
-            for i in range(len(own)):
-                ids, matrix, _ = opened(own, i, dim, np.int64)
-                local = _local_scores(q_matrix, matrix, lists)
-                reached = [s >= share for s in local]
-                q, c = np.nonzero(np.logical_or.reduce(reached))
-                bound = sum(np.where(r[q, c], s[q, c], share[q, 0] + 1) for r, s in zip(reached, local, strict=True))
-                keep = (bound >= cutoff[q]) & (qid[q] != ids[c])
-                q, c = q[keep], c[keep]
-                score = sum(s[q, c] for s in local)
-                keep = score >= cutoff[q]
-                yield _best(qid[q[keep]], ids[c[keep]], score[keep], k)
+            reached = [s >= share for s in local]
+            q, c = np.nonzero(np.logical_or.reduce(reached))
+            bound = sum(np.where(r[q, c], s[q, c], share[q, 0] + 1) for r, s in zip(reached, local, strict=True))
+            keep = (bound >= cutoff[q]) & (qid[q] != ids[c])
+            q, c = q[keep], c[keep]
+            score = sum(s[q, c] for s in local)
+            keep = score >= cutoff[q]
+            yield _best(qid[q[keep]], ids[c[keep]], score[keep], k)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    sides = (int(total or 0), int(size[1] or 0))
-    first = meet(blocks, packed(asked, ["dim", "q_block"]), gather, FOUND_DDL, *sides)
+    first = meet(base, asked, gather, FOUND_DDL, *sides)
     ranked = first.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     cutoffs = ranked.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff"))
     known = asked.join(cutoffs, "vec_id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(NO_CUTOFF)))
-    second = meet(blocks, packed(known, ["dim", "q_block"], "cutoff"), collect, FOUND_DDL, *sides)
+    second = meet(base, known, collect, FOUND_DDL, *sides)
     return second.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
