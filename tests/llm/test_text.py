@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from paths import DATA
@@ -95,7 +96,7 @@ def test_label_model_finds_the_accuracies():
     v = np.where(rng.random((20000, 5)) < right, good[:, None], ~good[:, None]).astype(int)
     v[rng.random(v.shape) < 0.2] = quality.ABSTAIN
     patterns, n = np.unique(quality.pattern_of(v), return_counts=True)
-    model = quality.estimate(quality.votes_of(patterns, 5), n, trust=0.0001)
+    model = quality.estimate(quality.votes_of(patterns, 5), n)
     found = model.chance[1, :, 1] / (model.chance[1, :, 0] + model.chance[1, :, 1])
     assert np.abs(found - right).max() < 0.03 and abs(model.prior - 0.8) < 0.02
 
@@ -184,3 +185,68 @@ def test_perspectives(spark):
             else:
                 assert r.mask_start is None and r.role == ("system" if s == "system" else "user") and r.name == (None if s == "system" else s)
     assert chat_format.perspectives(df.limit(0)).count() == 0
+
+
+def test_quality_votes_and_labels_equal_loops(spark, docs, corpus):
+    """Votes by loops over each text, and posteriors by loops over the counted patterns, at the registered setting."""
+
+    def three(bad, good):
+        return quality.BAD if bad else quality.GOOD if good else quality.ABSTAIN
+
+    def pattern(text):
+        raw = (text or "").encode()
+        w = [x for x in raw.translate(bytes.maketrans(b"\t\n\v\f\r", b"     ")).split(b" ") if x]
+        n = max(1, len(w))
+        if not w:
+            v = [quality.ABSTAIN] * 5 + [quality.BAD]
+        else:
+            letters = sum(chr(b).isalpha() and b < 128 or b >= 128 for b in raw) / len(raw)
+            symbols = sum(chr(b) in "#$%&*|@^~<>{}[]\\_=+" for b in raw) / n
+            variety = len(set(w)) / n / min(1, 3 * n**-0.15)
+            repeats = sum(a == b for a, b in zip(w, w[1:])) / n
+            size = sum(map(len, w)) / n
+            v = [three(letters < 0.65, letters > 0.75), three(symbols > 0.3, symbols < 0.05), three(variety < 0.3, variety > 0.5), three(repeats > 0.2, repeats < 0.05), three(size < 2 or size > 12, 3 < size < 9), three(len(w) < 5, len(w) >= 50)]
+        return sum(x * 3**i for i, x in enumerate(v))
+
+    got = {r.doc_id: r for r in quality.score(docs).collect()}
+    want = {i: pattern(t) for i, t in corpus}
+    assert {i: r.votes for i, r in got.items()} == want
+    patterns, n = np.unique(list(want.values()), return_counts=True)
+    model = quality.estimate(quality.votes_of(patterns, 6), n.astype(float))
+    for i, r in got.items():
+        good, bad = model.prior, 1 - model.prior
+        for j, v in enumerate(quality.votes_of(np.array([want[i]]), 6)[0]):
+            good, bad = good * model.chance[1, j, v], bad * model.chance[0, j, v]
+        assert abs(r.weak_label - good / (good + bad)) < 1e-9
+
+
+def test_learned_accuracies_follow_the_labels(spark):
+    """At the registered setting, each labeller's estimated votes by class lie near those counted with true labels."""
+    table = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").join(spark.read.parquet(f"{DATA}/sf0.01/labels.parquet"), "doc_id", "left").select("text", "quality").toPandas()
+    v = quality.votes(Words(pa.array(table["text"].tolist(), pa.string())))
+    patterns, n = np.unique(quality.pattern_of(v), return_counts=True)
+    model = quality.estimate(quality.votes_of(patterns, 6), n.astype(float))
+    for c in (0, 1):
+        own = v[(table["quality"] == c).to_numpy()]
+        true = np.stack([np.bincount(own[:, j], minlength=3) / len(own) for j in range(6)])
+        assert np.abs(model.chance[c] - true).mean() < 0.06
+
+
+def test_language_decoding_equals_loops(spark, docs, corpus):
+    few = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr")] * 40)], "doc_id long, text string, lang string")
+    model = language_id.fit(few)
+    got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    for i, t in corpus:
+        if not any(ch.isalpha() for ch in t or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        x = language_id.features([t])[0].astype(float)
+        losses = []
+        for code, trust in zip(model.code, model.trust):
+            margins = [sum(x[f] * model.weights[f, b] for f in np.flatnonzero(x)) + model.bias[b] for b in range(len(code))]
+            losses.append(sum(w * math.log1p(math.exp(-m * c)) for w, m, c in zip(trust, margins, code)))
+        shares = [math.exp(-4 * (loss - min(losses))) for loss in losses]
+        top = max(shares) / sum(shares)
+        assert abs(got[i].score - top) < 1e-3
+        if sorted(shares)[-2] / sum(shares) < top - 1e-3:
+            assert got[i].lang_pred == model.languages[losses.index(min(losses))]
