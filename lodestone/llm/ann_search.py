@@ -173,8 +173,6 @@ def _search_length(base: DataFrame, asked: DataFrame, dim: int, n: int, k: int,
     held = np.array([counts.get(i, 0) for i in range(parts)])
 
     def rerank(own, questions, _):
-        own = own.sort_by("part")
-        bound = np.searchsorted(own["part"].to_numpy(), np.arange(parts + 1)).tolist()
         for question in slices_of(questions, query_block):
             qid, y = question["vec_id"].to_numpy(), matrix_of(question["v"], dim)
             # the parts each query visits
@@ -182,20 +180,17 @@ def _search_length(base: DataFrame, asked: DataFrame, dim: int, n: int, k: int,
             few = (np.cumsum(held[order], axis=1) <= k).sum(axis=1) + 1
             visits = np.zeros((len(qid), parts), bool)
             np.put_along_axis(visits, order, np.arange(parts)[None, :] < np.maximum(probes, few)[:, None], axis=1)
-            for part in range(parts):
-                rows = np.flatnonzero(visits[:, part])
-                for piece in slices_of(own.slice(bound[part], bound[part + 1] - bound[part]), block) if len(rows) else ():
-                    ids, x = piece["vec_id"].to_numpy(), matrix_of(piece["v"], dim)
-                    rough = y[rows] @ x.T
-                    near = min(k + 1, len(ids))
-                    worst = np.partition(rough, len(ids) - near, axis=1)[:, len(ids) - near]
-                    margin = 1e-12 * np.sqrt((y[rows] ** 2).sum(axis=1)) * np.sqrt((x**2).sum(axis=1).max())
-                    q, c = np.nonzero(rough >= (worst - margin)[:, None])
-                    q = rows[q]
-                    keep = qid[q] != ids[c]
-                    q, c = q[keep], c[keep]
-                    for at in range(0, max(1, len(q)), 1 << 18):
-                        yield _best(qid[q[at : at + (1 << 18)]], ids[c[at : at + (1 << 18)]], _exact(y[q[at : at + (1 << 18)]], x[c[at : at + (1 << 18)]]), k)
+            for piece in slices_of(own, block):
+                ids, x, visited = piece["vec_id"].to_numpy(), matrix_of(piece["v"], dim), visits[:, piece["part"].to_numpy()]
+                rough = np.where(visited, y @ x.T, -np.inf)
+                near = min(k + 1, len(ids))
+                worst = np.partition(rough, len(ids) - near, axis=1)[:, len(ids) - near]
+                margin = 1e-12 * np.sqrt((y**2).sum(axis=1)) * np.sqrt((x**2).sum(axis=1).max())
+                q, c = np.nonzero((rough >= (worst - margin)[:, None]) & visited)
+                keep = qid[q] != ids[c]
+                q, c = q[keep], c[keep]
+                for at in range(0, max(1, len(q)), 1 << 18):
+                    yield _best(qid[q[at : at + (1 << 18)]], ids[c[at : at + (1 << 18)]], _exact(y[q[at : at + (1 << 18)]], x[c[at : at + (1 << 18)]]), k)
 
     def cell(own, questions, length):
         """The best k of each query over the whole cell."""
