@@ -14,9 +14,6 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rules up to this number are copied to every slice of the sweep; more are joined by host instead.
-MOST_COPIED = 50_000
-
 
 def host_of(url: str = "url") -> Column:
     return F.translate(F.regexp_extract(_rest(url), "^([^/?#]*)", 1), string.ascii_uppercase, string.ascii_lowercase)
@@ -58,7 +55,15 @@ def _stacks(rules: DataFrame) -> DataFrame:
     return bounds.join(active.groupBy("key").agg(stack.alias("stack")), "key", "left").withColumn("stack", F.coalesce("stack", F.array().cast("array<struct<long:int,rule:string,rule_path:string,verdict:string>>")))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow", slice_rows: int = 100_000) -> DataFrame:
+def _range_starts(bounds: DataFrame, n: int) -> list[str]:
+    """Keys of bounds that split them into ``n`` ranges of about equal size (one row of the driver's for each range)."""
+    if n == 1:
+        return []
+    ranged = bounds.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("range")).agg(F.min("key").alias("key"))
+    return sorted(r.key for r in ranged.select("key").collect())[1:]
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow", slice_rows: int = 100_000, range_bounds: int = 100_000) -> DataFrame:
     """page_id, host, path, rule and verdict of every url.
 
     A rule ``host/path`` fits its host and all subdomains if the url's path starts with the rule's; of those that fit the
@@ -66,33 +71,25 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow"
     without ``://`` has an empty host and path; a url without a path fits no rule. Repeated rows stay; other columns are
     not read; an empty table or rule list is allowed.
 
-    Urls are dealt into slices by hash, so a frequent host does not gather in one task; every slice is swept
-    with its own copy of the bounds. More than MOST_COPIED rules are joined by host prefix instead.
+    Keys are split into ranges of about ``range_bounds`` bounds, each of which starts at a bound with its whole stack. The urls
+    of a range are dealt into slices by hash, so a frequent host does not gather in one task; every slice is swept
+    with its own copy of its range's bounds. Copies and urls together stay in proportion to the urls and bounds. The
+    urls are counted first, to choose the slices.
     """
     urls = pages.select("page_id", host_of().alias("host"), path_of().alias("path"), F.xxhash64("page_id", "url").alias("dealt"))
     if not rules:
         return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    table = rule_table(pages.sparkSession, rules)
-    if len(rules) > MOST_COPIED:
-        return _by_host(urls, table, default)
-    slices = max(pages.sparkSession.sparkContext.defaultParallelism, math.ceil(pages.count() / slice_rows))
-    points = urls.withColumn("key", key_of(F.col("host"))).withColumn("slice", F.pmod("dealt", F.lit(slices)).cast("int"))
-    bounds = _stacks(table).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    bounds = _stacks(rule_table(pages.sparkSession, rules))
+    starts = _range_starts(bounds, math.ceil(2 * len(rules) / range_bounds))
+    within = F.size(F.filter(F.lit(starts), lambda start: start <= F.col("key"))) if starts else F.lit(0)
+    points = urls.withColumn("key", key_of(F.col("host"))).withColumn("range", within)
+    rows = dict(points.groupBy("range").count().collect())  # one row for each range
+    least = math.ceil(pages.sparkSession.sparkContext.defaultParallelism / (len(starts) + 1))
+    slices = F.get(F.lit([max(least, math.ceil(rows.get(i, 0) / slice_rows)) for i in range(len(starts) + 1)]), F.col("range"))
+    points = points.withColumn("slice", F.pmod("dealt", slices).cast("int"))
+    bounds = bounds.withColumn("range", within).withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
     events = points.withColumn("is_url", F.lit(1)).unionByName(bounds.withColumn("is_url", F.lit(0)), allowMissingColumns=True)
-    sweep = Window.partitionBy("slice").orderBy("key", "is_url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sweep = Window.partitionBy("range", "slice").orderBy("key", "is_url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = events.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).filter("is_url = 1")
     hit = F.get(F.filter("active", lambda r: F.startswith(F.col("path"), r["rule_path"])), F.lit(0))
     return swept.withColumn("hit", hit).select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
-
-
-def _by_host(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same result by an equality join of host prefixes, for rule sets too large to copy."""
-    places = urls.select("host", "path").distinct().withColumn("key", F.explode(_prefixes_of_host()))
-    hits = places.join(rules, "key").filter(F.startswith("path", "rule_path"))
-    best = hits.groupBy("host", "path").agg(F.max(F.struct("long", "rule", "rule_path", "verdict")).alias("hit"))
-    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
-
-
-def _prefixes_of_host() -> Column:
-    labels = F.reverse(F.split("host", r"\."))
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(labels, F.lit(1), n), "."), F.lit(".")))

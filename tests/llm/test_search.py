@@ -101,11 +101,10 @@ def verdict(url):
     return (host, path, *(max(fits)[1:] if fits else (None, "allow")))
 
 
-@pytest.mark.parametrize("most", [50_000, 1])
-def test_url_filter(spark, monkeypatch, most):
-    monkeypatch.setattr(url_filter, "MOST_COPIED", most)
+@pytest.mark.parametrize("range_bounds,slice_rows", [(100_000, 100_000), (4, 3), (1, 1)])
+def test_url_filter(spark, range_bounds, slice_rows):
     df = spark.createDataFrame([(i % 23, u, "x") for i, u in enumerate(URLS * 2)], "page_id long, url string, key string")
-    got = sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in url_filter.judge(df, RULES).collect())
+    got = sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in url_filter.judge(df, RULES, slice_rows=slice_rows, range_bounds=range_bounds).collect())
     assert got == sorted((i % 23, h, p, r or "", v) for i, u in enumerate(URLS * 2) for h, p, r, v in [verdict(u)])
-    assert url_filter.judge(df.limit(0), RULES).count() == 0
+    assert url_filter.judge(df.limit(0), RULES, range_bounds=range_bounds).count() == 0
     assert {r.verdict for r in url_filter.judge(df, [], default="block").collect()} == {"block"}
