@@ -161,6 +161,15 @@ def test_mixing(docs, corpus, empty, budget, digits):
     assert source_mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("budget,entropy", [(None, 0.9), (6000, 0.9), (6000, None)])
+def test_many_sources_are_mixed_alike(docs, empty, budget, entropy):
+    """Sources beyond the number whose sizes meet in one row: summed by jobs, joined by shuffle, with the same rows."""
+    few = source_mixing.mix(docs, entropy=entropy, max_epochs=3, budget=budget, digits=2)
+    many = source_mixing.mix(docs, entropy=entropy, max_epochs=3, budget=budget, digits=2, most_sources=3)
+    assert sorted(map(repr, many.collect())) == sorted(map(repr, few.collect()))
+    assert source_mixing.mix(empty, entropy=0.9, most_sources=0).count() == 0
+
+
 def test_mixing_refuses_what_it_cannot_do(docs):
     with pytest.raises(ValueError):
         source_mixing.mix(docs, budget=10**9, max_epochs=2.0)
