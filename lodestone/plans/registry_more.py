@@ -61,6 +61,15 @@ def j16_cell_ranges(spark, sf_dir):
     return runs.cell_ranges(cells, chunks.fixed_chunks(f, 40, 8), f)
 
 
+@query(rf"""
+with c as ({ORACLES['s2_classified']})
+select doc_id, path, language, case when regexp_matches(lower(path), '[^/]\.tf$') then 'binary_ext' when language = 'unknown' then 'unsupported_type' when category = 'iac' then 'category_excluded'
+  when category = 'code' and language <> 'python' then 'language_excluded' end as skip_reason from c""")
+def s1_skipped_by_name(spark, sf_dir):
+    reason = files.skip_by_name(("code", "config"), ("python",), (".tf",), scan_unknown=False)
+    return files.classified(derived(spark, sf_dir, "named_files")).select("doc_id", "path", "language", reason.alias("skip_reason"))
+
+
 @query(f"with {NAMED}, c as ({ORACLES['s2_classified']}) select category as skip_reason, count(*) as count from c where category <> 'code' group by category")
 def a9_skip_reasons(spark, sf_dir):
     c = files.classified(derived(spark, sf_dir, "named_files"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.scoring import lookup
@@ -67,24 +67,56 @@ def classified(files: DataFrame) -> DataFrame:
     return out
 
 
-def discover(spark: SparkSession, root: str, max_bytes: int = 1 << 20, excluded: tuple[str, ...] = (".git", "node_modules", "__pycache__"), categories: tuple[str, ...] = ("code", "iac", "config")) -> DataFrame:
+def skip_by_name(categories: tuple[str, ...], languages: tuple[str, ...] | None = None, binary_suffixes: tuple[str, ...] = (), scan_unknown: bool = True) -> Column:
+    """The first reason to skip a classified file that its name gives; null if none does.
+
+    Unknown types are of no category or language that could be excluded; ``languages`` (all if None) concern code only.
+    """
+    suffix = F.lower(F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^.+(\.[^.]+)$", 1))
+    known = F.col("language") != "unknown"
+    reason = F.when(suffix.isin([x.lower() for x in binary_suffixes]), "binary_ext")
+    if not scan_unknown:
+        reason = reason.when(~known, "unsupported_type")
+    reason = reason.when(known & ~F.col("category").isin(list(categories)), "category_excluded")
+    if languages is not None:
+        reason = reason.when(known & (F.col("category") == "code") & ~F.col("language").isin(list(languages)), "language_excluded")
+    return reason
+
+
+def discover(
+    spark: SparkSession,
+    root: str,
+    max_bytes: int = 1 << 20,
+    excluded: tuple[str, ...] = (".git", "node_modules", "__pycache__"),
+    categories: tuple[str, ...] = ("code", "iac", "config"),
+    languages: tuple[str, ...] | None = None,
+    binary_suffixes: tuple[str, ...] = (),
+    scan_unknown: bool = True,
+) -> DataFrame:
     """Files under ``root`` with the first reason to skip them, and text, digest and size of those that stay.
 
-    Too large files are told by their listed length, so their content is not needed. Text is UTF-8 with replacement; a NUL
-    byte in the first 8192 marks a binary. Reads through Spark, so any file system works; Spark itself does not list files
-    whose names start with a dot or an underscore.
+    Names and listed lengths come first: the content of files over ``max_bytes`` is never read. Text is UTF-8 with
+    replacement; a NUL byte in the first 8192 marks a binary. Reads through Spark, so any file system works; Spark itself
+    does not list files whose names start with a dot or an underscore.
     """
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     home = F.regexp_replace(F.lit(root), r"^[a-z]+:/*(?=/)|/+$", "")
-    f = f.withColumn("path", F.regexp_replace(F.expr("substring_index(path, ':', -1)"), "^/+", "/")).withColumn("path", F.regexp_replace(F.replace(F.col("path"), home, F.lit("")), "^/+", ""))
-    parts = F.slice(F.split("path", "/"), F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
-    f = classified(f.filter(~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in excluded]))))
-    nul = F.instr(F.hex(F.substring("content", 1, 8192)), "00")
-    binary = F.exists(F.sequence(F.lit(0), F.least(F.length("content"), F.lit(8192)) - 1), lambda i: F.hex(F.substring(F.col("content"), i + 1, F.lit(1))) == "00") & (nul > 0) & (F.length("content") > 0)
-    reason = F.when(~F.col("category").isin(*categories), "category_excluded").when(F.col("length") > max_bytes, "too_large").when(binary, "binary")
-    f = f.withColumn("skip_reason", reason)
+    names = skip_by_name(categories, languages, binary_suffixes, scan_unknown)
+
+    def named(f: DataFrame) -> DataFrame:
+        f = f.withColumn("path", F.regexp_replace(F.expr("substring_index(path, ':', -1)"), "^/+", "/")).withColumn("path", F.regexp_replace(F.replace(F.col("path"), home, F.lit("")), "^/+", ""))
+        parts = F.slice(F.split("path", "/"), F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
+        return classified(f.filter(~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in excluded]))))
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    about = ["path", "language", "category", "length", "skip_reason"]
+    left_out = named(listed.select("path", "length")).withColumn("skip_reason", F.coalesce(names, F.when(F.col("length") > max_bytes, "too_large"))).filter("skip_reason is not null")
+    left_out = left_out.select(*about, F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("string").alias("text"))
+    # the filter on length reaches the reader, which then opens no larger file
+    read = named(listed.filter(F.col("length") <= max_bytes).select("path", "length", "content")).filter(names.isNull())
+    read = read.withColumn("skip_reason", F.when(F.contains(F.substring("content", 1, 8192), F.lit(b"\0")), "binary"))
     kept = F.col("skip_reason").isNull()
-    return f.select("path", "language", "category", "length", "skip_reason", F.when(kept, F.sha2("content", 256)).alias("sha256"), F.when(kept, F.make_valid_utf8(F.col("content").cast("string"))).alias("text"))
+    read = read.select(*about, F.when(kept, F.sha2("content", 256)).alias("sha256"), F.when(kept, F.make_valid_utf8(F.col("content").cast("string"))).alias("text"))
+    return left_out.unionByName(read)
 
 
 def with_line_counts(files: DataFrame) -> DataFrame:
@@ -100,7 +132,7 @@ def line_range(table: DataFrame, path: str, lo: int, hi: int) -> DataFrame:
     return table.filter((F.col("path") == path) & F.col("line_no").between(lo, hi)).orderBy("line_no")
 
 
-def canonical_path(path: str) -> F.Column:
+def canonical_path(path: str) -> Column:
     """Forward slashes, no leading ``./`` or ``/``; null if a part is ``..``."""
     p = F.regexp_replace(F.regexp_replace(F.col(path), r"\\", "/"), r"/+(\./+)*", "/")
     p = F.regexp_replace(p, r"^(\./|/)+", "")

@@ -172,6 +172,10 @@ def test_discovery_of_a_folder(spark, tmp_path):
         (tmp_path / name).write_bytes(body)
     got = {r.path: (r.language, r.skip_reason) for r in files.discover(spark, str(tmp_path), max_bytes=100).collect()}
     assert got == {"a.py": ("python", None), "sub/Dockerfile.dev": ("dockerfile", None), "b.bin": ("unknown", "binary"), "prod.env": ("dotenv", None), "big.yml": ("yaml", "too_large"), "bad.py": ("python", None)}
+    got = {r.path: r.skip_reason for r in files.discover(spark, str(tmp_path), 100, categories=("code", "config"), languages=("go",), binary_suffixes=(".YML",), scan_unknown=False).collect()}
+    assert got == {"a.py": "language_excluded", "sub/Dockerfile.dev": "category_excluded", "b.bin": "unsupported_type", "prod.env": None, "big.yml": "binary_ext", "bad.py": "language_excluded"}
+    plan = files.discover(spark, str(tmp_path), 100)._jdf.queryExecution().toString()
+    assert "LessThanOrEqual(length,100)" in plan and "ReadSchema: struct<path:string,length:bigint>" in plan
 
 
 def test_report_round_trip(spark, tmp_path):
