@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import scoring, text
-from lodestone.operators import chunks, detect, findings, ledger, navigation, replies, runs
+from lodestone.operators import chunks, costs, detect, findings, ledger, navigation, replies, runs
 from lodestone.plans.fixtures import derived, sql_of
 from lodestone.plans.registry import CELLS, CHUNKS, CODE, FOUND, GATES, LINES, N_LINES, ORACLES, PLACE, PRICED, PRINT, QUERIES, SYMBOLS, TIES, calls_of, code_symbols, document_files, document_lines, given, ledger_cells, query
 from lodestone.sources import files, sinks
@@ -236,3 +236,26 @@ def s11_x1_table_rules(spark, sf_dir):
 @query("select doc_id, n, lpad(cast(n as varchar), 6, ' ') || ' | ' || coalesce(source, '') as numbered from (select doc_id, source, n_chars as n from documents)")
 def f10_numbered(spark, sf_dir):
     return given(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("n"), text.numbered("n_chars", F.coalesce("source", F.lit(""))).alias("numbered"))
+
+
+_SPELT = "case doc_id % 5 when 0 then './' || path when 1 then '//' || path when 2 then replace(path, '/', chr(92)) when 3 then path || '/../x' else '/./' || replace(path, '/', '//.//') end"
+
+
+@query(rf"""
+with {NAMED}, x as (select doc_id, {_SPELT} as spelt from named),
+y as (select *, regexp_replace(regexp_replace(replace(spelt, chr(92), '/'), '/+(\./+)*', '/', 'g'), '^(\./|/)+', '') as p from x)
+select doc_id, spelt, case when not list_contains(string_split(p, '/'), '..') then p end as path from y""")
+def s8_canonical_paths(spark, sf_dir):
+    spelt = derived(spark, sf_dir, "named_files").select("doc_id", F.expr(_SPELT).alias("spelt"))
+    return spelt.withColumn("path", files.canonical_path("spelt"))
+
+
+@query(f"with {CODE} select path, line_no, line from code where path = 'src/o3.py' and line_no between 5 and 90")
+def s6_line_range(spark, sf_dir):
+    return files.line_range(derived(spark, sf_dir, "code"), "src/o3.py", 5, 90).select("path", "line_no", "line")
+
+
+@query(f"with c as ({sql_of('calls')}) select id, case when input_tokens >= 9000 then 'max_time' when reported >= 0.05 then 'max_cost' when output_tokens >= 600 then 'max_passes' end as stop from c")
+def f43_budget_verdicts(spark, sf_dir):
+    stop = costs.budget_verdict(F.col("input_tokens"), F.col("reported"), F.col("output_tokens"), 9000, 0.05, 600)
+    return derived(spark, sf_dir, "calls").select("id", stop.alias("stop"))
