@@ -36,6 +36,12 @@ def gated(findings: DataFrame, baseline: DataFrame, suppressions: DataFrame, now
     return f.withColumn("gate", gate).drop("quiet", "known")
 
 
+def fail_closed(findings: DataFrame, threshold: str = "medium") -> DataFrame:
+    """``gate`` where baseline and suppressions cannot be read: every finding at the threshold is reportable, but those refuted or suppressed."""
+    told = ~F.coalesce(F.col("status").isin("false_positive", "suppressed"), F.lit(False)) & passes(threshold)
+    return findings.withColumn("gate", F.when(told, "reportable").otherwise("dropped"))
+
+
 def merged_baseline(old: DataFrame, found: DataFrame) -> DataFrame:
     """Union of fingerprints; ``added`` tells the new ones."""
     o = old.select("fingerprint").distinct().withColumn("was", F.lit(True))

@@ -56,6 +56,11 @@ def withheld(safe: str | Column) -> Column:
     return F.coalesce(as_col(safe), F.lit("[WITHHELD — content could not be sanitised]"))
 
 
+def handed_on(safe: str | Column, hits: str | Column) -> Column:
+    """A tool's text as it is handed on: without a sanitised text (null) it is withheld; where the guard failed (null hits) it goes unmarked."""
+    return guarded(withheld(safe), F.when(as_col(safe).isNotNull(), as_col(hits)))
+
+
 def cited_routes(claims: DataFrame, lines: DataFrame) -> DataFrame:
     """Claims (claim_id, path, line_no, route) with ``verified``: does the route stand 3 lines around the cited one?
 

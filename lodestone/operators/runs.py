@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.scoring import fingerprint
 from lodestone.functions.text import as_col, squeezed
 from lodestone.operators import findings as merging
-from lodestone.operators import symbols
+from lodestone.operators import gate, symbols
 
 
 def skip_reasons(files: DataFrame) -> DataFrame:
@@ -142,6 +142,22 @@ def summary(gates: DataFrame, coverage: float) -> DataFrame:
     return gates.agg(*counts, *levels, F.count_if(told & (F.col("reachable") == "reachable")).alias("reachable")).withColumn("note", F.lit(note))
 
 
+def finalised(findings: DataFrame, baseline: DataFrame | None, suppressions: DataFrame | None, now: float, threshold: str = "medium") -> DataFrame:
+    """Findings at the end of a run, whole or broken off: scored, folded again, gated (``gate``, ``fingerprint``).
+
+    Nothing is kept between calls, so the same findings give the same rows however often it is called. Without a baseline or
+    suppressions that can be read (None) the gate fails closed. A folded finding has the status of its first one (by ord).
+    """
+    status = findings.withColumn("status", F.coalesce("status", F.lit("new")))
+    scored = merging.enriched(status).drop("base_severity", "base_confidence")
+    folded = merging.merge_findings(scored)
+    first = scored.select(fingerprint().alias("key"), "ord", "status").groupBy("key").agg(F.min(F.struct("ord", "status")).alias("x"))
+    out = folded.drop("status").join(first.select("key", "x.status"), "key").withColumn("fingerprint", F.col("key"))
+    if baseline is None or suppressions is None:
+        return gate.fail_closed(out, threshold)
+    return gate.gated(out, baseline, suppressions, now, threshold)
+
+
 def documents_of(gates: DataFrame, formats: list[str]) -> DataFrame:
     """Findings of each report format: json keeps its tiers apart, sarif and markdown tell reportable and informational ones."""
     told = gates.filter("gate in ('reportable', 'informational')").withColumn("fingerprint", fingerprint())

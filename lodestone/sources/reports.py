@@ -39,5 +39,10 @@ def baseline(spark: SparkSession, path: str) -> DataFrame:
 def suppressions(spark: SparkSession, path: str) -> DataFrame:
     """Entries (ord, fingerprint, reason, owner, expires in epoch seconds) of a JSON list; dates are days in the session's zone."""
     rows = spark.read.option("multiLine", True).schema("fingerprint string, reason string, owner string, expires string").json(path)
+    return suppression_entries(rows.withColumn("ord", F.monotonically_increasing_id()))
+
+
+def suppression_entries(rows: DataFrame) -> DataFrame:
+    """Rows with ``expires`` (text: epoch seconds or a day) as epoch seconds; null if it is neither. Rows without a fingerprint go."""
     when = F.coalesce(F.col("expires").try_cast("double"), F.unix_timestamp(F.try_to_timestamp("expires", F.lit("yyyy-MM-dd"))).cast("double"))
-    return rows.filter("fingerprint is not null").withColumn("ord", F.monotonically_increasing_id()).withColumn("expires", when)
+    return rows.filter("fingerprint is not null").withColumn("expires", when)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.scoring import fingerprint
@@ -47,5 +47,12 @@ def write_report(findings: DataFrame, path: str) -> None:
     report_rows(findings).select("json").write.mode("overwrite").text(path)
 
 
+def write_empty_report(spark: SparkSession, path: str, reason: str) -> None:
+    """An empty report, so that an earlier run's is not taken for this one's: no findings, and a head that says why."""
+    spark.createDataFrame([], "json string").write.mode("overwrite").text(f"{path}/findings")
+    head = spark.createDataFrame([(0, 0.0, f"no scan performed: {reason}")], "findings int, coverage double, note string")
+    head.write.mode("overwrite").json(f"{path}/head")
+
+
 def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
