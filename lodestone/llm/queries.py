@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import ann_search, chat_format, jaccard_join, language_id, piece_codec, quality, source_mixing, substring_dedup, topk_search, url_filter
+from lodestone.llm import ann_search, chat_format, jaccard_join, language_id, pair_alignment, piece_codec, quality, source_mixing, substring_dedup, topk_search, url_filter
 from lodestone.llm.shared import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,10 @@ def op9_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_search.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
 
 
+def op11_pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_alignment.align(table(spark, sf_dir, "documents"), BYTES, PIECES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_piece_codec": op2_piece_codec,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_ann_search": op9_ann_search,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_pair_alignment": op11_pair_alignment,
 }
 
 OP8 = r"""
