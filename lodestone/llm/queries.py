@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import ann_search, chat_format, jaccard_join, language_id, pair_alignment, piece_codec, quality, source_mixing, substring_dedup, topk_search, url_filter
+from lodestone.llm import ann_search, chat_format, jaccard_join, language_id, lexical_search, pair_alignment, piece_codec, quality, source_mixing, substring_dedup, topk_search, toxicity, url_filter
 from lodestone.llm.shared import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -66,6 +67,16 @@ def op11_pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_alignment.align(table(spark, sf_dir, "documents"), BYTES, PIECES)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "held_out", "score", "predicted", "toxic_lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_piece_codec": op2_piece_codec,
@@ -78,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ann_search": op9_ann_search,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_pair_alignment": op11_pair_alignment,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_toxicity": op13_toxicity,
 }
 
 OP8 = r"""
@@ -162,4 +175,15 @@ c as (select d.*, weight_ppb, cast(budget // tokens as bigint) as whole, budget
 select doc_id, source, cast(n_tokens as bigint) as n_tokens, weight_ppb, cast(whole + case when upto <= rest then 1 else 0 end as integer) as copies, substr(h, 1, k) as block from c, digits
 """
 
-ORACLES: dict[str, str] = {"op1_topk_search": OP1, "op3_source_mixing": OP3, "op5_url_filter": OP5, "op6_chat_format": OP6, "op8_substring_dedup": OP8, "op10_jaccard_join": OP10}
+OP12 = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents),
+t as (select r, doc_id, cast(len(ws) as bigint) as n, unnest(ws) as w from d),
+f as (select r, doc_id, n, w, count(*) as tf from t group by all),
+c as (select cast(count(*) as bigint) as docs, cast(sum(len(ws)) as bigint) as terms from d where len(ws) > 0),
+wt as (select w, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / (2 * count(*) + 1))) as bigint) as weight from f, c group by w, docs),
+i as (select i, item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) as w from (select *, row_number() over () as i from benchmark)),
+s as (select i, item_id, r, doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) as bigint) as score from i join f using (w) join wt using (w), c group by all)
+select item_id, cast(row_number() over (partition by i order by score desc, doc_id, r) as integer) as rank, doc_id, score from s where score > 0 qualify rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_topk_search": OP1, "op3_source_mixing": OP3, "op5_url_filter": OP5, "op6_chat_format": OP6, "op8_substring_dedup": OP8, "op10_jaccard_join": OP10, "op12_lexical_search": OP12}

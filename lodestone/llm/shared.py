@@ -96,12 +96,12 @@ def _pow_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of a batch of texts: maximal runs without ASCII white space, hashed to 64 bits.
+    """Words of a batch of texts: maximal runs without the bytes of ``gap`` (ASCII white space), hashed to 64 bits.
 
     ``first[d]:first[d + 1]`` are the words of text ``d``; null texts have none.
     """
 
-    def __init__(self, texts: pa.Array | pa.ChunkedArray, lower: bool = False):
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, lower: bool = False, gap: np.ndarray = SPACE):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         if isinstance(texts, pa.ChunkedArray):
@@ -119,12 +119,12 @@ class Words:
         while at < len(data):
             to = min(len(data), at + CHUNK)
             while to < len(data):
-                gaps = np.flatnonzero(SPACE[data[at:to]] | inner[at:to])
+                gaps = np.flatnonzero(gap[data[at:to]] | inner[at:to])
                 if len(gaps) and gaps[-1] > 0:
                     to = at + int(gaps[-1])
                     break
                 to = min(len(data), to + CHUNK)
-            s, e, h = self._hash(data[at:to], inner[at : to + 1], lower)
+            s, e, h = self._hash(data[at:to], inner[at : to + 1], lower, gap)
             starts.append(s + at)
             ends.append(e + at)
             hashes.append(h)
@@ -135,8 +135,8 @@ class Words:
         self.first = np.searchsorted(self.start, self.off)
 
     @staticmethod
-    def _hash(data: np.ndarray, inner: np.ndarray, lower: bool):
-        solid = ~SPACE[data]
+    def _hash(data: np.ndarray, inner: np.ndarray, lower: bool, gap: np.ndarray):
+        solid = ~gap[data]
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
         before, after = np.ones(len(data), bool), np.ones(len(data), bool)
