@@ -76,6 +76,13 @@ def location_key() -> Column:
     return F.substring(F.sha2(F.concat_ws("|", "file_rel", "category", location_token()).cast("binary"), 256), 1, 16)
 
 
+def sarif_rule_id(prefix: str) -> Column:
+    """The rule of a finding: its CWE, or its category where it has none."""
+    cwe = F.coalesce("cwe", F.lit(""))
+    named = F.when(cwe != "", F.replace(cwe, F.lit("CWE-"), F.lit("CWE"))).otherwise(F.replace(F.upper("category"), F.lit("/"), F.lit("_")))
+    return F.concat(F.lit(f"{prefix}-"), named)
+
+
 def confidence_of(raw: str | Column) -> Column:
     """A reply's confidence, given as text, as a number from 0 to 1; 0.5 if it is none."""
     low = F.lower(F.trim(as_col(raw)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -118,42 +119,43 @@ def injection_hits(lines: DataFrame, most: int = 20) -> DataFrame:
     return lines.withColumn("pattern_index", which).filter("pattern_index is not null").withColumn("nth", nth).filter(F.col("nth") <= most).select("path", "line_no", "pattern_index", F.substring(stripped("line"), 1, 160).alias("snippet"))
 
 
-def _mask(line: Column, label: str, pattern: str, group: int) -> Column:
-    """Put placeholders for the matches of one pattern whose value is no digest.
+def _replaced(line: Column, pattern: str, swap: Callable[[Column, Column], Column], group: int = 0) -> tuple[Column, Column]:
+    """The line with every match of a pattern swapped, and the number of matches that changed.
 
-    Matches are looked at from left to right; each replaces its value's first place in what is not yet done.
+    What lies between the matches comes from a split at the same pattern, so exactly the matches are touched, whatever else the line holds. ``swap``
+    gets a match and its ``group``, and gives what is put there, null for no change.
     """
-    whole = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(line, F.lit(pattern), F.lit(group))
-    state = F.struct(F.lit("").alias("done"), line.alias("rest"), F.lit(0).alias("n"))
+    between = F.split(line, pattern, -1)
+    whole, value = (F.regexp_extract_all(line, F.lit(pattern), F.lit(g)) for g in (0, group))
+    new = F.transform(F.arrays_zip(whole.alias("w"), value.alias("v")), lambda m: F.struct(m["w"].alias("w"), swap(m["w"], m["v"]).alias("new")))
+    parts = F.zip_with(F.slice(between, 2, F.size(between)), new, lambda after, m: F.concat(F.coalesce(m["new"], m["w"]), after))
+    return F.concat(F.element_at(between, 1), F.array_join(parts, "")), F.size(F.filter(new, lambda m: m["new"].isNotNull()))
 
-    def step(s: Column, m: Column) -> Column:
-        at = F.instr(s["rest"], m["w"])
+
+def _masking(label: str, group: int) -> Callable[[Column, Column], Column]:
+    def swap(whole: Column, value: Column) -> Column:
         # the value of group 1 stands before a closing quote
-        inner = F.length(m["w"]) - F.length(m["v"]) if group else F.lit(1)
-        head = F.substring(s["rest"], F.lit(1), at - 1)
-        new = F.when(is_digest(m["v"]), m["w"]).otherwise(F.concat(F.substring(m["w"], F.lit(1), inner - 1), placeholder(label, m["v"]), F.substring(m["w"], inner + F.length(m["v"]), F.length(m["w"]))))
-        return F.struct(F.concat(s["done"], head, new).alias("done"), F.substring(s["rest"], at + F.length(m["w"]), F.length(s["rest"])).alias("rest"), (s["n"] + F.when(is_digest(m["v"]), 0).otherwise(1)).alias("n"))
+        inner = F.length(whole) - F.length(value) if group else F.lit(1)
+        new = F.concat(F.substring(whole, F.lit(1), inner - 1), placeholder(label, value), F.substring(whole, inner + F.length(value), F.length(whole)))
+        return F.when(~is_digest(value), new)
 
-    out = F.aggregate(F.arrays_zip(whole.alias("w"), value.alias("v")), state, step)
-    return F.when(F.size(whole) > 0, F.struct(F.concat(out["done"], out["rest"]).alias("line"), out["n"].alias("n"))).otherwise(F.struct(line.alias("line"), F.lit(0).alias("n")))
+    return swap
 
 
 def masked(lines: DataFrame, threshold: float = 4.0) -> DataFrame:
     """The lines with secrets replaced by placeholders, and the number of replacements.
 
     Patterns are applied in order, then tokens of 20 characters or more whose entropy reaches ``threshold``. Digests
-    stay. Patterns that do not occur in a line leave it as it is.
+    stay. Only what a pattern matches is replaced: an equal text elsewhere in the line is judged by itself.
     """
+    stray = (TOKEN, 0, lambda whole, _: F.when(~is_digest(whole) & (entropy(whole) >= threshold), placeholder("highentropy", whole)))
     out = lines.withColumn("masked", F.col("line")).withColumn("n_masked", F.lit(0))
-    for label, pattern, group in SECRETS:
-        # the condition keeps the costly expression off the lines without a match
-        got = F.when(F.col("masked").rlike(pattern), _mask(F.col("masked"), label, pattern, group))
-        out = out.withColumn("m", got).withColumn("n_masked", F.col("n_masked") + F.coalesce("m.n", F.lit(0))).withColumn("masked", F.coalesce("m.line", "masked")).drop("m")
-    tokens = F.filter(F.regexp_extract_all("masked", F.lit(TOKEN), F.lit(0)), lambda t: ~is_digest(t) & (entropy(t) >= threshold))
-    out = out.withColumn("t", F.when(F.col("masked").rlike(TOKEN), tokens))
-    replaced = F.aggregate("t", F.col("masked"), lambda line, t: F.replace(line, t, placeholder("highentropy", t)))
-    return out.withColumn("n_masked", F.col("n_masked") + F.coalesce(F.size("t"), F.lit(0))).withColumn("masked", F.coalesce(replaced, "masked")).drop("t")
+    for pattern, group, swap in [*((p, g, _masking(label, g)) for label, p, g in SECRETS), stray]:
+        # the condition keeps the costly expressions off the lines without a match
+        line, n = _replaced(F.col("masked"), pattern, swap, group)
+        out = out.withColumn("m", F.when(F.col("masked").rlike(pattern), F.struct(line.alias("line"), n.alias("n"))))
+        out = out.withColumn("n_masked", F.col("n_masked") + F.coalesce("m.n", F.lit(0))).withColumn("masked", F.coalesce("m.line", "masked")).drop("m")
+    return out
 
 
 def sanitised(texts: DataFrame, mode: str = "redact", suffixes: tuple[str, ...] = (".env", ".pem", ".key")) -> DataFrame:

@@ -163,11 +163,13 @@ def located(claims: DataFrame, lines: DataFrame, slack: int = 2) -> DataFrame:
     White space counts as one blank. The lines looked at are the range, as many as the snippet has, and ``slack`` more on
     both sides. found_at is the first line from which the snippet's number of lines holds it; if only all lines looked
     at together do, the claimed range stays. Null: not found, empty, or too generic. The lines are fetched by
-    number, so a file with very many claims is spread.
+    number, so a file with very many claims is spread; ranges are first cut to the file, however far a reply says they go.
     """
     height = F.length(detect.stripped("snippet")) - F.length(F.replace(detect.stripped("snippet"), F.lit("\n"))) + 1
-    c = claims.withColumn("want", squeezed("snippet")).withColumn("height", height).withColumn("a", F.least("lo", "hi")).withColumn("b", F.greatest("lo", "hi"))
+    c = claims.withColumn("want", squeezed("snippet")).withColumn("height", height).withColumn("a", F.least("lo", "hi").cast("long")).withColumn("b", F.greatest("lo", "hi").cast("long"))
     c = c.filter((F.col("want") != "") & ~too_generic("snippet")).withColumn("top", F.greatest(F.lit(1), F.col("a") - slack)).withColumn("end", F.greatest("b", F.col("a") + F.col("height") - 1) + slack)
+    last = lines.groupBy("path").agg(F.max("line_no").alias("last"))
+    c = c.join(last, "path").withColumn("end", F.least("end", "last")).filter(F.col("top") <= F.col("end")).drop("last")
     wanted = c.select("claim_id", "path", F.explode(F.sequence("top", "end")).alias("line_no"))
     near = wanted.join(lines.select("path", "line_no", "line"), ["path", "line_no"])
     near = near.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("near"))
@@ -194,9 +196,16 @@ def default_category(attack_class: str) -> Column:
     return F.when(given.isin("", "all") | given.contains(","), "novel/other").otherwise(given)
 
 
-def id_of(raw: str) -> Column:
-    """A number out of ``3``, ``#3`` or ``[3]``; null for anything else, true and false too."""
-    return F.regexp_extract(F.trim(F.col(raw)), r"^#?\[?#?(-?\d+)\]?$", 1).try_cast("long")
+def id_of(raw: str, n: str | int | None = None) -> Column:
+    """A whole number out of ``3``, ``#3``, ``[3]``, ``(3)`` or ``3.``: brackets, marks and dots at either end don't count.
+
+    Null for anything else, true and false too, and, where ``n`` is given, for ids outside 0 to n - 1.
+    """
+    bare = F.regexp_replace(F.trim(F.col(raw)), r"^[\[\]#().]+|[\[\]#().]+$", "")
+    found = F.regexp_extract(bare, r"^\s*([+-]?\d+)\s*$", 1).try_cast("long")
+    if n is None:
+        return found
+    return F.when((found >= 0) & (found < (F.col(n) if isinstance(n, str) else F.lit(n))), found)
 
 
 #: The fields that are read of a finding in a reply.

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scoring, text
 from lodestone.operators import chunks, costs, detect, endpoints, findings, gate, graph, ledger, replies, symbols
-from lodestone.plans.fixtures import ALL_CLASSES, PRICES, derived, sql_of
-from lodestone.sources import files, reports, sinks
+from lodestone.plans.fixtures import ALL_CLASSES, EXPRESSIONS, PRICES, derived, sql_of
+from lodestone.sources import documents, files, reports, sinks
 from lodestone.streaming import spend
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -334,20 +334,80 @@ def a10_severity_counts(spark, sf_dir):
     return sinks.severity_counts(derived(spark, sf_dir, "findings"))
 
 
-@query(f"with {FOUND} select 'LODE/' || category as rule_id, arg_min(title, ord) as name, arg_min(cwe, ord) as cwe from f group by category")
+RULE_OF = "'LODE-' || case when cwe <> '' then replace(cwe, 'CWE-', 'CWE') else replace(upper(category), '/', '_') end"
+RULE_JSON = """'{"id":"' || rule_id || '","name":"' || category || '","shortDescription":{"text":"' || case when title = '' then category else title end || '"},"properties":{"cwe":"' || cwe || '","owasp":""}}'"""
+RESULT_JSON = """'{"ruleId":"' || rule_id || '","level":"' || case when severity in ('critical', 'high') then 'error' when severity in ('low', 'informational') then 'note' else 'warning' end || '","message":{"text":"' || (title || ': ' || description)[1:2000]
+ || '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || file_rel || '"},"region":{"startLine":' || greatest(1, line_start) || ',"endLine":' || greatest(1, line_end) || '}}}],"properties":{"severity":"' || severity || '","confidence":' || round(confidence, 2)
+ || ',"votes":' || votes || ',"reachable":"' || reachable || '","hedged":' || hedged || ',"source":"' || source || '","status":"' || status || '"}}'"""
+IN_ORDER = f"row_number() over (order by file_rel, line_start, line_end, category, {PRINT}, ord, {TIES}) - 1"
+
+
+@query(f"with {FOUND}, r as (select *, {RULE_OF} as rule_id from f), a as (select unnest(arg_min(r, ord)) from r group by rule_id) select rule_id, ord as place, {RULE_JSON} as json from a")
 def a17_sarif_rules(spark, sf_dir):
-    return sinks.sarif_rules(derived(spark, sf_dir, "findings"))
+    return documents.sarif_rules(derived(spark, sf_dir, "findings"), by="ord")
 
 
-@query(f"""with {FOUND} select ord, 'LODE/' || category as rule_id, '{{"ruleId":"LODE/' || category || '","level":"' || case when severity in ('critical', 'high') then 'error' when severity = 'medium' then 'warning' else 'note' end || '","message":{{"text":"' || title || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || file_rel || '"}},"region":{{"startLine":' || line_start || ',"endLine":' || line_end || '}}}}}}]}}' as json from f""")
+@query(f"with {FOUND}, r as (select *, {RULE_OF} as rule_id from f) select ord, rule_id, {RESULT_JSON} as json from r")
 def k2_sarif_results(spark, sf_dir):
+    return documents.sarif_results(derived(spark, sf_dir, "findings"), keep=("ord",))
+
+
+@query(f"""with {FOUND}, r as (select *, {RULE_OF} as rule_id, {IN_ORDER} as place from f), a as (select unnest(arg_min(r, place)) from r group by rule_id)
+select 0 as section, 0 as place, '{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"lodestone","rules":[' as text
+union all select 1, place, case when place > 0 then ',' else '' end || {RULE_JSON} from a
+union all select 2, 0, ']}}}},"results":[' union all select 3, place, case when place > 0 then ',' else '' end || {RESULT_JSON} from r union all select 4, 0, ']}}]}}'""")
+def k2_sarif_document(spark, sf_dir):
+    return documents.report_sarif(derived(spark, sf_dir, "findings"))
+
+
+def _object_sql() -> str:
+    """A finding as the report's JSON object, fields by name."""
+    numbers, flags = {"line_start", "line_end", "votes"}, {"hedged"}
+    names = sorted({*EXPRESSIONS["findings"][1], "fingerprint", "id"} - {"ord"})
+    return "'{" + ",".join(f'"{n}":' + (f"' || {n} || '" if n in numbers | flags | {"confidence"} else f"\"' || {n} || '\"") for n in names) + "}'"
+
+
+def _json_sql() -> str:
+    def tier(section: int, name: str, gate: str) -> list[str]:
+        rows = f"select *, fingerprint[1:8] as h, 'F-' || fingerprint[1:8] as id, {IN_ORDER} as place from g where gate = '{gate}'"
+        return [
+            f"select {section}, 0, ',\"{name}_count\":' || count(*) from g where gate = '{gate}'",
+            f"select {section + 1}, 0, ',\"{'findings' if name == 'finding' else name}\":['",
+            f"select {section + 2}, place, case when place > 0 then ',' else '' end || {_object_sql()} from ({rows})",
+        ]
+
+    head = '{"tool": "lodestone", "config_hash": "c0", "coverage_pct": 0.75, "coverage_complete": false, "suppressed_count": 0, "baselined_count": 0'
+    parts = [f"select 0 as section, 0 as place, '{head}' as text", *tier(1, "finding", "reportable"), "select 4, 0, ']'", *tier(5, "informational", "informational"), "select 8, 0, ']}'"]
+    return f"with {GATES.replace('with ', '', 1) if GATES.startswith('with ') else GATES}, g2 as (select f.*, gate, {PRINT} as fingerprint from f join z on z.ord = f.ord) " + " union all ".join(parts).replace("from g where", "from g2 where")
+
+
+@query(_json_sql())
+def k1_report_json(spark, sf_dir):
+    """The tiers of j7, each in the canonical order."""
     f = derived(spark, sf_dir, "findings")
-    return sinks.sarif_results(f, keep=("ord",))
+    told = f.join(j7_j8_gated(spark, sf_dir), "ord")
+    return documents.report_json(*[told.filter(F.col("gate") == g).drop("gate") for g in ("reportable", "informational")], {"config_hash": "c0"}, 0.75)
+
 
+MD_FINDING = f"""'### `F-' || {PRINT}[1:8] || '` — [' || upper(severity) || '] ' || case when title = '' then category else title end || chr(10) || '- **Location:** `' || file_rel || ':' || line_start || '-' || line_end || '`' || chr(10)
+ || '- **Category:** ' || category || '  |  **CWE:** ' || case when cwe = '' then 'n/a' else cwe end || '  |  **OWASP:** n/a' || chr(10) || '- **Confidence:** ' || printf('%.2f', confidence) || '  |  **Votes:** ' || votes || '  |  **Reachable:** ' || reachable || '  |  **Source:** ' || source || chr(10)
+ || chr(10) || description || chr(10) || case when cited_snippet = '' then '' else chr(10) || '```' || chr(10) || cited_snippet || chr(10) || '```' || chr(10) end || case when remediation = '' then '' else chr(10) || '**Remediation:** ' || remediation || chr(10) end"""
 
-@query(f"with {FOUND} select severity, file_rel, line_start, '### ' || case when title = '' then category else title end || ' (' || severity || ')' || chr(10) || file_rel || ':' || line_start || chr(10) || chr(10) || description || chr(10) as section from f")
+
+@query(f"""with {FOUND}, m as (select *, row_number() over (partition by reachable = 'unreachable' order by case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 when 'low' then 3 when 'informational' then 4 else 9 end, file_rel, line_start, category, {PRINT}, ord, {TIES}) - 1 as place from f)
+select 0 as section, 0 as place, '# Vulnerability Scan Report' || chr(10) || chr(10) || 'Coverage complete (100%).' || chr(10) || chr(10) || '## Reachable findings' || chr(10) as text
+union all select 1, place, {MD_FINDING} from m where reachable <> 'unreachable'
+union all select distinct 3, 0, chr(10) || '---' || chr(10) || chr(10) || '## Informational — not externally reachable' || chr(10) || chr(10) || '_No path from an external entry point leads here: code hygiene, in no count and no gate._' || chr(10) from m where reachable = 'unreachable'
+union all select 4, place, {MD_FINDING} from m where reachable = 'unreachable'""")
 def k3_markdown(spark, sf_dir):
-    return sinks.markdown(derived(spark, sf_dir, "findings"))
+    return documents.report_markdown(derived(spark, sf_dir, "findings"), 1.0)
+
+
+@query(f"""with {FOUND} select 0 as section, 0 as place, '# Executive Summary' || chr(10) || chr(10) || '⚠ COVERAGE INCOMPLETE (87.5%): some cells did not reach the thoroughness bar.' || chr(10) || chr(10) || '- **Total reportable findings:** ' || count(*) || ' (' || count(*) filter (where severity <> 'informational') || ' exploitable + ' || count(*) filter (where severity = 'informational') || ' informational)' || chr(10)
+ || '- Critical: ' || count(*) filter (where severity = 'critical') || ' | High: ' || count(*) filter (where severity = 'high') || ' | Medium: ' || count(*) filter (where severity = 'medium') || ' | Low: ' || count(*) filter (where severity = 'low') || ' | Informational: ' || count(*) filter (where severity = 'informational') || chr(10)
+ || '- **Reachable (attacker-exposed):** ' || count(*) filter (where reachable = 'reachable') || chr(10) || '- Suppressed: 3 | In baseline (not new): 4' || chr(10) || chr(10) || 'Findings are judgments of models, checked by citation, review and reachability; no code was run.' as text from f""")
+def k3_executive_summary(spark, sf_dir):
+    return documents.executive_summary(derived(spark, sf_dir, "findings"), 0.875, 3, 4)
 
 
 # ----------------------------------------------------------------------------------- ledger

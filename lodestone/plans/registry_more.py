@@ -318,3 +318,15 @@ def t8_handed_on(spark, sf_dir):
     safe = F.when(F.col("doc_id") % 7 > 0, F.col("text"))
     hits = F.when(F.col("doc_id") % 3 == 1, 0).when(F.col("doc_id") % 3 == 2, F.col("doc_id") % 5)
     return given(spark, sf_dir, "documents").select("doc_id", navigation.handed_on(safe, hits).alias("text"))
+
+
+_MASK = "'<{0}_' || sha256({1})[1:6] || '>'"
+
+
+@query(f"""with o as (select o_orderkey, 'AKIA' || lpad(cast(o_orderkey as varchar), 16, '0') as key, 'p' || o_custkey || 'xyzw' as word from orders)
+select o_orderkey, 'x' || key || ' and ' || {_MASK.format("AWS_ACCESS_KEY", "key")} || ', ' || {_MASK.format("AWS_ACCESS_KEY", "key")} || ' password = "' || {_MASK.format("PASSWORD_ASSIGN", "'password'")} || '" pwd: ''' || {_MASK.format("PASSWORD_ASSIGN", "word")} || ''' # ' || word as masked, 4 as n_masked from o""")
+def f3_several_secrets(spark, sf_dir):
+    """Lines with several secrets, equal texts that are none among them."""
+    key, word = F.concat(F.lit("AKIA"), F.lpad(F.col("o_orderkey").cast("string"), 16, "0")), F.concat(F.lit("p"), F.col("o_custkey").cast("string"), F.lit("xyzw"))
+    line = F.concat(F.lit("x"), key, F.lit(" and "), key, F.lit(", "), key, F.lit(' password = "password" pwd: \''), word, F.lit("' # "), word)
+    return detect.masked(given(spark, sf_dir, "orders").select("o_orderkey", line.alias("line"))).select("o_orderkey", "masked", "n_masked")

@@ -8,40 +8,18 @@ from pyspark.sql import functions as F
 from lodestone.functions.scoring import fingerprint
 
 
-def report_rows(findings: DataFrame) -> DataFrame:
-    """One JSON object for each finding, with its fingerprint and short id; judges' and base values left out."""
-    hidden = {"judge_verdicts", "base_severity", "base_confidence", "ord", "key"}
+def report_rows(findings: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One JSON object for each finding, with its fingerprint and short id, beside the columns in ``keep``; judges' and base values left out."""
+    hidden = {"judge_verdicts", "base_severity", "base_confidence", "ord", "key", *keep}
     f = findings.withColumn("fingerprint", fingerprint()).withColumn("id", F.concat(F.lit("F-"), F.substring("fingerprint", 1, 8)))
     names = sorted(c for c in f.columns if c not in hidden)
-    return f.select("fingerprint", F.to_json(F.struct(*names)).alias("json"))
-
-
-def sarif_results(findings: DataFrame, prefix: str = "LODE", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One SARIF result for each finding: rule_id and json, beside the columns in ``keep``."""
-    level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
-    rule = F.concat(F.lit(f"{prefix}/"), F.col("category"))
-    place = F.struct(F.struct(F.struct(F.col("file_rel").alias("uri")).alias("artifactLocation"), F.struct(F.col("line_start").alias("startLine"), F.col("line_end").alias("endLine")).alias("region")).alias("physicalLocation"))
-    result = F.struct(rule.alias("ruleId"), level.alias("level"), F.struct(F.col("title").alias("text")).alias("message"), F.array(place).alias("locations"))
-    return findings.select(*keep, rule.alias("rule_id"), F.to_json(result).alias("json"))
-
-
-def sarif_rules(findings: DataFrame, prefix: str = "LODE") -> DataFrame:
-    """The first finding (by ord) of each rule describes it."""
-    rule = F.concat(F.lit(f"{prefix}/"), F.col("category")).alias("rule_id")
-    return findings.groupBy(rule).agg(F.min_by("title", "ord").alias("name"), F.min_by("cwe", "ord").alias("cwe"))
+    return f.select(*keep, "fingerprint", F.to_json(F.struct(*names)).alias("json"))
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count("*").alias("n"), F.count_if(F.col("reachable") == "reachable").alias("reachable"))
 
 
-def markdown(findings: DataFrame) -> DataFrame:
-    """One section for each finding, as rows with their place in the report."""
-    head = F.concat(F.lit("### "), F.coalesce(F.nullif("title", F.lit("")), "category"), F.lit(" ("), "severity", F.lit(")"))
-    body = F.concat(F.lit("\n"), "file_rel", F.lit(":"), F.col("line_start").cast("string"), F.lit("\n\n"), F.coalesce("description", F.lit("")), F.lit("\n"))
-    return findings.select("severity", "file_rel", "line_start", F.concat(head, body).alias("section"))
-
-
 def write_report(findings: DataFrame, path: str) -> None:
     """JSON lines, written in parallel into a folder; an empty table gives an empty folder."""
     report_rows(findings).select("json").write.mode("overwrite").text(path)
