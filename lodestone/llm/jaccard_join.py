@@ -32,8 +32,8 @@ SENT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("list", pa.bina
 SENT_DDL = "part int, bucket int, list binary"
 BACK = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("levels", pa.binary())])
 BACK_DDL = "bucket int, part int, levels binary"
-SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("grams", pa.binary()), ("levels", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-SETS_DDL = "doc_id long, n_shingles long, set_key binary, grams binary, levels binary, prefix array<long>"
+SETS = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("grams", pa.binary()), ("levels", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+SETS_DDL = "doc_id long, tag long, n_shingles long, set_key binary, grams binary, levels binary, prefix array<long>"
 LABELS = pa.schema([("label", pa.int64()), ("root", pa.int64())])
 
 
@@ -274,21 +274,22 @@ def _grid(held: DataFrame, half: int) -> DataFrame:
     return trees.select("node", "label", "tree", F.lit(False).alias("small"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bucket_bytes: int = 3 << 20, buckets_per_part: int = 4, block: int = 512, picks: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bucket_bytes: int = 3 << 20, buckets_per_part: int = 4, block: int = 512, picks: int = 2, tag: str | None = None) -> DataFrame:
     """Components of documents whose sets of word n-grams have a Jaccard similarity of ``percent`` or more.
 
     A-Z are lower-cased; words are maximal runs without ASCII white space. A text with fewer than
     ``words`` words is one n-gram; a null text or one without words has none and links with nothing.
 
     Returns one row for each input row: doc_id, n_shingles, component_id (least doc_id reached by
-    links, itself included). A null doc_id is alone, with a null component. Rows that share a doc_id
-    are judged row by row; they get the least component any of them reaches. Other columns are
-    not read, whatever their names; an empty table gives an empty result.
+    links, itself included). A row without doc_id carries links like any other but names no component: it has the least
+    doc_id that its links reach, null if they reach none. Rows that share a doc_id are judged row by row, each by the links of
+    its own text, so they may be in different components. ``tag`` names a long column that is handed through. Other columns
+    are not read, whatever their names; an empty table gives an empty result.
 
     ``bucket_bytes`` and ``block`` bound what one task group holds; ``picks`` is the number of groups that every class
     goes to first.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", (F.col(tag) if tag else F.lit(None)).cast("long").alias("tag"))
     rows, n = bucketed(docs, bucket_bytes)
     parts = max(1, math.ceil(n / buckets_per_part))
 
@@ -302,13 +303,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bucket_b
             return SETS.empty_table()
         x = _Listed(table, words, parts)
         levels = x.levels(back)
-        ids, out, at = table["doc_id"].to_pylist(), [], 0
+        ids, tags, out, at = table["doc_id"].to_pylist(), table["tag"].to_pylist(), [], 0
         for i, grams in enumerate(x.sets):
             size, own = len(grams), levels[at : at + len(grams)]
             at += size
             common = own > 0
-            row = {"doc_id": ids[i], "n_shingles": size}
-            if size and ids[i] is not None and 100 * int(common.sum()) >= percent * size:
+            row = {"doc_id": ids[i], "tag": tags[i], "n_shingles": size}
+            if size and 100 * int(common.sum()) >= percent * size:
                 order = np.lexsort((grams, own))
                 prefix = order[: size - -(-percent * size // 100) + 1]
                 row["set_key"] = hashlib.blake2b(blob(grams), digest_size=16).digest()
@@ -323,16 +324,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bucket_b
 
     chosen = sets.filter("set_key is not null")
     classes = chosen.groupBy("set_key").agg(F.min("doc_id").alias("name"), *[F.first(c).alias(c) for c in ("n_shingles", "grams", "levels", "prefix")])
-    # a node is a class; rows that share a doc_id may give several classes one name
-    classes = cut(classes.withColumn("node", F.xxhash64("set_key")).withColumnRenamed("n_shingles", "size"))
+    # a node is a class, numbered as it is stored; rows that share a doc_id may give several classes one name
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()).withColumnRenamed("n_shingles", "size"))
     labels = _joined_classes(classes, percent, block, picks)
 
     named = classes.select("node", "set_key", "name").join(labels, "node", "left").withColumn("component", F.coalesce("label", "node"))
     least = named.groupBy("component").agg(F.min("name").alias("component_id"))
     named = named.join(least, "component").select("set_key", "component_id")
-    alone = sets.filter("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    # a class's rows are dealt over slots, as its copies may be very many
+    told = ["doc_id", "n_shingles", "component_id", *(["tag"] if tag else [])]
+    alone = sets.filter("set_key is null").withColumn("component_id", F.col("doc_id")).select(told)
+    # a class's rows are dealt over slots, as its copies may be very many; those without doc_id by the task that made them
     slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = chosen.select("doc_id", "n_shingles", "set_key", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("slot"))
+    dealt = chosen.withColumn("slot", F.pmod(F.when(F.col("doc_id").isNull(), F.spark_partition_id().cast("long")).otherwise(F.xxhash64("doc_id")), F.lit(slots)).cast("int"))
+    dealt = dealt.select("doc_id", "tag", "n_shingles", "set_key", "slot")
     named = dealt.select("set_key", "slot").distinct().join(named, "set_key")
-    return alone.unionByName(dealt.join(named, ["set_key", "slot"]).select("doc_id", "n_shingles", "component_id"))
+    return alone.unionByName(dealt.join(named, ["set_key", "slot"]).select(told))

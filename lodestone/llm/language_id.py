@@ -120,21 +120,24 @@ def fold(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5, F.lit(0))
 
 
-def fit(docs: DataFrame, sample: int = 6000, least: int = 50) -> Model:
-    """Learn from whole texts of at most about ``sample`` labelled documents outside fold 0.
+def fit(docs: DataFrame, sample: int = 6000, few: int = 5) -> Model:
+    """Learn from whole texts of at most about ``sample`` labelled documents outside fold 0, and of every language.
 
-    Each of the ``sample / least`` most frequent languages gives about the same number of rows, drawn by a hash of doc_id and
-    text; rows alike in both are drawn once. At most twice ``sample`` rows of FEATURES half floats reach the driver.
+    Each language gives about the same number of rows, ``few`` at least or all it has, drawn by a hash of doc_id and text; rows alike in both
+    are drawn once. At most twice ``sample`` rows, or twice ``few`` a language where that is more, of FEATURES half floats reach the driver, and
+    a count for each language.
     """
     labelled = docs.select("text", "lang", F.xxhash64("doc_id", "text", F.lit(11)).alias("h"), fold().alias("fold")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("fold") != 0))
-    most = max(1, sample // least)
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     if not counts:
         return train(np.zeros((0, FEATURES), np.float32), [])
-    each = max(1, sample // len(counts))
-    limits = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))])
+    each = max(few, sample // len(counts))
+    sample = max(sample, few * len(counts))
+    # languages of few rows are drawn whole; only the others need a limit of their own
+    shares = {lang: each / n for lang, n in counts.items() if n > 2 * each}
+    limits = F.create_map(*[x for lang, share in shares.items() for x in (F.lit(lang), F.lit(share))]) if shares else F.create_map().cast("map<string,double>")
     draw = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = labelled.filter(draw < limits[F.col("lang")]).groupBy("h", "lang").agg(F.first("text").alias("text")).orderBy("h", "lang").limit(2 * sample).select("text", "lang")
+    chosen = labelled.filter(draw < F.coalesce(limits[F.col("lang")], F.lit(1.0))).groupBy("h", "lang").agg(F.first("text").alias("text")).orderBy("h", "lang").limit(2 * sample).select("text", "lang")
 
     def count(batches):
         for batch in slices(batches, 256):

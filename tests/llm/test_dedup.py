@@ -85,6 +85,19 @@ def test_threshold_is_exact(spark):
     assert got == {i: c for i, (_, c) in groups(rows).items()} and got[2] == 1
 
 
+@pytest.mark.parametrize("bucket_bytes", [50, 1 << 20])
+def test_rows_without_id_carry_links(spark, bucket_bytes):
+    """1 and 3 are linked only through a row without doc_id; rows that share a doc_id are judged row by row."""
+    w = [f"w{i}" for i in range(28)]
+    a, b, c = " ".join(w), " ".join([*w[:26], "p", "q"]), " ".join(["r", "s", *w[2:26], "p", "q"])
+    assert groups([(1, a), (2, b), (3, c)])[3][1] == 1 and groups([(1, a), (3, c)])[3][1] == 3
+    other = " ".join(f"o{i}" for i in range(9))
+    rows = [(1, a), (None, b), (None, b), (3, c), (5, a + " more"), (5, other), (None, other + " end"), (7, "alone"), (None, "also alone"), (None, None)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bucket_bytes=bucket_bytes)
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got.collect())
+    assert got == sorted([(1, 24, 1), (0, 24, 1), (0, 24, 1), (3, 24, 1), (5, 25, 1), (5, 5, 5), (0, 6, 5), (7, 1, 7), (0, 1, 0), (0, 0, 0)])
+
+
 def test_empty_tables(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
     assert jaccard_join.near_duplicates(empty).count() == 0

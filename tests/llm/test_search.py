@@ -49,6 +49,23 @@ def test_large_components_stay_exact(spark):
         topk_search.search(huge, huge).collect()
 
 
+def test_one_large_row_spoils_nothing(spark):
+    """Rows beyond 63 bits are exact, or out of the result where they lose; only a score to be returned that doesn't fit is an error."""
+    rows = [(0, [1.0, 2.0]), (1, [-1e30, 1.0]), (2, [3.0, 4.0]), (3, [-1e300, -1e307]), (4, [5.0, 1.0]), (5, [1e6, -1e6]), (6, [2.0**20, 1.0]), (7, [0.0, -1.7e308]), (8, [0.5, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(256 * x) if math.isfinite(256 * x) else math.floor(x) * 256 for x in v] for i, v in rows}
+    got = topk_search.search(df, df.filter("vec_id in (0, 6, 8)"), k=3).collect()
+    for q in (0, 6, 8):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)[:3]
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(i, -s) for s, i in want]
+    alone = df.filter("vec_id in (0, 1, 2)")
+    assert [(r.vec_id, r.score) for r in topk_search.search(alone, alone.filter("vec_id = 0"), k=1).collect()] == [(2, 256 * 768 + 512 * 1024)]
+    with pytest.raises(Exception, match="64 bits"):  # a score far below all others is to be returned
+        topk_search.search(alone, alone.filter("vec_id = 0"), k=2).collect()
+    with pytest.raises(Exception, match="64 bits"):  # one far above
+        topk_search.search(df, df.filter("vec_id = 3"), k=2).collect()
+
+
 def test_ann_is_exact_when_all_parts_are_visited(vectors):
     have = {i: np.array(v) for i, v in usable(vectors, True).items() if len(v) == 8}
     got = {}
