@@ -24,31 +24,32 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: the least by (doc_id, text), rows with a doc_id before those without.
 
-    Rows are told apart by a hash of doc_id and text, so rows that share a doc_id, or have none, are judged one by one.
+    Rows are told apart by two hashes of doc_id and text (128 bits), so rows that share a doc_id, or have none, are judged one by one.
     Rows alike in both are copies of each other if they have a word, else they link with nothing and all stay.
     """
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    groups = jaccard_join.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text"))
-    linked = cut(groups.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("row_key"), F.col("component_id").alias("grp")).count())
+    key = ["row_key", "row_tag"]
+    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text")).withColumn("row_tag", F.xxhash64(F.lit(1), "text", "doc_id"))
+    groups = jaccard_join.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text", "row_tag"), tag="row_tag")
+    linked = cut(groups.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("row_key"), F.col("tag").alias("row_tag"), F.col("component_id").alias("grp")).count())
     many = cut(linked.groupBy("grp").agg(F.sum("count").alias("n")).filter("n > 1").select("grp"))
     linked = cut(linked.join(bounded(many), "grp", "left_semi"))
 
     # the row to keep: by doc_id alone where that decides, else by text too
-    ids = keyed.select("row_key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("id")).join(bounded(linked), "row_key").select("grp", "row_key", "id").distinct()
+    ids = keyed.select(*key, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("id")).join(bounded(linked), key).select("grp", *key, "id").distinct()
     ids = cut(ids)
     first = ids.groupBy("grp").agg(F.min("id").alias("least"))
-    first = cut(ids.join(first, "grp").filter("id = least").select("grp", "row_key"))
+    first = cut(ids.join(first, "grp").filter("id = least").select("grp", *key))
     tied = cut(first.groupBy("grp").count().filter("count > 1").select("grp"))
     if not tied.isEmpty():
-        texts = keyed.select("row_key", "text").join(bounded(first.join(bounded(tied), "grp", "left_semi")), "row_key")
-        by_text = texts.groupBy("grp").agg(F.min(F.struct("text", "row_key")).alias("x")).select("grp", "x.row_key")
+        texts = keyed.select(*key, "text").join(bounded(first.join(bounded(tied), "grp", "left_semi")), key)
+        by_text = texts.groupBy("grp").agg(F.min(F.struct("text", *key)).alias("x")).select("grp", *(f"x.{k}" for k in key))
         first = cut(first.join(bounded(tied), "grp", "left_anti").unionByName(by_text))
-    gone = cut(linked.select("row_key").join(first, "row_key", "left_anti"))
-    kept = keyed.join(bounded(gone), "row_key", "left_anti")
-    again = cut(linked.filter("count > 1").select("row_key").join(first, "row_key", "left_semi"))
+    gone = cut(linked.select(key).join(first, key, "left_anti"))
+    kept = keyed.join(bounded(gone), key, "left_anti")
+    again = cut(linked.filter("count > 1").select(key).join(first, key, "left_semi"))
     if not again.isEmpty():  # rows alike in doc_id and text: one stays
-        rows = kept.join(bounded(again), "row_key", "left_semi").groupBy("row_key").agg(F.min(F.struct(*COLUMNS)).alias("x"))
-        kept = kept.join(bounded(again), "row_key", "left_anti").select(COLUMNS).unionByName(rows.select("x.*"))
+        rows = kept.join(bounded(again), key, "left_semi").groupBy(key).agg(F.min(F.struct(*COLUMNS)).alias("x"))
+        kept = kept.join(bounded(again), key, "left_anti").select(COLUMNS).unionByName(rows.select("x.*"))
     return kept.select(COLUMNS)
 
 
