@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.scoring import lookup
 from lodestone.functions.text import lines_of
 
 # Language and category by file name, and by suffix.
@@ -59,12 +58,15 @@ def classified(files: DataFrame) -> DataFrame:
     """language and category by name, then a ``dockerfile`` prefix, then suffix; else unknown code."""
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     suffix = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
-    out = files
-    for i, (column, other) in enumerate((("language", "unknown"), ("category", "code"))):
-        by_suffix = lookup(suffix, {k: v[i] for k, v in SUFFIXES.items()}, other)
-        docker = F.when(name.startswith("dockerfile"), ("dockerfile", "iac")[i]).otherwise(by_suffix)
-        out = out.withColumn(column, lookup(name, {k: v[i] for k, v in NAMES.items()}, docker))
-    return out
+
+    def about(language: str, category: str) -> Column:
+        return F.struct(F.lit(language).alias("language"), F.lit(category).alias("category"))
+
+    def told(table: dict[str, tuple[str, str]], key: Column) -> Column:
+        return F.try_element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), about(*v))]), key)
+
+    known = F.coalesce(told(NAMES, name), F.when(name.startswith("dockerfile"), about("dockerfile", "iac")), told(SUFFIXES, suffix), about("unknown", "code"))
+    return files.withColumn("about_", known).withColumn("language", F.col("about_.language")).withColumn("category", F.col("about_.category")).drop("about_")
 
 
 def skip_by_name(categories: tuple[str, ...], languages: tuple[str, ...] | None = None, binary_suffixes: tuple[str, ...] = (), scan_unknown: bool = True) -> Column:
