@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import scoring, text
 from lodestone.operators import chunks, costs, detect, findings, gate, ledger, navigation, replies, runs
-from lodestone.plans.fixtures import derived, sql_of
+from lodestone.plans.fixtures import EXPRESSIONS, PRICES, derived, sql_of
+from lodestone.plans.lineage import shared_dir
 from lodestone.plans.registry import CELLS, CHUNKS, CODE, FOUND, GATES, LINES, N_LINES, ORACLES, PLACE, PRICED, PRINT, QUERIES, SYMBOLS, TIES, calls_of, code_symbols, document_files, document_lines, given, ledger_cells, query
 from lodestone.sources import files, reports, sinks
-from lodestone.streaming import reads
+from lodestone.streaming import guard, leases, reads
 
 FILES = f"files as ({sql_of('files')})"
 NAMED = f"named as ({sql_of('named_files')})"
@@ -330,3 +333,57 @@ def f3_several_secrets(spark, sf_dir):
     key, word = F.concat(F.lit("AKIA"), F.lpad(F.col("o_orderkey").cast("string"), 16, "0")), F.concat(F.lit("p"), F.col("o_custkey").cast("string"), F.lit("xyzw"))
     line = F.concat(F.lit("x"), key, F.lit(" and "), key, F.lit(", "), key, F.lit(' password = "password" pwd: \''), word, F.lit("' # "), word)
     return detect.masked(given(spark, sf_dir, "orders").select("o_orderkey", line.alias("line"))).select("o_orderkey", "masked", "n_masked")
+
+
+# ------------------------------------------------------------------------- streams that end
+
+LEASE_EVENTS = {
+    "cell": "cast(user_id as string)", "event_id": "event_id", "kind": "case event_id % 4 when 2 then 'renew' when 3 then 'settle' else 'claim' end",
+    "owner": "case when event_id % 3 = 0 then 'y' else 'x' end", "settled": "case event_id % 5 when 0 then 'FAILED' when 1 then 'SHALLOW' end",
+}
+_EVENT_COLUMNS = ", ".join(f"{e} as {n}" for n, e in LEASE_EVENTS.items())
+
+
+def _as_stream(spark, sf_dir, folder):
+    """The events as files that a stream finds at once."""
+    events = given(spark, sf_dir, "events")
+    events.write.parquet(f"{folder}/in")
+    return spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+
+
+@query(f"""with recursive e as (select {_EVENT_COLUMNS}, epoch(ts) as t, cast(row_number() over (partition by user_id order by ts, event_id) as bigint) as n from events),
+s(cell, n, state, owner, expires, attempts, accepted) as (
+  select distinct cell, 0::bigint, 'PENDING', null::varchar, null::double, 0, 0 from e union all
+  select cell, n, case when not ok then state when kind = 'settle' then coalesce(settled, 'ANALYZED') else 'IN_PROGRESS' end, case when not ok then owner when kind = 'settle' then null when kind = 'claim' then who else owner end,
+    case when not ok then expires when kind = 'settle' then null else t + 43200 end, attempts + (ok and kind = 'claim')::int, accepted + ok::int
+  from (select s.*, e.n as m, e.kind, e.owner as who, e.t, e.settled,
+    case when e.kind = 'claim' then attempts < 10 and (state in ('PENDING', 'SHALLOW', 'FAILED') or state = 'IN_PROGRESS' and expires < e.t) else s.owner is not distinct from e.owner end as ok from s join e on e.cell = s.cell and e.n = s.n + 1) x(cell, n0, state, owner, expires, attempts, accepted, n, kind, who, t, settled, ok)),
+z as (select *, row_number() over (partition by cell order by n desc) as last from s)
+select cell, case when state = 'IN_PROGRESS' and expires < (select max(t) from e) then 'EXPIRED' else state end as state, owner as holder, expires, attempts, accepted from z where last = 1""")
+def t1_lease_states(spark, sf_dir):
+    """The events as claims, renewals and settlements of cells, run as a stream to its end; every cell's last state."""
+    before = {k: spark.conf.get(k, None) for k in leases.STREAM_CONF}
+    for k, v in leases.STREAM_CONF.items():
+        spark.conf.set(k, v)
+    folder = f"{shared_dir(spark)}/leases-{uuid.uuid4().hex}"
+    events = _as_stream(spark, sf_dir, folder).withColumn("us", F.expr("timestampdiff(microsecond, timestamp_ntz'1970-01-01', ts)")).selectExpr("timestamp_micros(us) as at", "us / 1e6d as ts", *(f"{e} as {n}" for n, e in LEASE_EVENTS.items()))
+    try:
+        q = leases.lease_changes(events, ttl=43200.0).writeStream.outputMode("update").foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/{n}"))
+        q.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    changes = spark.read.parquet(f"{folder}/out/*")
+    last = F.struct("batch", F.col("kind") == "expire", "ts", "event_id")  # timers come after a batch's events
+    out = changes.groupBy("cell").agg(F.max_by(F.struct("state", "holder", "expires", "attempts"), last).alias("x"), F.count_if(F.col("accepted") & (F.col("kind") != "expire")).cast("int").alias("accepted"))
+    return out.select("cell", "x.state", "x.holder", "x.expires", "x.attempts", "accepted")
+
+
+@query(f"with {PRICED}, r as (select id, ts, sum(cost) over (order by ts, id rows unbounded preceding) as so_far, cost from c), x as (select min(row(ts, id)) as x from r where so_far >= 20) select id, round(so_far, 8) as so_far from r, x where x.x is null or row(r.ts, r.id) <= x.x")
+def t2_calls_let_through(spark, sf_dir):
+    """The calls as a stream behind the kill switch: those up to the one that reaches the ceiling."""
+    folder = f"{shared_dir(spark)}/guard-{uuid.uuid4().hex}"
+    prices = spark.createDataFrame(PRICES, "model_id string, p_input double, p_output double, p_cache_read double, p_cache_write double")
+    calls = costs.priced(_as_stream(spark, sf_dir, folder).selectExpr(*(f"{e} as {n}" for n, e in EXPRESSIONS["calls"][1].items())), prices)
+    guard.guarded(calls, f"{folder}/out", f"{folder}/checkpoint", 20.0, availableNow=True)
+    return spark.read.parquet(f"{folder}/out").select("id", F.round("so_far", 8).alias("so_far"))
