@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.replies import id_of
 from lodestone.functions.scoring import CATEGORIES, confidence_of, fingerprint, gate_rank, location_key, lookup, merge_rank, scored_confidence, scored_severity, severity_of
+from lodestone.plans.lineage import placed
 
 FIRST = ["file_rel", "line_start", "line_end", "category", "hedged", "status", "source"]
 FILLED = ["cited_snippet", "symbol", "cwe", "remediation"]
@@ -20,30 +22,30 @@ def merged(findings: DataFrame, key: Column) -> DataFrame:
     raised the severity and has them; reachable wins over the first value; evidence is concatenated in order; empty
     snippet, symbol, cwe and remediation are filled from the first that has one; other fields are the first's. ``superseded`` lists the fingerprints that the fold leaves behind. The evidence of one key gathers in one row.
     """
-    rank = merge_rank("severity")
-    place = F.struct("ord", *TIES)
-    before = Window.partitionBy("key").orderBy("ord", *TIES).rowsBetween(Window.unboundedPreceding, -1)
-    f = findings.withColumn("key", key).withColumn("rank", rank)
-    f = f.withColumn("raises", F.coalesce(F.col("rank") > F.max("rank").over(before), F.lit(True)))
+    # one sort of each key gives every row its number, which then stands for the order
+    order = Window.partitionBy("key").orderBy("ord", *TIES)
+    f = findings.withColumn("key", key).withColumn("rank", merge_rank("severity")).withColumn("print", fingerprint())
+    f = f.withColumn("nth", F.row_number().over(order))
+    f = f.withColumn("raises", F.coalesce(F.col("rank") > F.max("rank").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
 
     def leading(name: str) -> Column:
-        return F.coalesce(F.max_by(F.when(F.col("raises") & (F.col(name) != ""), F.col(name)), F.when(F.col("raises") & (F.col(name) != ""), place)), F.lit("")).alias(name)
+        return F.coalesce(F.max_by(name, F.when(F.col("raises") & (F.col(name) != ""), F.col("nth"))), F.lit("")).alias(name)
 
     def filled(name: str) -> Column:
-        return F.coalesce(F.min_by(name, F.when(F.col(name) != "", place)), F.lit("")).alias(name)
+        return F.coalesce(F.min_by(name, F.when(F.col(name) != "", F.col("nth"))), F.lit("")).alias(name)
 
-    evidence = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "evidence"))), lambda x: x["evidence"])).alias("evidence")
+    evidence = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", "evidence"))), lambda x: x["evidence"])).alias("evidence")
     aggs = [
-        F.min("ord").alias("ord"),
-        *[F.min_by(c, place).alias(c) for c in FIRST],
+        F.min_by("ord", "nth").alias("ord"),
+        *[F.min_by(c, "nth").alias(c) for c in FIRST],
         F.sum("votes").cast("int").alias("votes"),
-        F.min_by("severity", F.struct(-F.col("rank"), place)).alias("severity"),
+        F.min_by("severity", F.struct(-F.col("rank"), "nth")).alias("severity"),
         leading("title"),
         leading("description"),
         F.max("confidence").alias("confidence"),
-        F.when(F.max((F.col("reachable") == "reachable").cast("int")) == 1, "reachable").otherwise(F.min_by("reachable", place)).alias("reachable"),
+        F.when(F.max((F.col("reachable") == "reachable").cast("int")) == 1, "reachable").otherwise(F.min_by("reachable", "nth")).alias("reachable"),
         evidence,
-        F.array_sort(F.array_except(F.collect_set(fingerprint()), F.array(F.min_by(fingerprint(), place)))).alias("superseded"),
+        F.array_sort(F.array_except(F.collect_set("print"), F.array(F.min_by("print", "nth")))).alias("superseded"),
         *[filled(c) for c in FILLED],
     ]
     return f.groupBy("key").agg(*aggs)
@@ -72,6 +74,41 @@ def grouped_ids(groups: DataFrame, ids: DataFrame) -> DataFrame:
     return out.select("id", F.when(~F.col("refused"), F.col("grp").cast("string")).otherwise(None).alias("grp")).withColumn("grp", F.coalesce("grp", F.concat(F.lit("single-"), F.col("id").cast("string"))))
 
 
+def batched(findings: DataFrame, order: list[str], size: int = 150) -> DataFrame:
+    """Findings with ``batch`` and ``idx``, their number in it from 0: so many at a time, in the total order of some columns."""
+    return placed(findings, *order).withColumn("batch", F.floor(F.col("place") / size)).withColumn("idx", F.col("place") % size).drop("place")
+
+
+def reply_groups(replies: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(batch, idx, grp, pos) out of replies (batch, json): lists of lists of ids, for batches of ``n`` findings (batch, n).
+
+    Ids may be numbers or texts; what is no id from 0 to n - 1 is left out, and an id belongs to the first group that names it, once. A batch
+    has no rows, so that all its findings stand alone, if it has under three, if its reply is no list or holds no id, or if it is refused: one group of
+    a batch of four or more would hold more than max(2, half) of it.
+    """
+    lists = replies.join(sizes, "batch").filter("n >= 3").select("batch", "n", F.posexplode(F.from_json("json", "array<string>")).alias("grp", "members"))
+    named = lists.select("batch", "n", "grp", F.posexplode(F.from_json("members", "array<string>")).alias("pos", "raw")).withColumn("idx", id_of("raw", "n")).filter("idx is not null")
+    first = named.groupBy("batch", "n", "idx").agg(F.min(F.struct("grp", "pos")).alias("x")).select("batch", "n", "idx", "x.grp", "x.pos")
+    biggest = first.groupBy("batch", "n", "grp").count().groupBy("batch").agg(F.max("count").alias("biggest"), F.first("n").alias("n"))
+    kept = biggest.filter(~((F.col("n") >= 4) & (F.col("biggest") > F.greatest(F.lit(2), F.floor(F.col("n") / 2))))).select("batch")
+    return first.join(kept, "batch", "left_semi").select("batch", "idx", "grp", "pos")
+
+
+def semantically_merged(batches: DataFrame, replies: DataFrame) -> DataFrame:
+    """Findings of ``batched`` folded by the groups that the replies (batch, json) give each batch; the rest as they are.
+
+    The representative has the highest severity, then confidence, then comes first in its group; it absorbs the others in the group's order. ``ord`` and all
+    that a fold does not combine are the representative's.
+    """
+    sizes = batches.groupBy("batch").agg(F.count("*").alias("n"))
+    f = batches.join(reply_groups(replies, sizes), ["batch", "idx"], "left")
+    group = F.when(F.col("grp").isNull(), F.struct("batch", F.lit(-1).alias("grp"), "idx")).otherwise(F.struct("batch", "grp", F.lit(-1).cast("long").alias("idx")))
+    f = f.withColumn("group", group)
+    lead = F.row_number().over(Window.partitionBy("group").orderBy(-merge_rank("severity"), F.desc("confidence"), "pos"))
+    f = f.withColumn("ord", F.struct(F.when(lead == 1, -1).otherwise(F.col("pos")).alias("pos"), F.col("ord").alias("own")))
+    return merged(f.drop("batch", "idx", "grp", "pos"), F.col("group")).withColumn("ord", F.col("ord.own")).drop("key")
+
+
 def judged(votes: DataFrame, quorum: int, panel: int) -> DataFrame:
     """Outcome of judge votes (id, prior, verdict, reachable, voted), one row for each judge.
 

@@ -12,8 +12,9 @@ def reached_from(edges: DataFrame, entries: DataFrame, depth: int = 25) -> DataF
     """(name, depth) of all names that entry points reach by calls, breadth first, once for all targets.
 
     Each level joins only the names found last; a level is cut from its lineage, and the loop ends early when
-    nothing new is found.
+    nothing new is found. The edges are stored once, by caller.
     """
+    edges = cut(edges.select("callee", "caller").repartition("caller"))
     seen = cut(entries.select("name").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for level in range(1, depth + 1):
@@ -30,6 +31,7 @@ def verdicts(targets: DataFrame, edges: DataFrame, entries: DataFrame, depth: in
 
     A null name, or no entry point at all: unclear. Reached: reachable. Without callers: unreachable. Else unclear.
     """
+    edges = cut(edges.select("callee", "caller").distinct())
     reach = reached_from(edges, entries, depth).select("name", F.lit(True).alias("hit"))
     called = edges.select(F.col("callee").alias("name")).distinct().withColumn("called", F.lit(True))
     some = not entries.isEmpty()
@@ -59,21 +61,21 @@ def gated(findings: DataFrame, edges: DataFrame, entries: DataFrame, handling: s
 
 
 def nearest_routes(targets: DataFrame, edges: DataFrame, routes: DataFrame, depth: int = 15, most_callers: int = 200) -> DataFrame:
-    """Route of the nearest function up the callers that has one: (name, route, depth).
+    """Route that a breadth-first walk up the callers of each target comes to first: (name, route, depth).
 
-    routes: (name, route). Names with more than ``most_callers`` callers are not passed through. Among routes at the same
-    depth the one of the least name wins. One search goes down from all routes at once: a name reached first at some depth
-    takes the least origin of its callers, so the work does not grow with the number of targets.
+    routes: (name, route). Callers are looked at in the order of their names. Names up to ``depth`` steps away have their callers looked at,
+    so a route may be one step further; those with more than ``most_callers`` callers are not passed through. One search goes down from
+    all routes at once, so the work does not grow with the number of targets: a name reached first at some depth takes the route that its least
+    caller of the depth before has, which is where the walk from it would go first.
     """
-    wide = edges.groupBy("callee").count().filter(F.col("count") > most_callers).select("callee")
-    narrow = cut(edges.join(wide, "callee", "left_anti").select("callee", "caller"))
-    own = routes.groupBy("name").agg(F.min("route").alias("route"))
-    front = seen = cut(own.select("name", F.col("name").alias("via"), F.lit(0).alias("depth")))
-    for level in range(1, depth + 1):
-        ahead = narrow.join(front.select(F.col("name").alias("caller"), "via"), "caller").groupBy(F.col("callee").alias("name")).agg(F.min("via").alias("via"))
+    narrow = edges.select("callee", "caller").distinct()
+    wide = narrow.groupBy("callee").count().filter(F.col("count") > most_callers).select("callee")
+    narrow = cut(narrow.join(wide, "callee", "left_anti").repartition("caller"))
+    front = seen = cut(routes.groupBy("name").agg(F.min("route").alias("route")).withColumn("depth", F.lit(0)))
+    for level in range(1, depth + 2):
+        ahead = narrow.join(front.select(F.col("name").alias("caller"), "route"), "caller").groupBy(F.col("callee").alias("name")).agg(F.min_by("route", "caller").alias("route"))
         front = cut(ahead.join(seen, "name", "left_anti").withColumn("depth", F.lit(level)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-    near = seen.join(own.withColumnRenamed("name", "via"), "via")
-    return targets.select("name").distinct().join(near, "name").select("name", "route", "depth")
+    return targets.select("name").distinct().join(seen, "name").select("name", "route", "depth")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.replies import id_of  # noqa: F401 (part of this module's interface)
 from lodestone.functions.scoring import confidence_of, severity_of
 from lodestone.functions.text import hedged, squeezed
 from lodestone.operators import detect, symbols
@@ -196,18 +197,6 @@ def default_category(attack_class: str) -> Column:
     return F.when(given.isin("", "all") | given.contains(","), "novel/other").otherwise(given)
 
 
-def id_of(raw: str, n: str | int | None = None) -> Column:
-    """A whole number out of ``3``, ``#3``, ``[3]``, ``(3)`` or ``3.``: brackets, marks and dots at either end don't count.
-
-    Null for anything else, true and false too, and, where ``n`` is given, for ids outside 0 to n - 1.
-    """
-    bare = F.regexp_replace(F.trim(F.col(raw)), r"^[\[\]#().]+|[\[\]#().]+$", "")
-    found = F.regexp_extract(bare, r"^\s*([+-]?\d+)\s*$", 1).try_cast("long")
-    if n is None:
-        return found
-    return F.when((found >= 0) & (found < (F.col(n) if isinstance(n, str) else F.lit(n))), found)
-
-
 #: The fields that are read of a finding in a reply.
 ITEM = "struct<file string, line_start string, line_end string, cited_snippet string, title string, description string, severity string, confidence string, category string, cwe string, remediation string>"
 

@@ -10,7 +10,7 @@ from lodestone.functions import scoring, text
 from lodestone.operators import chunks, costs, detect, findings, gate, ledger, navigation, replies, runs
 from lodestone.plans.fixtures import EXPRESSIONS, PRICES, derived, sql_of
 from lodestone.plans.lineage import shared_dir
-from lodestone.plans.registry import CELLS, CHUNKS, CODE, FOUND, GATES, LINES, N_LINES, ORACLES, PLACE, PRICED, PRINT, QUERIES, SYMBOLS, TIES, calls_of, code_symbols, document_files, document_lines, given, ledger_cells, query
+from lodestone.plans.registry import CELLS, CHUNKS, CODE, FOUND, GATES, IN_ORDER, LINES, N_LINES, ORACLES, PLACE, PRICED, PRINT, QUERIES, SYMBOLS, TIES, calls_of, code_symbols, document_files, document_lines, given, ledger_cells, query
 from lodestone.sources import files, reports, sinks
 from lodestone.streaming import guard, leases, reads
 
@@ -335,6 +335,28 @@ def f3_several_secrets(spark, sf_dir):
     return detect.masked(given(spark, sf_dir, "orders").select("o_orderkey", line.alias("line"))).select("o_orderkey", "masked", "n_masked")
 
 
+# ------------------------------------------------------------------------- semantic groups
+
+RANK_OF = "case severity when 'low' then 1 when 'medium' then 2 when 'high' then 3 when 'critical' then 4 else 0 end"
+
+
+@query(f"""with {FOUND}, p as (select *, {IN_ORDER} as place, {PRINT} as print, {RANK_OF} as r from f), b as (select *, place // 150 as batch, place % 150 as idx from p),
+g as (select *, case when batch % 5 in (3, 4) or idx % 3 = 2 then 'i' || idx else 'g' || idx // 3 end as grp from b),
+l as (select *, row_number() over (partition by batch, grp order by r desc, confidence desc, idx) as lead from g), o as (select *, case when lead = 1 then -1 else idx end as pos from l)
+select arg_min(ord, pos) as ord, arg_min(file_rel, pos) as file_rel, arg_min(line_start, pos) as line_start, arg_min(category, pos) as category, cast(sum(votes) as int) as votes, arg_min(severity, pos) as severity, arg_min(title, pos) as title, max(confidence) as confidence,
+case when bool_or(reachable = 'reachable') then 'reachable' else arg_min(reachable, pos) end as reachable, coalesce(arg_min(cited_snippet, pos) filter (where cited_snippet <> ''), '') as cited_snippet, coalesce(arg_min(cwe, pos) filter (where cwe <> ''), '') as cwe, coalesce(arg_min(symbol, pos) filter (where symbol <> ''), '') as symbol,
+string_agg('e' || ord, ',' order by pos) as evidence, list_sort(list_filter(list_distinct(list(print)), lambda x: x <> any_value(first))) as superseded from (select *, first_value(print) over (partition by batch, grp order by pos) as first from o) group by batch, grp, first""".replace("any_value(first)", "first"))
+def a4_semantic_groups(spark, sf_dir):
+    """Replies that pair two of every three findings, with repeats and ids that are none; one batch in five gets no list, one a single group."""
+    order = ["file_rel", "line_start", "line_end", "category", "print", "ord", *findings.TIES]
+    f = findings.batched(derived(spark, sf_dir, "findings").withColumn("print", scoring.fingerprint()).withColumn("evidence", F.array(F.concat(F.lit("e"), F.col("ord").cast("string")))), order).drop("print")
+    n = f.groupBy("batch").agg(F.count("*").alias("n"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(3)), lambda i: F.format_string('[%d, "[%d]", %d, true, "x", %d]', i, i + 1, i, F.col("n")))
+    text = F.when(F.col("batch") % 5 == 3, "none").when(F.col("batch") % 5 == 4, F.concat(F.lit("[["), F.array_join(F.sequence(F.lit(0), F.col("n") - 1), ","), F.lit("]]"))).otherwise(F.concat(F.lit('["odd",'), F.array_join(pair, ","), F.lit(",[]]")))
+    out = findings.semantically_merged(f, n.select("batch", text.alias("json")))
+    return out.select("ord", "file_rel", "line_start", "category", "votes", "severity", "title", "confidence", "reachable", "cited_snippet", "cwe", "symbol", F.array_join("evidence", ",").alias("evidence"), "superseded")
+
+
 # ------------------------------------------------------------------------- streams that end
 
 LEASE_EVENTS = {
