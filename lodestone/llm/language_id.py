@@ -91,7 +91,7 @@ class Model:
 
 
 def train(x: np.ndarray, labels: list[str], epochs: int = 30, rate: float = 0.3, decay: float = 1e-6, seed: int = 7) -> Model:
-    """Logistic classifiers of all bits together, by AdaGrad over shuffled batches."""
+    """Logistic classifiers of all bits together, by AdaGrad over shuffled batches. x may be of half floats: a batch at a time is widened."""
     languages = sorted(set(labels))
     code = codewords(len(languages))
     y = np.array([languages.index(v) for v in labels], int)
@@ -104,13 +104,15 @@ def train(x: np.ndarray, labels: list[str], epochs: int = 30, rate: float = 0.3,
         order = rng.permutation(len(x))
         for at in range(0, len(x), 128):
             i = order[at : at + 128]
-            g = -(target[i] / (1 + np.exp(np.clip(target[i] * (x[i] @ w + b), -30, 30)))) * share[i, None].astype(np.float32) / len(i)
-            dw, db = x[i].T @ g + decay * w, g.sum(axis=0)
+            xi = x[i].astype(np.float32)
+            g = -(target[i] / (1 + np.exp(np.clip(target[i] * (xi @ w + b), -30, 30)))) * share[i, None].astype(np.float32) / len(i)
+            dw, db = xi.T @ g + decay * w, g.sum(axis=0)
             gw += dw * dw
             gb += db * db
             w -= rate * dw / np.sqrt(gw)
             b -= rate * db / np.sqrt(gb)
-    right = (x @ w + b) * target > 0
+    margin = [x[at : at + 1024].astype(np.float32) @ w + b for at in range(0, len(x), 1024)]
+    right = np.concatenate([*margin, np.zeros((0, code.shape[1]), np.float32)]) * target > 0
     trust = np.stack([right[y == i].mean(axis=0) for i in range(len(languages))]) if languages else np.ones((0, 0))
     return Model(languages, code.astype(np.float32), w, b, (trust / np.maximum(trust.sum(axis=1, keepdims=True), 1e-9)).astype(np.float32))
 
@@ -144,9 +146,12 @@ def fit(docs: DataFrame, sample: int = 6000, few: int = 5) -> Model:
             x = features(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["lang"], pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    rows = chosen.mapInArrow(count, "lang string, x binary").toPandas().sort_values(["lang", "x"])
-    x = np.stack([np.frombuffer(r, np.float16) for r in rows["x"]]).astype(np.float32) if len(rows) else np.zeros((0, FEATURES), np.float32)
-    return train(x, rows["lang"].tolist())
+    # in the order of (h, lang), one row after the other: the driver holds the half floats once
+    x, labels = np.zeros((2 * sample, FEATURES), np.float16), []
+    for r in chosen.mapInArrow(count, "lang string, x binary").toLocalIterator():
+        x[len(labels)] = np.frombuffer(r["x"], np.float16)
+        labels.append(r["lang"])
+    return train(x[: len(labels)], labels)
 
 
 def predict(docs: DataFrame, model: Model, lead: float = 0.1) -> DataFrame:
