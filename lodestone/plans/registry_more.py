@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lodestone.functions import scoring, text
-from lodestone.operators import chunks, costs, detect, findings, gate, ledger, navigation, replies, runs
+from lodestone.operators import chunks, costs, detect, findings, gate, ledger, navigation, nesting, replies, runs, urls
 from lodestone.plans.fixtures import EXPRESSIONS, PRICES, derived, sql_of
 from lodestone.plans.lineage import shared_dir
 from lodestone.plans.registry import CELLS, CHUNKS, CODE, FOUND, GATES, IN_ORDER, LINES, N_LINES, ORACLES, PLACE, PRICED, PRINT, QUERIES, SYMBOLS, TIES, calls_of, code_symbols, document_files, document_lines, given, ledger_cells, query
@@ -409,3 +409,35 @@ def t2_calls_let_through(spark, sf_dir):
     calls = costs.priced(_as_stream(spark, sf_dir, folder).selectExpr(*(f"{e} as {n}" for n, e in EXPRESSIONS["calls"][1].items())), prices)
     guard.guarded(calls, f"{folder}/out", f"{folder}/checkpoint", 20.0, availableNow=True)
     return spark.read.parquet(f"{folder}/out").select("id", F.round("so_far", 8).alias("so_far"))
+
+
+# ------------------------------------------------------------------------- nested code, urls
+
+# A file for some orders: every order's n items open n blocks, one in the other, and close them again.
+NESTED = "o as (select l_orderkey as o, cast(count(*) as int) as n, 'N' || cast(cast(floor(l_orderkey / 64) as bigint) as string) as path from lineitem group by l_orderkey), w as (select *, cast(sum(2 * n) over (partition by path order by o rows unbounded preceding) as int) - 2 * n as base from o)"
+
+
+@query(f"with {NESTED.replace('as string', 'as varchar')} select path, 'f' || o || 'x' || k as name, cast(base + k as int) as start_line, cast(base + 2 * n - k + 1 as int) as end_line from (select *, unnest(range(1, n + 1)) as k from w)")
+def f12_nested_ranges(spark, sf_dir):
+    w = spark.sql(f"with {NESTED.replace('from lineitem', 'from {lineitem}')} select * from w", lineitem=given(spark, sf_dir, "lineitem"))
+    k = w.select("*", F.explode(F.sequence(F.lit(1), 2 * F.col("n"))).alias("k"))
+    head = F.concat(F.lit('  public void f'), F.col("o").cast("string"), F.lit("x"), F.col("k").cast("string"), F.lit('(int a) { s = "}{"; // }'))
+    return nesting.nested_ranges(k.select("path", F.lit("java").alias("language"), (F.col("base") + F.col("k")).cast("int").alias("line_no"), F.when(F.col("k") <= F.col("n"), head).otherwise(" } ").alias("line")))
+
+
+URLS = {
+    0: "url", 1: "'http://127.0.' || cast(page_id % 256 as string) || '.9/v1'", 2: "'http://10.' || cast(page_id % 256 as string) || '.0.1:8080/v1/x'", 3: "'HTTP://[fd00::' || cast(page_id % 99 as string) || ']:80/v1'", 4: "'http://8.8.' || cast(page_id % 256 as string) || '.8/v1'",
+    5: "'https://api.example.com:443/v1/m' || cast(page_id as string)", 6: "'https://api.example.com/v10'", 7: "'https://u:p@api.example.com/v1'", 8: "'http://100.' || cast(64 + page_id % 64 as string) || '.1.2/'", 9: "'https://api.example.com/v1/%2e%2E/x'", 10: "'http://[2001:4860::' || cast(page_id % 99 as string) || ']/'", 11: "'http://localhost:0/'",
+}
+URL_OF = f"case page_id % {len(URLS)} " + " ".join(f"when {k} then {e}" for k, e in URLS.items()) + " end"
+
+
+@query(f"""with u as (select page_id, page_id % {len(URLS)} as k, url, {URL_OF.replace("as string", "as varchar")} as endpoint from pages)
+select page_id, endpoint, case k when 0 then case when regexp_matches(url, '[?#\\s]') or not regexp_matches(url, '^https?://[A-Za-z0-9.-]+(:[1-9][0-9]*)?(/|$)') then null when starts_with(url, 'https') then 'https' else 'hostname' end when 1 then 'loopback' when 2 then 'private' when 3 then 'private' when 4 then 'public' when 5 then 'https' when 6 then 'https' when 8 then 'private' when 10 then 'public' end as transport,
+ case when k in (2, 3, 5) then true when k in (7, 9, 11) or k = 0 and (regexp_matches(url, '[?#\\s]') or not regexp_matches(url, '^https?://[A-Za-z0-9.-]+(:[1-9][0-9]*)?(/|$)')) then null else k in (1, 4) and false end as allowed from u""")
+def f48_p14_endpoints(spark, sf_dir):
+    """Every page's url, or an endpoint made up from its number: how it is reached, and whether one of three prefixes covers it."""
+    pages = given(spark, sf_dir, "pages").selectExpr("page_id", f"{URL_OF} as endpoint")
+    nets = spark.range(256).select(F.format_string("http://10.%d.0.1:8080/v1", "id").alias("prefix")).union(spark.range(99).select(F.format_string("http://[FD00:0::%d]/v1/", "id").alias("prefix")))
+    nets = nets.union(spark.range(1).select(F.lit("https://API.example.com/v1").alias("prefix")))
+    return urls.allowed(urls.transport(pages, "endpoint"), "endpoint", nets).select("page_id", "endpoint", "transport", "allowed")
