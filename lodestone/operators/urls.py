@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,21 +40,29 @@ def v4_digits(host: Column) -> Column:
     return F.when(host.rlike(rf"^{octet}(?:\.{octet}){{3}}$"), F.array_join(octets, ""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named there: as columns, the optimiser would write it out each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def v6_digits(host: Column) -> Column:
     """An IPv6 literal as 32 hexadecimal digits, null for anything else. Its end may be an IPv4 literal."""
-    end = v4_digits(F.regexp_extract(host, r":(\d+\.\d+\.\d+\.\d+)$", 1))
-    whole = F.when(end.isNotNull(), F.concat(F.regexp_replace(host, r"\d+\.\d+\.\d+\.\d+$", ""), F.substring(end, 1, 4), F.lit(":"), F.substring(end, 5, 4))).otherwise(host)
     group = r"[0-9A-Fa-f]{1,4}"
-    full = whole.rlike(rf"^{group}(?::{group}){{7}}$")
-    short = whole.rlike(rf"^(?:{group}(?::{group})*)?::(?:{group}(?::{group})*)?$")
 
     def groups(part: Column) -> Column:
-        return F.when(part == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(part, ":"), lambda x: F.lpad(F.lower(x), 4, "0")))
+        return F.transform(F.filter(F.split(part, ":"), lambda g: g != ""), lambda g: F.lpad(F.lower(g), 4, "0"))
 
-    left, right = groups(F.substring_index(whole, "::", 1)), groups(F.when(short, F.substring_index(whole, "::", -1)).otherwise(""))
-    missing = 8 - F.size(left) - F.size(right)
-    fill = F.array_repeat(F.lit("0000"), F.greatest(F.lit(0), missing))
-    return F.when(full | short & (missing >= 1), F.array_join(F.concat(left, fill, right), ""))
+    def digits(whole: Column) -> Column:
+        full, short = whole.rlike(rf"^{group}(?::{group}){{7}}$"), whole.rlike(rf"^(?:{group}(?::{group})*)?::(?:{group}(?::{group})*)?$")
+        sides = F.struct(groups(F.substring_index(whole, "::", 1)).alias("left"), groups(F.when(short, F.substring_index(whole, "::", -1)).otherwise("")).alias("right"), full.alias("full"), short.alias("short"))
+        return let(sides, filled)
+
+    def filled(s: Column) -> Column:
+        missing = 8 - F.size(s["left"]) - F.size(s["right"])
+        return F.when(s["full"] | s["short"] & (missing >= 1), F.array_join(F.concat(s["left"], F.array_repeat(F.lit("0000"), F.greatest(F.lit(0), missing)), s["right"]), ""))
+
+    end = v4_digits(F.regexp_extract(host, r":(\d+\.\d+\.\d+\.\d+)$", 1))
+    return let(end, lambda e: let(F.when(e.isNotNull(), F.concat(F.regexp_replace(host, r"\d+\.\d+\.\d+\.\d+$", ""), F.substring(e, 1, 4), F.lit(":"), F.substring(e, 5, 4))).otherwise(host), digits))
 
 
 def parsed(table: DataFrame, column: str) -> DataFrame:
@@ -62,31 +72,45 @@ def parsed(table: DataFrame, column: str) -> DataFrame:
     backslashes and dot segments, plain or percent-coded. Scheme and host are lower-cased, a missing port is the scheme's; the path is
     decoded, without slashes at its end. address: an IP literal's digits.
     """
-    # step by step, so that no part is computed again for each of its uses
-    x = table.withColumn("raw_", F.regexp_replace(column, r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
-    m = lambda g: F.regexp_extract("raw_", r"^([A-Za-z]+)://(\[[^\]/]*\]|[^/:\[\]]*)(?::(\d+))?(/.*)?$", g)
-    x = x.withColumns({"scheme_": F.lower(m(1)), "site_": F.lower(m(2)), "port_": m(3), "path_": m(4)})
-    x = x.withColumns({"host_": F.regexp_replace("site_", r"^\[|\]$", ""), "path_": F.coalesce(F.try_url_decode(F.replace("path_", F.lit("+"), F.lit("%2B"))), "path_")})
-    x = x.withColumn("port_", F.when(F.col("port_") == "", F.when(F.col("scheme_") == "https", 443).otherwise(80)).otherwise(F.col("port_").try_cast("int")))
-    x = x.withColumn("address_", F.when(F.col("site_").startswith("["), v6_digits(F.col("host_"))).otherwise(v4_digits(F.col("host_"))))
-    ok = F.col("scheme_").isin("http", "https") & (F.col("host_") != "") & F.col("port_").between(1, 65535) & ~F.col("raw_").rlike(r"[?#@\\\s\x00-\x20\x7f\x1c-\x1f\x85\xa0]")
-    ok = ok & ~F.contains("path_", F.lit("\\")) & ~F.col("path_").rlike(r"(?:^|/)\.{1,2}(?:/|$)") & (~F.col("site_").startswith("[") | F.col("address_").isNotNull())
-    parts = F.struct(F.col("scheme_").alias("scheme"), F.col("host_").alias("host"), F.col("port_").alias("port"), F.regexp_replace("path_", "/+$", "").alias("path"), F.col("address_").alias("address"))
-    return x.withColumn("parts", F.when(F.coalesce(ok, F.lit(False)), parts)).drop("raw_", "scheme_", "site_", "port_", "path_", "host_", "address_")
+
+    def split(raw: Column) -> Column:
+        m = lambda g: F.regexp_extract(raw, r"^([A-Za-z]+)://(\[[^\]/]*\]|[^/:\[\]]*)(?::(\d+))?(/.*)?$", g)
+        clean = ~raw.rlike(r"[?#@\\\s\x00-\x20\x7f\x1c-\x1f\x85\xa0]")
+        return let(F.struct(F.lower(m(1)).alias("scheme"), F.lower(m(2)).alias("site"), m(3).alias("port"), m(4).alias("path"), clean.alias("clean")), decoded)
+
+    def decoded(x: Column) -> Column:
+        path = F.coalesce(F.try_url_decode(F.replace(x["path"], F.lit("+"), F.lit("%2B"))), x["path"])
+        port = F.when(x["port"] == "", F.when(x["scheme"] == "https", 443).otherwise(80)).otherwise(x["port"].try_cast("int"))
+        literal = x["site"].startswith("[")
+        host = F.regexp_replace(x["site"], r"^\[|\]$", "")
+        known = F.struct(host.alias("host"), F.when(literal, v6_digits(host)).otherwise(v4_digits(host)).alias("address"), path.alias("path"), port.alias("port"), literal.alias("literal"))
+        return let(known, lambda y: judged(x, y))
+
+    def judged(x: Column, y: Column) -> Column:
+        ok = x["clean"] & x["scheme"].isin("http", "https") & (y["host"] != "") & y["port"].between(1, 65535) & (~y["literal"] | y["address"].isNotNull())
+        ok = ok & ~F.contains(y["path"], F.lit("\\")) & ~y["path"].rlike(r"(?:^|/)\.{1,2}(?:/|$)")
+        parts = F.struct(x["scheme"].alias("scheme"), y["host"].alias("host"), y["port"].alias("port"), F.regexp_replace(y["path"], "/+$", "").alias("path"), y["address"].alias("address"))
+        return F.when(F.coalesce(ok, F.lit(False)), parts)
+
+    return table.withColumn("parts", let(F.regexp_replace(column, r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), split))
 
 
 def transport(table: DataFrame, column: str) -> DataFrame:
     """Adds ``transport``: https; for plain http loopback, private (an address that is not routed globally), public or hostname; null for urls that are refused."""
-    address = F.col("parts.address")
-    # an IPv4 address within IPv6 counts as itself
-    x = parsed(table, column).withColumn("address_", F.when(address.startswith(MAPPED) & (F.length(address) == 32), F.substring(address, 25, 8)).otherwise(address))
-    address = F.col("address_")
-    v4 = F.length(address) == 8
-    local = F.when(v4, within(address, V4_LOCAL)).otherwise(within(address, V6_LOCAL))
-    shut = F.when(v4, within(address, V4_PRIVATE) & ~within(address, V4_ROUTED)).otherwise(within(address, V6_PRIVATE) & ~within(address, V6_ROUTED))
-    host = F.col("parts.host")
-    kind = F.when(F.col("parts.scheme") == "https", "https").when(host.isin(LOOPBACK_NAMES) | local, "loopback").when(address.isNull(), "hostname").when(shut, "private").otherwise("public")
-    return x.withColumn("transport", F.when(F.col("parts").isNotNull(), kind)).drop("parts", "address_")
+
+    def kind(parts: Column) -> Column:
+        # an IPv4 address within IPv6 counts as itself
+        own = F.when(parts["address"].startswith(MAPPED) & (F.length(parts["address"]) == 32), F.substring(parts["address"], 25, 8)).otherwise(parts["address"])
+        return F.when(parts["scheme"] == "https", "https").when(parts["host"].isin(LOOPBACK_NAMES), "loopback").when(parts["address"].isNull(), "hostname").otherwise(let(own, routed))
+
+    def routed(address: Column) -> Column:
+        v4 = F.length(address) == 8
+        local = F.when(v4, within(address, V4_LOCAL)).otherwise(within(address, V6_LOCAL))
+        shut = F.when(v4, within(address, V4_PRIVATE) & ~within(address, V4_ROUTED)).otherwise(within(address, V6_PRIVATE) & ~within(address, V6_ROUTED))
+        return F.when(local, "loopback").when(shut, "private").otherwise("public")
+
+    x = parsed(table, column)
+    return x.withColumn("transport", let(F.col("parts"), lambda p: F.when(p.isNotNull(), kind(p)))).drop("parts")
 
 
 def allowed(table: DataFrame, column: str, prefixes: DataFrame) -> DataFrame:
