@@ -3,7 +3,7 @@
 import pytest
 from paths import DATA
 
-from lodestone.plans import registry, registry_more  # noqa: F401 (registers its queries)
+from lodestone.plans import registry, registry_more, registry_rest  # noqa: F401 (they register their queries)
 
 SMALL = f"{DATA}/sf0.001"
 
