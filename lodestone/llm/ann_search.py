@@ -2,8 +2,8 @@
 
 Fitting uses a bounded sample: its exact neighbour graph is cut into balanced parts, and a small network
 learns, from each sample vector, how its neighbours spread over the parts. The index gives every row
-to its most probable part; a query visits its several most probable parts, whose vectors are
-scored exactly. Parts may be of any size: all their vectors are searched, in blocks.
+to its most probable part; a query is sent to its several most probable parts, and only their vectors are
+multiplied with it, exactly. Parts may be of any size: all their vectors are searched, in slices and blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import cut
-from lodestone.llm.vectors import BLOCK, QUERY_BLOCK, matrix_of, meet, slices_of, usable
+from lodestone.llm.vectors import BLOCK, CELL_BYTES, QUERY_BLOCK, matrix_of, slices_of, usable
 
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 FOUND_DDL = "query_id long, vec_id long, score double"
@@ -130,74 +130,113 @@ def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int | None = None, visit: float = 0.8, sample: int = 8192, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+@dataclass
+class Index:
+    """Vectors of one length by part (vec_id, v, part), how many each part holds, and the router that chose the parts."""
+
+    rows: DataFrame
+    router: Router
+    held: np.ndarray
+    dim: int
+    probes: int
+    least: int
+
+    def visits(self, y: np.ndarray) -> np.ndarray:
+        """Which parts each query goes to: its ``probes`` most probable ones, and more while those hold no more than ``least`` vectors."""
+        order = np.argsort(-self.router(y), axis=1, kind="stable")
+        few = (np.cumsum(self.held[order], axis=1) <= self.least).sum(axis=1) + 1
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, np.arange(len(self.held))[None, :] < np.maximum(self.probes, few)[:, None], axis=1)
+        return out
+
+
+def build(base: DataFrame, dim: int, n: int, k: int, parts: int | None = None, visit: float = 0.7, sample: int = 8192) -> Index:
+    """Fit parts on a bounded sample of ``base`` (vec_id, v) and deal every row to its part."""
+    if parts is None:
+        parts = min(256, max(16, 1 << round(math.log2(n / 16 + 1))))
+    chosen = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "v").toPandas()
+    router = fit(np.stack(chosen["v"].to_numpy()).astype(np.float64), parts)
+
+    def assign(batches):
+        for batch in batches:
+            part = router(matrix_of(batch["v"], dim)).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], pa.array(part, pa.int32())], ["vec_id", "v", "part"])
+
+    kind = base.schema["v"].dataType.simpleString()
+    rows = cut(base.select("vec_id", "v").mapInArrow(assign, f"vec_id long, v {kind}, part int"))
+    counts = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}  # at most 256 rows
+    return Index(rows, router, np.array([counts.get(i, 0) for i in range(parts)]), dim, min(parts, max(2, math.ceil(visit * parts))), k)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int | None = None, visit: float = 0.7, sample: int = 8192, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The nearest k found for each query row, by largest inner product in double precision.
 
-    ``sample`` bounds the rows that the partition is fitted on (the least hashes of vec_id). ``parts`` defaults
-    to a power of two near a quarter of the root of the number of vectors, from 16 to 256; ``visit`` is the
-    share of parts that a query visits (at least 2). While the visited parts hold fewer than k candidates, a
-    query visits all of them.
+    ``sample`` bounds the rows that the partition is fitted on (the least hashes of vec_id). ``parts`` defaults to a power of two near a sixteenth of the number
+    of vectors, from 16 to 256; ``visit`` is the share of parts that a query visits (at least 2). While the visited parts hold no more than k
+    vectors, a query visits further ones. Queries are sent to the parts that they visit, and to no other.
 
     Vectors that are null, zero or hold null, NaN or infinite components take no part, nor do vectors of another
-    length than the query's; each length has an index of its own. A query's own vec_id is no candidate; repeated rows of one vec_id
-    count once; ties go to the smaller vec_id. Empty tables give an empty result.
+    length than the query's; each length has an index of its own, and only lengths that are asked for. A query's own vec_id is no candidate; repeated rows of
+    one vec_id count once; ties go to the smaller vec_id. Empty tables give an empty result.
 
     Returns query_id, rank (from 1), vec_id, score.
     """
     base = cut(usable(vectors, nonzero=True))
-    asked = usable(queries, nonzero=True)
+    asked = cut(usable(queries, nonzero=True))
     found = vectors.sparkSession.createDataFrame([], FOUND_DDL)
-    for dim, n in base.groupBy("dim").count().orderBy("dim").collect():  # one row for each length of vectors
-        own = F.col("dim") == dim
-        found = found.unionByName(_search_length(base.filter(own), asked.filter(own), dim, n, k, parts, visit, sample, block, query_block))
+    lengths = base.groupBy("dim").count().join(F.broadcast(asked.groupBy("dim").agg(F.count("*").alias("n_asked"))), "dim")
+    for dim, n, n_asked in lengths.orderBy("dim").collect():  # one row for each length of vectors
+        index = build(base.filter(F.col("dim") == dim), dim, n, k, parts, visit, sample)
+        found = found.unionByName(_search_index(index, asked.filter(F.col("dim") == dim), n_asked, k, block, query_block))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search_length(base: DataFrame, asked: DataFrame, dim: int, n: int, k: int, parts: int | None, visit: float, sample: int, block: int, query_block: int) -> DataFrame:
-    """Candidates of every query, by each cell of the grid, among vectors of one length."""
-    if parts is None:
-        parts = min(256, max(16, 1 << round(math.log2(math.sqrt(n) / 4 + 1))))
-    chosen = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "v").toPandas()
-    router = fit(np.stack(chosen["v"].to_numpy()).astype(np.float64), parts)
-    probes = min(parts, max(2, math.ceil(visit * parts)))
+def _search_index(index: Index, asked: DataFrame, n_asked: int, k: int, block: int, query_block: int) -> DataFrame:
+    """Candidates of every query from the parts that it visits.
 
-    def assign(batches):
+    A part of many vectors is dealt over slices, and very many queries over columns: a task meets one slice of one part with one column of the queries that
+    visit it.
+    """
+    size = index.dim * 8 + 16
+    slices = [max(1, math.ceil(h * size / CELL_BYTES)) for h in index.held.tolist()]
+    columns = max(1, math.ceil(n_asked * size / CELL_BYTES))
+    of_part = F.array(*[F.lit(x) for x in slices])[F.col("part")]
+
+    def route(batches):
         for batch in batches:
-            part = router(matrix_of(batch["v"], dim)).argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], pa.array(part, pa.int32())], ["vec_id", "v", "part"])
+            visits = index_.visits(matrix_of(batch["v"], index_.dim))
+            at = pa.array([np.flatnonzero(v).astype(np.int32) for v in visits], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], at], ["vec_id", "v", "parts"])
 
-    kind = base.schema["v"].dataType.simpleString()
-    index = cut(base.select("vec_id", "v").mapInArrow(assign, f"vec_id long, v {kind}, part int")).withColumn("dim", F.lit(dim))
-    counts = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # at most 256 rows
-    held = np.array([counts.get(i, 0) for i in range(parts)])
+    index_ = Index(None, index.router, index.held, index.dim, index.probes, index.least)  # without its table, for the tasks
+    kind = asked.schema["v"].dataType.simpleString()
+    routed = asked.select("vec_id", "v").mapInArrow(route, f"vec_id long, v {kind}, parts array<int>").select("vec_id", "v", F.explode("parts").alias("part"))
+    right = routed.withColumn("slice", F.explode(F.sequence(F.lit(0), of_part - 1))).withColumn("column", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(columns)).cast("int"))
+    left = index.rows.withColumn("slice", F.pmod(F.xxhash64("vec_id"), of_part).cast("int")).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
 
-    def rerank(own, questions, _):
+    def rerank(own, questions):
         for question in slices_of(questions, query_block):
-            qid, y = question["vec_id"].to_numpy(), matrix_of(question["v"], dim)
-            # the parts each query visits
-            order = np.argsort(-router(y), axis=1, kind="stable")
-            few = (np.cumsum(held[order], axis=1) <= k).sum(axis=1) + 1
-            visits = np.zeros((len(qid), parts), bool)
-            np.put_along_axis(visits, order, np.arange(parts)[None, :] < np.maximum(probes, few)[:, None], axis=1)
+            qid, y = question["vec_id"].to_numpy(), matrix_of(question["v"], index_.dim)
             for piece in slices_of(own, block):
-                ids, x, visited = piece["vec_id"].to_numpy(), matrix_of(piece["v"], dim), visits[:, piece["part"].to_numpy()]
-                rough = np.where(visited, y @ x.T, -np.inf)
+                ids, x = piece["vec_id"].to_numpy(), matrix_of(piece["v"], index_.dim)
+                rough = y @ x.T
                 near = min(k + 1, len(ids))
                 worst = np.partition(rough, len(ids) - near, axis=1)[:, len(ids) - near]
                 margin = 1e-12 * np.sqrt((y**2).sum(axis=1)) * np.sqrt((x**2).sum(axis=1).max())
-                q, c = np.nonzero((rough >= (worst - margin)[:, None]) & visited)
+                q, c = np.nonzero(rough >= (worst - margin)[:, None])
                 keep = qid[q] != ids[c]
                 q, c = q[keep], c[keep]
                 for at in range(0, max(1, len(q)), 1 << 18):
                     yield _best(qid[q[at : at + (1 << 18)]], ids[c[at : at + (1 << 18)]], _exact(y[q[at : at + (1 << 18)]], x[c[at : at + (1 << 18)]]), k)
 
-    def cell(own, questions, length):
-        """The best k of each query over the whole cell."""
-        each = pa.Table.from_batches([*rerank(own, questions, length)], FOUND)
-        yield _best(*(each[c].to_numpy() for c in ("query_id", "vec_id", "score")), k)
+    def cell(own, questions):
+        """The best k of each query over one slice of a part."""
+        each = pa.Table.from_batches([*rerank(own.sort_by("vec_id"), questions.sort_by("vec_id"))] if len(own) and len(questions) else [], FOUND)
+        return pa.Table.from_batches([_best(*(each[c].to_numpy() for c in ("query_id", "vec_id", "score")), k)])
 
-    return meet(index, asked, cell, FOUND_DDL, n * (dim * 8 + 16), asked.count() * (dim * 8 + 16))
+    key = ["part", "slice", "column"]
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(cell, FOUND_DDL)
 
 
 def _best(qid: np.ndarray, vid: np.ndarray, score: np.ndarray, k: int) -> pa.RecordBatch:
