@@ -31,6 +31,9 @@ REACH = {"reachable": 1.0, "unclear": 0.7, "unreachable": 0.4}
 CONFIDENCE_WORDS = {"very high": 0.95, "high": 0.8, "medium": 0.5, "moderate": 0.5, "low": 0.3, "very low": 0.15, "certain": 0.95, "unsure": 0.3}
 SEVERITY_ALIASES = {"info": "informational", "informational/low": "informational", "moderate": "medium", "severe": "high", "crit": "critical"}
 
+# Words for the severity of an organisation's rules.
+RULE_SEVERITIES = {"info": "informational", "informational": "informational", "low": "low", "minor": "low", "medium": "medium", "moderate": "medium", "high": "high", "major": "high", "severe": "high", "critical": "critical", "crit": "critical", "blocker": "critical"}
+
 
 def lookup(x: Column, table: dict, default) -> Column:
     """Value of a small fixed table; ``default`` (a column or literal) for other keys and null."""
@@ -96,3 +99,8 @@ def confidence_of(raw: str | Column) -> Column:
 def severity_of(raw: str | Column, default: str = "medium") -> Column:
     low = F.lower(F.trim(F.coalesce(as_col(raw), F.lit(""))))
     return F.when(low.isin(list(FLOORS)), low).otherwise(lookup(low, SEVERITY_ALIASES, default))
+
+
+def rule_severity_of(raw: str | Column) -> Column:
+    """The severity that a rule gives, in words of its own; medium for any other."""
+    return lookup(F.lower(F.trim(F.coalesce(as_col(raw), F.lit("")))), RULE_SEVERITIES, "medium")

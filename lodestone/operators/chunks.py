@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.lineage import sound_unions
+
 
 def windows(spans: DataFrame, size: int = 150, overlap: int = 20) -> DataFrame:
     """Cut spans (path, lo, hi) longer than ``size`` lines into windows that overlap; rows gain start_line, end_line."""
@@ -33,6 +35,7 @@ def symbol_chunks(files: DataFrame, ranges: DataFrame, size: int = 150, overlap:
     maximum tells the first line that no earlier range covers, so nested ranges give no line twice. Files
     without ranges are cut by windows.
     """
+    sound_unions(files.sparkSession)
     r = ranges.join(files, "path").filter("end_line >= start_line and start_line <= n_lines").select("path", "start_line", "end_line", F.greatest(F.lit(1), "start_line").alias("a"), F.least("n_lines", "end_line").alias("b"))
     before = Window.partitionBy("path").orderBy("start_line", "end_line").rowsBetween(Window.unboundedPreceding, -1)
     r = r.withColumn("cursor", F.greatest(F.lit(1), F.coalesce(F.max(F.col("b") + 1).over(before), F.lit(1)))).filter("b >= cursor")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scoring import gate_rank
+from lodestone.plans.lineage import sound_unions
 
 
 def skip_validation(findings: DataFrame, bar: str) -> DataFrame:
@@ -57,6 +58,7 @@ def exit_code(gates: DataFrame, cells: DataFrame, limited: bool = False) -> Data
 
 def resolved(findings: DataFrame, wanted: DataFrame) -> DataFrame:
     """Find (asked) by row id, else whole fingerprint, else an unambiguous prefix of 8: status found, ambiguous or none."""
+    sound_unions(findings.sparkSession)
     w = wanted.withColumn("prefix", F.substring(F.regexp_replace("asked", "^F-", ""), 1, 8))
     by_id = w.join(findings, F.col("asked") == F.col("id").cast("string")).select("asked", F.lit(1).alias("way"), "id")
     by_print = w.join(findings, F.col("asked") == F.col("fingerprint")).select("asked", F.lit(2).alias("way"), "id")

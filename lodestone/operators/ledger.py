@@ -120,6 +120,15 @@ def outcome(replies: DataFrame, least: float, max_shallow: int) -> DataFrame:
     return replies.withColumn("thoroughness", t).withColumn("state", state)
 
 
+def plateaus(attempts: DataFrame, max_shallow: int = 2) -> DataFrame:
+    """Attempts (cell, attempt, thoroughness) with ``plateau``: some work was done, often enough, and no better than the time before.
+
+    The first attempt is measured against 0, so it is no plateau.
+    """
+    before = F.coalesce(F.lag("thoroughness").over(Window.partitionBy("cell").orderBy("attempt")), F.lit(0.0))
+    return attempts.withColumn("plateau", (F.col("thoroughness") > 0) & (F.col("attempt") >= max(1, max_shallow)) & (F.col("thoroughness") <= before))
+
+
 def upserted_findings(old: DataFrame, new: DataFrame) -> DataFrame:
     """Findings by dedup_key: new values win, a human status stays, base values keep the new or else the old."""
     o = old.select("dedup_key", *[F.col(c).alias(f"o_{c}") for c in old.columns if c != "dedup_key"])

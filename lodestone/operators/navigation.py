@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import as_col
+from lodestone.plans.lineage import sound_unions
 
 
 def listed(files: DataFrame, folder: str = "", depth: int = 2, most: int = 200) -> DataFrame:
@@ -27,6 +28,7 @@ def neighbours(edges: DataFrame) -> DataFrame:
     """Sorted callers and callees of every name: (name, callers, callees)."""
     up = edges.select(F.col("callee").alias("name"), F.col("caller"), F.lit(None).cast("string").alias("callee"))
     down = edges.select(F.col("caller").alias("name"), F.lit(None).cast("string").alias("caller"), "callee")
+    sound_unions(up.sparkSession)
     return up.unionByName(down).groupBy("name").agg(F.array_sort(F.collect_set("caller")).alias("callers"), F.array_sort(F.collect_set("callee")).alias("callees"))
 
 

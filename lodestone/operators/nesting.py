@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.symbols import DEFINITIONS, definitions
+from lodestone.plans.lineage import sound_unions
 
 # Definitions of further languages; the name is group 1, the first pattern of a line wins.
 MORE_DEFINITIONS = {
@@ -64,6 +65,7 @@ def nested_ranges(lines: DataFrame, patterns: dict[str, list[str]] | None = None
     In languages with braces a range ends with the line that closes the level it was opened on, texts and comments of a line apart; a head that
     comes to a semicolon first has no body and is one line long; calls and control words are none. In Python and Ruby indent decides. What is never closed runs to the last line. A file is one task's window.
     """
+    sound_unions(lines.sparkSession)
     defs = definitions(lines, {**DEFINITIONS, **MORE_DEFINITIONS} if patterns is None else patterns)
     defs = defs.withColumnRenamed("start_line", "line_no")
     indented = F.col("language").isin(BY_INDENT)

@@ -5,49 +5,56 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.replies import id_of  # noqa: F401 (part of this module's interface)
-from lodestone.functions.scoring import confidence_of, severity_of
-from lodestone.functions.text import hedged, squeezed
+from lodestone.functions.scoring import confidence_of, lookup, severity_of
+from lodestone.functions.text import as_col, hedged, squeezed
 from lodestone.operators import detect, symbols
 from lodestone.sources import files
 
-# Failure classes, first match wins; every word of an entry must occur.
-FAILURES = [
-    (["throttl"], "rate limited"),
-    (["toomanyrequests"], "rate limited"),
-    (["accessdenied"], "access denied"),
-    (["not authorized"], "access denied"),
-    (["forbidden"], "access denied"),
-    (["resource", "notfound"], "model not found"),
-    (["unsupported"], "parameter rejected"),
-    (["temperature"], "parameter rejected"),
-    (["validationexception"], "invalid request"),
-    (["invalid"], "invalid request"),
-    (["timeout"], "timed out"),
-    (["timed out"], "timed out"),
-    (["parse"], "unparseable reply"),
-    (["unauthorized"], "gateway auth rejected"),
-    (["401"], "gateway auth rejected"),
-    (["connection"], "network failure"),
-    (["urlerror"], "network failure"),
-    (["dns"], "network failure"),
-]
+# Failure classes in order, with what tells each: any of the alternatives, all words of one.
+FAILURES = {
+    "rate limited": [["throttl"], ["toomanyrequests"]],
+    "access denied": [["accessdenied"], ["not authorized"], ["forbidden"]],
+    "model not found": [["resource", "notfound"]],
+    "parameter rejected": [["unsupported"], ["temperature"]],
+    "invalid request": [["validationexception"], ["invalid"]],
+    "timed out": [["timeout"], ["timed out"]],
+    "unparseable reply": [["parse"]],
+    "gateway auth rejected": [["unauthorized"], ["401"]],
+    "network failure": [["connection"], ["urlerror"], ["dns"]],
+}
+# The same for why a judge gave no verdict, after the stop reasons that tell by themselves.
+STOPS = {"retries_exhausted": "transport retries exhausted", "max_turns": "turn budget exhausted"}
+JUDGE_FAILURES = {
+    "rate limited": [["throttl"], ["toomanyrequests"], ["rate"]],
+    "timed out": [["timeout"], ["timed out"]],
+    "access denied": [["accessdenied"], ["unauthor"], ["forbidden"]],
+    "request rejected by the model": [["validation"]],
+}
+
+
+def _first_class(text: Column, classes: dict[str, list[list[str]]], other: str) -> Column:
+    out = F.lit(other)
+    for kind, alternatives in reversed(classes.items()):
+        hits = [reduce(lambda a, b: a & b, [text.contains(w) for w in words]) for words in alternatives]
+        out = F.when(reduce(lambda a, b: a | b, hits), kind).otherwise(out)
+    return out
 
 
 def failure_kind(error: str | Column) -> Column:
-    low = F.lower(F.coalesce(F.col(error) if isinstance(error, str) else error, F.lit("")))
-    out = F.lit("other")
-    for words, kind in reversed(FAILURES):
-        hit = F.lit(True)
-        for w in words:
-            hit = hit & low.contains(w)
-        out = F.when(hit, kind).otherwise(out)
-    return out
+    return _first_class(F.lower(F.coalesce(as_col(error), F.lit(""))), FAILURES, "other")
+
+
+def judge_reason(stop_reason: str | Column, error: str | Column) -> Column:
+    """Why a judge gave no verdict, in a few fixed words that hold nothing of the message."""
+    told = _first_class(F.lower(F.coalesce(as_col(error), F.lit(""))), JUDGE_FAILURES, "model call failed")
+    return lookup(as_col(stop_reason), STOPS, told)
 
 
 def last_block(text: str, tag: str) -> Column:
@@ -250,6 +257,21 @@ def normalised(responses: DataFrame, column: str = "json") -> DataFrame:
     return r.withColumn("reply", F.coalesce(choice["message"]["content"], F.lit(""))).withColumn("tools", tools).withColumn("stop_reason", stop).withColumn("input_tokens", fresh).withColumn("cache_read_tokens", cached).withColumn("output_tokens", F.coalesce("r.usage.completion_tokens", F.lit(0))).drop("r")
 
 
+CONVERSE = """struct<output struct<message struct<content array<struct<text string, toolUse struct<name string>>>>>, stopReason string,
+usage struct<inputTokens bigint, outputTokens bigint, cacheReadInputTokens bigint, cacheWriteInputTokens bigint>>"""
+
+
+def normalised_converse(responses: DataFrame, column: str = "json") -> DataFrame:
+    """The same of responses whose content is a list of blocks: texts joined by lines, tools in order, tokens as they are counted there."""
+    r = responses.withColumn("r", F.from_json(column, CONVERSE))
+    blocks = F.coalesce("r.output.message.content", F.array())
+    texts = F.transform(F.filter(blocks, lambda b: b["text"].isNotNull()), lambda b: b["text"])
+    tools = F.transform(F.filter(blocks, lambda b: b["text"].isNull() & b["toolUse"].isNotNull()), lambda b: F.coalesce(b["toolUse"]["name"], F.lit("")))
+    counts = {"input_tokens": "inputTokens", "output_tokens": "outputTokens", "cache_read_tokens": "cacheReadInputTokens", "cache_write_tokens": "cacheWriteInputTokens"}
+    out = r.withColumn("reply", F.array_join(texts, "\n")).withColumn("tools", tools).withColumn("stop_reason", F.col("r.stopReason"))
+    return out.withColumns({n: F.coalesce(f"r.usage.{c}", F.lit(0)) for n, c in counts.items()}).drop("r")
+
+
 def action_of(text: str | None) -> dict | None:
     """First ``ACTION: name({...})`` of a reply: its tool, arguments and whether they were a whole JSON object."""
     found = re.search(r"ACTION:\s*([A-Za-z_]\w*)\s*\(\s*", text or "")

@@ -9,6 +9,7 @@ from lodestone.functions.scoring import fingerprint
 from lodestone.functions.text import as_col, squeezed
 from lodestone.operators import findings as merging
 from lodestone.operators import gate, symbols
+from lodestone.plans.lineage import sound_unions
 
 
 def skip_reasons(files: DataFrame) -> DataFrame:
@@ -38,14 +39,26 @@ def by_weight(files: DataFrame) -> DataFrame:
     return files.orderBy(F.desc("weight"), "path")
 
 
-def cell_ranges(cells: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """Lines of every cell: its chunk's, else the whole file's."""
-    out = cells.join(chunks.select("path", "chunk_index", "start_line", "end_line"), ["path", "chunk_index"], "left").join(files.select("path", "n_lines"), "path", "left")
+def cell_ranges(cells: DataFrame, chunks: DataFrame, files: DataFrame, derived: DataFrame | None = None) -> DataFrame:
+    """Lines of every cell: its chunk's as stored, else those of ``derived`` chunks (found anew by symbols), else the whole file's."""
+    place = ["path", "chunk_index"]
+    out = cells.join(chunks.select(*place, "start_line", "end_line"), place, "left").join(files.select("path", "n_lines"), "path", "left")
+    if derived is not None:
+        anew = derived.select(*place, F.col("start_line").alias("start_"), F.col("end_line").alias("end_"))
+        known = F.col("start_line").isNotNull() & F.col("end_line").isNotNull()
+        out = out.join(anew, place, "left").withColumns({"start_line": F.when(known, F.col("start_line")).otherwise(F.col("start_")), "end_line": F.when(known, F.col("end_line")).otherwise(F.col("end_"))}).drop("start_", "end_")
     return out.withColumn("start_line", F.coalesce("start_line", F.lit(1))).withColumn("end_line", F.coalesce("end_line", F.greatest(F.lit(1), "n_lines"))).drop("n_lines")
 
 
+def hints(surface: DataFrame, kind: str, most: int) -> DataFrame:
+    """The first hits of a kind, by file and line, as a prompt tells them."""
+    first = surface.filter(F.col("kind") == kind).orderBy("path", "line_no", "label").limit(most)
+    return first.select("path", "line_no", F.concat(F.lit("  "), F.col("label"), F.lit(" "), F.col("path"), F.lit(":"), F.col("line_no").cast("string")).alias("hint"))
+
+
 def settled_union(*parts: DataFrame) -> DataFrame:
     """Findings of several tiers (validated, skipped, demoted) as one, folded by fingerprint."""
+    sound_unions(parts[0].sparkSession)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import scoring, text
 from lodestone.operators import chunks, costs, detect, endpoints, findings, gate, graph, ledger, replies, symbols
 from lodestone.plans.fixtures import ALL_CLASSES, EXPRESSIONS, PRICES, derived, sql_of
+from lodestone.plans.lineage import sound_unions
 from lodestone.sources import documents, files, reports, sinks
 from lodestone.streaming import spend
 
@@ -30,6 +31,7 @@ def query(sql: str | None = None):
 
 
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    sound_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import scoring
-from lodestone.operators import costs, findings, gate, ledger
+from lodestone.operators import chunks, costs, detect, gate, ledger, replies, runs
 from lodestone.plans.fixtures import derived
-from lodestone.plans.registry import CELLS, FOUND, GATES, IN_ORDER, PRINT, RULE_OF, TIES, given, j7_j8_gated, ledger_cells, query
+from lodestone.plans.registry import CELLS, FOUND, GATES, IN_ORDER, ORACLES, PRINT, RULE_OF, TIES, code_symbols, given, j7_j8_gated, ledger_cells, query
 from lodestone.sources import documents, reports
 
 REPLIES = {
@@ -141,3 +142,62 @@ def s14_j6_reloaded(spark, sf_dir):
     files = given(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").selectExpr("c_custkey as id", "'src/c' || cast(c_custkey as string) || '.py' as path")
     present = given(spark, sf_dir, "part").filter("p_partkey % 3 = 0").selectExpr("'k' || cast(p_partkey as string) as dedup_key")
     return ledger.reloaded(stored, files, present).select("id", "dedup_key", "file_rel", "confidence", "votes")
+
+
+# ------------------------------------------------------------------ words, hints, fallbacks
+
+SAID = {0: "Blocker", 1: " major ", 2: "MINOR", 3: "crit", 4: "info", 5: "odd", 6: "", 7: "High"}
+SAID_SQL = "case event_id % 9 " + " ".join(f"when {k} then '{v}'" for k, v in SAID.items()) + " end"
+
+
+@query("select event_id, case event_id % 9 when 0 then 'critical' when 1 then 'high' when 2 then 'low' when 3 then 'critical' when 4 then 'informational' when 7 then 'high' else 'medium' end as severity from events")
+def f22_rule_severities(spark, sf_dir):
+    return given(spark, sf_dir, "events").withColumn("said", F.expr(SAID_SQL)).select("event_id", scoring.rule_severity_of("said").alias("severity"))
+
+
+ERRORS = "case event_id % 8 when 0 then 'ThrottlingException: slow' when 1 then 'Read timed out' when 2 then 'AccessDenied by x' when 3 then 'ValidationException' when 4 then 'HTTP rate 7' when 5 then 'boom' when 6 then '' end"
+
+
+@query("select event_id, case when event_id % 5 = 0 then 'transport retries exhausted' when event_id % 7 = 0 then 'turn budget exhausted' else case event_id % 8 when 0 then 'rate limited' when 1 then 'timed out' when 2 then 'access denied' when 3 then 'request rejected by the model' when 4 then 'rate limited' else 'model call failed' end end as reason from events")
+def p17_judge_reasons(spark, sf_dir):
+    stop = "case when event_id % 5 = 0 then 'retries_exhausted' when event_id % 7 = 0 then 'max_turns' when event_id % 3 = 0 then 'end_turn' end"
+    e = given(spark, sf_dir, "events").selectExpr("event_id", f"{stop} as stop", f"{ERRORS} as error")
+    return e.select("event_id", replies.judge_reason("stop", "error").alias("reason"))
+
+
+@query("select user_id as cell, event_id as attempt_id, nth as attempt, t as thoroughness, t > 0 and nth >= 3 and t <= coalesce(before, 0) as plateau from (select *, lag(t) over (partition by user_id order by nth) as before from (select user_id, event_id, cast(row_number() over (partition by user_id order by event_id) as int) as nth, event_id * 7 % 11 / 10.0::double as t from events))")
+def w7_plateaus(spark, sf_dir):
+    """Every user's events as attempts at one cell."""
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    e = given(spark, sf_dir, "events").select(F.col("user_id").alias("cell"), F.col("event_id").alias("attempt_id"), nth.alias("attempt"), (F.col("event_id") * 7 % 11 / 10.0).alias("thoroughness"))
+    return ledger.plateaus(e, 3)
+
+
+@query(f"with h as ({ORACLES['p5_surface_hits']}), n as (select *, row_number() over (partition by kind order by path, line_no, label) as nth from h where kind in ('source', 'sink')) select kind, path, line_no, '  ' || label || ' ' || path || ':' || line_no as hint from n where nth <= case kind when 'sink' then 30 else 25 end")
+def o6_hints(spark, sf_dir):
+    """What a prompt shows of the surface: 30 sinks, 25 sources."""
+    hits = detect.surface_hits(derived(spark, sf_dir, "code"))
+    parts = [runs.hints(hits, kind, most).withColumn("kind", F.lit(kind)) for kind, most in (("sink", 30), ("source", 25))]
+    return parts[0].unionByName(parts[1]).select("kind", "path", "line_no", "hint")
+
+
+@query(f"with ch as ({ORACLES['f9_w2_symbol_chunks']}), s as (select path, max(end_line) as n_lines from ch group by path), c as (select path, unnest([0, 1, 2, 90]) as chunk_index from s) select c.path, c.chunk_index, case when c.chunk_index = 1 then 3 else coalesce(ch.start_line, 1) end as start_line, case when c.chunk_index = 1 then 5 else coalesce(ch.end_line, greatest(1, n_lines)) end as end_line from c join s using (path) left join ch on ch.path = c.path and ch.chunk_index = c.chunk_index")
+def j16_derived_ranges(spark, sf_dir):
+    """Cells of which only the second has its lines stored: the others' are found anew by symbols, and past these it is the file."""
+    _, sizes, ranges = code_symbols(spark, sf_dir)
+    cells = sizes.select("path", F.explode(F.array(*[F.lit(i) for i in (0, 1, 2, 90)])).alias("chunk_index"))
+    stored = sizes.select("path", F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk_index")).selectExpr("path", "chunk_index", "if(chunk_index = 1, 3, null) as start_line", "if(chunk_index = 1, 5, null) as end_line")
+    return runs.cell_ranges(cells, stored, sizes, chunks.symbol_chunks(sizes, ranges, 12, 3)).select("path", "chunk_index", "start_line", "end_line")
+
+
+@query("select event_id, case when event_id % 3 = 0 then '' else event_type || chr(10) || 'v' || user_id end as reply, case when event_id % 2 = 0 then 'read,' else '' end as tools, case when event_id % 4 <> 0 then 'stop_' || event_id % 4 end as stop_reason, user_id as input_tokens, event_id % 7 as output_tokens, case when event_id % 2 = 0 then event_id % 100 else 0 end as cache_read_tokens, 0 as cache_write_tokens from events")
+def f29_converse_responses(spark, sf_dir):
+    e = given(spark, sf_dir, "events")
+    n = F.col("event_id")
+    text = F.when(n % 3 == 0, "").otherwise(F.format_string('{"text":"%s"},{"text":"v%d"},', "event_type", "user_id"))
+    tools = F.when(n % 2 == 0, '{"toolUse":{"toolUseId":"t","name":"read","input":{"a":1}}},{"toolUse":{"input":{}}},').otherwise("")
+    stop = F.when(n % 4 != 0, F.format_string('"stopReason":"stop_%d",', n % 4)).otherwise("")
+    cache = F.when(n % 2 == 0, F.format_string(',"cacheReadInputTokens":%d', n % 100)).otherwise("")
+    body = F.concat(F.lit('{"output":{"message":{"content":['), text, tools, F.lit('{"image":{}}]}},'), stop, F.format_string('"usage":{"inputTokens":%d,"outputTokens":%d', "user_id", n % 7), cache, F.lit("}}"))
+    out = replies.normalised_converse(e.select("event_id", body.alias("json")))
+    return out.select("event_id", "reply", F.array_join("tools", ",").alias("tools"), "stop_reason", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
