@@ -49,6 +49,19 @@ def features(texts: list[str | None]) -> np.ndarray:
     return (x / np.maximum(norm, 1e-12)).astype(np.float32)
 
 
+def packed(row: np.ndarray) -> bytes:
+    """A row of features as the places and half floats of those that are not 0."""
+    half = row.astype(np.float16)
+    at = np.flatnonzero(half)
+    return at.astype(np.uint16).tobytes() + half[at].tobytes()
+
+
+def unpack(data: bytes, row: np.ndarray) -> None:
+    """The same back, into a row of zeros."""
+    n = len(data) // 4
+    row[np.frombuffer(data, np.uint16, n)] = np.frombuffer(data, np.float16, n, 2 * n)
+
+
 def codewords(n: int, seed: int = 7) -> np.ndarray:
     """n rows of +1/-1: all different splits of up to 7 languages, else the best of random codes."""
     if n < 2:
@@ -144,12 +157,12 @@ def fit(docs: DataFrame, sample: int = 6000, few: int = 5) -> Model:
     def count(batches):
         for batch in slices(batches, 256):
             x = features(batch["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([batch["lang"], pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch["lang"], pa.array([packed(r) for r in x], pa.binary())], ["lang", "x"])
 
     # in the order of (h, lang), one row after the other: the driver holds the half floats once
     x, labels = np.zeros((2 * sample, FEATURES), np.float16), []
     for r in chosen.mapInArrow(count, "lang string, x binary").toLocalIterator():
-        x[len(labels)] = np.frombuffer(r["x"], np.float16)
+        unpack(r["x"], x[len(labels)])
         labels.append(r["lang"])
     return train(x[: len(labels)], labels)
 

@@ -26,14 +26,21 @@ LOWER[65:91] += 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    sound_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sound_unions(spark: SparkSession) -> None:
+    """Turn off partitioning-aware unions for the session: Spark 4.1 may leave rows of one key in several tasks under them."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The application's folder under ``spark.checkpoint.dir``, which all executors share.
 
     Where the session names none, a temporary folder is set on a local master; on a cluster that is an error.
     """
+    sound_unions(spark)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")

@@ -259,3 +259,11 @@ def test_language_decoding_equals_loops(spark, docs, corpus):
         assert abs(got[i].score - top) < 1e-3
         if sorted(shares)[-2] / sum(shares) < top - 1e-3:
             assert got[i].lang_pred == model.languages[losses.index(min(losses))]
+
+
+def test_packed_features_come_back():
+    x = language_id.features(["some text", "", None, "été " * 50])
+    rows = np.zeros(x.shape, np.float16)
+    for row, out in zip(x, rows, strict=True):
+        language_id.unpack(language_id.packed(row), out)
+    assert (rows == x.astype(np.float16)).all()
