@@ -27,8 +27,8 @@ def state_of(spark: SparkSession, checkpoint: str, before: int | None = None) ->
     return last.asDict() if last else none
 
 
-def let_through(calls: DataFrame, batch: int, path: str, checkpoint: str, ceiling: float, deadline: float | None, clock: Callable[[], float]) -> None:
-    """One batch: calls up to the one that reaches the ceiling go to ``path``; the state of the batch is kept beside the checkpoint.
+def let_through(calls: DataFrame, batch: int, path: str, checkpoint: str, ceiling: float, deadline: float | None, clock: Callable[[], float]) -> str | None:
+    """One batch: calls up to the one that reaches the ceiling go to ``path``; the state of the batch is kept beside the checkpoint. Gives the reason to stop, if there is one.
 
     A batch that is run again finds the state before it and writes the same files anew, so no call counts twice.
     """
@@ -47,6 +47,7 @@ def let_through(calls: DataFrame, batch: int, path: str, checkpoint: str, ceilin
         after = {"total": sums["total"], "calls": state["calls"] + sums["calls"], "reason": "ceiling" if over else None, "last_ts": last["ts"], "last_id": last["id"]}
     passed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
     spark.createDataFrame([(batch, *(after[n] for n in ("total", "calls", "reason", "last_ts", "last_id")))], STATE).coalesce(1).write.mode("overwrite").json(f"{checkpoint}/guard/{batch:012d}")
+    return after["reason"]
 
 
 def guarded(calls: DataFrame, path: str, checkpoint: str, ceiling: float, deadline: float | None = None, clock: Callable[[], float] = time.time, poll: float = 0.2, **trigger) -> dict:
@@ -60,13 +61,16 @@ def guarded(calls: DataFrame, path: str, checkpoint: str, ceiling: float, deadli
     if state_of(spark, checkpoint)["reason"]:
         return state_of(spark, checkpoint)
 
+    reasons: list[str] = []  # told by the batches themselves: their files may be being written anew
+
     def each(batch: DataFrame, n: int) -> None:
-        let_through(batch, n, path, checkpoint, ceiling, deadline, clock)
+        if reason := let_through(batch, n, path, checkpoint, ceiling, deadline, clock):
+            reasons.append(reason)
 
     query = calls.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
     try:
         while not query.awaitTermination(poll):
-            if state_of(spark, checkpoint)["reason"]:
+            if reasons:
                 query.stop()
     except StreamingQueryException as e:
         if STOPPED not in str(e):
