@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+import hashlib
+import math
+import re
+from collections import Counter
+from functools import lru_cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import as_col, entropy, is_digest, placeholder
+from lodestone.functions.text import DIGEST_LENGTHS, as_col
 
 # Path parts and content that raise a file's priority.
 PATH_HINTS = ["auth", "login", "session", "token", "password", "crypto", "secret", "api", "controller", "route", "handler", "endpoint", "rpc", "graphql", "admin", "upload", "deserial", "parse", "exec", "command", "query", "sql"]
@@ -74,7 +78,10 @@ SECRETS = [
     ("connection_string", r"\b(?:mongodb|postgres(?:ql)?|mysql|redis|amqp)://[^\s'\"]+", 0),
     ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0),
 ]
+# What a match of a pattern holds at least one of; a look-up is quicker than the pattern.
+NEEDED = {"aws_access_key": ("AKIA", "ASIA"), "private_key": ("-----BEGIN ",), "generic_api_key": ("_live_", "_test_"), "bearer_token": ("earer",), "jwt": ("eyJ",), "password_assign": ("=", ":"), "connection_string": ("://",), "email": ("@",)}
 TOKEN = r"[A-Za-z0-9/+=_\-]{20,}"
+HEX = re.compile("[0-9A-Fa-f]+").fullmatch
 
 
 def priority_weight(path: str | Column, text: str | Column) -> Column:
@@ -119,27 +126,34 @@ def injection_hits(lines: DataFrame, most: int = 20) -> DataFrame:
     return lines.withColumn("pattern_index", which).filter("pattern_index is not null").withColumn("nth", nth).filter(F.col("nth") <= most).select("path", "line_no", "pattern_index", F.substring(stripped("line"), 1, 160).alias("snippet"))
 
 
-def _replaced(line: Column, pattern: str, swap: Callable[[Column, Column], Column], group: int = 0) -> tuple[Column, Column]:
-    """The line with every match of a pattern swapped, and the number of matches that changed.
+@lru_cache(1 << 14)
+def _share(count: int, n: int) -> float:
+    return count / n * (math.log(count / n) / math.log(2.0))
+
+
+def _bits(token: str) -> float:
+    """Shannon entropy of the characters, as ``functions.text.entropy`` has it."""
+    return -sum([_share(token.count(c), len(token)) for c in dict.fromkeys(token)])
 
-    What lies between the matches comes from a split at the same pattern, so exactly the matches are touched, whatever else the line holds. ``swap``
-    gets a match and its ``group``, and gives what is put there, null for no change.
-    """
-    between = F.split(line, pattern, -1)
-    whole, value = (F.regexp_extract_all(line, F.lit(pattern), F.lit(g)) for g in (0, group))
-    new = F.transform(F.arrays_zip(whole.alias("w"), value.alias("v")), lambda m: F.struct(m["w"].alias("w"), swap(m["w"], m["v"]).alias("new")))
-    parts = F.zip_with(F.slice(between, 2, F.size(between)), new, lambda after, m: F.concat(F.coalesce(m["new"], m["w"]), after))
-    return F.concat(F.element_at(between, 1), F.array_join(parts, "")), F.size(F.filter(new, lambda m: m["new"].isNotNull()))
 
+def _mask(line: str, threshold: float) -> tuple[str, int]:
+    """One line, pattern by pattern, with only the spans of values replaced."""
+    n = 0
 
-def _masking(label: str, group: int) -> Callable[[Column, Column], Column]:
-    def swap(whole: Column, value: Column) -> Column:
-        # the value of group 1 stands before a closing quote
-        inner = F.length(whole) - F.length(value) if group else F.lit(1)
-        new = F.concat(F.substring(whole, F.lit(1), inner - 1), placeholder(label, value), F.substring(whole, inner + F.length(value), F.length(whole)))
-        return F.when(~is_digest(value), new)
+    def swap(m: re.Match, label: str, group: int, least: float) -> str:
+        nonlocal n
+        value = m[group]
+        if len(value) in DIGEST_LENGTHS and HEX(value) or least and _bits(value) < least:
+            return m[0]
+        n += 1
+        mark = f"<{label.upper()}_{hashlib.sha256(value.encode()).hexdigest()[:6]}>".ljust(len(value), "*")
+        return m[0][: m.start(group) - m.start()] + mark + m[0][m.end(group) - m.start() :]
 
-    return swap
+    for label, pattern, group in SECRETS:
+        if not any(x in line for x in NEEDED.get(label, ("",))):
+            continue
+        line = re.sub(pattern, lambda m, label=label, group=group: swap(m, label, group, 0.0), line)
+    return re.sub(TOKEN, lambda m: swap(m, "highentropy", 0, threshold), line), n
 
 
 def masked(lines: DataFrame, threshold: float = 4.0) -> DataFrame:
@@ -148,14 +162,15 @@ def masked(lines: DataFrame, threshold: float = 4.0) -> DataFrame:
     Patterns are applied in order, then tokens of 20 characters or more whose entropy reaches ``threshold``. Digests
     stay. Only what a pattern matches is replaced: an equal text elsewhere in the line is judged by itself.
     """
-    stray = (TOKEN, 0, lambda whole, _: F.when(~is_digest(whole) & (entropy(whole) >= threshold), placeholder("highentropy", whole)))
-    out = lines.withColumn("masked", F.col("line")).withColumn("n_masked", F.lit(0))
-    for pattern, group, swap in [*((p, g, _masking(label, g)) for label, p, g in SECRETS), stray]:
-        # the condition keeps the costly expressions off the lines without a match
-        line, n = _replaced(F.col("masked"), pattern, swap, group)
-        out = out.withColumn("m", F.when(F.col("masked").rlike(pattern), F.struct(line.alias("line"), n.alias("n"))))
-        out = out.withColumn("n_masked", F.col("n_masked") + F.coalesce("m.n", F.lit(0))).withColumn("masked", F.coalesce("m.line", "masked")).drop("m")
-    return out
+
+    @F.pandas_udf("line string, n int")
+    def replaced(suspects: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if x is None else _mask(x, threshold) for x in suspects], columns=["line", "n"]).astype({"n": "Int32"})
+
+    # only lines that some pattern matches leave the JVM; as nondeterministic the function is not run once more for a filter on its result
+    suspect = reduce(lambda c, p: c | F.col("line").rlike(p), [*(p for _, p, _ in SECRETS), TOKEN], F.lit(False))
+    out = lines.withColumn("m", replaced.asNondeterministic()(F.when(suspect, F.col("line"))))
+    return out.withColumn("masked", F.coalesce("m.line", "line")).withColumn("n_masked", F.coalesce("m.n", F.lit(0))).drop("m")
 
 
 def sanitised(texts: DataFrame, mode: str = "redact", suffixes: tuple[str, ...] = (".env", ".pem", ".key")) -> DataFrame:

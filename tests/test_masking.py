@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 
 import pytest
 
@@ -65,6 +66,16 @@ def test_only_matches_are_masked(spark):
     assert not re.search(rf"(?<!x){KEY}", got[0][0]) and "uV1wX" not in got[2][0]
 
 
+def test_many_secrets_in_little_time(spark):
+    """A millisecond a line is too much."""
+    secret = [f"x{KEY} and {OTHER}, {KEY} password = \"password\" pwd: 'p{i}xyzw' # p{i}xyzw" for i in range(20_000)]
+    df = spark.createDataFrame([("p", i, x) for i, x in enumerate(secret)], "path string, line_no int, line string").coalesce(1)
+    start = time.monotonic()
+    got = detect.masked(df).orderBy("line_no").select("masked", "n_masked").collect()
+    assert time.monotonic() - start < 12
+    assert all(tuple(got[i]) == loop(secret[i]) for i in range(0, 20_000, 100))
+
+
 def test_ranges_are_cut_to_the_file(spark):
     lines = spark.createDataFrame([("a", i, f"line number {i} of it") for i in range(1, 9)], "path string, line_no int, line string")
     claims = [(1, "a", 1, 2_000_000_000, "line number 7 of it"), (2, "a", 2_000_000_000, 2_147_483_647, "line number 7 of it"), (3, "none", 1, 5, "line number 7 of it"), (4, "a", 9, 3, "line number 5 of it\nline number 6 of it"), (5, "a", -5, 0, "line number 1 of it")]
