@@ -97,6 +97,23 @@ def test_held_out(spark):
     assert len(toxic) > 100 and toxic.predicted.mean() > 0.9 and clean.predicted.mean() < 0.03
 
 
+def test_all_rows_are_learned(spark):
+    """A word of a single text, and rows put aside, count, however few rows the first fit draws."""
+    rows = [(i, ("vile" if i % 2 else "kind") + f" only{i} word", "en", i % 2) for i in range(400)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, sample=20)
+    learned = {r.doc_id for r in labels.filter(toxicity.fold() != 1).collect()}
+    aside = {r.doc_id for r in labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(5)) == 0).collect()}
+    ids, first = toxicity.word_ids(pa.array([r[1] for r in rows]))
+    for i, _, _, _ in rows:
+        own = ids[first[i] + 1][0]
+        assert (model.net.table[own, 0] != 0) == (i in learned - aside) or (ids == own).sum() > 1
+    assert set(model.thresholds) == {"", "en"} and min(len(learned & aside), len(learned - aside)) > 40
+    got = toxicity.predict(docs.join(labels, "doc_id"), model).filter("held_out").toPandas()
+    assert (got.predicted == got.toxic).mean() > 0.98
+
+
 def test_odd_rows(spark, docs, empty):
     model = toxicity.Model(net(), language_id.train(np.zeros((0, language_id.FEATURES), np.float32), []))
     odd = docs.withColumn("score", F.lit("own")).withColumn("x", F.lit(1)).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")).withColumn("score", F.lit("own")).withColumn("x", F.lit(1)))
