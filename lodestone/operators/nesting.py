@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.symbols import DEFINITIONS, definitions
+from lodestone.operators.symbols import DEFINITIONS, defined
 from lodestone.plans.lineage import sound_unions
 
 # Definitions of further languages; the name is group 1, the first pattern of a line wins.
@@ -23,23 +23,39 @@ CONTROL = ["if", "for", "foreach", "while", "switch", "catch", "return", "else",
 QUIET = r"""\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|//.*$|/\*.*?\*/|^\s*#.*$"""
 
 
-def _braces(line: Column) -> Column:
-    """The braces of a line that meet no other on it: closing ones, then opening ones."""
-    out = F.regexp_replace(F.regexp_replace(line, QUIET, ""), r"[^{}]", "")
+def _braces(quiet: Column) -> Column:
+    """The braces of a line without texts and comments that meet no other on it: closing ones, then opening ones."""
+    out = F.regexp_replace(quiet, r"[^{}]", "")
     for _ in range(6):  # pairs go from the inside; what nests deeper on one line stays as it is
         out = F.replace(out, F.lit("{}"))
     return out
 
 
-def _closed_by_braces(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Level of every line (path, line_no, level), and where a level ends (path, level, line_no, last)."""
-    sweep = Window.partitionBy("path").orderBy("line_no")
-    x = lines.withColumn("b", _braces(F.col("line")))
+def _marks_of_braces(lines: DataFrame) -> DataFrame:
+    """Definitions and ends of levels (path, level, line_no, last, name, open, n_lines) of files with braces; an end has no name.
+
+    Files are dealt once; what lies ahead of a line is summed up on a sweep from the last line back.
+    """
+    quiet = F.regexp_replace("line", QUIET, "")
+    call = ~F.col("language").isin(WORDED) & F.expr("ltrim(line) rlike '^[A-Za-z_$]\\\\w*\\\\s*\\\\('")
+    name = F.when(F.col("language").isin(WORDED) | ~F.col("name").isin(CONTROL), F.col("name"))
+    x = lines.select("path", "line_no", name.alias("name"), call.alias("call"), quiet.alias("quiet"))
+    x = x.select("path", "line_no", "name", "call", _braces(F.col("quiet")).alias("b"), F.col("quiet").contains("{").alias("brace"), F.col("quiet").contains(";").alias("stop"))
     x = x.withColumn("down", F.length(F.replace("b", F.lit("{")))).withColumn("up", F.length("b") - F.col("down"))
+    sweep = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("before", F.sum(F.col("up") - F.col("down")).over(sweep) - F.col("up") + F.col("down"))
+    # a head goes on to the first line with a brace or a semicolon
+    back = Window.partitionBy("path").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    brace, stop = (F.min(F.when(F.col(c), F.col("line_no"))).over(back) for c in ("brace", "stop"))
+    x = x.select("*", brace.alias("to_brace"), stop.alias("to_stop"), F.max("line_no").over(back).alias("n_lines"))
+    bodied = F.coalesce(F.col("to_brace") <= F.coalesce("to_stop", "to_brace"), F.lit(False))
     level = F.col("before") - F.col("down")
-    ends = x.filter("down > 0").select("path", F.explode(F.sequence(level, F.col("before") - 1)).alias("level"), "line_no", F.col("line_no").alias("last"))
-    return x.select("path", "line_no", level.alias("level")), ends
+    mark = "struct<level:bigint,last:int,name:string,open:boolean>"
+    # a name with brackets and nothing before or behind is a call; languages with a word for functions need no such guess
+    head = F.struct(level, F.lit(None), "name", bodied & ~(F.col("brace") & (F.length("b") == 0))).cast(mark)
+    heads = F.when(F.col("name").isNotNull() & (bodied | ~F.col("call")), F.array(head)).otherwise(F.array().cast(f"array<{mark}>"))
+    ends = F.when(F.col("down") > 0, F.transform(F.sequence(level, F.col("before") - 1), lambda v: F.struct(v, F.col("line_no"), F.lit(None), F.lit(None)).cast(mark))).otherwise(F.array().cast(f"array<{mark}>"))
+    return x.select("path", "line_no", "n_lines", F.explode(F.concat(heads, ends)).alias("m")).select("path", "m.level", "line_no", "m.last", "m.name", "m.open", "n_lines")
 
 
 def _closed_by_indent(lines: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,26 +82,21 @@ def nested_ranges(lines: DataFrame, patterns: dict[str, list[str]] | None = None
     comes to a semicolon first has no body and is one line long; calls and control words are none. In Python and Ruby indent decides. What is never closed runs to the last line. A file is one task's window.
     """
     sound_unions(lines.sparkSession)
-    defs = definitions(lines, {**DEFINITIONS, **MORE_DEFINITIONS} if patterns is None else patterns)
-    defs = defs.withColumnRenamed("start_line", "line_no")
+    lines = lines.withColumn("name", defined({**DEFINITIONS, **MORE_DEFINITIONS} if patterns is None else patterns))
     indented = F.col("language").isin(BY_INDENT)
-    last = lines.groupBy("path").agg(F.max("line_no").alias("n_lines"))
-    # a head goes on to the first line with a brace or a semicolon
-    ahead = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    quiet = F.regexp_replace("line", QUIET, "")
-    brace, stop = (F.min(F.when(quiet.contains(c), F.col("line_no"))).over(ahead) for c in "{;")
-    whole = quiet.contains("{") & (F.length(_braces(F.col("line"))) == 0)
-    bodied = F.coalesce(brace <= F.coalesce(stop, brace), F.lit(False))
-    heads = lines.select("path", "line_no", "language", "line", (indented | bodied).alias("bodied"), (indented | bodied & ~whole).alias("open"))
-    level_b, ends_b = _closed_by_braces(lines.filter(~indented))
-    level_i, ends_i = _closed_by_indent(lines.filter(indented), defs)
-    d = defs.join(level_b.unionByName(level_i), ["path", "line_no"]).join(heads, ["path", "line_no"])
-    # a name with brackets and nothing before or behind is a call; languages with a word for functions need no such guess
-    d = d.filter(F.col("language").isin(WORDED) | ~F.col("name").isin(CONTROL) & (F.col("bodied") | ~F.expr("ltrim(line) rlike '^[A-Za-z_$]\\\\w*\\\\s*\\\\('")))
-    none = F.lit(None).cast("string")
-    marks = d.select("path", "level", "line_no", F.lit(None).cast("int").alias("last"), "name", "open")
-    marks = marks.unionByName(ends_b.unionByName(ends_i).select("path", "level", "line_no", "last", none.alias("name"), F.lit(None).cast("boolean").alias("open")))
-    later = Window.partitionBy("path", "level").orderBy("line_no").rangeBetween(1, Window.unboundedFollowing)
-    found = marks.withColumn("end", F.min(F.when(F.col("name").isNull(), F.struct("line_no", "last"))).over(later)).filter("name is not null").join(last, "path")
+    by_indent = lines.filter(indented)
+    defs = by_indent.filter("name is not null").select("path", "name", "line_no")
+    level, ends = _closed_by_indent(by_indent, defs)
+    last = by_indent.groupBy("path").agg(F.max("line_no").alias("n_lines"))
+    none = F.lit(None)
+    marks = defs.join(level, ["path", "line_no"]).select("path", "level", "line_no", none.cast("int").alias("last"), "name", F.lit(True).alias("open"))
+    marks = marks.unionByName(ends.select("path", "level", "line_no", "last", none.cast("string").alias("name"), none.cast("boolean").alias("open")))
+    later = Window.partitionBy("path", "level").orderBy(F.desc("line_no")).rangeBetween(Window.unboundedPreceding, -1)
+
+    def found(marks: DataFrame) -> DataFrame:
+        # from the last line back, so that what lies ahead is not gone through anew for every line
+        return marks.withColumn("end", F.min(F.when(F.col("name").isNull(), F.struct("line_no", "last"))).over(later)).filter("name is not null")
+
     end = F.when(~F.col("open"), F.col("line_no")).otherwise(F.coalesce("end.last", "n_lines"))
-    return found.select("path", "name", F.col("line_no").alias("start_line"), F.greatest("line_no", end).cast("int").alias("end_line"))
+    shown = [F.col("path"), F.col("name"), F.col("line_no").alias("start_line"), F.greatest("line_no", end).cast("int").alias("end_line")]
+    return found(_marks_of_braces(lines.filter(~indented))).select(*shown).unionByName(found(marks).join(last, "path").select(*shown))

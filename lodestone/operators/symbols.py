@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IDENTIFIER = r"[A-Za-z_$][\w$]*"
@@ -28,11 +28,16 @@ DEFINITIONS["typescript"] = [*DEFINITIONS["javascript"], r"^\s*(?:public|private
 
 def definitions(lines: DataFrame, patterns: dict[str, list[str]] = DEFINITIONS) -> DataFrame:
     """(path, name, start_line) from lines (path, language, line_no, line)."""
+    return lines.withColumn("name", defined(patterns)).filter("name is not null").select("path", "name", F.col("line_no").alias("start_line"))
+
+
+def defined(patterns: dict[str, list[str]]) -> Column:
+    """The name that a line defines, or null."""
     name = F.lit(None).cast("string")
     for language, each in patterns.items():
         found = F.coalesce(*[F.nullif(F.regexp_extract("line", p, 1), F.lit("")) for p in each])
         name = F.when(F.col("language") == language, found).otherwise(name)
-    return lines.withColumn("name", name).filter("name is not null").select("path", "name", F.col("line_no").alias("start_line"))
+    return name
 
 
 def ranges(defs: DataFrame, files: DataFrame) -> DataFrame:

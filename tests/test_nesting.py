@@ -1,5 +1,9 @@
 """Nested symbol ranges, and the tightest of them around a line."""
 
+import time
+
+from pyspark.sql import functions as F
+
 from lodestone.operators import nesting, symbols
 
 JAVA = """class Outer {
@@ -88,3 +92,12 @@ def test_tightest_wins(spark):
     points = spark.createDataFrame([("J", n) for n in (2, 5, 8, 16, 18, 19)] + [("p", n) for n in (7, 9, 12, 15)], "path string, line_no int")
     got = {(r.path, r.line_no): r.symbol for r in symbols.enclosing(points, nesting.nested_ranges(df)).collect()}
     assert got == {("J", 2): "Outer", ("J", 5): "first", ("J", 8): "first", ("J", 16): "deep", ("J", 18): "Inner", ("J", 19): "Outer", ("p", 7): "g", ("p", 9): "f", ("p", 12): "A", ("p", 15): "last"}
+
+
+def test_a_long_file_in_little_time(spark):
+    """What lies ahead of a line is not gone through for every line."""
+    n = 60_000
+    k = spark.range(1, 2 * n + 1, 1, 1).select(F.lit("a").alias("path"), F.lit("java").alias("language"), F.col("id").cast("int").alias("line_no"), F.when(F.col("id") % 2 == 1, F.concat(F.lit("public void f"), "id", F.lit("(int a) {"))).otherwise("}").alias("line"))
+    start = time.monotonic()
+    got = nesting.nested_ranges(k).selectExpr("count(*) as n", "count_if(end_line = start_line + 1) as right").first()
+    assert tuple(got) == (n, n) and time.monotonic() - start < 40
