@@ -34,21 +34,25 @@ def merged(findings: DataFrame, key: Column) -> DataFrame:
     def filled(name: str) -> Column:
         return F.coalesce(F.min_by(name, F.when(F.col(name) != "", F.col("nth"))), F.lit("")).alias(name)
 
-    evidence = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", "evidence"))), lambda x: x["evidence"])).alias("evidence")
+    # the first row's values travel as one, and lists are sorted natively: an interpreted comparison for each pair costs more than the fold
+    one = ["ord", *FIRST, "print", F.col("reachable").alias("own")]
+    evidence = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("nth", "evidence"))), lambda x: x["evidence"])).alias("evidence")
     aggs = [
-        F.min_by("ord", "nth").alias("ord"),
-        *[F.min_by(c, "nth").alias(c) for c in FIRST],
+        F.min_by(F.struct(*one), "nth").alias("one"),
         F.sum("votes").cast("int").alias("votes"),
         F.min_by("severity", F.struct(-F.col("rank"), "nth")).alias("severity"),
         leading("title"),
         leading("description"),
         F.max("confidence").alias("confidence"),
-        F.when(F.max((F.col("reachable") == "reachable").cast("int")) == 1, "reachable").otherwise(F.min_by("reachable", "nth")).alias("reachable"),
+        F.max((F.col("reachable") == "reachable").cast("int")).alias("reached"),
         evidence,
-        F.array_sort(F.array_except(F.collect_set("print"), F.array(F.min_by("print", "nth")))).alias("superseded"),
+        F.collect_set("print").alias("prints"),
         *[filled(c) for c in FILLED],
     ]
-    return f.groupBy("key").agg(*aggs)
+    reachable = F.when(F.col("reached") == 1, "reachable").otherwise(F.col("one.own"))
+    superseded = F.sort_array(F.array_except("prints", F.array("one.print")))
+    shown = [*(f"one.{c}" for c in ["ord", *FIRST]), "votes", "severity", "title", "description", "confidence", reachable.alias("reachable"), "evidence", superseded.alias("superseded"), *FILLED]
+    return f.groupBy("key").agg(*aggs).select("key", *shown)
 
 
 def merge_findings(findings: DataFrame) -> DataFrame:
