@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans.lineage import sound_unions
+from lodestone.plans.lineage import small_methods, sound_unions
 
 CLASSES = ["injection", "authz", "authn", "crypto", "deserialization", "ssrf", "path_traversal", "xss", "secrets", "logic", "misconfig", "csrf"]
 ALL_CLASSES = [*CLASSES, "all"]
@@ -83,6 +83,7 @@ def sql_of(name: str) -> str:
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sound_unions(spark)
+    small_methods(spark)
     table = "lineitem" if name == "code" else EXPRESSIONS[name][0]
     source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return spark.sql(sql_of(name).replace(f"from {table}", "from {source}"), source=source)

@@ -20,6 +20,16 @@ def sound_unions(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
+def small_methods(spark: SparkSession) -> None:
+    """Have stages whose generated method is too long for the JVM's compiler run as several shorter ones.
+
+    HotSpot compiles no method of over 8000 bytes of code, and Spark's default limit is 65535: between the two, rows are interpreted. The setting is
+    changed for the session, unless it is lower.
+    """
+    if int(spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535")) > 8000:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The application's folder under the session's ``spark.checkpoint.dir``, which driver and executors share.
 
