@@ -173,28 +173,41 @@ def located(claims: DataFrame, lines: DataFrame, slack: int = 2) -> DataFrame:
     at together do, the claimed range stays. Null: not found, empty, or too generic. The lines are fetched by
     number, so a file with very many claims is spread; ranges are first cut to the file, however far a reply says they go.
     """
-    height = F.length(detect.stripped("snippet")) - F.length(F.replace(detect.stripped("snippet"), F.lit("\n"))) + 1
-    c = claims.withColumn("want", squeezed("snippet")).withColumn("height", height).withColumn("a", F.least("lo", "hi").cast("long")).withColumn("b", F.greatest("lo", "hi").cast("long"))
-    c = c.filter((F.col("want") != "") & ~too_generic("snippet")).withColumn("top", F.greatest(F.lit(1), F.col("a") - slack)).withColumn("end", F.greatest("b", F.col("a") + F.col("height") - 1) + slack)
+    body = detect.stripped("snippet")
+    told = F.struct(squeezed("snippet").alias("want"), (F.length(body) - F.length(F.replace(body, F.lit("\n"))) + 1).alias("height"))
+    # a generated row keeps what follows from working out the snippet's form again
+    c = claims.select("claim_id", "path", F.least("lo", "hi").cast("long").alias("a"), F.greatest("lo", "hi").cast("long").alias("b"), F.explode(F.array(told)).alias("told")).select("claim_id", "path", "a", "b", "told.*")
+    c = c.filter((F.col("want") != "") & ~generic(F.col("want"))).withColumn("top", F.greatest(F.lit(1), F.col("a") - slack)).withColumn("end", F.greatest("b", F.col("a") + F.col("height") - 1) + slack)
     last = lines.groupBy("path").agg(F.max("line_no").alias("last"))
     c = c.join(last, "path").withColumn("end", F.least("end", "last")).filter(F.col("top") <= F.col("end")).drop("last")
-    wanted = c.select("claim_id", "path", F.explode(F.sequence("top", "end")).alias("line_no"))
-    near = wanted.join(lines.select("path", "line_no", "line"), ["path", "line_no"])
-    near = near.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("near"))
-    c = c.join(near, "claim_id")
+    # lines are squeezed one by one, once: joined by blanks they are their text squeezed, as a line end is white space too
+    flat = lines.select("path", "line_no", squeezed("line").alias("flat"))
+    near = c.withColumn("line_no", F.explode(F.sequence("top", "end"))).join(flat, ["path", "line_no"])
+    # a line that holds a snippet of one line settles it; a word can stand nowhere else, other snippets may run over line ends: those gather the lines
+    lone = F.col("height") == 1
+    gathers = ~lone | F.contains("want", F.lit(" "))
+    kept = F.when(gathers, F.struct("line_no", "flat"))
+    alone = F.min(F.when(lone & F.contains("flat", "want"), F.col("line_no")))
+    near = near.groupBy("claim_id").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("height").alias("height"), F.first(F.when(gathers, F.col("want"))).alias("want"), alone.alias("alone"), F.array_sort(F.collect_list(kept)).alias("near"))
 
     def holds(part: Column) -> Column:
-        return F.contains(squeezed(F.array_join(part["line"], "\n")), F.col("want"))
+        return F.contains(F.array_join(F.filter(part["flat"], lambda x: x != ""), " "), F.col("want"))
 
     starts = F.filter(F.sequence(F.lit(1), F.size("near")), lambda i: holds(F.slice("near", i, F.col("height"))))
-    c = c.filter(holds(F.col("near"))).withColumn("first", F.get("near", F.get(starts, F.lit(0)) - 1)["line_no"])
-    at = c.select("claim_id", F.coalesce("first", "a").cast("int").alias("found_at"), F.coalesce(F.col("first") + F.col("height") - 1, "b").cast("int").alias("found_to"))
+    several = F.when(F.size("near") > 0, F.when(holds(F.col("near")), F.struct(F.get("near", F.get(starts, F.lit(0)) - 1)["line_no"].alias("first"))))
+    found = F.when(F.col("alone").isNotNull(), F.struct(F.col("alone").alias("first"))).otherwise(several)
+    found = near.select("claim_id", "a", "b", "height", F.explode(F.array(found)).alias("found")).filter("found is not null")
+    at = found.select("claim_id", F.coalesce("found.first", "a").cast("int").alias("found_at"), F.coalesce(F.col("found.first") + F.col("height") - 1, "b").cast("int").alias("found_to"))
     return claims.join(at, "claim_id", "left")
 
 
 def too_generic(snippet: str) -> Column:
     """A lone short word: an identifier, or letters and digits only."""
-    flat = squeezed(snippet)
+    return generic(squeezed(snippet))
+
+
+def generic(flat: Column) -> Column:
+    """The same of a text whose white space is squeezed."""
     return (F.length(flat) < 12) & flat.rlike(r"^(?:[\p{L}\p{Nl}_][\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}]*|[\p{L}\p{N}]+)$")
 
 

@@ -26,3 +26,7 @@ def test_long_methods_are_left_to_the_compiler(spark):
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
     registry.QUERIES["p3_rule_hits"](spark, SMALL)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_snippets_are_sought_in_lines_squeezed_before(spark):
+    assert "regexp_replace(array_join" not in planned(registry.QUERIES["f7_located_snippets"](spark, SMALL))
