@@ -59,11 +59,21 @@ def exit_code(gates: DataFrame, cells: DataFrame, limited: bool = False) -> Data
 def resolved(findings: DataFrame, wanted: DataFrame) -> DataFrame:
     """Find (asked) by row id, else whole fingerprint, else an unambiguous prefix of 8: status found, ambiguous or none."""
     sound_unions(findings.sparkSession)
-    w = wanted.withColumn("prefix", F.substring(F.regexp_replace("asked", "^F-", ""), 1, 8))
-    by_id = w.join(findings, F.col("asked") == F.col("id").cast("string")).select("asked", F.lit(1).alias("way"), "id")
-    by_print = w.join(findings, F.col("asked") == F.col("fingerprint")).select("asked", F.lit(2).alias("way"), "id")
-    by_prefix = w.join(findings, F.col("prefix") == F.substring("fingerprint", 1, 8)).filter(F.length("prefix") == 8).select("asked", F.lit(3).alias("way"), "id")
-    best = by_id.unionByName(by_print).unionByName(by_prefix).groupBy("asked", "way").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"))
-    first = best.groupBy("asked").agg(F.min(F.struct("way", "n", "id")).alias("x"))
-    out = wanted.join(first, "asked", "left")
-    return out.select("asked", F.when(F.col("x").isNull(), "none").when(F.col("x.n") > 1, "ambiguous").otherwise("found").alias("status"), F.when(F.col("x.n") == 1, F.col("x.id")).alias("id"))
+    # the rows of a key are told by their least and greatest id before they are joined, so that a request meets one row, however many findings share a fingerprint
+    span = [F.min("id").alias("least"), F.max("id").alias("most")]
+    prints = findings.groupBy(F.col("fingerprint").alias("key")).agg(*span)
+    short = prints.groupBy(F.substring("key", 1, 8).alias("key")).agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    known = findings.select(F.lit(1).alias("way"), F.col("id").cast("string").alias("key"), F.col("id").alias("least"), F.col("id").alias("most"))
+    for way, table in ((2, prints), (3, short)):
+        known = known.unionByName(table.select(F.lit(way).alias("way"), "key", "least", "most"))
+    prefix = F.substring(F.regexp_replace("asked", "^F-", ""), 1, 8)
+    ways = [F.struct(F.lit(way).alias("way"), key.alias("key")) for way, key in ((1, F.col("asked")), (2, F.col("asked")), (3, F.when(F.length(prefix) == 8, prefix)))]
+    asked = wanted.groupBy("asked").agg(F.count("*").cast("int").alias("times"))
+    met = asked.select("asked", "times", F.explode(F.array(*ways)).alias("w")).select("asked", "times", "w.*").join(known.filter("least is not null"), ["way", "key"], "left")
+    met = met.groupBy("asked", "times", "way").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    first = met.groupBy("asked", "times").agg(F.min(F.when(F.col("least").isNotNull(), F.struct("way", "least", "most"))).alias("x"))
+    several = F.col("x.least") != F.col("x.most")
+    status = F.when(F.col("x").isNull(), "none").when(several, "ambiguous").otherwise("found")
+    # what was asked for twice is answered twice
+    again = first.select("asked", status.alias("status"), F.when(~several, F.col("x.least")).alias("id"), F.explode(F.array_repeat(F.lit(0), F.col("times"))))
+    return again.select("asked", "status", "id")

@@ -30,3 +30,11 @@ def test_long_methods_are_left_to_the_compiler(spark):
 
 def test_snippets_are_sought_in_lines_squeezed_before(spark):
     assert "regexp_replace(array_join" not in planned(registry.QUERIES["f7_located_snippets"](spark, SMALL))
+
+
+def test_requests_read_the_findings_once_for_each_use(spark):
+    assert scans(registry.QUERIES["j13_resolved"](spark, SMALL)) <= 4
+
+
+def test_results_meet_their_few_rules_where_they_are(spark):
+    assert "broadcast" in planned(registry.QUERIES["s9_round_trip"](spark, SMALL))
