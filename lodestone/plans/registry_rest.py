@@ -45,10 +45,8 @@ def j13_resolved(spark, sf_dir):
     f = derived(spark, sf_dir, "findings").select(F.col("ord").alias("id"), scoring.fingerprint().alias("fingerprint"))
     short = F.substring("fingerprint", 1, 8)
     asked = [(97, F.col("id").cast("string")), (83, F.col("fingerprint")), (89, F.concat(F.lit("F-"), short)), (79, F.concat(short, F.lit("zz"))), (73, F.substring("fingerprint", 1, 7))]
-    wanted = None
-    for n, c in asked:
-        part = f.filter(F.col("id") % n == 0).select(c.alias("asked"))
-        wanted = part if wanted is None else wanted.union(part)
+    each = F.array(*[F.when(F.col("id") % n == 0, c) for n, c in asked])
+    wanted = f.filter(" or ".join(f"id % {n} = 0" for n, _ in asked)).select(F.explode(each).alias("asked")).filter("asked is not null")
     return gate.resolved(f, wanted.distinct())
 
 
@@ -114,7 +112,9 @@ def s12_suppression_entries(spark, sf_dir):
 def s9_round_trip(spark, sf_dir):
     """SARIF results, each with its rule as a document of its own, read back as seeds."""
     f = derived(spark, sf_dir, "findings")
-    both = documents.sarif_results(f).join(documents.sarif_rules(f, by="ord").select("rule_id", F.col("json").alias("rule")), "rule_id")
+    rules = documents.sarif_rules(f, by="ord").select("rule_id", F.col("json").alias("rule"))
+    # a report has a rule for each CWE or category, so few: dealt by rule, the results would land in as few tasks
+    both = documents.sarif_results(f).join(F.broadcast(rules), "rule_id")
     doc = F.concat(F.lit('{"runs":[{"tool":{"driver":{"rules":['), "rule", F.lit(']}},"results":['), "json", F.lit("]}]}"))
     return reports.seeds(both.select(doc.alias("json"))).groupBy("file_rel", "line_start", "line_end", "cwe", "severity", "title").agg(F.count("*").alias("n"))
 
