@@ -168,7 +168,12 @@ def masked(lines: DataFrame, threshold: float = 4.0) -> DataFrame:
         return pd.DataFrame([(None, None) if x is None else _mask(x, threshold) for x in suspects], columns=["line", "n"]).astype({"n": "Int32"})
 
     # only lines that some pattern matches leave the JVM; as nondeterministic the function is not run once more for a filter on its result
-    suspect = reduce(lambda c, p: c | F.col("line").rlike(p), [*(p for _, p, _ in SECRETS), TOKEN], F.lit(False))
+    def may_hold(label: str, pattern: str) -> Column:
+        looked_up = [F.col("line").contains(x) for x in NEEDED.get(label, ())]
+        return (reduce(lambda a, b: a | b, looked_up) & F.col("line").rlike(pattern)) if looked_up else F.col("line").rlike(pattern)
+
+    # the tokens of 20 characters come first: they take in what the pattern without a look-up matches
+    suspect = reduce(lambda c, s: c | may_hold(s[0], s[1]), [s for s in SECRETS if s[0] in NEEDED], F.col("line").rlike(TOKEN))
     out = lines.withColumn("m", replaced.asNondeterministic()(F.when(suspect, F.col("line"))))
     return out.withColumn("masked", F.coalesce("m.line", "line")).withColumn("n_masked", F.coalesce("m.n", F.lit(0))).drop("m")
 
