@@ -46,6 +46,13 @@ def ranges(defs: DataFrame, files: DataFrame) -> DataFrame:
     return defs.withColumn("follow", follow).join(files.select("path", "n_lines"), "path").select("path", "name", "start_line", F.greatest("start_line", F.coalesce(F.col("follow") - 1, "n_lines")).cast("int").alias("end_line"))
 
 
+def outline(lines: DataFrame) -> DataFrame:
+    """One row for each file of lines (path, language, line_no, line): path, n_lines and its definitions (start_line, name), in one pass over the lines."""
+    named = lines.select("path", "line_no", defined(DEFINITIONS).alias("name"))
+    found = F.when(F.col("name").isNotNull(), F.struct(F.col("line_no").alias("start_line"), "name"))
+    return named.groupBy("path").agg(F.max("line_no").alias("n_lines"), F.collect_list(found).alias("defs"))
+
+
 def enclosing(points: DataFrame, symbols: DataFrame) -> DataFrame:
     """Tightest symbol around each point (path, line_no), else the nearest that starts at most 3 lines below.
 

@@ -51,16 +51,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def placed(rows: DataFrame, *order: str) -> DataFrame:
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows written once, by columns, in the shared folder: for what is read more than once and costs more to make than to read."""
+    sound_unions(rows.sparkSession)
+    path = f"{shared_dir(rows.sparkSession)}/kept-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def placed(rows: DataFrame, *order: str, apart: str | None = None) -> DataFrame:
     """The rows with ``place``, their position from 0 in the total order of some columns, without a window over all rows.
 
     Rows are dealt to tasks by ranges of the order and written; the tasks' counts, one row for each, give where each begins.
-    Rows alike in all columns of the order are placed among themselves as they come.
+    Rows alike in all columns of the order are placed among themselves as they come. ``apart`` names a column of few values, none null: the rows of each
+    value are placed from 0 by themselves, all in one pass.
     """
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    by = [apart, *order] if apart else [*order]
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by)
     path = f"{shared_dir(rows.sparkSession)}/placed-{uuid.uuid4().hex}"
-    dealt.withColumn("part_", F.spark_partition_id()).withColumn("nth_", F.monotonically_increasing_id()).write.parquet(path)
+    dealt.withColumn("part_", F.spark_partition_id()).withColumn("nth_", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).write.parquet(path)
     staged = rows.sparkSession.read.parquet(path)
-    counts = staged.groupBy("part_").agg(F.count("*").alias("n"))
-    before = counts.select("part_", (F.sum("n").over(Window.orderBy("part_")) - F.col("n")).alias("before_"))
-    return staged.join(F.broadcast(before), "part_").withColumn("place", F.col("before_") + F.col("nth_").bitwiseAND((1 << 33) - 1)).drop("part_", "nth_", "before_")
+    key = ["part_", apart] if apart else ["part_"]
+    counts = staged.groupBy(*key).agg(F.count("*").alias("n"), F.min("nth_").alias("first"))
+    earlier = Window.partitionBy(*key[1:]).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*key, (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("before_"))
+    return staged.join(F.broadcast(before), key).withColumn("place", F.col("before_") + F.col("nth_")).drop("part_", "nth_", "before_")

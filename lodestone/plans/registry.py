@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import scoring, text
 from lodestone.operators import chunks, costs, detect, endpoints, findings, gate, graph, ledger, replies, symbols
 from lodestone.plans.fixtures import ALL_CLASSES, EXPRESSIONS, PRICES, derived, sql_of
-from lodestone.plans.lineage import sound_unions
+from lodestone.plans.lineage import kept, sound_unions
 from lodestone.sources import documents, files, reports, sinks
 from lodestone.streaming import spend
 
@@ -65,9 +65,12 @@ def calls_of(spark, sf_dir):
 
 
 def code_symbols(spark, sf_dir):
-    code = derived(spark, sf_dir, "code")
-    sizes = code.groupBy("path").agg(F.max("line_no").alias("n_lines"))
-    return code, sizes, symbols.ranges(symbols.definitions(code), sizes)
+    """Lines, sizes and symbols of the code. Numbering the lines is the most work, so they are numbered once and kept."""
+    code = kept(derived(spark, sf_dir, "code"))
+    files = kept(symbols.outline(code))
+    sizes = files.select("path", "n_lines")
+    defs = files.select("path", F.explode("defs").alias("d")).select("path", "d.name", "d.start_line")
+    return code, sizes, symbols.ranges(defs, sizes)
 
 
 # ------------------------------------------------------------------ sources and predicates
