@@ -80,6 +80,8 @@ SECRETS = [
 ]
 # What a match of a pattern holds at least one of; a look-up is quicker than the pattern.
 NEEDED = {"aws_access_key": ("AKIA", "ASIA"), "private_key": ("-----BEGIN ",), "generic_api_key": ("_live_", "_test_"), "bearer_token": ("earer",), "jwt": ("eyJ",), "password_assign": ("=", ":"), "connection_string": ("://",), "email": ("@",)}
+# The same for rules, by pattern; looked up in lower case.
+RULE_NEEDS = {p: needs for (_, _, _, p), needs in zip(RULES, [("eval", "exec"), ("os.system", "subprocess.", "getruntime", "child_process."), ("pickle.",), ("yaml.",), ("md5", "sha1"), ("des", "arc4", "ecb"), ("random",), ("verify", "rejectunauthorized"), ("debug",), ("/tmp/",)])}
 TOKEN = r"[A-Za-z0-9/+=_\-]{20,}"
 HEX = re.compile("[0-9A-Fa-f]+").fullmatch
 
@@ -95,9 +97,15 @@ def stripped(line: str | Column) -> Column:
 
 
 def rule_hits(lines: DataFrame, rules: list[tuple[str, str, str, str]] = RULES) -> DataFrame:
-    """One row for each rule and line that match. Patterns are literals, so each is compiled once."""
-    hits = [F.when(F.col("line").rlike(p), F.struct(F.lit(i).alias("rule_id"), F.lit(c).alias("cwe"), F.lit(s).alias("severity"))) for i, c, s, p in rules]
-    return lines.withColumn("hit", F.explode(F.array_compact(F.array(*hits)))).select("path", "line_no", "hit.*", F.substring(stripped("line"), 1, 200).alias("snippet"))
+    """One row for each rule and line that match. Patterns are literals, so each is compiled once, and tried only where the line holds what it needs."""
+
+    def fits(pattern: str) -> Column:
+        needs = [F.lower("line").contains(x) for x in RULE_NEEDS.get(pattern, ())]
+        return reduce(lambda a, b: a | b, needs) & F.col("line").rlike(pattern) if needs else F.col("line").rlike(pattern)
+
+    hits = [F.when(fits(p), F.struct(F.lit(i).alias("rule_id"), F.lit(c).alias("cwe"), F.lit(s).alias("severity"))) for i, c, s, p in rules]
+    found = lines.select("path", "line_no", "line", F.explode(F.array(*hits)).alias("hit")).filter("hit is not null")
+    return found.select("path", "line_no", "hit.*", F.substring(stripped("line"), 1, 200).alias("snippet"))
 
 
 def table_rule_hits(lines: DataFrame, rules: DataFrame, at_once: int = 1000) -> DataFrame:

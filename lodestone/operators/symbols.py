@@ -53,19 +53,27 @@ def outline(lines: DataFrame) -> DataFrame:
     return named.groupBy("path").agg(F.max("line_no").alias("n_lines"), F.collect_list(found).alias("defs"))
 
 
-def enclosing(points: DataFrame, symbols: DataFrame) -> DataFrame:
+def enclosing(points: DataFrame, symbols: DataFrame, span: int = 64) -> DataFrame:
     """Tightest symbol around each point (path, line_no), else the nearest that starts at most 3 lines below.
 
-    The join has the path as an equality key; the range is a residual condition. Of equally tight symbols the
-    first defined wins (then the least name).
+    Symbols are listed for every span of lines that they reach, so a point meets one row, however many symbols its file has and however many
+    points share a line. Of equally tight symbols the first defined wins (then the least name).
     """
-    p, s = points.select("path", "line_no").distinct().alias("p"), symbols.alias("s")
-    inside = F.col("p.line_no").between(F.col("s.start_line"), F.col("s.end_line"))
-    below = (F.col("s.start_line") - F.col("p.line_no")).between(1, 3)
-    near = p.join(s, (F.col("p.path") == F.col("s.path")) & (inside | below), "left")
-    order = F.struct(F.when(inside, 0).otherwise(1), F.when(inside, F.col("s.end_line") - F.col("s.start_line")).otherwise(F.col("s.start_line") - F.col("p.line_no")), F.col("s.start_line"), F.col("s.name"))
-    best = near.groupBy(F.col("p.path").alias("path"), F.col("p.line_no").alias("line_no")).agg(F.min_by("s.name", order).alias("symbol"))
-    return points.join(best, ["path", "line_no"], "left")
+    last = F.greatest("start_line", "end_line")
+    reach = symbols.select("path", "name", "start_line", "end_line", F.explode(F.sequence(F.floor((F.col("start_line") - 3) / span), F.floor(last / span))).alias("span_"))
+    listed = reach.groupBy("path", "span_").agg(F.collect_list(F.struct("start_line", "end_line", "name")).alias("listed_"))
+    at = F.col("line_no")
+
+    def inside(s: Column) -> Column:
+        return at.between(s["start_line"], s["end_line"])
+
+    def order(s: Column) -> Column:
+        size = F.when(inside(s), s["end_line"] - s["start_line"]).otherwise(s["start_line"] - at)
+        return F.struct(F.when(inside(s), 0).otherwise(1).alias("k"), size.alias("size"), s["start_line"].alias("start"), s["name"].alias("name"))
+
+    near = F.filter("listed_", lambda s: inside(s) | (s["start_line"] - at).between(1, 3))
+    met = points.withColumn("span_", F.floor(at / span)).join(listed, ["path", "span_"], "left")
+    return met.withColumn("symbol", F.array_min(F.transform(near, order))["name"]).select("path", "line_no", *[c for c in points.columns if c not in ("path", "line_no")], "symbol")
 
 
 def tokens(lines: DataFrame) -> DataFrame:

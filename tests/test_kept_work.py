@@ -19,3 +19,26 @@ def test_outline_is_sizes_and_definitions(spark):
     lines = spark.createDataFrame(rows, "path string, language string, line_no int, line string").repartition(3)
     out = {r.path: (r.n_lines, sorted(map(tuple, r.defs))) for r in symbols.outline(lines).collect()}
     assert out == {"a.py": (3, [(1, "f"), (3, "B")]), "b.go": (1, [(1, "g")]), "c.txt": (7, [])}
+
+
+def test_enclosing_meets_one_row_of_symbols(spark):
+    rng = random.Random(3)
+    syms = [(rng.choice("ab"), f"s{i}", a, a + rng.choice([-1, 0, 5, 90, 300])) for i in range(60) for a in [rng.randint(1, 400)]]
+    points = [(rng.choice("abc"), rng.randint(1, 450), i) for i in range(300)] * 2
+    s = spark.createDataFrame(syms, "path string, name string, start_line int, end_line int")
+    p = spark.createDataFrame(points, "path string, line_no int, id int")
+
+    def best(path, n):
+        c = [(0, b - a, a, m) if a <= n <= b else (1, a - n, a, m) for q, m, a, b in syms if q == path and (a <= n <= b or 1 <= a - n <= 3)]
+        return min(c)[3] if c else None
+
+    out = symbols.enclosing(p, s)
+    assert sorted(map(tuple, out.select("path", "line_no", "id", F.coalesce("symbol", F.lit(""))).collect())) == sorted((q, n, i, best(q, n) or "") for q, n, i in points)
+    assert joins(out) == 1
+
+
+def test_what_a_rule_needs_is_in_all_it_matches(spark, rule):
+    lines = ["eval (x)", "EXEC(", "os.system(", "subprocess.run( a, shell = True", "Runtime.getRuntime().exec", "child_process.exec", "pickle.load (", "yaml.load (f", "hashlib.sha1 (", "md5(", "DES", "ARC4", "a ECB", "random.choice (", "Math.random(", "VERIFY = False", "rejectunauthorized : FALSE", "curlopt_ssl_verifypeer , 0", "DEBUG = true", "app.Debug=True", "'/tmp/x'", '"/var/tmp/"']
+    df = spark.createDataFrame([("p", i, x) for i, x in enumerate(lines)], "path string, line_no int, line string")
+    want = sorted(r.line_no for r in df.filter(F.col("line").rlike(rule[3])).collect())
+    assert want and sorted(r.line_no for r in detect.rule_hits(df, [rule]).collect()) == want and rule[3] in detect.RULE_NEEDS
