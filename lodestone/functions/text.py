@@ -23,6 +23,14 @@ def lines_of(text: str | Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(F.split(body, LINE_END))
 
 
+def n_lines_of(text: str | Column) -> Column:
+    """How many lines a text has. Where it has no line end but the newline, these are counted without making the lines."""
+    text = as_col(text)
+    newlines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    plain = newlines + F.when(F.endswith(text, F.lit("\n")), 0).otherwise(1)
+    return F.when(text.isNull() | (text == ""), 0).when(text.rlike(LINE_END.split("|")[1].replace("\n", "")), F.size(lines_of(text))).otherwise(plain)
+
+
 def squeezed(x: str | Column) -> Column:
     """White space runs as single blanks, none at the ends."""
     return F.trim(F.regexp_replace(as_col(x), r"\s+", " "))

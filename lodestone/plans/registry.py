@@ -599,7 +599,7 @@ def a15_systemic_failure(spark, sf_dir):
 
 @query(f"with {CHUNKS}, o as (select path, chunk_index, attack_class, case when chunk_index % 2 = 0 then 'ANALYZED' else 'SHALLOW' end as state from ch, (select unnest({ALL_CLASSES}) as attack_class) where path like '%.en'), p as (select path, chunk_index, attack_class from ch, (select unnest({ALL_CLASSES}) as attack_class)) select p.path, p.chunk_index, p.attack_class, case when o.state = 'ANALYZED' then 'ANALYZED' else 'PENDING' end as state, case when o.state = 'ANALYZED' then 0.8 else 0.0 end::double as thoroughness from p left join o using (path, chunk_index, attack_class)")
 def u5_reseeded_cells(spark, sf_dir):
-    f = files.with_line_counts(document_files(spark, sf_dir))
+    f = kept(files.with_line_counts(document_files(spark, sf_dir)).select("path", "n_lines"))
     ch = chunks.fixed_chunks(f, 40, 8)
     some = f.join(ch.select("path").distinct(), "path", "left_semi")
     old = chunks.cells(ch.filter("path like '%.en'"), some.filter("path like '%.en'"), ALL_CLASSES).withColumn("state", F.when(F.col("chunk_index") % 2 == 0, "ANALYZED").otherwise("SHALLOW")).withColumn("thoroughness", F.lit(0.8))

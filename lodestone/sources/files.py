@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import lines_of
+from lodestone.functions.text import lines_of, n_lines_of
 
 # Language and category by file name, and by suffix.
 NAMES = {
@@ -122,7 +122,7 @@ def discover(
 
 
 def with_line_counts(files: DataFrame) -> DataFrame:
-    return files.withColumn("n_lines", F.size(lines_of("text")))
+    return files.withColumn("n_lines", n_lines_of("text"))
 
 
 def lines(files: DataFrame, *keep: str) -> DataFrame:

@@ -42,3 +42,10 @@ def test_what_a_rule_needs_is_in_all_it_matches(spark, rule):
     df = spark.createDataFrame([("p", i, x) for i, x in enumerate(lines)], "path string, line_no int, line string")
     want = sorted(r.line_no for r in df.filter(F.col("line").rlike(rule[3])).collect())
     assert want and sorted(r.line_no for r in detect.rule_hits(df, [rule]).collect()) == want and rule[3] in detect.RULE_NEEDS
+
+
+def test_lines_are_counted_as_they_are_made(spark):
+    ends = ["", "\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\n\n", " ", "é"]
+    texts = [None, "", *(a + e + b + f for a in ("", "x") for e in ends for b in ("", "y") for f in ends)]
+    t = spark.createDataFrame([(x,) for x in texts], "t string").select("t", n_lines_of("t").alias("n"), F.size(lines_of("t")).alias("want"))
+    assert t.filter("n is null or n <> want").count() == 0
