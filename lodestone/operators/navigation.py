@@ -63,15 +63,19 @@ def handed_on(safe: str | Column, hits: str | Column) -> Column:
     return guarded(withheld(safe), F.when(as_col(safe).isNotNull(), as_col(hits)))
 
 
-def cited_routes(claims: DataFrame, lines: DataFrame) -> DataFrame:
+def cited_routes(claims: DataFrame, lines: DataFrame, span: int = 32) -> DataFrame:
     """Claims (claim_id, path, line_no, route) with ``verified``: does the route stand 3 lines around the cited one?
 
-    A cited path fits a file whose path ends with it, or the other way round: both sides are joined by the last part.
+    A cited path fits a file whose path ends with it, or the other way round: the different paths of both sides are joined by the last part. Lines are
+    listed by spans with 3 more on either side, so that each claim meets one row.
     """
     name = F.element_at(F.split("path", "/"), -1)
     known = lines.select("path").distinct().withColumn("name", name).withColumnRenamed("path", "file")
-    where = claims.withColumn("name", name).join(known, "name").filter(F.endswith("file", "path") | F.endswith("path", "file"))
-    first = where.groupBy("claim_id").agg(F.min(F.struct(F.col("file") != F.col("path"), "file")).alias("x"), F.first("line_no").alias("at"), F.first("route").alias("route"))
-    near = first.select("claim_id", F.col("x.file").alias("path"), "route", F.explode(F.sequence(F.col("at") - 3, F.col("at") + 3)).alias("line_no"))
-    hit = near.join(lines.select("path", "line_no", "line"), ["path", "line_no"]).filter((F.col("route") != "") & F.contains("line", "route")).select("claim_id").distinct()
-    return claims.join(hit.withColumn("verified", F.lit(True)), "claim_id", "left").withColumn("verified", F.coalesce("verified", F.lit(False)))
+    where = claims.select("path").distinct().withColumn("name", name).join(known, "name").filter(F.endswith("file", "path") | F.endswith("path", "file"))
+    first = where.groupBy("path").agg(F.min(F.struct(F.col("file") != F.col("path"), "file")).alias("x")).select("path", F.col("x.file").alias("file"))
+    at = F.col("line_no")
+    spans = F.explode(F.sequence(F.floor((at - 3) / span), F.floor((at + 3) / span)))
+    listed = lines.select(F.col("path").alias("file"), spans.alias("span_"), F.struct("line_no", "line").alias("l")).groupBy("file", "span_").agg(F.collect_list("l").alias("listed_"))
+    met = claims.join(first, "path", "left").withColumn("span_", F.floor(at / span)).join(listed, ["file", "span_"], "left")
+    near = F.exists("listed_", lambda l: l["line_no"].between(at - 3, at + 3) & F.contains(l["line"], F.col("route")))
+    return met.withColumn("verified", F.coalesce((F.col("route") != "") & near, F.lit(False))).select(*claims.columns, "verified")

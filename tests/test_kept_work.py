@@ -44,6 +44,20 @@ def test_what_a_rule_needs_is_in_all_it_matches(spark, rule):
     assert want and sorted(r.line_no for r in detect.rule_hits(df, [rule]).collect()) == want and rule[3] in detect.RULE_NEEDS
 
 
+def test_claims_are_judged_one_by_one(spark):
+    lines = [("src/a.py", i, f"r{i}") for i in range(1, 101)] + [("b.py", 5, "x")]
+    claims = [("same", "a.py", n, f"r{r}") for n in (1, 31, 32, 63, 64, 100, 103) for r in range(1, 101)] + [("same", "nowhere.py", 1, "r1"), ("e", "a.py", 5, ""), ("n", "a.py", None, "r1"), ("up", "x/b.py", 8, "x"), ("up", "x/b.py", 9, "x")]
+    out = navigation.cited_routes(spark.createDataFrame(claims, "claim_id string, path string, line_no int, route string"), spark.createDataFrame(lines, "path string, line_no int, line string"))
+    text = {(p, n): x for p, n, x in lines}
+
+    def held(path, n, route):
+        file = {"a.py": "src/a.py", "x/b.py": "b.py"}.get(path)
+        return bool(route) and n is not None and any(route in text.get((file, m), "") for m in range(n - 3, n + 4))
+
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(((c, p, n, r, held(p, n, r)) for c, p, n, r in claims), key=key)
+
+
 def test_lines_are_counted_as_they_are_made(spark):
     ends = ["", "\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\n\n", " ", "é"]
     texts = [None, "", *(a + e + b + f for a in ("", "x") for e in ends for b in ("", "y") for f in ends)]
