@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.plans.lineage import cut
+from lodestone.plans.lineage import kept
+
+
+def adjacency(edges: DataFrame, most: int = 1000) -> DataFrame:
+    """(caller, callees): what every caller calls, each name once in a row of at most ``most``; callers of more have several rows."""
+    nth = F.row_number().over(Window.partitionBy("caller").orderBy("callee"))
+    rows = edges.select("caller", "callee").withColumn("row_", F.floor((nth - 1) / most))
+    return rows.groupBy("caller", "row_").agg(F.collect_set("callee").alias("callees")).select("caller", "callees")
 
 
 def reached_from(edges: DataFrame, entries: DataFrame, depth: int = 25) -> DataFrame:
-    """(name, depth) of all names that entry points reach by calls, breadth first, once for all targets.
+    """(name, depth) of all names that entry points reach by calls, breadth first, once for all targets."""
+    return _reached(kept(adjacency(edges)), entries, depth)
+
+
+def _reached(lists: DataFrame, entries: DataFrame, depth: int) -> DataFrame:
+    """Each level joins only the names found last, and the loop ends early when nothing new is found.
 
-    Each level joins only the names found last; a level is cut from its lineage, and the loop ends early when
-    nothing new is found. The edges are stored once, by caller.
+    Lists and levels are written, so that their sizes are known: lists need not be dealt anew for a level that is small enough to be sent to them.
     """
-    edges = cut(edges.select("callee", "caller").repartition("caller"))
-    seen = cut(entries.select("name").distinct().withColumn("depth", F.lit(0)))
-    front = seen
+    seen = front = kept(entries.select("name").distinct().withColumn("depth", F.lit(0)))
     for level in range(1, depth + 1):
-        ahead = edges.join(front.select(F.col("name").alias("caller")), "caller", "left_semi").select(F.col("callee").alias("name")).distinct()
-        front = cut(ahead.join(seen, "name", "left_anti").withColumn("depth", F.lit(level)))
+        ahead = lists.join(front.select(F.col("name").alias("caller")), "caller", "left_semi").select(F.explode("callees").alias("name")).distinct()
+        front = kept(ahead.join(seen, "name", "left_anti").withColumn("depth", F.lit(level)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -31,9 +40,9 @@ def verdicts(targets: DataFrame, edges: DataFrame, entries: DataFrame, depth: in
 
     A null name, or no entry point at all: unclear. Reached: reachable. Without callers: unreachable. Else unclear.
     """
-    edges = cut(edges.select("callee", "caller").distinct())
-    reach = reached_from(edges, entries, depth).select("name", F.lit(True).alias("hit"))
-    called = edges.select(F.col("callee").alias("name")).distinct().withColumn("called", F.lit(True))
+    lists = kept(adjacency(edges))
+    reach = _reached(lists, entries, depth).select("name", F.lit(True).alias("hit"))
+    called = lists.select(F.explode("callees").alias("name")).distinct().withColumn("called", F.lit(True))
     some = not entries.isEmpty()
     out = targets.join(reach, "name", "left").join(called, "name", "left")
     verdict = F.when(F.col("name").isNull() | F.lit(not some), "unclear").when(F.col("hit"), "reachable").when(F.col("called").isNull(), "unreachable").otherwise("unclear")
@@ -70,11 +79,11 @@ def nearest_routes(targets: DataFrame, edges: DataFrame, routes: DataFrame, dept
     """
     narrow = edges.select("callee", "caller").distinct()
     wide = narrow.groupBy("callee").count().filter(F.col("count") > most_callers).select("callee")
-    narrow = cut(narrow.join(wide, "callee", "left_anti").repartition("caller"))
-    front = seen = cut(routes.groupBy("name").agg(F.min("route").alias("route")).withColumn("depth", F.lit(0)))
+    narrow = kept(narrow.join(wide, "callee", "left_anti"))
+    front = seen = kept(routes.groupBy("name").agg(F.min("route").alias("route")).withColumn("depth", F.lit(0)))
     for level in range(1, depth + 2):
         ahead = narrow.join(front.select(F.col("name").alias("caller"), "route"), "caller").groupBy(F.col("callee").alias("name")).agg(F.min_by("route", "caller").alias("route"))
-        front = cut(ahead.join(seen, "name", "left_anti").withColumn("depth", F.lit(level)))
+        front = kept(ahead.join(seen, "name", "left_anti").withColumn("depth", F.lit(level)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

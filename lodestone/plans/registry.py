@@ -243,8 +243,8 @@ def f9_w2_symbol_chunks(spark, sf_dir):
 names as (select callee as name from e union select caller from e)
 select name, case when name in (select name from r) then 'reachable' when name not in (select callee from e) then 'unreachable' else 'unclear' end as verdict from names""")
 def g4_reachability(spark, sf_dir):
-    edges = derived(spark, sf_dir, "edges").filter("callee <> caller").distinct()
-    names = edges.select(F.col("callee").alias("name")).union(edges.select("caller")).distinct()
+    edges = derived(spark, sf_dir, "edges").filter("callee <> caller")
+    names = kept(edges.select(F.explode(F.array("callee", "caller")).alias("name")).distinct())
     return graph.verdicts(names, edges, names.filter("name in ('n1', 'n2')"))
 
 

@@ -63,3 +63,12 @@ def test_lines_are_counted_as_they_are_made(spark):
     texts = [None, "", *(a + e + b + f for a in ("", "x") for e in ends for b in ("", "y") for f in ends)]
     t = spark.createDataFrame([(x,) for x in texts], "t string").select("t", n_lines_of("t").alias("n"), F.size(lines_of("t")).alias("want"))
     assert t.filter("n is null or n <> want").count() == 0
+
+
+def test_callees_are_listed_in_bounded_rows(spark):
+    edges = spark.createDataFrame([(f"c{i % 25}", "hub") for i in range(100)] + [("hub", "n1"), ("n1", "n1")], "callee string, caller string")
+    rows = graph.adjacency(edges, 10).collect()
+    assert max(len(r.callees) for r in rows) <= 10
+    assert {(r.caller, c) for r in rows for c in r.callees} == {("hub", f"c{i}") for i in range(25)} | {("n1", "hub"), ("n1", "n1")}
+    reach = graph.reached_from(edges, spark.createDataFrame([("n1",)], "name string"))
+    assert sorted((r.name, r.depth) for r in reach.collect()) == sorted([("n1", 0), ("hub", 1), *((f"c{i}", 2) for i in range(25))])
