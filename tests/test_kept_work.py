@@ -37,6 +37,7 @@ def test_enclosing_meets_one_row_of_symbols(spark):
     assert joins(out) == 1
 
 
+@pytest.mark.parametrize("rule", detect.RULES)
 def test_what_a_rule_needs_is_in_all_it_matches(spark, rule):
     lines = ["eval (x)", "EXEC(", "os.system(", "subprocess.run( a, shell = True", "Runtime.getRuntime().exec", "child_process.exec", "pickle.load (", "yaml.load (f", "hashlib.sha1 (", "md5(", "DES", "ARC4", "a ECB", "random.choice (", "Math.random(", "VERIFY = False", "rejectunauthorized : FALSE", "curlopt_ssl_verifypeer , 0", "DEBUG = true", "app.Debug=True", "'/tmp/x'", '"/var/tmp/"']
     df = spark.createDataFrame([("p", i, x) for i, x in enumerate(lines)], "path string, line_no int, line string")
