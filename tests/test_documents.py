@@ -96,3 +96,24 @@ def test_all_formats(spark, findings, tmp_path):
     assert not (tmp_path / "e" / "report.md").exists() and (tmp_path / "e" / "executive_summary.md").exists()
     with pytest.raises(ValueError):
         documents.write_reports(gated, str(tmp_path), {"pdf"}, {}, 1.0)
+
+
+def test_parts_are_placed_by_themselves(spark):
+    df = spark.createDataFrame([(i * 7919 % 1000, i, i % 5 == 0) for i in range(1000)], "k int, v int, far boolean").repartition(7)
+    for far in (False, True):
+        rows = sorted((r for r in placed(df, "k", "v", apart="far").collect() if r.far == far), key=lambda r: (r.k, r.v))
+        assert [r.place for r in rows] == list(range(200 if far else 800))
+    assert placed(df.limit(0), "k", apart="far").count() == 0
+
+
+@pytest.mark.parametrize("made", [lambda f: documents.report_markdown(f, 1.0), lambda f: documents.report_json(f.filter("votes = 1"), f.filter("votes = 2"), {}, 1.0)])
+def test_a_report_is_dealt_once(findings, monkeypatch, made):
+    dealt = []
+    monkeypatch.setattr(documents, "placed", lambda *a, **k: dealt.append(1) or placed(*a, **k))
+    assert made(findings).count() > 60 and len(dealt) == 1
+
+
+def test_confidence_has_two_places(spark, findings):
+    some = [0.0, -0.0, 0.005, 0.125, 0.135, 0.994999, 1.005, 2.675, -1.005, 999999.994, 999999.996, 1e7, float("nan"), float("inf"), 1e-9, *(i / 1000 for i in range(1000))]
+    x = spark.createDataFrame([(v,) for v in some], "x double").select(documents._two_places("x").alias("mine"), F.format_string("%.2f", "x").alias("java"))
+    assert x.filter("mine <> java").count() == 0
