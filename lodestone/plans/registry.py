@@ -396,7 +396,7 @@ def _json_sql() -> str:
 def k1_report_json(spark, sf_dir):
     """The tiers of j7, each in the canonical order."""
     f = derived(spark, sf_dir, "findings")
-    told = f.join(j7_j8_gated(spark, sf_dir), "ord")
+    told = kept(f.join(j7_j8_gated(spark, sf_dir).filter("gate in ('reportable', 'informational')"), "ord"))
     return documents.report_json(*[told.filter(F.col("gate") == g).drop("gate") for g in ("reportable", "informational")], {"config_hash": "c0"}, 0.75)
 
 
