@@ -390,7 +390,8 @@ def t1_lease_states(spark, sf_dir):
     folder = f"{shared_dir(spark)}/leases-{uuid.uuid4().hex}"
     events = _as_stream(spark, sf_dir, folder).withColumn("us", F.expr("timestampdiff(microsecond, timestamp_ntz'1970-01-01', ts)")).selectExpr("timestamp_micros(us) as at", "us / 1e6d as ts", *(f"{e} as {n}" for n, e in LEASE_EVENTS.items()))
     try:
-        q = leases.lease_changes(events, ttl=43200.0).writeStream.outputMode("update").foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/{n}"))
+        buckets = max(64, spark.read.parquet(f"{folder}/in").count() // 8192)  # so that a task's share of cells and events does not grow
+        q = leases.lease_changes(events, ttl=43200.0, buckets=buckets).writeStream.outputMode("update").foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/{n}"))
         q.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
         for k, v in before.items():

@@ -6,6 +6,7 @@ import shutil
 import time
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from lodestone.operators import costs
@@ -70,6 +71,43 @@ def test_leases(spark, tmp_path):
     assert held <= {r.cell for r in expired}
 
 
+def test_cells_share_state(spark, tmp_path):
+    """Many cells in few buckets: each cell as if alone, each lease told once, when the watermark reaches its end; state by bucket, not by cell."""
+    rng, folder, n, wm, cells, want, due = random.Random(3), str(tmp_path), 0, 0.0, {}, {}, set()
+    for k in range(4):
+        rows = []
+        for _ in range(150):
+            n += 1
+            rows.append((rng.choice([None, *(f"c{i}" for i in range(80))]), 1000.0 + 50 * k + rng.randint(1, 50), n, rng.choice(["claim"] * 4 + ["renew", "settle"]), rng.choice("xy"), "FAILED"))
+        put(spark, rows, f"{folder}/in")
+        for c, t, i, kind, by, settled in sorted(rows, key=lambda e: e[1:3]):
+            ok, cells[c] = leases.step(cells.get(c, ("PENDING", None, None, 0)), t, kind, by, settled, 25.0, 99)
+            want[i] = (ok, *cells[c])
+        for done in ([wm], [wm, max(e[1] for e in rows)])[k == 3]:  # at the end a batch without rows follows
+            for c, (state, owner, expires, attempts) in list(cells.items()):
+                if state == "IN_PROGRESS" and expires <= done:
+                    cells[c] = ("EXPIRED", owner, expires, attempts)
+                    due.add((c, expires, k + (done != wm)))
+        wm = max(e[1] for e in rows)
+    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+    def started(buckets):
+        q = leases.lease_changes(events, ttl=25.0, most=99, buckets=buckets).writeStream.outputMode("update").foreachBatch(lambda df, b: df.withColumn("batch", F.lit(b)).write.mode("append").parquet(f"{folder}/out"))
+        q = q.option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q
+
+    q = started(5)
+    out = spark.read.parquet(f"{folder}/out").collect()
+    assert {r.event_id: (r.accepted, r.state, r.holder, r.expires, r.attempts) for r in out if r.event_id is not None} == want
+    told = [(r.cell, r.expires, r.batch) for r in out if r.kind == "expire"]
+    assert len(told) == len(due) > 30 and set(told) == due
+    assert len(cells) == 81 and q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 5
+    put(spark, [(f"c{i}", 2000.0, n + i, "claim", "x", None) for i in range(1, 80)], f"{folder}/in")
+    with pytest.raises(StreamingQueryException, match="written with 5 buckets, not 6"):
+        started(6)
+
+
 def calls_of(spark, folder, costs_of):
     start = datetime.datetime(2024, 1, 1)
     for k, each in enumerate(costs_of):
