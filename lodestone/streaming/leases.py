@@ -64,7 +64,7 @@ class Lease(StatefulProcessor):
 
     def _write(self, cells: dict[str | None, tuple], old: int | None) -> None:
         """Keep the cells, with a timer for the first lease to run out in place of the one due at ``old``."""
-        due = min((_ms(expires) for state, _, expires, _ in cells.values() if state == "IN_PROGRESS"), default=None)
+        due = min((_due(expires) for state, _, expires, _ in cells.values() if state == "IN_PROGRESS"), default=None)
         if due != old:
             if old is not None:
                 self.handle.deleteTimer(old)
@@ -88,7 +88,7 @@ class Lease(StatefulProcessor):
         now = timerValues.getCurrentWatermarkInMs()  # timers due at or before it fire
         out = []
         for name, (state, owner, expires, attempts) in cells.items():
-            if state == "IN_PROGRESS" and _ms(expires) <= now:
+            if state == "IN_PROGRESS" and _due(expires) <= now:
                 # the holder is kept: it may still renew or settle while nobody takes over
                 cells[name] = ("EXPIRED", owner, expires, attempts)
                 out.append((name, expires, None, "expire", owner, True, *cells[name]))
@@ -100,8 +100,9 @@ class Lease(StatefulProcessor):
         pass
 
 
-def _ms(seconds: float) -> int:
-    return int(seconds * 1000)
+def _due(expires: float) -> int:
+    """The first whole millisecond at which a lease has run out: it still holds at the moment of its end."""
+    return round(expires * 1e6) // 1000 + 1
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -114,7 +115,7 @@ def lease_changes(events: DataFrame, ttl: float = 600.0, most: int = 10, late: s
 
     events: cell string, at timestamp, ts double (the same in seconds), event_id long, kind string, owner string, settled string. The session needs a
     state store that keeps timers (STREAM_CONF). What is kept is one row for each of ``buckets`` parts of the cells, by hash; the number stays as it is for
-    the life of a checkpoint. A task holds one bucket's cells, and its events of a batch.
+    the life of a checkpoint. A task holds one bucket's cells, and its events of a batch. Watermarks have whole milliseconds: a lease is told once one has passed its end.
     """
     bucket = F.pmod(F.xxhash64("cell"), F.lit(buckets)).cast("int").alias("bucket")
     known = events.withWatermark("at", late).select(bucket, "cell", "at", "ts", "event_id", "kind", "owner", "settled")

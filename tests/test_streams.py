@@ -72,7 +72,7 @@ def test_leases(spark, tmp_path):
 
 
 def test_cells_share_state(spark, tmp_path):
-    """Many cells in few buckets: each cell as if alone, each lease told once, when the watermark reaches its end; state by bucket, not by cell."""
+    """Many cells in few buckets: each cell as if alone, each lease told once, when the watermark has passed its end; state by bucket, not by cell."""
     rng, folder, n, wm, cells, want, due = random.Random(3), str(tmp_path), 0, 0.0, {}, {}, set()
     for k in range(4):
         rows = []
@@ -85,7 +85,7 @@ def test_cells_share_state(spark, tmp_path):
             want[i] = (ok, *cells[c])
         for done in ([wm], [wm, max(e[1] for e in rows)])[k == 3]:  # at the end a batch without rows follows
             for c, (state, owner, expires, attempts) in list(cells.items()):
-                if state == "IN_PROGRESS" and expires <= done:
+                if state == "IN_PROGRESS" and expires < done:
                     cells[c] = ("EXPIRED", owner, expires, attempts)
                     due.add((c, expires, k + (done != wm)))
         wm = max(e[1] for e in rows)
@@ -108,6 +108,14 @@ def test_cells_share_state(spark, tmp_path):
         started(6)
 
 
+def test_lease_holds_at_its_end(spark, tmp_path):
+    """As for a claim, a lease that ends just at the last event has not run out; one that ends a millisecond earlier has."""
+    folder, end = str(tmp_path), 1704153600.172
+    put(spark, [(f"c{ms}", end - 100 + ms / 1000, 10 + ms, "claim", "x", None) for ms in (-1000, -2, -1, 0, 1, 2)] + [("last", end, 99, "settle", "x", None)], f"{folder}/in")
+    run(spark, folder)
+    assert {r.cell for r in spark.read.parquet(f"{folder}/out").filter("kind = 'expire'").collect()} == {"c-1000", "c-2", "c-1"}
+
+
 def calls_of(spark, folder, costs_of):
     start = datetime.datetime(2024, 1, 1)
     for k, each in enumerate(costs_of):
