@@ -165,39 +165,52 @@ def items(replies: DataFrame, schema: str) -> DataFrame:
     return out.select(*replies.columns, F.col("unwrapped.shape_ok").alias("shape_ok"), F.posexplode_outer("unwrapped.listed").alias("pos", "item")).withColumn("item", F.from_json("item", schema))
 
 
-def located(claims: DataFrame, lines: DataFrame, slack: int = 2) -> DataFrame:
+def located(claims: DataFrame, lines: DataFrame, slack: int = 2, span: int = 128) -> DataFrame:
     """Where a cited snippet really stands near its claimed range (claim_id, path, lo, hi, snippet): adds found_at, found_to.
 
     White space counts as one blank. The lines looked at are the range, as many as the snippet has, and ``slack`` more on
     both sides. found_at is the first line from which the snippet's number of lines holds it; if only all lines looked
-    at together do, the claimed range stays. Null: not found, empty, or too generic. The lines are fetched by
-    number, so a file with very many claims is spread; ranges are first cut to the file, however far a reply says they go.
+    at together do, the claimed range stays. Null: not found, empty, or too generic. Lines are listed by spans of a file, so that
+    every line and every snippet travels once; only a claim that reaches over the end of a span gathers its lines. Ranges
+    that may be wider than a span are first cut to the file, however far a reply says they go.
     """
     body = detect.stripped("snippet")
-    told = F.struct(squeezed("snippet").alias("want"), (F.length(body) - F.length(F.replace(body, F.lit("\n"))) + 1).alias("height"))
+    height = F.when(F.contains("snippet", F.lit("\n")), F.length(body) - F.length(F.replace(body, F.lit("\n"))) + 1).otherwise(1)
+    told = F.struct(squeezed("snippet").alias("want"), height.alias("height"))
+    a, b = F.least("lo", "hi").cast("long"), F.greatest("lo", "hi").cast("long")
+    newlines = F.length("snippet") - F.length(F.replace(F.col("snippet"), F.lit("\n")))
+    c = claims.select("claim_id", "path", a.alias("a"), b.alias("b"), "snippet", (F.greatest(b, a + newlines) - a > span).alias("wide"))
+    last = lines.groupBy("path").agg(F.max("line_no").cast("long").alias("last"))
+    c = c.filter("not wide").withColumn("last", F.lit(None).cast("long")).unionByName(c.filter("wide").join(last, "path"))
     # a generated row keeps what follows from working out the snippet's form again
-    c = claims.select("claim_id", "path", F.least("lo", "hi").cast("long").alias("a"), F.greatest("lo", "hi").cast("long").alias("b"), F.explode(F.array(told)).alias("told")).select("claim_id", "path", "a", "b", "told.*")
-    c = c.filter((F.col("want") != "") & ~generic(F.col("want"))).withColumn("top", F.greatest(F.lit(1), F.col("a") - slack)).withColumn("end", F.greatest("b", F.col("a") + F.col("height") - 1) + slack)
-    last = lines.groupBy("path").agg(F.max("line_no").alias("last"))
-    c = c.join(last, "path").withColumn("end", F.least("end", "last")).filter(F.col("top") <= F.col("end")).drop("last")
+    c = c.select("claim_id", "path", "a", "b", "last", F.explode(F.array(told)).alias("told")).select("claim_id", "path", "a", "b", "last", "told.*")
+    c = c.filter((F.col("want") != "") & ~generic(F.col("want"))).withColumn("top", F.greatest(F.lit(1), F.col("a") - slack))
+    c = c.withColumn("end", F.least(F.greatest("b", F.col("a") + F.col("height") - 1) + slack, "last")).filter(F.col("top") <= F.col("end")).drop("last")
+    c = c.withColumn("several", F.floor(F.col("top") / span) < F.floor(F.col("end") / span)).withColumn("span_", F.explode(F.sequence(F.floor(F.col("top") / span), F.floor(F.col("end") / span))))
     # lines are squeezed one by one, once: joined by blanks they are their text squeezed, as a line end is white space too
-    flat = lines.select("path", "line_no", squeezed("line").alias("flat"))
-    near = c.withColumn("line_no", F.explode(F.sequence("top", "end"))).join(flat, ["path", "line_no"])
-    # a line that holds a snippet of one line settles it; a word can stand nowhere else, other snippets may run over line ends: those gather the lines
+    listed = lines.select("path", F.floor(F.col("line_no") / span).alias("span_"), F.struct("line_no", squeezed("line").alias("flat")).alias("x"))
+    listed = listed.groupBy("path", "span_").agg(F.array_sort(F.collect_list("x")).alias("listed_"))
+    # a line that holds a snippet of one line settles it; a word can stand nowhere else, other snippets may run over line ends: those look at all lines
     lone = F.col("height") == 1
     gathers = ~lone | F.contains("want", F.lit(" "))
-    kept = F.when(gathers, F.struct("line_no", "flat"))
-    alone = F.min(F.when(lone & F.contains("flat", "want"), F.col("line_no")))
-    near = near.groupBy("claim_id").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("height").alias("height"), F.first(F.when(gathers, F.col("want"))).alias("want"), alone.alias("alone"), F.array_sort(F.collect_list(kept)).alias("near"))
 
     def holds(part: Column) -> Column:
         return F.contains(F.array_join(F.filter(part["flat"], lambda x: x != ""), " "), F.col("want"))
 
     starts = F.filter(F.sequence(F.lit(1), F.size("near")), lambda i: holds(F.slice("near", i, F.col("height"))))
-    several = F.when(F.size("near") > 0, F.when(holds(F.col("near")), F.struct(F.get("near", F.get(starts, F.lit(0)) - 1)["line_no"].alias("first"))))
-    found = F.when(F.col("alone").isNotNull(), F.struct(F.col("alone").alias("first"))).otherwise(several)
-    found = near.select("claim_id", "a", "b", "height", F.explode(F.array(found)).alias("found")).filter("found is not null")
-    at = found.select("claim_id", F.coalesce("found.first", "a").cast("int").alias("found_at"), F.coalesce(F.col("found.first") + F.col("height") - 1, "b").cast("int").alias("found_to"))
+    first = F.get("near", F.get(starts, F.lit(0)) - 1)["line_no"].cast("long")
+    together = F.when(F.size("near") > 0, F.when(holds(F.col("near")), F.struct(F.when(~lone, first).alias("first"))))
+    alone = F.when(lone, F.get(F.filter("near", lambda x: F.contains(x["flat"], F.col("want"))), F.lit(0))["line_no"].cast("long"))
+    met = c.join(listed, ["path", "span_"]).withColumn("near", F.filter("listed_", lambda x: x["line_no"].between(F.col("top"), F.col("end")))).drop("listed_").withColumn("alone", alone)
+    found = F.when(F.col("alone").isNotNull(), F.struct(F.col("alone").alias("first"))).when(~F.col("several") & gathers, together)
+    kept = F.when(F.col("several") & gathers, F.struct("span_", "near"))
+    # a name of its own: within functions of lists Spark would take a new column's name for the new one
+    met = met.select("claim_id", "a", "b", "height", F.when(F.col("several") & gathers, F.col("want")).alias("sought"), "alone", found.alias("found"), kept.alias("kept"))
+    met = met.groupBy("claim_id").agg(*[F.first(x).alias(x) for x in ("a", "b", "height")], F.first("sought").alias("want"), F.min("alone").alias("alone"), F.first("found", True).alias("found"), F.array_sort(F.collect_list("kept")).alias("kept"))
+    met = met.withColumn("near", F.flatten(F.col("kept")["near"])).drop("kept")
+    found = F.when(F.col("alone").isNotNull(), F.struct(F.col("alone").alias("first"))).otherwise(F.coalesce("found", together))
+    at = met.select("claim_id", "a", "b", "height", F.explode(F.array(found)).alias("found")).filter("found is not null")
+    at = at.select("claim_id", F.coalesce("found.first", "a").cast("int").alias("found_at"), F.coalesce(F.col("found.first") + F.col("height") - 1, "b").cast("int").alias("found_to"))
     return claims.join(at, "claim_id", "left")
 
 

@@ -550,8 +550,9 @@ select q.path || ':' || q.line_no as claim_id, cast(first as int) as found_at, c
 def f7_located_snippets(spark, sf_dir):
     """Every line, and every second one with the next, cited one line too far down."""
     l = document_lines(spark, sf_dir)
-    below = l.select("path", (F.col("line_no") - 1).alias("line_no"), F.col("line").alias("below")).filter("line_no > 0")
-    c = l.join(below, ["path", "line_no"], "left")
+    own = document_files(spark, sf_dir).select("path", text.lines_of("text").alias("own"))
+    pairs = F.arrays_zip(F.col("own").alias("line"), F.slice("own", F.lit(2), F.size("own")).alias("below"))
+    c = own.select("path", F.posexplode(pairs).alias("pos", "x")).select("path", (F.col("pos") + 1).alias("line_no"), "x.line", "x.below")
     snippet = F.when(F.col("line_no") % 2 == 0, F.concat_ws("\n", "line", "below")).otherwise(F.col("line"))
     cited = (F.col("line_no") + 1).cast("int")
     claims = c.select(F.concat_ws(":", "path", F.col("line_no").cast("string")).alias("claim_id"), "path", cited.alias("lo"), cited.alias("hi"), snippet.alias("snippet"))
