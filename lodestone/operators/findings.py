@@ -16,6 +16,11 @@ TIES = ["line_start", "line_end", "severity", "title", "description", "confidenc
 
 
 def merged(findings: DataFrame, key: Column) -> DataFrame:
+    """``folded`` by a key that is worked out, which stays as ``key``."""
+    return folded(findings.withColumn("key", key), "key")
+
+
+def folded(findings: DataFrame, *keys: str) -> DataFrame:
     """Fold findings with equal keys in the order of ``ord``, those of one ``ord`` by the columns in TIES.
 
     Votes add up; severity and confidence are the highest; title and description follow the last finding that
@@ -23,8 +28,8 @@ def merged(findings: DataFrame, key: Column) -> DataFrame:
     snippet, symbol, cwe and remediation are filled from the first that has one; other fields are the first's. ``superseded`` lists the fingerprints that the fold leaves behind. The evidence of one key gathers in one row.
     """
     # one sort of each key gives every row its number, which then stands for the order
-    order = Window.partitionBy("key").orderBy("ord", *TIES)
-    f = findings.withColumn("key", key).withColumn("rank", merge_rank("severity")).withColumn("print", fingerprint())
+    order = Window.partitionBy(*keys).orderBy("ord", *TIES)
+    f = findings.withColumn("rank", merge_rank("severity")).withColumn("print", fingerprint())
     f = f.withColumn("nth", F.row_number().over(order))
     f = f.withColumn("raises", F.coalesce(F.col("rank") > F.max("rank").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
 
@@ -52,7 +57,7 @@ def merged(findings: DataFrame, key: Column) -> DataFrame:
     reachable = F.when(F.col("reached") == 1, "reachable").otherwise(F.col("one.own"))
     superseded = F.sort_array(F.array_except("prints", F.array("one.print")))
     shown = [*(f"one.{c}" for c in ["ord", *FIRST]), "votes", "severity", "title", "description", "confidence", reachable.alias("reachable"), "evidence", superseded.alias("superseded"), *FILLED]
-    return f.groupBy("key").agg(*aggs).select("key", *shown)
+    return f.groupBy(*keys).agg(*aggs).select(*keys, *shown)
 
 
 def merge_findings(findings: DataFrame) -> DataFrame:
@@ -78,39 +83,49 @@ def grouped_ids(groups: DataFrame, ids: DataFrame) -> DataFrame:
     return out.select("id", F.when(~F.col("refused"), F.col("grp").cast("string")).otherwise(None).alias("grp")).withColumn("grp", F.coalesce("grp", F.concat(F.lit("single-"), F.col("id").cast("string"))))
 
 
-def batched(findings: DataFrame, order: list[str], size: int = 150) -> DataFrame:
-    """Findings with ``batch`` and ``idx``, their number in it from 0: so many at a time, in the total order of some columns."""
-    return placed(findings, *order).withColumn("batch", F.floor(F.col("place") / size)).withColumn("idx", F.col("place") % size).drop("place")
+def batched(findings: DataFrame, order: list[str], size: int = 150, told: dict[str, Column] | None = None) -> DataFrame:
+    """Findings with ``batch`` and ``idx``, their number in it from 0: so many at a time, in the total order of some columns (``told`` as in ``placed``)."""
+    return placed(findings, *order, told=told).withColumn("batch", F.floor(F.col("place") / size)).withColumn("idx", F.col("place") % size).drop("place")
 
 
 def reply_groups(replies: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(batch, idx, grp, pos) out of replies (batch, json): lists of lists of ids, for batches of ``n`` findings (batch, n).
+    """(batch, groups) out of replies (batch, json): lists of lists of ids, for batches of ``n`` findings (batch, n); ``groups`` has (grp, pos) of an id.
 
     Ids may be numbers or texts; what is no id from 0 to n - 1 is left out, and an id belongs to the first group that names it, once. A batch
-    has no rows, so that all its findings stand alone, if it has under three, if its reply is no list or holds no id, or if it is refused: one group of
+    has no row, so that all its findings stand alone, if it has under three, if its reply is no list or holds no id, or if it is refused: one group of
     a batch of four or more would hold more than max(2, half) of it.
     """
-    lists = replies.join(sizes, "batch").filter("n >= 3").select("batch", "n", F.posexplode(F.from_json("json", "array<string>")).alias("grp", "members"))
+    # replies are dealt by batch before they are unfolded, into a fixed number of parts: they are short beside what they unfold to
+    asked = dealt_by_batch(replies.join(sizes, "batch").filter("n >= 3").select("batch", "n", "json"))
+    lists = asked.select("batch", "n", F.posexplode(F.from_json("json", "array<string>")).alias("grp", "members"))
     named = lists.select("batch", "n", "grp", F.posexplode(F.from_json("members", "array<string>")).alias("pos", "raw")).withColumn("idx", id_of("raw", "n")).filter("idx is not null")
-    first = named.groupBy("batch", "n", "idx").agg(F.min(F.struct("grp", "pos")).alias("x")).select("batch", "n", "idx", "x.grp", "x.pos")
-    biggest = first.groupBy("batch", "n", "grp").count().groupBy("batch").agg(F.max("count").alias("biggest"), F.first("n").alias("n"))
-    kept = biggest.filter(~((F.col("n") >= 4) & (F.col("biggest") > F.greatest(F.lit(2), F.floor(F.col("n") / 2))))).select("batch")
-    return first.join(kept, "batch", "left_semi").select("batch", "idx", "grp", "pos")
+    first = named.groupBy("batch", "n", "idx").agg(F.min(F.struct("grp", "pos")).alias("x"))
+    members = first.groupBy("batch", "n", F.col("x.grp").alias("grp")).agg(F.count("*").alias("size"), F.collect_list(F.struct(F.col("idx").cast("long").alias("idx"), "x")).alias("members"))
+    groups = members.groupBy("batch", "n").agg(F.max("size").alias("biggest"), F.flatten(F.collect_list("members")).alias("groups"))
+    allowed = ~((F.col("n") >= 4) & (F.col("biggest") > F.greatest(F.lit(2), F.floor(F.col("n") / 2))))
+    return groups.filter(allowed).select("batch", F.map_from_entries("groups").alias("groups"))
+
+
+def dealt_by_batch(rows: DataFrame) -> DataFrame:
+    """The rows dealt by ``batch`` into as many parts as the session's shuffles have, however few bytes they are."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "batch")
 
 
-def semantically_merged(batches: DataFrame, replies: DataFrame) -> DataFrame:
+def semantically_merged(batches: DataFrame, replies: DataFrame, told: dict[str, Column] | None = None) -> DataFrame:
     """Findings of ``batched`` folded by the groups that the replies (batch, json) give each batch; the rest as they are.
 
     The representative has the highest severity, then confidence, then comes first in its group; it absorbs the others in the group's order. ``ord`` and all
-    that a fold does not combine are the representative's.
+    that a fold does not combine are the representative's. Findings are dealt once, by batch, as groups do not leave it. With ``told``, the findings'
+    columns, all of them, are worked out of those of ``batches`` only then, so that these travel alone.
     """
     sizes = batches.groupBy("batch").agg(F.count("*").alias("n"))
-    f = batches.join(reply_groups(replies, sizes), ["batch", "idx"], "left")
-    group = F.when(F.col("grp").isNull(), F.struct("batch", F.lit(-1).alias("grp"), "idx")).otherwise(F.struct("batch", "grp", F.lit(-1).cast("long").alias("idx")))
-    f = f.withColumn("group", group)
-    lead = F.row_number().over(Window.partitionBy("group").orderBy(-merge_rank("severity"), F.desc("confidence"), "pos"))
-    f = f.withColumn("ord", F.struct(F.when(lead == 1, -1).otherwise(F.col("pos")).alias("pos"), F.col("ord").alias("own")))
-    return merged(f.drop("batch", "idx", "grp", "pos"), F.col("group")).withColumn("ord", F.col("ord.own")).drop("key")
+    f = batches.repartition("batch").join(reply_groups(replies, sizes), "batch", "left").withColumn("said", F.try_element_at("groups", F.col("idx").cast("long"))).drop("groups")
+    if told:
+        f = f.select("batch", "idx", "said", *[x.alias(name) for name, x in told.items()])
+    f = f.withColumn("grp", F.coalesce("said.grp", F.lit(-1))).withColumn("alone", F.when(F.col("said").isNull(), F.col("idx")).otherwise(-1)).withColumn("pos", F.col("said.pos")).drop("said", "idx")
+    lead = F.row_number().over(Window.partitionBy("batch", "grp", "alone").orderBy(-merge_rank("severity"), F.desc("confidence"), "pos"))
+    f = f.withColumn("ord", F.struct(F.when(lead == 1, -1).otherwise(F.col("pos")).alias("pos"), F.col("ord").alias("own"))).drop("pos")
+    return folded(f, "batch", "grp", "alone").withColumn("ord", F.col("ord.own")).drop("batch", "grp", "alone")
 
 
 def judged(votes: DataFrame, quorum: int, panel: int) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.plans.lineage import small_methods, sound_unions
 
@@ -81,6 +82,20 @@ def sql_of(name: str) -> str:
     return f"select {', '.join(f'{e} as {c}' for c, e in columns.items())} from {table}"
 
 
+def told(name: str) -> dict[str, Column]:
+    """The columns of a derived table, each out of a row of the given one."""
+    return {c: F.expr(e) for c, e in EXPRESSIONS[name][1].items()}
+
+
+def behind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The rows of the given table behind a derived one, with the columns that it uses."""
+    sound_unions(spark)
+    small_methods(spark)
+    table, columns = EXPRESSIONS[name]
+    source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return source.select([c for c in source.columns if any(c in e for e in columns.values())])
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sound_unions(spark)
     small_methods(spark)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -59,17 +61,31 @@ def kept(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
-def placed(rows: DataFrame, *order: str, apart: str | None = None) -> DataFrame:
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files: else they stay on the disks until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def placed(rows: DataFrame, *order: str, apart: str | None = None, told: dict[str, Column] | None = None) -> DataFrame:
     """The rows with ``place``, their position from 0 in the total order of some columns, without a window over all rows.
 
     Rows are dealt to tasks by ranges of the order and written; the tasks' counts, one row for each, give where each begins.
     Rows alike in all columns of the order are placed among themselves as they come. ``apart`` names a column of few values, none null: the rows of each
-    value are placed from 0 by themselves, all in one pass.
+    value are placed from 0 by themselves, all in one pass. ``told`` has columns of the order that follow from a row's others: they do not travel.
     """
     by = [apart, *order] if apart else [*order]
-    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    told = told or {}
+    dealt = rows.repartitionByRange(*(told.get(c, F.col(c)) for c in by)).withColumns({c: told[c] for c in by if c in told}).sortWithinPartitions(*by).select(*rows.columns)
     path = f"{shared_dir(rows.sparkSession)}/placed-{uuid.uuid4().hex}"
-    dealt.withColumn("part_", F.spark_partition_id()).withColumn("nth_", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).write.parquet(path)
+    with shuffles_dropped(rows.sparkSession):
+        dealt.withColumn("part_", F.spark_partition_id()).withColumn("nth_", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).write.parquet(path)
     staged = rows.sparkSession.read.parquet(path)
     key = ["part_", apart] if apart else ["part_"]
     counts = staged.groupBy(*key).agg(F.count("*").alias("n"), F.min("nth_").alias("first"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scoring, text
 from lodestone.operators import chunks, costs, detect, findings, gate, ledger, navigation, nesting, replies, runs, urls
-from lodestone.plans.fixtures import EXPRESSIONS, PRICES, derived, sql_of
+from lodestone.plans.fixtures import EXPRESSIONS, PRICES, behind, derived, sql_of, told
 from lodestone.plans.lineage import kept, shared_dir
 from lodestone.plans.registry import CELLS, CHUNKS, CODE, FOUND, GATES, IN_ORDER, LINES, N_LINES, ORACLES, PLACE, PRICED, PRINT, QUERIES, SYMBOLS, TIES, calls_of, code_symbols, document_files, document_lines, given, ledger_cells, query
 from lodestone.sources import files, reports, sinks
@@ -349,11 +349,13 @@ string_agg('e' || ord, ',' order by pos) as evidence, list_sort(list_filter(list
 def a4_semantic_groups(spark, sf_dir):
     """Replies that pair two of every three findings, with repeats and ids that are none; one batch in five gets no list, one a single group."""
     order = ["file_rel", "line_start", "line_end", "category", "print", "ord", *findings.TIES]
-    f = findings.batched(derived(spark, sf_dir, "findings").withColumn("print", scoring.fingerprint()).withColumn("evidence", F.array(F.concat(F.lit("e"), F.col("ord").cast("string")))), order).drop("print")
-    n = f.groupBy("batch").agg(F.count("*").alias("n"))
+    found = told("findings")
+    f = findings.batched(behind(spark, sf_dir, "findings"), order, told=found | {"print": scoring.fingerprint(found.get)})
+    n = findings.dealt_by_batch(f.groupBy("batch").agg(F.count("*").alias("n")))
     pair = F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(3)), lambda i: F.format_string('[%d, "[%d]", %d, true, "x", %d]', i, i + 1, i, F.col("n")))
     text = F.when(F.col("batch") % 5 == 3, "none").when(F.col("batch") % 5 == 4, F.concat(F.lit("[["), F.array_join(F.sequence(F.lit(0), F.col("n") - 1), ","), F.lit("]]"))).otherwise(F.concat(F.lit('["odd",'), F.array_join(pair, ","), F.lit(",[]]")))
-    out = findings.semantically_merged(f, n.select("batch", text.alias("json")))
+    evidence = F.array(F.concat(F.lit("e"), found["ord"].cast("string")))
+    out = findings.semantically_merged(f, n.select("batch", text.alias("json")), found | {"evidence": evidence})
     return out.select("ord", "file_rel", "line_start", "category", "votes", "severity", "title", "confidence", "reachable", "cited_snippet", "cwe", "symbol", F.array_join("evidence", ",").alias("evidence"), "superseded")
 
 
