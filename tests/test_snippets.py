@@ -53,3 +53,16 @@ def test_texts_are_dealt_once(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning") <= 6
+
+
+def test_citations_meet_lines_by_spans(spark):
+    """A citation dealt by line would travel once for each line looked at."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.QUERIES["f41_cited_findings"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert dealt and not any("line_no" in x for x in dealt)
+    assert any("span_" in x for x in dealt)
